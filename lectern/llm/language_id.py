@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 from .common import remainder, text_of
 
 #: Bytes of text compressed at once; longer texts are sums over their pieces.
-PIECE = 2048
+PIECE = 4096
+#: Bytes to spaces: ASCII but for letters. Case, digits and marks say little of a language.
+PLAIN = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 LETTER = regex.compile(r"\p{L}")
 
 
-def language_samples(docs: DataFrame, learn: Column, per_language: int = 400, chars: int = 600) -> dict[str, bytes]:
-    """A raw-content dictionary for each language: the texts of about `per_language` documents, spread over all of them by a hash of the id.
+def language_samples(docs: DataFrame, learn: Column, per_language: int = 400, chars: int = 600) -> dict[str, tuple[bytes, float]]:
+    """For each language a raw-content dictionary and the language's share of the documents to learn from.
+
+    A dictionary holds texts of about `per_language` documents, spread over all by a hash of the id.
 
     At most `chars` characters of a document's middle go in. The documents are
     taken where `learn` holds, the language is not null and the text not empty.
@@ -28,9 +32,10 @@ def language_samples(docs: DataFrame, learn: Column, per_language: int = 400, ch
     per_language times chars, whatever the input.
     """
     known = docs.where(learn & F.col("lang").isNotNull() & (F.length(text_of()) > 0))
-    share = {r["lang"]: 2.0 * per_language / r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not share:
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
         return {}
+    share = {k: 2.0 * per_language / n for k, n in counts.items()}
     limits = F.create_map(*(F.lit(x) for k, v in sorted(share.items()) for x in (k, v)))
     place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
     middle = F.substring(F.col("text"), F.greatest(F.lit(1), (F.length("text") / 2 - chars / 2).cast("int")), F.lit(chars))
@@ -39,7 +44,11 @@ def language_samples(docs: DataFrame, learn: Column, per_language: int = 400, ch
     for r in some.orderBy("lang", "h", "text").collect():
         if len(own := texts.setdefault(r["lang"], [])) < per_language:
             own.append(r["text"])
-    return {k: "\n".join(v).encode("utf-8") for k, v in sorted(texts.items())}
+    return {k: (b"\n".join(map(plain, v)), counts[k] / sum(counts.values())) for k, v in sorted(texts.items())}
+
+
+def plain(text: str) -> bytes:
+    return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(PLAIN).split())
 
 
 def sizes(text: bytes, coders: list[zstandard.ZstdCompressor]) -> np.ndarray:
@@ -48,10 +57,11 @@ def sizes(text: bytes, coders: list[zstandard.ZstdCompressor]) -> np.ndarray:
     return np.array([sum(len(c.compress(p)) for p in parts) for c in coders], np.int64)
 
 
-def identify_languages(docs: DataFrame, samples: dict[str, bytes], least_margin: float = 0.02, level: int = 1) -> DataFrame:
+def identify_languages(docs: DataFrame, samples: dict[str, tuple[bytes, float]], least_margin: float = 0.02, level: int = 5) -> DataFrame:
     """(doc_id, lang_pred, score, margin, rejected) for each document.
 
-    A text is compressed with each language's dictionary, and the language with
+    A text, in lower case and without digits and ASCII marks, is compressed with
+    each language's dictionary, and the language with
     the smallest result is chosen, the first by name of equals. margin is how much
     smaller it is than the second, as a share of the second; below
     `least_margin` the choice is marked as rejected. score is the posterior
@@ -61,11 +71,12 @@ def identify_languages(docs: DataFrame, samples: dict[str, bytes], least_margin:
     Repeated rows each get their own result. Other columns are not read.
     """
     languages = list(samples)
+    prior = np.array([-np.log2(share) / 8 for _, share in samples.values()])
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         params = zstandard.ZstdCompressionParameters.from_level(level, write_content_size=False, write_checksum=False, write_dict_id=False)
         coders = []
-        for content in samples.values():
+        for content, _ in samples.values():
             words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             words.precompute_compress(compression_params=params)
             coders.append(zstandard.ZstdCompressor(dict_data=words, compression_params=params))
@@ -77,7 +88,7 @@ def identify_languages(docs: DataFrame, samples: dict[str, bytes], least_margin:
                     score.append(0.0)
                     margin.append(0.0)
                     continue
-                size = sizes(text.encode("utf-8", "surrogatepass"), coders)
+                size = sizes(plain(text), coders) + prior
                 order = np.argsort(size, kind="stable")
                 gain = (size - size[order[0]]) / max(1.0, size[order[0]])
                 best.append(languages[order[0]])

@@ -38,8 +38,8 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
         if b - a >= n:
             out.append(np.unique(rolled[a : b - n + 1]))
         else:
-            short = reduce(lambda x, y: x * np.uint64(BASE) + y, names[a:b], np.uint64(b - a))
-            out.append(mix(np.array([short] if b > a else [], np.uint64), 33))
+            short = reduce(lambda x, y: x * np.uint64(BASE) + y, names[a:b, None], np.array([b - a], np.uint64))
+            out.append(mix(short[: b - a], 33))
     return out
 
 

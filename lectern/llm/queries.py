@@ -163,10 +163,10 @@ WITH RECURSIVE d AS (
          ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM d
 ), n AS (
   SELECT r, doc_id, count(*) AS n FROM s GROUP BY r, doc_id
-), both AS (
+), shared AS (
   SELECT a.r AS ra, b.r AS rb, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r
 ), links AS (
-  SELECT x.doc_id AS a, y.doc_id AS b FROM both JOIN n x ON x.r = ra JOIN n y ON y.r = rb WHERE 100 * c >= 85 * (x.n + y.n - c)
+  SELECT x.doc_id AS a, y.doc_id AS b FROM shared JOIN n x ON x.r = ra JOIN n y ON y.r = rb WHERE 100 * c >= 85 * (x.n + y.n - c)
 ), sym AS (
   SELECT a, b FROM links UNION SELECT b, a FROM links
 ), reach AS (
