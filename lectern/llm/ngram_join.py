@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,9 @@ from .common import components, cut, mix, slices, word_names, words_of
 
 #: Counters of the frequency sketch, as a power of two, and the pieces it travels in.
 SKETCH_BITS, SKETCH_PARTS = 19, 64
-#: Buckets of the suffix filter.
-BUCKETS = 64
+#: The suffix filter's sketch: counts in BUCKETS parts of the hash space, then the parity of counts in PARITY parts.
+BUCKETS, PARITY = 64, 1024
+SKETCH_BYTES = BUCKETS + PARITY // 8
 #: Posting lists up to this length are paired directly.
 SHORT = 24
 #: Rows of a block when what is left of a long posting list is compared block by block.
@@ -28,7 +30,7 @@ BASE = 0x9FB21C651E98DF25
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     """The sorted distinct n-word shingles of each text as 64-bit names; a shorter text is one shingle."""
     codes, words, bounds = words_of(texts)
-    names = word_names(pa.array([w.lower() for w in words.cast(pa.binary()).to_pylist()], pa.binary()), 31)[codes]
+    names = word_names(pa.compute.ascii_lower(words), 31)[codes]
     rolled = np.zeros(max(len(names) - n + 1, 0), np.uint64)
     for i in range(n):
         rolled = rolled * np.uint64(BASE) + names[i : i + len(rolled)]
@@ -43,9 +45,21 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-def bucket_counts(own: np.ndarray) -> bytes:
-    """The suffix filter's counts of a set in BUCKETS parts of the hash space, at most 255 each."""
-    return np.minimum(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+def set_sketch(own: np.ndarray) -> bytes:
+    """A set's sketch for the suffix filter; counts stop at 255."""
+    counts = np.minimum(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8)
+    odd = np.bincount((own & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return counts.tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def sketches(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH_BYTES)
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A number of shingles that two sets at least differ by: what their counts differ by, and the parts where the parity does."""
+    counts = np.abs(x[..., :BUCKETS].astype(np.int16) - y[..., :BUCKETS]).sum(axis=-1)
+    return np.maximum(counts, np.bitwise_count(x[..., BUCKETS:] ^ y[..., BUCKETS:]).sum(axis=-1, dtype=np.int64))
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
@@ -60,7 +74,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
             counts += np.bincount((np.concatenate(sets) & np.uint64(counts.size - 1)).astype(np.int64), minlength=counts.size)
             ids, k = batch.column("doc_id"), len(sets)
             yield pa.RecordBatch.from_arrays(
-                [ids, batch.column("text_hash"), pa.array([np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(bucket_counts, sets), pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
+                [ids, batch.column("text_hash"), pa.array([np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(set_sketch, sets), pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
                 schema.names,
             )
         k = SKETCH_PARTS
@@ -88,14 +102,15 @@ def prefixes(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = shared.value
+        level = shared.value.astype(np.uint64)
         for batch in slices(batches):
             token, cls, size, pos = [], [], [], []
             for own in shingle_sets(batch.column("text"), n):
                 if k := len(own):
                     most = k - -(-percent * k // 100) + 1
-                    at = level[(own & np.uint64(level.size - 1)).astype(np.int64)]
-                    token.append(own[np.lexsort((own, at))[:most]])
+                    rank = level[(own & np.uint64(level.size - 1)).astype(np.int64)] << np.uint64(56) | own >> np.uint64(8)
+                    first = np.argpartition(rank, most - 1)[:most]
+                    token.append(own[first[np.argsort(rank[first])]])
                     cls.append(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())))
                     size.append(k)
                     pos.append(np.arange(most))
@@ -112,14 +127,14 @@ def may_link(percent: int) -> str:
 
 
 def suffix_filtered(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose bucket counts leave room for the overlap."""
+    """The pairs (a, b) whose sketches leave room for the overlap."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in ("xb", "yb"))
+                x, y = (sketches(batch.column(c)) for c in ("xb", "yb"))
                 total = np.asarray(batch.column("xn")) + np.asarray(batch.column("yn"))
-                ok = np.abs(x - y).sum(axis=1) <= total - 2 * -(-percent * total // (100 + percent))
+                ok = least_difference(x, y) <= total - 2 * -(-percent * total // (100 + percent))
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     one = sets.select(F.col("cls").alias("a"), F.col("n").alias("xn"), F.col("buckets").alias("xb"))
@@ -161,7 +176,7 @@ def blocks(lists: DataFrame, percent: int) -> DataFrame:
     def compare(table: pa.Table) -> pa.Table:
         own = table.column("own").to_numpy()
         cls, n, pos, comp = (table.column(c).to_numpy() for c in ("cls", "n", "pos", "comp"))
-        counts = np.frombuffer(b"".join(table.column("buckets").to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+        own_sketch = sketches(table.column("buckets"))
         one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
         left, right = np.flatnonzero(own == one), np.flatnonzero(own == two)
         a, b = [], []
@@ -173,7 +188,7 @@ def blocks(lists: DataFrame, percent: int) -> DataFrame:
             least = -(-percent * total // (100 + percent))
             j = j[(100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least)]
             total = n[i] + n[j]
-            j = j[np.abs(counts[j] - counts[i]).sum(axis=1) <= total - 2 * -(-percent * total // (100 + percent))]
+            j = j[least_difference(own_sketch[j], own_sketch[i]) <= total - 2 * -(-percent * total // (100 + percent))]
             a.append(np.minimum(cls[i], cls[j]))
             b.append(np.maximum(cls[i], cls[j]))
         none = [np.zeros(0, np.int64)]
