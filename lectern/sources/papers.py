@@ -32,7 +32,7 @@ def bioc_passages(files: DataFrame) -> DataFrame:
     """(paper_id, doc_seq, seq, infons, section_type, type, text) of the BioC collections among files; prose takes doc_seq 0."""
     docs = parsed(files).where("bioc IS NOT NULL").select("paper_id", F.posexplode("bioc.document").alias("doc_seq", "d"))
     rows = docs.select("paper_id", "doc_seq", F.posexplode("d.passage").alias("seq", "p"))
-    pairs = F.coalesce(F.transform("p.infon", lambda i: F.struct(i["_key"], i["_VALUE"])), F.array().cast("array<struct<a:string,b:string>>"))
+    pairs = F.coalesce(F.transform("p.infon", lambda i: F.struct(i["_key"], i["_VALUE"])), F.array().cast("array<struct<_key:string,_VALUE:string>>"))
     return rows.select("paper_id", "doc_seq", "seq", F.map_from_entries(pairs).alias("infons"), F.col("p.text").alias("text")).withColumn("section_type", F.col("infons")["section_type"]).withColumn("type", F.col("infons")["type"])
 
 
