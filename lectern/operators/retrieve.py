@@ -9,6 +9,8 @@ from ..functions import hgvs, text
 
 #: Digit runs up to this length are join tokens; longer ones take the other way.
 LONGEST_TOKEN = 12
+#: Variants that are broadcast, after they were counted.
+FEW = 10_000
 PAIR = ["paper_id", "variant_id"]
 
 
@@ -79,16 +81,13 @@ def variant_tokens(variants: DataFrame) -> DataFrame:
     follows it ("end" holds this too), else the beginning of one ("begin").
     """
 
-    def rows(form: str, open_kind: str) -> DataFrame:
-        own = variants.where(F.col(form).isNotNull() & (F.col(form) != "")).select("variant_id", F.col(form).alias("form"))
-        run = hgvs.first_digit_run(F.col("form"))
-        closed = F.col("form").rlike("[0-9][^0-9]")
-        fits = run.isNotNull() & (F.length(run) <= LONGEST_TOKEN)
-        letter = F.col("form").rlike("^[^0-9]+[0-9]") if open_kind == "begin" else F.lit(False)
-        kind = F.when(fits & closed, "end").when(fits & letter, open_kind).otherwise("any")
-        return own.select("variant_id", kind.alias("kind"), F.when(kind != "any", run).alias("tok"))
-
-    return rows("var_dna", "any").union(rows("plong", "begin")).union(rows("pshort", "begin")).distinct()
+    forms = F.array(*(F.struct(F.col(n).alias("form"), F.lit(k).alias("open_kind")) for n, k in (("var_dna", "any"), ("plong", "begin"), ("pshort", "begin"))))
+    own = variants.select("variant_id", F.explode(forms).alias("f")).select("variant_id", "f.*").where("form <> ''")
+    run = hgvs.first_digit_run(F.col("form"))
+    fits = run.isNotNull() & (F.length(run) <= LONGEST_TOKEN)
+    letter = (F.col("open_kind") == "begin") & F.col("form").rlike("^[^0-9]+[0-9]")
+    kind = F.when(fits & F.col("form").rlike("[0-9][^0-9]"), "end").when(fits & letter, "begin").otherwise("any")
+    return own.select("variant_id", kind.alias("kind"), F.when(kind != "any", run).alias("tok")).distinct()
 
 
 def chunk_tokens(chunks: DataFrame) -> DataFrame:
@@ -106,8 +105,12 @@ def candidates(chunks: DataFrame, variants: DataFrame) -> DataFrame:
     wanted = variant_tokens(variants)
     shared = chunk_tokens(chunks).join(wanted.where("kind <> 'any'"), ["kind", "tok"]).select("paper_id", "chunk_seq", "variant_id")
     # forms without a usable number, rare among variants, are tried on every chunk
-    rest = chunks.select("paper_id", "chunk_seq").join(wanted.where("kind = 'any'").select("variant_id").distinct())
-    return shared.union(rest).distinct()
+    rest = wanted.where("kind = 'any'").select("variant_id").distinct()
+    n = rest.count()
+    if not n:
+        return shared.distinct()
+    rest = F.broadcast(rest) if n <= FEW else rest
+    return shared.union(chunks.select("paper_id", "chunk_seq").join(rest)).distinct()
 
 
 def match(chunks: DataFrame, variants: DataFrame, how: str = "token") -> DataFrame:

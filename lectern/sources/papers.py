@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import scrub_control
@@ -84,12 +84,11 @@ def markdown_tables(files: DataFrame) -> DataFrame:
 
 
 def read_csv_tables(spark: SparkSession, path: str, columns: int) -> tuple[DataFrame, DataFrame]:
-    """Headerless CSV files as grid cells (paper_id, table_seq, part, r, c, text), and the lines that could not be read."""
+    """Headerless CSV files, a row to a line, as grid cells (paper_id, table_seq, part, r, c, text), and the lines that could not be read."""
     schema = ", ".join(f"c{i} string" for i in range(columns)) + ", _bad string"
-    rows = spark.read.schema(schema).csv(path, header=False, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", quote='"', escape='"')
-    rows = rows.withColumn("paper_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[A-Za-z0-9]+)?$", 1)).withColumn("at", F.monotonically_increasing_id())
-    from pyspark.sql import Window
-
-    good = rows.where("_bad IS NULL").withColumn("r", F.row_number().over(Window.partitionBy("paper_id").orderBy("at")) - 1)
-    cells = good.select("paper_id", F.lit(0).alias("table_seq"), F.lit("body").alias("part"), "r", F.posexplode(F.array(*(f"c{i}" for i in range(columns)))).alias("c", "text"))
-    return cells, rows.where("_bad IS NOT NULL").select("paper_id", F.col("_bad").alias("line"))
+    lines = spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[A-Za-z0-9]+)?$", 1).alias("paper_id"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "quote": '"', "escape": '"'}
+    rows = lines.where("line <> ''").withColumn("v", F.from_csv("line", schema, options))
+    good = rows.where("v._bad IS NULL").withColumn("r", F.row_number().over(Window.partitionBy("paper_id").orderBy("at")) - 1)
+    cells = good.select("paper_id", F.lit(0).alias("table_seq"), F.lit("body").alias("part"), "r", F.posexplode(F.array(*(f"v.c{i}" for i in range(columns)))).alias("c", "text"))
+    return cells, rows.where("v._bad IS NOT NULL").select("paper_id", "line")

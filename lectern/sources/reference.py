@@ -32,9 +32,9 @@ def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
 
 def read_residues(spark: SparkSession, path: str) -> DataFrame:
     """(ord, long3, short1) of a file with two columns, in its order."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\r?\n")).alias("ord", "line"))
-    parts = F.split(F.trim("line"), r"\s+")
-    return lines.select("ord", parts[0].alias("long3"), parts[1].alias("short1"))
+    whole = spark.read.text(path, wholetext=True)
+    lines = whole.select(F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: x.rlike(r"\S\s+\S"))).alias("ord", "line"))
+    return lines.select("ord", F.regexp_extract("line", r"(\S+)\s+(\S+)", 1).alias("long3"), F.regexp_extract("line", r"(\S+)\s+(\S+)", 2).alias("short1"))
 
 
 def read_status_log(spark: SparkSession, path: str) -> DataFrame:
