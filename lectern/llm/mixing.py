@@ -68,7 +68,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block:
     Sources are numbered with one row for each hash part of each source, so a
     source with most rows is numbered in `parts` tasks; the schedule is worked out
     for one period and each block finds its slot by arithmetic. What the driver
-    holds are the sources' sizes and one period for each of them. A null source
+    holds and broadcasts are the sources' sizes and one period for each time that
+    a source runs out: it is meant for up to some hundred sources. A null source
     is a source of its own; a null text is a document like any other. Repeated
     rows are documents of their own. An empty table gives an empty result.
     """

@@ -56,7 +56,7 @@ def quantised(df: DataFrame, dims: dict[str, Column], bits: int) -> DataFrame:
     return df
 
 
-def along_curve(df: DataFrame, names: list[str], bits: int) -> Column:
+def along_curve(names: list[str], bits: int) -> Column:
     @F.pandas_udf("long")
     def index(*columns: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(np.stack([c.to_numpy() for c in columns], axis=1), bits))
@@ -88,7 +88,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, bits: int = 5) -> DataFram
     )
     groups = base.groupBy(*GROUP).agg(F.min("lang_code").alias("lang_code"), F.min("source_code").alias("source_code"), F.count("*").alias("n"))
     dims = {"d0": F.col("lang_code"), "d1": F.col("source_code"), "d2": F.col("size")}
-    groups = cut(quantised(groups, dims, bits).withColumn("curve", along_curve(groups, list(dims), bits)).select(*GROUP, "curve"))
+    groups = cut(quantised(groups, dims, bits).withColumn("curve", along_curve(list(dims), bits)).select(*GROUP, "curve"))
     order = ["curve", "text_hash", "doc_id"]
     placed = base.select("doc_id", *GROUP).join(groups, GROUP)
     run = cut(
@@ -100,10 +100,9 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, bits: int = 5) -> DataFram
     # one row for each partition of the sort: as many as the cluster has tasks, whatever the rows
     counts = run.groupBy("part").agg(F.count("*").alias("n"))
     ahead = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    at, k, n = F.col("ahead") + F.col("i"), F.lit(shards), F.col("total")
     return (
         run.join(F.broadcast(ahead), "part")
-        .withColumn("place", at)
+        .withColumn("place", F.col("ahead") + F.col("i"))
         .withColumn("shard", F.expr(f"(place * {shards}) div total"))
         .withColumn("slot", F.col("place") - F.expr(f"(shard * total + {shards - 1}) div {shards}"))
         .select("doc_id", "size", "text_crc32", "curve", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
@@ -113,4 +112,4 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, bits: int = 5) -> DataFram
 def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
     """Write docs as one folder for each shard, in slot order; ids must be unique."""
     rows = docs.join(placed.select("doc_id", "shard", "slot"), "doc_id")
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
