@@ -41,8 +41,9 @@ def unescape_text(s: Column) -> Column:
 
         return texts.map(one)
 
-    # few texts have a backslash: the others never leave the JVM's value
-    return F.when(F.instr(s, "\\") > 0, resolve(F.when(F.instr(s, "\\") > 0, s))).otherwise(s)
+    # few texts have a backslash: only they go to Python, once (what is not deterministic is not copied into filters)
+    escaped = F.instr(s, "\\") > 0
+    return F.when(escaped, resolve.asNondeterministic()(F.when(escaped, s))).otherwise(s)
 
 
 def is_prose(section_type: Column) -> Column:

@@ -124,10 +124,9 @@ def match(chunks: DataFrame, variants: DataFrame, how: str = "token") -> DataFra
         pairs = chunks.join(forms)
     else:
         pairs = candidates(chunks, variants).join(chunks, ["paper_id", "chunk_seq"]).join(forms, "variant_id")
-    body = text.unescape_text(F.col("text"))
-    found = pairs.select(
+    found = pairs.withColumn("body", text.unescape_text(F.col("text"))).select(
         "paper_id", "chunk_seq", "variant_id",
-        by_dna(body, F.col("dna_pattern")).alias("by_dna"), by_form(F.col("text"), F.col("plong")).alias("by_long"), by_form(F.col("text"), F.col("pshort")).alias("by_short"),
+        by_dna(F.col("body"), F.col("dna_pattern")).alias("by_dna"), by_form(F.col("text"), F.col("plong")).alias("by_long"), by_form(F.col("text"), F.col("pshort")).alias("by_short"),
     )
     return found.where("by_dna OR by_long OR by_short")
 
