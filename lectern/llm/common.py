@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The text bytes that a Python task turns into arrays at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,8 +48,25 @@ def remainder(name: str, by: int) -> Column:
     return F.crc32(F.col(name).cast("string").cast("binary")) % F.lit(by)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the column's texts fill about `most` bytes, or hold one row."""
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """What this Python worker holds under a name from task to task, until it comes to work that does not ask for it."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES, holds: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the column's texts fill about `most` bytes, or hold one row.
+
+    A worker lets go of what it held for other work, and of freed memory after
+    its last batch: workers live on, and their memory is the executor's.
+    """
+    if holds not in _HELD:
+        _HELD.clear()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -59,6 +76,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         for a, b in zip(bounds, bounds[1:], strict=False):
             if b > a:
                 yield batch.slice(int(a), int(b - a))
+    pa.default_memory_pool().release_unused()
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:

@@ -6,7 +6,6 @@ import string
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,15 +13,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, slices, words_of
+from .common import cut, held, slices, words_of
 
-#: Words that a Python worker keeps encoded; it starts anew when full.
-WORDS = 700_000
+#: Words that a Python worker keeps encoded from task to task; it starts anew when full.
+WORDS = 1_000_000
+#: Bytes of text encoded at once: the more, the fewer words are looked up twice.
+SLICE = 8 << 20
+#: Words on which the short way of encoding is tried.
+PROBES = ("the", "stupid", "onreesthaha", "zzqxj", "a", "antidisestablishmentarianism")
 #: The token after each document.
 END = 1
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str):
     from tokenizers import Tokenizer
 
@@ -40,14 +42,23 @@ class Encoded(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        self.encode_batch = encoder(path).encode_batch
+        whole = encoder(path)
+        self.encode_batch, self.tokenize = whole.encode_batch, whole.model.tokenize
+        # a word of small ASCII letters is one piece that normalising leaves alone: then the model alone gives its ids
+        self.direct = all([t.id for t in self.tokenize(w)] == whole.encode(w, add_special_tokens=False).ids for w in PROBES)
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self]
         if len(self) + len(new) > WORDS:
             self.clear()
             new = list(words)
-        for word, e in zip(new, self.encode_batch(new, add_special_tokens=False), strict=True):
+        rest = []
+        for word in new:
+            if self.direct and word.isascii() and word.isalpha():
+                self[word] = array("I", [t.id for t in self.tokenize(word)]).tobytes()
+            else:
+                rest.append(word)
+        for word, e in zip(rest, self.encode_batch(rest, add_special_tokens=False), strict=True):
             self[word] = array("I", e.ids).tobytes()
 
     def ids_of(self, words: list[str]) -> list[bytes]:
@@ -60,16 +71,12 @@ def parted(word: str) -> tuple[str, str]:
     """The word in lower case without the punctuation at its end, and the punctuation; any word with a letter beyond ASCII or the mark of a special token is left alone."""
     if not word.isascii() or "<|" in word:
         return word, ""
+    if word.isalpha():
+        return word.lower(), ""
     core = word.rstrip(string.punctuation)
     return (core.lower(), word[len(core) :]) if core else ("", word)
 
 
-@lru_cache(maxsize=1)
-def known_words(path: str) -> Encoded:
-    """One cache for each Python worker, whichever tasks it runs."""
-    return Encoded(path)
-
-
 def document_ids(texts: pa.Array, known: Encoded) -> tuple[np.ndarray, np.ndarray]:
     """The ids of the texts one after another, each with the end token, and the bounds of each text's ids."""
     codes, words, bounds = words_of(texts)
@@ -79,7 +86,7 @@ def document_ids(texts: pa.Array, known: Encoded) -> tuple[np.ndarray, np.ndarra
     first = np.cumsum(size) - size
     sizes = size[codes]
     ahead = np.concatenate(([0], np.cumsum(sizes)))
-    at = np.arange(ahead[-1]) + np.repeat(first[codes] - ahead[:-1], sizes)
+    at = np.arange(ahead[-1], dtype=np.int32) + np.repeat((first[codes] - ahead[:-1]).astype(np.int32), sizes)
     n = len(bounds) - 1
     ends = ahead[bounds] + np.arange(n + 1)
     ids = np.full(ahead[-1] + n, END, "<u4")
@@ -99,8 +106,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, group: int, with_ids:
     schema = schema.add("ids", T.ArrayType(T.LongType())) if with_ids else schema
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = known_words(tokenizer), 0
-        for batch in slices(batches):
+        known, seen = held(tokenizer, lambda: Encoded(tokenizer)), 0
+        for batch in slices(batches, most=SLICE, holds=tokenizer):
             rows, out, ids = [], [], []
             flat, ends = document_ids(batch.column("text"), known)
             for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
