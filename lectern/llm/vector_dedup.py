@@ -16,7 +16,7 @@ GRID = 1e-6
 #: What rounding to the grid may add to a block's squared distance.
 SLACK = 1e-4
 #: Rows of a product of two blocks of vectors.
-TILE = 1024
+TILE = 512
 
 
 def distinct_vectors(vectors: DataFrame) -> DataFrame:
@@ -145,21 +145,23 @@ def links_in(units: DataFrame, dim: int, first: np.ndarray, budgets: np.ndarray,
             return i
 
         edges = []
-        z = at[right][:, part]
-        zz = (z * z).sum(axis=1)
+        # the squared distances of a tile are one product of extended rows, in single precision and with room for its errors
+        z = at[right][:, part] * GRID
+        z = np.hstack([-2 * z, np.ones((len(z), 1)), (z * z).sum(axis=1, keepdims=True)]).astype(np.float32)
+        room = np.float32(budgets[block] + 2 * SLACK)
         for start in range(0, len(left), TILE):
             rows = left[start : start + TILE]
-            y = at[rows][:, part]
-            # every quantity is a whole number below 2**53 and therefore exact in doubles
-            near = (y * y).sum(axis=1)[:, None] + zz[None, :] - 2 * (y @ z.T) <= limit[block]
-            i, j = np.nonzero(near)
+            y = at[rows][:, part] * GRID
+            y = np.hstack([y, (y * y).sum(axis=1, keepdims=True), np.ones((len(y), 1))]).astype(np.float32)
+            i, j = np.divmod(np.flatnonzero(y @ z.T <= room), len(right))
             i, j = rows[i], right[j]
             if within:
                 i, j = i[i < j], j[i < j]
-            for b in range(block):
+            for b in range(block + 1):
+                # whole numbers below 2**53: every task finds the same
                 gap = at[i, first[b] : last[b]] - at[j, first[b] : last[b]]
-                new = (gap * gap).sum(axis=1) > limit[b]
-                i, j = i[new], j[new]
+                keeps = (gap * gap).sum(axis=1) <= limit[b]
+                i, j = (i[keeps], j[keeps]) if b == block else (i[~keeps], j[~keeps])
             ok = (vec[i] * vec[j]).sum(axis=1) / (norm[i] * norm[j]) >= cosine
             i, j = i[ok], j[ok]
             np.add.at(sums, i, copies[j])
@@ -178,7 +180,7 @@ def links_in(units: DataFrame, dim: int, first: np.ndarray, budgets: np.ndarray,
     return units.groupBy("block", "lower", "next", "one", "two").applyInArrow(compare, "rep long, other long, n long")
 
 
-def similar_vectors(vectors: DataFrame, cosine: float = 0.9, blocks: int = 8, chunk: int = 8192) -> DataFrame:
+def similar_vectors(vectors: DataFrame, cosine: float = 0.9, blocks: int = 4, chunk: int = 24_000) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors whose cosine is at least `cosine` link. n_links counts the other
