@@ -22,6 +22,8 @@ BUCKETS, PARITY = 64, 1024
 SKETCH_BYTES = BUCKETS + PARITY // 8
 #: Posting lists up to this length are paired directly.
 SHORT = 24
+#: Prefixes are long enough that two sets that link share this many of their shingles.
+SHARED = 2
 #: Rows of a block when what is left of a long posting list is compared block by block.
 BLOCK = 1500
 BASE = 0x9FB21C651E98DF25
@@ -98,7 +100,7 @@ def frequency_levels(signed: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """(token, cls, n, pos): each set's first shingles, rarest first by the sketch, enough of them that two sets that link share one."""
+    """(token, cls, n, pos): each set's first shingles, rarest first by the sketch, enough of them that two sets that link have SHARED in common."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +109,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> DataF
             token, cls, size, pos = [], [], [], []
             for own in shingle_sets(batch.column("text"), n):
                 if k := len(own):
-                    most = k - -(-percent * k // 100) + 1
+                    most = min(k, k - -(-percent * k // 100) + SHARED)
                     rank = level[(own & np.uint64(level.size - 1)).astype(np.int64)] << np.uint64(56) | own >> np.uint64(8)
                     first = np.argpartition(rank, most - 1)[:most]
                     token.append(own[first[np.argsort(rank[first])]])
@@ -122,8 +124,8 @@ def prefixes(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> DataF
 
 
 def may_link(percent: int) -> str:
-    """The length and positional filters for postings x and y of one token."""
-    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {100 + percent} * least(x.n - x.pos, y.n - y.pos) >= {percent} * (x.n + y.n)"
+    """The length and positional filters for postings x and y of one token, right for the first SHARED tokens that they have in common."""
+    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {100 + percent} * (least(x.n - x.pos, y.n - y.pos) + {SHARED - 1}) >= {percent} * (x.n + y.n)"
 
 
 def suffix_filtered(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -186,7 +188,7 @@ def blocks(lists: DataFrame, percent: int) -> DataFrame:
                 j = j[cls[j] > cls[i]]
             total = n[i] + n[j]
             least = -(-percent * total // (100 + percent))
-            j = j[(100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least)]
+            j = j[(100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) + SHARED - 1 >= least)]
             total = n[i] + n[j]
             j = j[least_difference(own_sketch[j], own_sketch[i]) <= total - 2 * -(-percent * total // (100 + percent))]
             a.append(np.minimum(cls[i], cls[j]))
@@ -217,7 +219,9 @@ def similar_links(docs: DataFrame, signed: DataFrame, n: int, percent: int, roun
     texts = cut(own.join(wanted, F.expr("hash = text_hash AND id <=> doc_id")).groupBy("cls").agg(F.min("text").alias("text")))
 
     short = sized.where(F.col("k") <= SHORT)
-    pairs = short.alias("x").join(short.alias("y"), F.expr("x.token = y.token AND x.cls < y.cls AND " + may_link(percent))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    pairs = short.alias("x").join(short.alias("y"), F.expr("x.token = y.token AND x.cls < y.cls AND " + may_link(percent))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    # what links shares SHARED tokens here, or one in a long list, where it is compared again; most chance meetings are over one token
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met")).where(F.col("met") >= SHARED).select("a", "b")
     tried = cut(suffix_filtered(pairs, sets, percent))
     links = cut(verified(tried, texts, n, percent))
 
@@ -261,6 +265,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: i
     the id. A null id is in the component of its set's smallest id, or null. An
     empty table gives an empty result. Other columns are not read.
     """
+    if percent <= 50:
+        raise ValueError("percent must be over 50: below, sets may link over a single shingle")
     signed = cut(signatures(docs, n))
     links = similar_links(docs, signed, n, percent, rounds)
     own = signed.where("part IS NULL").select("doc_id", "cls", "n")
