@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -54,19 +55,28 @@ _HELD: dict[str, object] = {}
 def held(name: str, make: Callable[[], object]) -> object:
     """What this Python worker holds under a name from task to task, until it comes to work that does not ask for it."""
     if name not in _HELD:
-        _HELD.clear()
+        let_go()
         _HELD[name] = make()
     return _HELD[name]
 
 
+def let_go() -> None:
+    """Drop what is held and give freed memory back: workers live on, and their memory is the executor's."""
+    _HELD.clear()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES, holds: str | None = None) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the column's texts fill about `most` bytes, or hold one row.
 
-    A worker lets go of what it held for other work, and of freed memory after
-    its last batch: workers live on, and their memory is the executor's.
+    A worker lets go of what it held for other work before the first batch, and
+    of freed memory after the last.
     """
     if holds not in _HELD:
-        _HELD.clear()
+        let_go()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -76,7 +86,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         for a, b in zip(bounds, bounds[1:], strict=False):
             if b > a:
                 yield batch.slice(int(a), int(b - a))
-    pa.default_memory_pool().release_unused()
+    if not _HELD:
+        let_go()
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:

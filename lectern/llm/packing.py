@@ -16,9 +16,11 @@ from pyspark.sql import types as T
 from .common import cut, held, slices, words_of
 
 #: Words that a Python worker keeps encoded from task to task; it starts anew when full.
-WORDS = 1_000_000
+WORDS = 500_000
 #: Bytes of text encoded at once: the more, the fewer words are looked up twice.
-SLICE = 8 << 20
+SLICE = 4 << 20
+#: Words encoded at once.
+BATCH = 2000
 #: Words on which the short way of encoding is tried.
 PROBES = ("the", "stupid", "onreesthaha", "zzqxj", "a", "antidisestablishmentarianism")
 #: The token after each document.
@@ -58,8 +60,10 @@ class Encoded(dict):
                 self[word] = array("I", [t.id for t in self.tokenize(word)]).tobytes()
             else:
                 rest.append(word)
-        for word, e in zip(rest, self.encode_batch(rest, add_special_tokens=False), strict=True):
-            self[word] = array("I", e.ids).tobytes()
+        for at in range(0, len(rest), BATCH):  # an encoding is large: few at a time
+            some = rest[at : at + BATCH]
+            for word, e in zip(some, self.encode_batch(some, add_special_tokens=False), strict=True):
+                self[word] = array("I", e.ids).tobytes()
 
     def ids_of(self, words: list[str]) -> list[bytes]:
         parts = [parted(w) for w in words]
