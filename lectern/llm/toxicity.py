@@ -114,16 +114,16 @@ def label_model(fired: np.ndarray, label: np.ndarray, rounds: int = 20) -> np.nd
     post = np.where(known, np.where(label == 1, 0.97, 0.03), np.where(some, 0.5, 0.05))
     accuracy = 0.95
     for _ in range(rounds):
-        rate = [(w @ fired + 0.05) / (w.sum() + 1.0) for w in (1 - post, post)]
-        expected = np.outer(1 - post, rate[0]) + np.outer(post, rate[1])
-        rest = fired - expected
-        scale = np.sqrt((rest * rest).mean(axis=0)) + 1e-6
-        corr = (rest.T @ rest) / len(rest) / np.outer(scale, scale)
+        rate = [(w.astype(np.float32) @ fired + 0.05) / (w.sum() + 1.0) for w in (1 - post, post)]
+        rest = fired - np.stack([1 - post, post], axis=1).astype(np.float32) @ np.stack(rate).astype(np.float32)
+        both = (rest.T @ rest).astype(np.float64) / len(rest)
+        scale = np.sqrt(np.diag(both)) + 1e-6
+        corr = both / np.outer(scale, scale)
         np.fill_diagonal(corr, 0)
         share = 1 / (1 + np.where(corr > 0.2, corr, 0).sum(axis=1))
         prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
         on, off = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
-        logit = np.log(prior / (1 - prior)) + fired @ (share * on) + (1 - fired) @ (share * off)
+        logit = np.log(prior / (1 - prior)) + fired @ (share * (on - off)).astype(np.float32) + (share * off).sum()
         says = np.log(accuracy / (1 - accuracy))
         logit = logit + np.where(known, np.where(label == 1, says, -says), 0)
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
@@ -138,7 +138,7 @@ def label_model(fired: np.ndarray, label: np.ndarray, rounds: int = 20) -> np.nd
 
 def features(text: np.ndarray, voter: np.ndarray, times: np.ndarray, words: np.ndarray, m: int) -> np.ndarray:
     """Dense rows: 1 for each voter that fires, then the totals."""
-    x = np.zeros((len(words), m + TOTALS))
+    x = np.zeros((len(words), m + TOTALS), np.float32)
     x[text, voter] = 1
     x[:, m:] = totals(text, voter, times, words, m)
     return x
@@ -153,13 +153,14 @@ def totals(text: np.ndarray, voter: np.ndarray, times: np.ndarray, words: np.nda
 
 def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> tuple[np.ndarray, float]:
     """Logistic regression on soft targets by Newton's method."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p) + 1e-6)) @ x + np.diag(penalty), x.T @ (target - p) - penalty * w)
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(x.dtype), -30, 30).astype(np.float64)))
+        curve = (x.T * (p * (1 - p) + 1e-6).astype(x.dtype)) @ x
+        step = np.linalg.solve(curve + np.diag(penalty), x.T @ (target - p) - penalty * w)
         w = w + step
         if np.abs(step).max() < 1e-5:
             break
@@ -181,7 +182,7 @@ def threshold_shift(x: np.ndarray, target: np.ndarray, threshold: float, folds:
     return float(np.log(threshold / (1 - threshold)) - edge) if true.any() else 0.0
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12_000, threshold: float = 0.7) -> Model:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 9_000, threshold: float = 0.7) -> Model:
     """A model from the rows that may teach: crc32 of the id as text modulo 3 is not 1.
 
     At most about `sample` labelled documents, and half as many without a

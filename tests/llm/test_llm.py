@@ -357,7 +357,7 @@ def test_label_model_weighs_voters():
     rng = np.random.default_rng(4)
     y = rng.random(3000) < 0.2
     good, copy, noise = (np.where(rng.random(3000) < p, a, b) for p, a, b in ((0.9, y, ~y & False), (1, y, y), (1, rng.random(3000) < 0.2, y)))
-    fired = np.stack([good, good, noise, rng.random(3000) < 0.1], axis=1).astype(float)
+    fired = np.stack([good, good, noise, rng.random(3000) < 0.1], axis=1).astype(np.float32)
     label = np.where(rng.random(3000) < 0.3, y.astype(float), np.nan)
     post = label_model(fired, label)
     assert ((post > 0.5) == y).mean() > 0.93 and copy.any()
