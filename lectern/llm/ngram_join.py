@@ -160,6 +160,9 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
                     ok.append(100 * both >= percent * (len(x) + len(y) - both) > 0)
                 yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    # of the texts only those that a pair needs are dealt out; the written list's size tells Spark whether to broadcast it
+    needed = cut(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct())
+    texts = texts.join(needed, "cls", "left_semi")
     one = texts.select(F.col("cls").alias("a"), F.col("text").alias("xt"))
     two = texts.select(F.col("cls").alias("b"), F.col("text").alias("yt"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "xt", "yt").mapInArrow(exact, "a long, b long")
