@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,17 +100,14 @@ def document_ids(texts: pa.Array, known: Encoded) -> tuple[np.ndarray, np.ndarra
     return ids, ends
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, group: int, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, part[, ids]): documents cut only where longer than `capacity` tokens.
-
-    part numbers runs of at most about `group` pieces in the order of the rows.
-    """
-    id_type = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "run"))])
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, order: list[Column], with_ids: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, row[, ids]): documents cut only where longer than `capacity` tokens; row holds the values of `order`."""
+    rows_of = docs.select("doc_id", "text", F.struct(*order).alias("row"))
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32")), rows_of.schema["row"]])
     schema = schema.add("ids", T.ArrayType(T.LongType())) if with_ids else schema
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = held(tokenizer, lambda: Encoded(tokenizer)), 0
+        known = held(tokenizer, lambda: Encoded(tokenizer))
         for batch in slices(batches, most=SLICE, holds=tokenizer):
             rows, out, ids = [], [], []
             flat, ends = document_ids(batch.column("text"), known)
@@ -118,15 +115,31 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, group: int, with_ids:
                 for k, at in enumerate(range(a, b, capacity)):
                     piece = flat[at : min(b, at + capacity)]
                     rows.append(i)
-                    out.append((k, at - a, len(piece), zlib.crc32(piece), seen // group))
-                    seen += 1
+                    out.append((k, at - a, len(piece), zlib.crc32(piece)))
                     if with_ids:
                         ids.append(piece.astype(np.int64))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.int64()] * 4), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), *columns, *([pa.array(ids, pa.list_(pa.int64()))] if with_ids else [])], schema.names)
-
-    cutted = docs.select("doc_id", "text").mapInArrow(encoded, schema)
-    return cutted.withColumn("part", F.shiftleft(F.spark_partition_id().cast("long"), 24) + F.col("run")).drop("run")
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.int64()] * 3), strict=True)]
+            doc_id, row = (batch.column(n).take(pa.array(rows)) for n in ("doc_id", "row"))
+            yield pa.RecordBatch.from_arrays([doc_id, *columns, row, *([pa.array(ids, pa.list_(pa.int64()))] if with_ids else [])], schema.names)
+
+    return rows_of.mapInArrow(encoded, schema)
+
+
+def numbered(items: DataFrame, name: str, *by: str | Column) -> tuple[DataFrame, int]:
+    """items with a column that numbers the rows in an order, from 0 on without gaps, and how many they are."""
+    run = cut(
+        items.repartitionByRange(*by)
+        .sortWithinPartitions(*by)
+        .withColumn("__part", F.spark_partition_id())
+        .withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    )
+    # one row for each partition of the sort
+    ahead, total = [], 0
+    for r in run.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").collect():
+        ahead.append((r["__part"], total))
+        total += r["n"]
+    offsets = F.broadcast(items.sparkSession.createDataFrame(ahead, "__part int, __ahead long"))
+    return run.join(offsets, "__part").withColumn(name, F.col("__ahead") + F.col("__i")).drop("__part", "__i", "__ahead"), total
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -157,9 +170,12 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     capacity - t as whole bins, drops those below t and keeps the rest; and the
     rounding family u_k, for k = 1 to 20.
     """
-    counts = np.bincount(lengths, minlength=capacity + 1).astype(object)
+    return bound_of(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of(n: np.ndarray, capacity: int) -> int:
+    """The lower bound for n[x] pieces of each length x."""
     size = np.arange(capacity + 1)
-    n = np.array(counts, dtype=np.int64)
     best = -(-int((n * size).sum()) // capacity)
     many, weight = np.cumsum(n), np.cumsum(n * size)
     for t in range(1, capacity // 2 + 1):
@@ -173,13 +189,14 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def packed(items: DataFrame, number: int, capacity: int) -> DataFrame:
-    """Each part packed on its own: the bin's number, the offset in it, its fill, and the part's count of bins and lower bound."""
-    fields = [f for f in items.schema.fields if f.name not in ("sequence_id", "offset", "fill", "bins", "bound")]
-    schema = T.StructType([*fields, *(T.StructField(n, T.LongType()) for n in ("sequence_id", "offset", "fill", "bins", "bound"))])
+def packed(items: DataFrame, capacity: int) -> DataFrame:
+    """Each part packed on its own: the sequence's number, which is the place of its longest piece, the piece's offset in it, in the order of places, and its fill."""
+    fields = [f for f in items.schema.fields if f.name not in ("sequence_id", "offset", "fill")]
+    schema = T.StructType([*fields, *(T.StructField(n, T.LongType()) for n in ("sequence_id", "offset", "fill"))])
 
     def pack(table: pa.Table) -> pa.Table:
-        lengths = table.column("length").to_numpy()
+        table = table.sort_by("place")
+        lengths, place = table.column("length").to_numpy(), table.column("place").to_numpy()
         bins = best_fit(lengths, capacity)
         order = np.argsort(bins, kind="stable")
         ahead = np.cumsum(lengths[order]) - lengths[order]
@@ -187,45 +204,76 @@ def packed(items: DataFrame, number: int, capacity: int) -> DataFrame:
         offset = np.empty(len(bins), np.int64)
         offset[order] = ahead - np.maximum.accumulate(np.where(first, ahead, 0))
         fill = np.bincount(bins, weights=lengths).astype(np.int64)
-        part = table.column("part").to_numpy()
-        own = {"sequence_id": (part * 16 + number) * (1 << 24) + bins, "offset": offset, "fill": fill[bins], "bins": np.full(len(bins), len(fill)), "bound": np.full(len(bins), lower_bound(lengths, capacity))}
+        leads = np.lexsort((place, -lengths, bins))[np.flatnonzero(first)]
+        own = {"sequence_id": place[leads][bins], "offset": offset, "fill": fill[bins]}
         return pa.table([*(table.column(f.name) for f in fields), *(pa.array(own[n], pa.int64()) for n in own)], names=[*(f.name for f in fields), *own])
 
     return items.select(*(f.name for f in fields)).groupBy("part").applyInArrow(pack, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, group: int = 50_000, rounds: int = 4, with_ids: bool = False) -> DataFrame:
+def fills(state: DataFrame) -> list[tuple[int, int, int]]:
+    """(fill, sequences, pieces) from the emptiest on: a row for each fill at most."""
+    rows = state.groupBy("fill").agg(F.count_if(F.col("sequence_id") == F.col("place")).alias("sequences"), F.count("*").alias("pieces")).collect()
+    return sorted((r["fill"], r["sequences"], r["pieces"]) for r in rows)
+
+
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, group: int = 50_000, rounds: int = 4, with_ids: bool = False, order: list[Column] | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified.
 
     Documents are encoded whole, an end token is added, and only those over
-    `capacity` tokens are cut. Runs of pieces in row order are packed apart by
-    best-fit decreasing, and a dual-feasible lower bound certifies each run's
-    number of sequences. Runs that miss their bound give the pieces of their
-    sequences that are not full to an exchange and are packed again, until all
-    runs are certified, a round saves nothing, or `rounds` is reached; each
-    round is written to the shared folder. certified tells whether the last
-    packing of the piece's run met its bound.
+    `capacity` tokens are cut. All pieces are put in the order of the columns
+    `order` (of the rows as they are read, if none are given); ranges of it of at
+    most `group` pieces are packed apart by best-fit decreasing. A sequence's
+    number is the place of its longest piece in the order, so the sequences
+    follow the order too.
+
+    A dual-feasible lower bound over all pieces' lengths certifies the number of
+    sequences. While the number misses it, sequences that are not full give
+    their pieces to an exchange and are packed again: in turn the emptiest ones
+    together, `group` pieces at most, and all of them, each length dealt evenly to the parts. This ends
+    after `rounds`, or when neither way saves a sequence; each round is written
+    to the shared folder. certified tells whether the number of all sequences
+    meets the bound.
 
     A null or empty text is the end token alone. Repeated rows are packed each
     on their own; null ids stay null. An empty table gives an empty result.
     Other columns are not read.
     """
-    items = pieces(docs, tokenizer, capacity, group, with_ids)
-    done, state = None, cut(packed(items, 0, capacity))
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), "sequence_id", "offset", F.col("bins").eqNullSafe(F.col("bound")).alias("certified")]
+    items = cut(pieces(docs, tokenizer, capacity, order or [F.monotonically_increasing_id()], with_ids))
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in items.groupBy("length").count().collect():
+        counts[r["length"]] = r["count"]
+    bound = bound_of(counts, capacity)
+    placed, total = numbered(items, "place", "row", "piece")
+    parts = max(1, -(-total // group))
+    state = cut(packed(placed.drop("row").withColumn("part", F.expr(f"(place * {parts}) div {max(1, total)}")), capacity))
+    level, idle = fills(state), 0
     for number in range(1, rounds + 1):
-        loose = (F.col("bins") > F.col("bound")) & (F.col("fill") < capacity)
-        n, total = state.where(loose).agg(F.count("*"), F.sum("length")).first()
-        sequences = state.where(loose & (F.col("offset") == 0)).count()
-        if not n or sequences <= -(-total // capacity):
+        sequences = sum(n for _, n, _ in level)
+        loose = [x for x in level if x[0] < capacity]
+        if sequences <= bound or idle == 2:
             break
-        parts = -(-n // group)
-        again = state.where(loose).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(number)), F.lit(parts)))
-        new = cut(packed(again, number, capacity))
-        if new.where("offset = 0").count() >= sequences:
-            break
-        kept = state.where(~loose).select(*columns)
-        done = kept if done is None else done.union(kept)
-        state = new
-    last = state.select(*columns)
-    return last if done is None else done.union(last)
+        if number % 2:  # the emptiest, as many as one part holds
+            sums = np.cumsum([n for _, _, n in loose])
+            loose = loose[: int(np.searchsorted(sums, group, "right"))]
+        n = sum(x[2] for x in loose)
+        own = sum(x[1] for x in loose)
+        if own < 2:
+            idle += 1
+            continue
+        given = F.col("fill") <= loose[-1][0]
+        again, parts = state.where(given), -(-n // group)
+        if parts > 1:  # every part gets its share of each length
+            again, _ = numbered(again, "__deal", "length", F.xxhash64("place", F.lit(number)))
+            again = again.withColumn("part", F.col("__deal") % parts).drop("__deal")
+        else:
+            again = again.withColumn("part", F.lit(0).cast("long"))
+        new = cut(packed(again, capacity))
+        after = fills(new)
+        if sum(x[1] for x in after) >= own:
+            idle += 1
+            continue
+        state, idle = state.where(~given).unionByName(new.select(*state.columns)), 0
+        level = fills(state)
+    certified = sum(n for _, n, _ in level) == bound
+    return state.select("doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), "sequence_id", "offset", F.lit(certified).alias("certified"))

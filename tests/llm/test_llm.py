@@ -416,6 +416,25 @@ def test_packing(spark, group):
         assert all(r["certified"] for r in rows) == (len(at) == lower_bound(np.array([r["length"] for r in rows]), 512))
 
 
+@pytest.mark.parametrize("parts", [2, 40])
+def test_packing_fills_gaps_from_all_documents(spark, parts):
+    rows = [(i, "the " * 71) for i in range(120)] + [(200 + i, "the " * 23) for i in range(120)]
+    docs = table(spark, rows).repartitionByRange(parts, "doc_id")
+    got = pack(docs, queries.word_bpe(), 100, group=120).collect()
+    assert {r["length"] for r in got} == {72, 24} and len(got) == 240
+    fill = Counter()
+    for r in got:
+        fill[r["sequence_id"]] += r["length"]
+    assert max(fill.values()) <= 100 and len(fill) == 120 == lower_bound(np.array([r["length"] for r in got]), 100)
+    assert all(r["certified"] for r in got) and 0 <= min(fill) <= max(fill) < 240
+
+
+def test_packing_is_certified_over_all_documents_only(spark):
+    docs = table(spark, [(i, "the " * (71 if i < 40 else 23)) for i in range(80)])
+    got = pack(docs, queries.word_bpe(), 100, group=40, rounds=0).collect()
+    assert len({r["sequence_id"] for r in got}) == 50 and not any(r["certified"] for r in got)
+
+
 def test_packing_of_awkward_rows(spark):
     rows = pack(awkward(spark), queries.word_bpe(), 4096).collect()
     assert {r["doc_id"] for r in rows} == {*range(1, 11), None} and {r["length"] for r in rows if r["doc_id"] in (1, 2, 3)} == {1}
