@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm.common import shared_dir, table
+from lectern.llm.common import shared_dir, table, written_order
 from lectern.llm.line_dedup import dedup_lines
 from lectern.llm.mixing import mixed_order
 from lectern.llm.ngram_join import drop_similar
@@ -34,13 +34,13 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of a Pfair schedule of equal source weights; the packing takes its runs of rows from this order."""
+    """All documents in the order of a Pfair schedule of equal source weights; the packing restores this order from the files."""
     return mixed_order(docs, block=16)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces with their places in sequences of 4096 tokens."""
-    return pack(docs, word_bpe(), 4096)
+    """Every document's pieces with their places in sequences of 4096 tokens, which follow the order in which docs was written."""
+    return pack(docs, word_bpe(), 4096, order=written_order(docs))
 
 
 STAGES = [

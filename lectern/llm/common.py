@@ -40,6 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_order(files: DataFrame) -> list[Column]:
+    """Columns that order the rows of a table read from Spark's files as they were written: by the writing task's number, then by the row in the file."""
+    name = F.col("_metadata.file_name")
+    return [F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long").alias("task"), name.alias("file"), F.col("_metadata.row_index").alias("at")]
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

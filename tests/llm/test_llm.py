@@ -510,6 +510,32 @@ def test_pipeline(spark):
     assert len({r["doc_id"] for r in rows}) == kept
 
 
+def test_stretches_of_the_packed_output_hold_the_shares(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    size = {"a": 4000, "b": 2500, "c": 1200}
+    rows = [(k * 10_000 + i, f"{s}{i} " + "the " * int(rng.integers(n // 2, n)), "en", s) for k, (s, n) in enumerate(size.items()) for i in range(1750 if s == "a" else 1600)]
+    spark.createDataFrame([(*r, len(r[1])) for r in rows], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    with_small_files = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in with_small_files}
+    try:
+        for k, v in with_small_files.items():
+            spark.conf.set(k, v)
+        got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    source = {r[0]: r[3] for r in rows}
+    order = [source[r["doc_id"]] for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])) if r["piece"] == 0]
+    assert len(order) == len(rows)
+    lasting = order[:4700]  # 1600 of each source take 4800 places
+    for at in range(0, len(lasting), 470):
+        found = Counter(lasting[at : at + 470])
+        assert all(abs(found[s] / 470 - 1 / 3) < 0.12 for s in size), (at, found)
+
+
 def test_digests(spark):
     got = queries.op5_substring_dedup(spark, SMALL).limit(3).collect()
     assert all(len(r["kept_sha256"]) == len(hashlib.sha256(b"").hexdigest()) for r in got)
