@@ -72,8 +72,8 @@ class Encoded(dict):
 
 
 def parted(word: str) -> tuple[str, str]:
-    """The word in lower case without the punctuation at its end, and the punctuation; any word with a letter beyond ASCII or the mark of a special token is left alone."""
-    if not word.isascii() or "<|" in word:
+    """The word in lower case without the punctuation at its end, and the punctuation; any word with a letter beyond ASCII, a control character or the mark of a special token is left alone."""
+    if not word.isascii() or not word.isprintable() or "<|" in word:
         return word, ""
     if word.isalpha():
         return word.lower(), ""

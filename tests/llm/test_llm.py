@@ -377,6 +377,16 @@ def test_encoding_by_words_equals_encoding_whole():
     assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == whole
 
 
+def test_control_characters_before_punctuation_stay_with_it():
+    path = queries.word_bpe()
+    from tokenizers import Tokenizer
+
+    texts = [f"{core}{chr(c)}{tail}" for core in ("abc", "A1", "", "'s") for c in (*range(9), *range(14, 32), 127) for tail in ("!!", ".", "'s", ")x;", "")]
+    ids, ends = document_ids(pa.array(texts), Encoded(path))
+    whole = [e.ids + [1] for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == whole
+
+
 @given(st.lists(st.integers(1, 50), max_size=60))
 def test_bins_and_bounds(lengths):
     n = np.array(lengths, np.int64)
