@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
-from math import ceil, floor
+from heapq import heappop, heappush
+from itertools import islice
+from math import ceil, floor, lcm
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,46 +14,84 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+def exact(weight: float) -> Fraction:
+    """The simplest fraction that is this weight: 1/10 for 0.1."""
+    simple = Fraction(weight).limit_denominator(10**9)
+    return simple if float(simple) == float(weight) else Fraction(weight)
+
+
+def shares(weights: dict[str, float], least: Fraction) -> dict[str, Fraction]:
+    """The weights as exact shares of one; only those below `least` are raised to it, the others keep their proportions."""
+    own, raised = {s: exact(w) for s, w in weights.items()}, set()
+    while True:
+        total = sum((w for s, w in own.items() if s not in raised), Fraction(0))
+        scale = (1 - least * len(raised)) / total if total else Fraction(0)
+        out = {s: least if s in raised else w * scale for s, w in own.items()}
+        if not (low := {s for s, x in out.items() if x < least}):
+            return out
+        raised |= low
+
+
 def whole_weights(weights: dict[str, float], period: int) -> dict[str, int]:
     """The weights as whole numbers of slots (one at least) that add up to a period, by largest remainder."""
-    total = sum(weights.values())
-    share = {s: Fraction(w).limit_denominator(10**9) * (period - len(weights)) / Fraction(total).limit_denominator(10**9) for s, w in weights.items()}
-    slots = {s: 1 + floor(x) for s, x in share.items()}
+    share = {s: x * period for s, x in shares(weights, Fraction(1, period)).items()}
+    slots = {s: floor(x) for s, x in share.items()}
     for s in sorted(share, key=lambda s: (floor(share[s]) - share[s], s))[: period - sum(slots.values())]:
         slots[s] += 1
     return slots
 
 
-def pfair_pattern(slots: dict[str, int]) -> list[tuple[str, int]]:
-    """One period of an earliest-deadline-first schedule: the source and the number of its block in each slot.
+def pfair(slots: dict[str, int]) -> Iterator[tuple[str, int]]:
+    """An earliest-deadline-first schedule for weights of slots[s] in sum(slots): the source and the number of its block in each slot.
 
     Block j (from 0) of a source with weight w is released at floor(j / w) and
     due at ceil((j + 1) / w). In each slot the released block with the earliest
     deadline runs, so a source is always less than one block from its share.
     """
-    period = sum(slots.values())
-    done = dict.fromkeys(slots, 0)
-    pattern = []
-    for t in range(period):
-        ready = [(-(-(done[s] + 1) * period // a), s) for s, a in slots.items() if done[s] < a and done[s] * period // a <= t]
-        _, s = min(ready)
-        pattern.append((s, done[s]))
-        done[s] += 1
-    return pattern
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[tuple[dict[str, int], dict[str, int], int]]:
-    """(slots, blocks already placed, first slot) of each phase; a phase ends in the period in which its first source runs out."""
+    period, t = sum(slots.values()), 0
+    waiting, ready = [(0, s, 0) for s in sorted(slots)], []
+    while True:
+        while waiting and waiting[0][0] <= t:
+            _, s, j = heappop(waiting)
+            heappush(ready, (-(-(j + 1) * period // slots[s]), s, j))
+        _, s, j = heappop(ready)
+        yield s, j
+        heappush(waiting, ((j + 1) * period // slots[s], s, j + 1))
+        t += 1
+
+
+def pfair_pattern(slots: dict[str, int]) -> list[tuple[str, int]]:
+    """One period of the schedule."""
+    return list(islice(pfair(slots), sum(slots.values())))
+
+
+def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[tuple[dict[str, list[int]], dict[str, int], dict[str, int], int, int]]:
+    """(each source's slots, blocks already placed, blocks placed at its end, first slot, length after which the slots repeat) of each phase; a phase ends with the last block of the first source that runs out.
+
+    The slots repeat after the least period in which all shares are whole. A
+    phase shorter than that has its slots listed once.
+    """
     left, placed, at, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
     while active := {s: weights[s] for s, n in left.items() if n}:
-        slots = whole_weights(active, max(period, 2 * len(active)))
-        rounds = max(1, min(left[s] // a for s, a in slots.items()))
-        out.append((slots, dict(placed), at))
-        for s, a in slots.items():
-            took = min(left[s], rounds * a)
-            left[s] -= took
-            placed[s] += took
-        at += rounds * sum(slots.values())
+        share = shares(active, Fraction(1, max(period, 2 * len(active))))
+        length = lcm(*(x.denominator for x in share.values()))
+        slots = {s: int(x * length) for s, x in share.items()}
+        rounds = min(left[s] // a for s, a in slots.items())
+        took = {s: rounds * a for s, a in slots.items()}
+        where: dict[str, list[int]] = {s: [] for s in slots}
+        ends = any(took[s] == left[s] for s in slots)
+        for t, (s, _) in enumerate(pfair(slots)):
+            if t == length or (ends and not rounds):
+                break
+            where[s].append(t)
+            if not ends:
+                took[s] += 1
+                ends = took[s] == left[s]
+        out.append((where, dict(placed), {s: placed[s] + n for s, n in took.items()}, at, length if rounds else sum(took.values())))
+        for s, n in took.items():
+            left[s] -= n
+            placed[s] += n
+        at += sum(took.values())
     return out
 
 
@@ -63,13 +104,16 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block:
     the smallest): while all sources last, every beginning of the order holds of
     each source its share of blocks, give or take less than one. When a source
     runs out the others share its place by their weights; no document is lost or
-    repeated. Weights are rounded to whole slots of a `period`, one at least.
+    repeated. Weights hold exactly, however long the order is; only those below
+    one slot of a `period` are raised to one.
 
     Sources are numbered with one row for each hash part of each source, so a
     source with most rows is numbered in `parts` tasks; the schedule is worked out
-    for one period and each block finds its slot by arithmetic. What the driver
-    holds and broadcasts are the sources' sizes and one period for each time that
-    a source runs out: it is meant for up to some hundred sources. A null source
+    for the least period in which the weights are whole and each block finds its
+    slot by arithmetic. What the driver holds and broadcasts are the sources' sizes
+    and one such period, or one number for each block where the period is longer
+    than that, for each time that a source runs out: it is meant for up to some
+    hundred sources. A null source
     is a source of its own; a null text is a document like any other. Repeated
     rows are documents of their own. An empty table gives an empty result.
     """
@@ -92,12 +136,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block:
     least = min((w for w in given.values() if w > 0), default=1.0)
     target = {s: given.get(s, least) if given.get(s, least) > 0 else least for s in blocks}
     plan, pattern = phases(blocks, target, period), []
-    for number, (slots, placed, at) in enumerate(plan):
-        where: dict[str, list[int]] = {s: [] for s in slots}
-        for slot, (s, _) in enumerate(pfair_pattern(slots)):
-            where[s].append(slot)
-        ends = plan[number + 1][1] if number + 1 < len(plan) else blocks
-        pattern += [(s, placed[s], ends[s], at, sum(slots.values()), where[s]) for s in slots]
+    for where, placed, ends, at, length in plan:
+        pattern += [(s, placed[s], ends[s], at, length, where[s]) for s in where if ends[s] > placed[s]]
     spark = docs.sparkSession
     offsets = F.broadcast(spark.createDataFrame(ahead, "__p int, __s string, __ahead long"))
     schedule = F.broadcast(spark.createDataFrame(pattern, "__name string, __from long, __to long, __at long, __period long, __where array<long>"))

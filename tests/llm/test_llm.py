@@ -4,6 +4,7 @@ import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -20,7 +21,7 @@ from lectern.llm.common import components, words_of
 from lectern.llm.exact_dedup import exact_duplicates
 from lectern.llm.language_id import identify_languages, language_samples, learnable
 from lectern.llm.line_dedup import LineRuns, dedup_lines, id_batches
-from lectern.llm.mixing import mix_sources, pfair_pattern, whole_weights
+from lectern.llm.mixing import exact, mix_sources, pfair_pattern, shares, whole_weights
 from lectern.llm.ngram_join import drop_similar, jaccard_components, least_difference, set_sketch, sketches
 from lectern.llm.packing import Encoded, best_fit, document_ids, lower_bound, pack
 from lectern.llm.sharding import hilbert_index, hilbert_shards
@@ -466,6 +467,31 @@ def test_pfair_lag_is_below_one(weights, period):
         assert all(abs(done[x] * period - a * t) < period for x, a in slots.items())
 
 
+def lag(order, weights):
+    """The most that any source is from its share of a beginning of the order."""
+    total = sum(exact(w) for w in weights.values())
+    done, most = Counter(), 0
+    for t, s in enumerate(order, 1):
+        done[s] += 1
+        most = max(most, *(abs(done[x] - exact(w) * t / total) for x, w in weights.items()))
+    return most
+
+
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 0.9, "b": 0.1}, {"a": 0.7, "b": 0.2, "c": 0.05, "d": 0.05}, {"a": 3.14159265358979, "b": 2.718281828, "c": 1}])
+def test_lag_behind_the_targets_is_below_one_over_many_periods(spark, weights):
+    total = sum(weights.values())
+    rows = [(1000 * k + i if k else -i, f"t{i}", None, s) for k, (s, w) in enumerate(weights.items(), 1) for i in range(round(3000 * w / total))]
+    got = mix_sources(table(spark, rows), weights, block=1, period=100).collect()
+    order = [s for _, s in sorted((r["mix_slot"], r["source"]) for r in got)]
+    assert sorted(r["mix_slot"] for r in got) == list(range(len(rows)))
+    assert lag(order[:2900], weights) < 1
+    assert whole_weights({"a": 0.9, "b": 0.1}, 1000) == {"a": 900, "b": 100}
+
+
+def test_only_shares_below_a_slot_are_raised():
+    assert shares({"a": 3, "b": 1, "c": 1e-6}, Fraction(1, 100)) == {"a": Fraction(297, 400), "b": Fraction(99, 400), "c": Fraction(1, 100)}
+
+
 def test_mixing(spark):
     rows = [(i, f"t{i}", "en", "hot" if i % 3 else f"s{i % 5}") for i in range(900)] + [(None, None, None, None)] * 2
     df = table(spark, rows).withColumn("mix_slot", F.lit("x")).withColumn("part", F.lit(1))
