@@ -64,3 +64,11 @@ def test_partners(spark):
 
     row = spark.createDataFrame([("c.1319T > G with c.1896-1G > C and c.71G>A, c.1319T>G",)], "t string")
     assert row.select(an.partners(F.col("t"), F.lit("c.71G>A"))).first()[0] == ["c.1319T>G", "c.1896-1G>C"]
+
+
+def test_no_registered_match_tries_every_pair(spark, monkeypatch):
+    ways = []
+    match = catalog.rt.match
+    monkeypatch.setattr(catalog.rt, "match", lambda chunks, variants, how="token": ways.append(how) or match(chunks, variants, how))
+    catalog.j01_match_nested(spark, SMALL)
+    assert ways and "nested" not in ways
