@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,10 +43,31 @@ def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def string_code(name: str) -> Column:
-    """The first seven bytes of a string as a number in the strings' order; 0 for null."""
-    head = F.rpad(F.hex(F.encode(F.substring(F.col(name), 1, 7), "UTF-8")), 14, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(0).cast("long"))
+def string_cells(df: DataFrame, name: str, bits: int) -> DataFrame:
+    """(value, cell) of each string in a column, null as empty: below 2**bits, by the share of rows whose strings sort before it."""
+    counts = df.groupBy(F.coalesce(F.col(name).cast("string"), F.lit("")).alias("value")).agg(F.count("*").alias("n"))
+    # the values are as many as the column has; sums run inside the partitions of a sort and over their totals
+    run = cut(counts.repartitionByRange("value").sortWithinPartitions("value").withColumn("part", F.spark_partition_id()))
+    sums = run.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
+    ahead, total = [], 0
+    for r in sums:
+        ahead.append((r["part"], total))
+        total += r["n"]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: dict[int, int] = {}
+        for batch in batches:
+            n, part = (batch.column(c).to_numpy() for c in ("n", "part"))
+            start = np.zeros(len(n), np.int64)
+            for p in np.unique(part).tolist():
+                own = part == p
+                start[own] = before.get(p, 0) + np.cumsum(n[own]) - n[own]
+                before[p] = before.get(p, 0) + int(n[own].sum())
+            yield pa.RecordBatch.from_arrays([batch.column("value"), batch.column("part"), pa.array(start)], ["value", "part", "start"])
+
+    offsets = F.broadcast(df.sparkSession.createDataFrame(ahead, "part int, ahead long"))
+    started = run.repartition("part").sortWithinPartitions("part", "value").mapInArrow(summed, "value string, part int, start long")
+    return cut(started.join(offsets, "part").select("value", F.expr(f"CAST(((ahead + start) * {2**bits}) div {max(1, total)} AS INT)").alias("cell")))
 
 
 def quantised(df: DataFrame, dims: dict[str, Column], bits: int) -> DataFrame:
@@ -76,19 +100,22 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, bits: int = 5) -> DataFram
     first. Repeated rows each get their own slot. An empty table gives an empty
     result. Other columns are not read.
     """
+    named = docs.select("doc_id", "text", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")))
+    for c in ("lang", "source"):
+        named = named.join(string_cells(docs, c, bits).select(F.col("value").alias(c), F.col("cell").alias(f"{c}_cell")), c)
     base = cut(
-        docs.select(
+        named.select(
             "doc_id",
             (F.octet_length(text_of()) + F.lit(8)).cast("long").alias("size"),
             F.crc32(text_of().cast("binary")).alias("text_crc32"),
             F.xxhash64(text_of()).alias("text_hash"),
-            string_code("lang").alias("lang_code"),
-            string_code("source").alias("source_code"),
+            "lang_cell",
+            "source_cell",
         )
     )
-    groups = base.groupBy(*GROUP).agg(F.min("lang_code").alias("lang_code"), F.min("source_code").alias("source_code"), F.count("*").alias("n"))
-    dims = {"d0": F.col("lang_code"), "d1": F.col("source_code"), "d2": F.col("size")}
-    groups = cut(quantised(groups, dims, bits).withColumn("curve", along_curve(list(dims), bits)).select(*GROUP, "curve"))
+    groups = base.groupBy(*GROUP).agg(F.min("lang_cell").alias("lang_cell"), F.min("source_cell").alias("source_cell"), F.count("*").alias("n"))
+    groups = quantised(groups, {"size_cell": F.col("size")}, bits)
+    groups = cut(groups.withColumn("curve", along_curve(["lang_cell", "source_cell", "size_cell"], bits)).select(*GROUP, "curve"))
     order = ["curve", "text_hash", "doc_id"]
     placed = base.select("doc_id", *GROUP).join(groups, GROUP)
     run = cut(

@@ -114,6 +114,16 @@ def test_shards(spark):
     assert hilbert_shards(table(spark, []), 24).count() == 0
 
 
+def test_sources_with_one_beginning_stay_apart(spark):
+    names = [f"commoncrawl-2023-{i:02}" for i in range(8)]
+    docs = table(spark, [(i, f"text {i:04}", "en", names[i % 8]) for i in range(400)])
+    rows = hilbert_shards(docs, 8).collect()
+    held = defaultdict(set)
+    for r in rows:
+        held[r["shard"]].add(names[r["doc_id"] % 8])
+    assert len({r["curve"] for r in rows}) == 8 and all(len(x) == 1 for x in held.values())
+
+
 # line dedup
 
 
