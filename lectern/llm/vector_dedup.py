@@ -64,8 +64,8 @@ def subspaces(moment: np.ndarray, cosine: float, blocks: int) -> tuple[np.ndarra
 
 
 def cells(vectors: DataFrame, dim: int, rotation: np.ndarray, first: np.ndarray, budgets: np.ndarray) -> DataFrame:
-    """(rep, copies, vec, at, block, cell): for each block the stripe, as wide as the block's radius, of its leading coordinate."""
-    width = np.sqrt(budgets) + 1e-3
+    """(rep, copies, vec, at, block, cell): for each block the stripe, as wide as the block's radius with its slack, of its leading coordinate."""
+    width = np.sqrt(budgets + SLACK) + 4 * GRID  # no pair that a block claims lies further apart
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

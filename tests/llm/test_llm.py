@@ -27,7 +27,7 @@ from lectern.llm.packing import Encoded, best_fit, document_ids, lower_bound, pa
 from lectern.llm.sharding import hilbert_index, hilbert_shards
 from lectern.llm.substring_dedup import parse, remove_repeats
 from lectern.llm.toxicity import drop_toxic, label_model, learn_toxicity, score_toxicity
-from lectern.llm.vector_dedup import similar_vectors, subspaces
+from lectern.llm.vector_dedup import cells, links_in, similar_vectors, subspaces, units_of_work
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: A column for every name the operators use inside.
@@ -259,6 +259,19 @@ def test_vectors(spark):
     assert similar_vectors(df.where("false")).count() == 0
 
 
+def test_pairs_that_a_block_claims_meet_in_its_stripes(spark):
+    first, budgets = np.array([0, 2, 3, 4]), np.array([0.1985, 0.0005, 0.0005, 0.0005])
+    s, gap = math.sqrt(0.199) / 2, 0.0238  # beyond the first block's budget, and between the second one's and its slack
+    x = np.array([[math.sqrt(1 - s * s - u * u), t * s, u, 0, 0] for k in range(60) for t, u in ((1, 0.0004 * k), (-1, 0.0004 * k + gap))])
+    x = x.astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, 1, [float(c) for c in r]) for i, r in enumerate(x)], "rep long, copies long, embedding array<float>")
+    links = links_in(units_of_work(cells(df, 5, np.eye(5), first, budgets), 1000), 5, first, budgets, 0.9)
+    got = {r["rep"]: r["n"] for r in links.groupBy("rep").agg(F.sum("n").alias("n")).where("n > 0").collect()}
+    n = np.sqrt((x * x).sum(axis=1))
+    want = ((x @ x.T) / np.outer(n, n) >= 0.9).sum(axis=1) - 1
+    assert [got.get(i, 0) for i in range(len(x))] == want.tolist()
+
+
 def test_budgets_add_up():
     m = np.diag([9.0, 4.0, 1.0, 1.0, 0.0])
     rotation, first, budgets = subspaces(m, 0.9, 2)
