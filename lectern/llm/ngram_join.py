@@ -7,9 +7,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,15 +25,19 @@ SKETCH_BYTES = BUCKETS + PARITY // 8
 SHORT = 24
 #: Prefixes are long enough that two sets that link share this many of their shingles.
 SHARED = 2
-#: Rows of a block when what is left of a long posting list is compared block by block.
-BLOCK = 1500
+#: Rows of a block when what is left of a long posting list is compared block by block, and bytes of sets in one.
+BLOCK, BLOCK_BYTES = 1500, 12 << 20
+#: Lists of a set that are remembered as ahead of a later one; pairs that share none of them may be verified in more than one list.
+AHEAD = 64
+#: Pieces of the frequency sketch that are summed in one group.
+FOLD = 64
 BASE = 0x9FB21C651E98DF25
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     """The sorted distinct n-word shingles of each text as 64-bit names; a shorter text is one shingle."""
     codes, words, bounds = words_of(texts)
-    names = word_names(pa.compute.ascii_lower(words), 31)[codes]
+    names = word_names(pc.ascii_lower(words), 31)[codes]
     rolled = np.zeros(max(len(names) - n + 1, 0), np.uint64)
     for i in range(n):
         rolled = rolled * np.uint64(BASE) + names[i : i + len(rolled)]
@@ -65,8 +70,8 @@ def least_difference(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, cls, n, buckets) for each document, cls naming its set; and pieces (part, counts) of each task's frequency sketch."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_hash", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("n", T.LongType()), T.StructField("buckets", T.BinaryType()), T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+    """(doc_id, cls, n, buckets) for each document, cls naming its set; and pieces (part, task, counts) of each task's frequency sketch."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_hash", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("n", T.LongType()), T.StructField("buckets", T.BinaryType()), T.StructField("part", T.IntegerType()), T.StructField("task", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -76,27 +81,34 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
             counts += np.bincount((np.concatenate(sets) & np.uint64(counts.size - 1)).astype(np.int64), minlength=counts.size)
             ids, k = batch.column("doc_id"), len(sets)
             yield pa.RecordBatch.from_arrays(
-                [ids, batch.column("text_hash"), pa.array([np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(set_sketch, sets), pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
+                [ids, batch.column("text_hash"), pa.array([np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(set_sketch, sets), pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
                 schema.names,
             )
         k = SKETCH_PARTS
         parts = [p.astype("<i8").tobytes() for p in np.split(counts, k)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, ids.type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], schema.names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, ids.type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([TaskContext.get().partitionId()] * k, pa.int32()), pa.array(parts, pa.binary())], schema.names)
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(signed, schema)
 
 
 def frequency_levels(signed: DataFrame) -> np.ndarray:
-    """The sketch of all tasks summed, as 4 log2 of each counter: 2**SKETCH_BITS bytes whatever the input."""
+    """The sketch of all tasks summed, as 4 log2 of each counter: 2**SKETCH_BITS bytes whatever the input.
+
+    The tasks' pieces are summed in a tree, FOLD of them in a group at most.
+    """
 
     def add(table: pa.Table) -> pa.Table:
         total = np.sum([np.frombuffer(c, "<i8") for c in table.column("counts").to_pylist()], axis=0)
-        return pa.table({"part": table.column("part")[:1], "levels": pa.array([(4 * np.log2(total + 1)).astype(np.uint8).tobytes()], pa.binary())})
+        return pa.table({"part": table.column("part")[:1], "task": pa.array([table.column("task")[0].as_py() // FOLD], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
-    rows = signed.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(add, "part int, levels binary").collect()
-    found = {r["part"]: bytes(r["levels"]) for r in rows}
-    size = (1 << SKETCH_BITS) // SKETCH_PARTS
-    return np.frombuffer(b"".join(found.get(k, bytes(size)) for k in range(SKETCH_PARTS)), np.uint8)
+    pieces = signed.where("part IS NOT NULL").select("part", "task", "counts")
+    tasks = (pieces.agg(F.max("task")).first()[0] or 0) + 1
+    while tasks > 1:
+        pieces, tasks = pieces.groupBy("part", F.expr(f"task div {FOLD}")).applyInArrow(add, "part int, task int, counts binary"), -(-tasks // FOLD)
+        pieces = cut(pieces) if tasks > 1 else pieces
+    found = {r["part"]: np.frombuffer(r["counts"], "<i8") for r in pieces.select("part", "counts").collect()}
+    none = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, "<i8")
+    return (4 * np.log2(np.concatenate([found.get(k, none) for k in range(SKETCH_PARTS)]) + 1)).astype(np.uint8)
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> DataFrame:
@@ -160,46 +172,107 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
                     ok.append(100 * both >= percent * (len(x) + len(y) - both) > 0)
                 yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    # of the texts only those that a pair needs are dealt out; the written list's size tells Spark whether to broadcast it
-    needed = cut(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct())
-    texts = texts.join(needed, "cls", "left_semi")
     one = texts.select(F.col("cls").alias("a"), F.col("text").alias("xt"))
     two = texts.select(F.col("cls").alias("b"), F.col("text").alias("yt"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "xt", "yt").mapInArrow(exact, "a long, b long")
 
 
-def blocks(lists: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs among what is left of long posting lists, block against block, through all three filters.
+def in_units(lists: DataFrame, blocks: Column) -> DataFrame:
+    """lists with one row for each pair of blocks (one, two) of its list that the row takes part in; own says in which block it is."""
+    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    return lists.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other")}).drop("other")
+
+
+def met_in_unit(table: pa.Table, sketch: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a unit's first block, the rows of its second that pass the length, positional and suffix filters, are not connected yet and meet first in this list."""
+    own = table.column("own").to_numpy()
+    cls, n, pos, comp = (table.column(c).to_numpy() for c in ("cls", "n", "pos", "comp"))
+    one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
+    left, right = np.flatnonzero(own == one), np.flatnonzero(own == two)
+    # the tokens of other open lists ahead of this one, as codes, a row to each set; the last code stands for none
+    ahead = table.column("ahead").combine_chunks()
+    known, codes = np.unique(np.asarray(ahead.flatten()), return_inverse=True)
+    sizes = np.diff(np.asarray(ahead.offsets))
+    wide = np.full((len(cls), max(1, sizes.max(initial=0))), len(known))
+    wide[np.arange(wide.shape[1]) < sizes[:, None]] = codes
+    mark = np.zeros(len(known) + 1, bool)
+    for i in left.tolist():
+        j = right[comp[right] != comp[i]]
+        if one == two:
+            j = j[cls[j] > cls[i]]
+        total = n[i] + n[j]
+        j = j[(100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) + SHARED - 1 >= -(-percent * total // (100 + percent)))]
+        total = n[i] + n[j]
+        j = j[least_difference(sketch[j], sketch[i]) <= total - 2 * -(-percent * total // (100 + percent))]
+        if len(j):
+            before = wide[i][wide[i] < len(known)]
+            mark[before] = True
+            j = j[~mark[wide[j]].any(axis=1)]
+            mark[before] = False
+        if len(j):
+            yield i, j
+
+
+def promising(lists: DataFrame, percent: int) -> DataFrame:
+    """(token, cls): the rows of open lists that have a partner left to verify, found block against block on the sketches."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        found = np.zeros(table.num_rows, bool)
+        for i, j in met_in_unit(table, sketches(table.column("buckets")), percent):
+            found[i] = True
+            found[j] = True
+        return table.select(["token", "cls"]).filter(pa.array(found))
+
+    columns = ["token", "cls", "n", "pos", "comp", "ahead", "buckets"]
+    units = in_units(lists.select("k", *columns), F.ceil(F.col("k") / BLOCK).cast("int"))
+    return units.groupBy("token", "one", "two").applyInArrow(compare, "token long, cls long").distinct()
+
 
-    lists: token, k (its length), cls, n, pos, buckets, comp. Pairs that are
-    connected already are left out.
+def shared_sizes(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements a sorted set has in common with each of others, none of them empty."""
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    first = np.cumsum([0, *map(len, others[:-1])])
+    return np.add.reduceat((own[at] == flat).astype(np.int64), first)
+
+
+def block_links(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between different components, verified on the whole sets, as a forest of each pair of blocks.
+
+    lists has the set of each class in `own_set`. A block holds about BLOCK_BYTES of sets.
     """
-    many = F.ceil(F.col("k") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cls"), many).cast("int")
-    units = lists.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1))).select("token", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "cls", "n", "pos", "buckets", "comp")
 
-    def compare(table: pa.Table) -> pa.Table:
-        own = table.column("own").to_numpy()
-        cls, n, pos, comp = (table.column(c).to_numpy() for c in ("cls", "n", "pos", "comp"))
-        own_sketch = sketches(table.column("buckets"))
-        one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
-        left, right = np.flatnonzero(own == one), np.flatnonzero(own == two)
+    def link(table: pa.Table) -> pa.Table:
+        cls, n = table.column("cls").to_numpy(), table.column("n").to_numpy()
+        sets = [np.frombuffer(x, "<u8") for x in table.column("own_set").to_pylist()]
+        sketch = sketches(pa.array(map(set_sketch, sets), pa.binary()))
+        _, root = np.unique(table.column("comp").to_numpy(), return_inverse=True)
         a, b = [], []
-        for i in left.tolist():
-            j = right[comp[right] != comp[i]]
-            if one == two:
-                j = j[cls[j] > cls[i]]
-            total = n[i] + n[j]
-            least = -(-percent * total // (100 + percent))
-            j = j[(100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) + SHARED - 1 >= least)]
-            total = n[i] + n[j]
-            j = j[least_difference(own_sketch[j], own_sketch[i]) <= total - 2 * -(-percent * total // (100 + percent))]
-            a.append(np.minimum(cls[i], cls[j]))
-            b.append(np.maximum(cls[i], cls[j]))
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
-
-    return units.groupBy("token", "one", "two").applyInArrow(compare, "a long, b long").distinct()
+        for i, met in met_in_unit(table, sketch, percent):
+            for j in np.array_split(met, -(-int(n[met].sum()) // 1_000_000)):
+                j = j[root[j] != root[i]]
+                if len(j):
+                    both = shared_sizes(sets[i], [sets[x] for x in j])
+                    for x in j[100 * both >= percent * (n[i] + n[j] - both)].tolist():
+                        if root[x] != root[i]:
+                            root[root == root[x]] = root[i]
+                            a.append(min(cls[i], cls[x]))
+                            b.append(max(cls[i], cls[x]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    sizes = lists.groupBy("token").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    units = in_units(lists.join(sizes, "token"), F.col("blocks")).select("token", "one", "two", "own", "cls", "n", "pos", "comp", "ahead", "own_set")
+    return units.groupBy("token", "one", "two").applyInArrow(link, "a long, b long").distinct()
+
+
+def whole_sets(texts: DataFrame, n: int) -> DataFrame:
+    """(cls, own_set): each class's sorted set as little-endian 64-bit names."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), n)], pa.binary())], ["cls", "own_set"])
+
+    return texts.select("cls", "text").mapInArrow(sets, "cls long, own_set binary")
 
 
 def labelled(links: DataFrame, lists: DataFrame) -> DataFrame:
@@ -217,19 +290,21 @@ def similar_links(docs: DataFrame, signed: DataFrame, n: int, percent: int, roun
     postings = cut(postings.join(found, "token", "left_semi").distinct())
     lengths = postings.groupBy("token").agg(F.count("*").alias("k"))
     sized = cut(postings.join(lengths, "token"))
-    wanted = sized.select("cls").distinct().join(sets, "cls").select("cls", "rep.*")
-    own = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
-    texts = cut(own.join(wanted, F.expr("hash = text_hash AND id <=> doc_id")).groupBy("cls").agg(F.min("text").alias("text")))
-
     short = sized.where(F.col("k") <= SHORT)
     pairs = short.alias("x").join(short.alias("y"), F.expr("x.token = y.token AND x.cls < y.cls AND " + may_link(percent))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
     # what links shares SHARED tokens here, or one in a long list, where it is compared again; most chance meetings are over one token
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met")).where(F.col("met") >= SHARED).select("a", "b")
     tried = cut(suffix_filtered(pairs, sets, percent))
+    lists = sized.where(F.col("k") > SHORT)
+
+    # one text of each class that may have to be verified
+    wanted = tried.select(F.explode(F.array("a", "b")).alias("cls")).union(lists.select("cls")).distinct()
+    wanted = cut(wanted.join(sets, "cls").select("cls", "rep.*"))
+    own = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
+    texts = cut(own.join(wanted, F.expr("hash = text_hash AND id <=> doc_id")).groupBy("cls").agg(F.min("text").alias("text")))
     links = cut(verified(tried, texts, n, percent))
 
     # long lists: all against a few pivots, then what is not yet connected, block by block
-    lists = sized.where(F.col("k") > SHORT)
     if lists.isEmpty():
         return links
     lists = cut(labelled(links, lists.join(sets.select("cls", "buckets"), "cls")))
@@ -244,9 +319,17 @@ def similar_links(docs: DataFrame, signed: DataFrame, n: int, percent: int, roun
         tried = tried.union(star)
         links = cut(links.union(verified(star, texts, n, percent)))
         lists = cut(labelled(links, lists))
-    open_lists = lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    rest = cut(blocks(lists.join(open_lists, "token", "left_semi"), percent).join(tried, ["a", "b"], "left_anti"))
-    return cut(links.union(verified(rest, texts, n, percent)))
+    still = lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
+    lists = lists.join(still, "token", "left_semi")
+    # a pair is verified in the first open list that its sets share, as far as the AHEAD first ones of either tell
+    heads = lists.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "token"))), 1, AHEAD).alias("head"))
+    lists = cut(lists.join(heads, "cls").withColumn("ahead", F.transform(F.filter("head", lambda h: h["pos"] < F.col("pos")), lambda h: h["token"])).drop("head"))
+    left = cut(promising(lists, percent))
+    if left.isEmpty():
+        return links
+    sets_left = whole_sets(texts.join(left.select("cls").distinct(), "cls", "left_semi"), n)
+    rest = lists.drop("buckets", "k").join(left, ["token", "cls"], "left_semi").join(sets_left, "cls")
+    return cut(links.union(block_links(rest, percent)))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
@@ -262,7 +345,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: i
     fast); classes that share a posting pass the length, positional and suffix
     filters and are verified on their whole texts, once. Pairs that links found
     before already connect are not expanded: long lists are compared with a few
-    pivots first, and only what stays unconnected is compared block by block.
+    pivots first. Of what stays unconnected, block by block, the rows with a partner
+    are found on the sketches, then verified on whole sets where a pair meets first;
+    a task returns a forest of its links, never all pairs.
 
     A null text is empty. Rows repeated with one id count as one document with
     the id. A null id is in the component of its set's smallest id, or null. An
