@@ -12,10 +12,35 @@ from pyspark.sql import types as T
 
 from .common import cut, mix, slices, text_of, word_names, words_of
 
-#: The rounds of a parse: "run" names runs of one symbol, "pair" names pairs.
+#: The rounds of the first parse: "run" names runs of one symbol, "pair" names pairs.
 ROUNDS = ("run", "pair", "pair", "pair", "pair", "pair", "pair")
-#: Multipliers of the two window fingerprints.
+#: The rounds of the second parse, which names long passages.
+LONG_ROUNDS = ("run", "pair", "pair", "pair") * 6
+#: Odd multipliers of the fingerprints of word ranges.
 BASES = (0xD6E8FEB86659FD93, 0xCA5A826395121157)
+ONE = np.uint64(1)
+
+
+def next_round(number: int, kind: str, names: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """One round over the symbols of many documents: where each new symbol begins among the old ones, its name, and for pairs its side.
+
+    A name is a function of what it stands for, so tasks that never meet name
+    equal substrings alike. Sides are drawn from the names: a pair is a symbol
+    of one side and the next one of the other.
+    """
+    same = doc[1:] == doc[:-1]
+    if kind == "run":
+        head = np.flatnonzero(np.concatenate(([True], (names[1:] != names[:-1]) | ~same)))
+        count = np.diff(np.append(head, len(names))).astype(np.uint64)
+        return head, np.where(count > ONE, mix(names[head] + mix(count, 7), 2000 + number), names[head]), None
+    first = (mix(names, number) & ONE) == 0
+    joined = np.append(first[:-1] & ~first[1:] & same, False)
+    head = np.flatnonzero(~np.concatenate(([False], joined[:-1])))
+    new = names[head]
+    pairs = joined[head]
+    at = head[pairs]
+    new[pairs] = mix(names[at] * np.uint64(0x9FB21C651E98DF25) + names[at + 1], 1000 + number)
+    return head, new, first[head]
 
 
 def parse(names: np.ndarray, docs: np.ndarray, starts: np.ndarray, ends: np.ndarray, rounds=ROUNDS) -> tuple[np.ndarray, ...]:
@@ -31,41 +56,56 @@ def parse(names: np.ndarray, docs: np.ndarray, starts: np.ndarray, ends: np.ndar
     low = np.arange(n, dtype=np.int64)
     high = low + 1
     doc = docs
-    one = np.uint64(1)
     for number, kind in enumerate(rounds, 1):
         if len(names) < 2:
             break
         same = doc[1:] == doc[:-1]
         # what a symbol depends on if it looks at its neighbour; beyond the document is out of every window
         left = np.concatenate(([-1], np.where(same, low[:-1], -1)))
-        right = np.concatenate((np.where(same, high[1:], n + 1), [n + 1]))
-        if kind == "pair":
-            first = (mix(names, number) & one) == 0
-            joined = np.concatenate((first[:-1] & ~first[1:] & same, [False]))
-            second = np.concatenate(([False], joined[:-1]))
-            alone = ~joined & ~second
-            new = names.copy()
-            at = np.flatnonzero(joined)
-            new[at] = mix(names[at] * np.uint64(0x9FB21C651E98DF25) + names[at + 1], 1000 + number)
-            new_low = np.where(alone & ~first, np.minimum(low, left), low)
-            new_high = np.where(alone & first, np.maximum(high, right), high)
-            new_low[at] = np.minimum(low[at], low[at + 1])
-            new_high[at] = np.maximum(high[at], high[at + 1])
-            keep = ~second
-            names, low, high, doc = new[keep], new_low[keep], new_high[keep], doc[keep]
-        else:
-            head = np.concatenate(([True], (names[1:] != names[:-1]) | ~same))
-            at = np.flatnonzero(head)
-            last = np.concatenate((at[1:], [len(names)])) - 1
-            count = (last - at + 1).astype(np.uint64)
-            new = np.where(count > one, mix(names[at] + mix(count, 7), 2000 + number), names[at])
-            low = np.minimum(np.minimum(low[at], low[last]), left[at])
-            high = np.maximum(np.maximum(high[at], high[last]), right[last])
-            names, doc = new, doc[at]
+        right = np.append(np.where(same, high[1:], n + 1), n + 1)
+        head, new, side = next_round(number, kind, names, doc)
+        last = np.append(head[1:], len(names)) - 1
+        new_low, new_high = np.minimum(low[head], low[last]), np.maximum(high[head], high[last])
+        looks_left = looks_right = np.ones(len(head), bool)
+        if side is not None:  # a symbol that stays alone has looked at the neighbour that it might have joined
+            looks_left, looks_right = (last == head) & ~side, (last == head) & side
+        low = np.where(looks_left, np.minimum(new_low, left[head]), new_low)
+        high = np.where(looks_right, np.maximum(new_high, right[last]), new_high)
+        names, doc = new, doc[head]
     ok = (low >= starts[doc]) & (high <= ends[doc])
     return names[ok], doc[ok], low[ok], high[ok]
 
 
+def long_symbols(names: np.ndarray, docs: np.ndarray, least: int, rounds=LONG_ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, first, end): every symbol that a round makes of `least` words or more, with the range of words that it stands for."""
+    start, doc = np.arange(len(names)), docs
+    n = len(names)
+    found = []
+    for number, kind in enumerate(rounds, 1):
+        if len(names) < 2:
+            break
+        head, names, _ = next_round(number, kind, names, doc)
+        made = np.diff(np.append(head, len(start))) > 1
+        start, doc = start[head], doc[head]
+        end = np.append(start[1:], n)
+        made &= end - start >= least
+        found.append((names[made], start[made], end[made]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
+
+
+class Prints:
+    """Fingerprints of any ranges of words: polynomials modulo 2**64, from prefix sums."""
+
+    def __init__(self, names: np.ndarray, base: int):
+        n = len(names)
+        inverse = np.uint64(pow(base, -1, 1 << 64))
+        self.back = np.cumprod(np.concatenate(([ONE], np.full(n, inverse, np.uint64))))
+        self.sums = np.concatenate(([np.uint64(0)], np.cumsum(names * np.cumprod(np.concatenate(([ONE], np.full(max(0, n - 1), base, np.uint64))))[:n])))
+
+    def of(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[first]) * self.back[first] + (end - first).astype(np.uint64), 5)
+
+
 def symbols(docs: DataFrame, window: int, rounds=ROUNDS) -> DataFrame:
     """(name, row, at): each symbol that fits a window, at = low * 256 + (high - low); and one row with at = -words - 1 for each document."""
 
@@ -107,33 +147,83 @@ def open_windows(alone: DataFrame, window: int) -> DataFrame:
     return alone.groupBy("row").agg(F.collect_list("at").alias("ats")).mapInArrow(spans, "row long, spans array<long>")
 
 
-def window_names(names: np.ndarray, window: int, base: int) -> np.ndarray:
-    """A polynomial fingerprint of every run of `window` names, modulo 2**64."""
-    n = len(names) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    total = np.zeros(n, np.uint64)
-    for i in range(window):
-        total = total * np.uint64(base) + names[i : i + n]
-    return mix(total, 5)
+def spread(spans: pa.Array, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans [first, end) of window starts of many rows, as places among all words: row of each span, first, end."""
+    edges = np.asarray(spans.flatten())
+    row = np.repeat(np.arange(len(spans)), np.diff(np.asarray(spans.offsets)) // 2)
+    return row, edges[::2] + bounds[row], edges[1::2] + bounds[row]
+
+
+def passages(opened: DataFrame, window: int) -> DataFrame:
+    """(name, print, row, first, size): the long symbols of each run of open windows, which is parsed as a text of its own."""
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            codes, words, bounds = words_of(batch.column("text"))
+            at, first, end = spread(batch.column("spans"), bounds)
+            many = end - first + window - 1
+            ahead = np.cumsum(many) - many
+            place = np.arange(many.sum()) + np.repeat(first - ahead, many)
+            own = codes[place]
+            span = np.repeat(np.arange(len(at)), many)
+            name, a, b = long_symbols(word_names(words, 31)[own], span, window)
+            check = Prints(word_names(words, 32)[own], BASES[0]).of(a, b)
+            rows = np.asarray(batch.column("row"))[at[span[a]]]
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(check.view(np.int64)), pa.array(rows), pa.array(place[a] - bounds[at[span[a]]]), pa.array(b - a)], ["name", "print", "row", "first", "size"])
+
+    return opened.mapInArrow(parsed, "name long, print long, row long, first long, size long")
+
+
+def runs_of(on: np.ndarray) -> np.ndarray:
+    """The edges of the runs where a mask holds: first, end, first, end and so on."""
+    return np.flatnonzero(np.diff(np.concatenate(([0], on.astype(np.int8), [0]))))
+
+
+def covered(n: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of n places lie in any of the ranges [first, end)."""
+    step = np.bincount(np.minimum(first, n), minlength=n + 1) - np.bincount(np.minimum(end, n), minlength=n + 1)
+    return np.cumsum(step)[:n] > 0
+
+
+def to_compare(opened: DataFrame, window: int) -> DataFrame:
+    """(row, text, spans, sure): the open windows in none of the passages in `found`, and of those in passages the ones whose passage is its first occurrence; documents without any are left out."""
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, left, sure = [], [], []
+            for i, (spans, found) in enumerate(zip(batch.column("spans"), batch.column("found"), strict=True)):
+                edges = np.asarray(spans.values)
+                is_open = covered(int(edges.max(initial=0)), edges[::2], edges[1::2])
+                settled = stands = np.zeros(len(is_open), bool)
+                if found.is_valid:
+                    first, size, rep = (np.asarray(found.values.field(k)) for k in ("first", "size", "rep"))
+                    end = first + size - window + 1
+                    settled, stands = covered(len(is_open), first, end), covered(len(is_open), first[rep > 0], end[rep > 0])
+                pair = runs_of(is_open & ~settled), runs_of(is_open & stands)
+                if len(pair[0]) or len(pair[1]):
+                    keep.append(i)
+                    left.append(pair[0])
+                    sure.append(pair[1])
+            some = batch.select(["row", "text"]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(left, pa.list_(pa.int64())), pa.array(sure, pa.list_(pa.int64()))], ["row", "text", "spans", "sure"])
+
+    return opened.select("row", "text", "spans", "found").mapInArrow(rest, "row long, text string, spans array<long>, sure array<long>")
 
 
 def window_rows(docs: DataFrame, window: int) -> DataFrame:
-    """(w1, w2, row, pos): two fingerprints of each open window."""
+    """(w1, w2, row, pos): two fingerprints of each window; of those that are sure to be repeats, pos is -1."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=1 << 20):
             codes, words, bounds = words_of(batch.column("text"))
-            names = [word_names(words, seed)[codes] for seed in (21, 22)]
-            parts = []
-            for start, spans, row in zip(bounds.tolist(), batch.column("spans"), batch.column("row").to_pylist(), strict=False):
-                edges = np.asarray(spans.values)
-                for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                    w = [window_names(x[start + a : start + b + window - 1], window, base) for x, base in zip(names, BASES, strict=True)]
-                    parts.append((*w, np.full(b - a, row, np.int64), np.arange(a, b)))
-            if parts:
-                w1, w2, row, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(row), pa.array(pos)], ["w1", "w2", "row", "pos"])
+            prints = [Prints(word_names(words, seed)[codes], base) for seed, base in zip((21, 22), BASES, strict=True)]
+            for kind in ("spans", "sure"):
+                at, first, end = spread(batch.column(kind), bounds)
+                many = end - first
+                start = np.arange(many.sum()) + np.repeat(first - (np.cumsum(many) - many), many)
+                at = np.repeat(at, many)
+                pos = start - bounds[at] if kind == "spans" else np.full(len(start), -1)
+                yield pa.RecordBatch.from_arrays([*(pa.array(p.of(start, start + window).view(np.int64)) for p in prints), pa.array(np.asarray(batch.column("row"))[at]), pa.array(pos)], ["w1", "w2", "row", "pos"])
 
     return docs.mapInArrow(rows, "w1 long, w2 long, row long, pos long")
 
@@ -145,36 +235,47 @@ def remove_repeats(docs: DataFrame, window: int = 35, rounds=ROUNDS) -> DataFram
     window of `window` words whose sequence also starts anywhere else, in another
     row or the same one. Windows are judged on the input.
 
-    Each document is parsed by rounds of recompression whose names are functions
-    of what they stand for, so all tasks name equal substrings alike. A symbol
-    found once in all tables closes every window that holds all it depends on;
-    what is left open is verified by 128-bit fingerprints of whole windows,
-    counted over all rows; a fingerprint found once closes its window too.
-    Documents without a usable symbol are simply left open, so long runs and
-    short texts need no other way.
+    Documents are recompressed in rounds of runs and pairs whose names are
+    functions of what they stand for, so all tasks name equal substrings alike.
+    Two Spark rounds count the names of all documents. In the first, a symbol
+    that is found once closes every window that holds all it depends on. In the
+    second, the runs of windows left open are recompressed on to passages of
+    `window` words and more; one whose name and fingerprint are found twice
+    settles all windows in it as repeats. The windows at the edges of such
+    passages and in texts too short or too regular for long symbols are counted
+    by 128-bit fingerprints of their own, against each other and against one
+    occurrence of each passage.
 
     A null text has no words and becomes the empty text. Repeated rows are
     repeats of each other. Rows are told apart by a 64-bit hash of id and text.
-    An empty table gives an empty result. Other columns pass unchanged; n_words
-    and n_removed are replaced.
+    An empty table gives an empty result. Other columns pass unchanged, under
+    any names; n_words and n_removed are replaced.
     """
     docs = docs.drop("n_words", "n_removed")
-    keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("string"), text_of()))
-    slim = keyed.select(F.col("__row").alias("row"), "text")
+    columns = [f.name for f in docs.schema.fields]
+    keyed = docs.select(F.xxhash64(F.col("doc_id").cast("string"), text_of()).alias("row"), F.struct("*").alias("doc"))
+    slim = docs.select(F.xxhash64(F.col("doc_id").cast("string"), text_of()).alias("row"), "text")
     named = symbols(slim, window, rounds)
     alone = named.groupBy("name").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("at").alias("at")).where("n = 1 OR at < 0").select("row", "at")
-    opened = cut(open_windows(alone, window))
-    seen = window_rows(slim.join(opened, "row"), window)
-    once = seen.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("pos").alias("pos")).where("n = 1")
+    opened = cut(slim.join(open_windows(alone, window), "row"))
+
+    long = passages(opened, window)
+    twice = long.groupBy("name", "print", "size").agg(F.count("*").alias("n"), F.min(F.struct("row", "first")).alias("rep")).where("n > 1").drop("n")
+    one = (F.struct("row", "first") == F.col("rep")).cast("int").alias("rep")
+    settled = cut(long.join(twice, ["name", "print", "size"]).select("row", F.struct("first", "size", one).alias("p")).groupBy("row").agg(F.collect_list("p").alias("found")))
+
+    rows = window_rows(to_compare(opened.join(settled, "row", "left"), window), window)
+    once = rows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("pos").alias("pos")).where("n = 1 AND pos >= 0")
     closed = once.groupBy("row").agg(F.collect_list("pos").alias("shut"))
-    verdict = cut(opened.join(closed, "row", "left").select(F.col("row").alias("__row"), F.col("spans").alias("__spans"), F.col("shut").alias("__shut")))
+    verdict = cut(opened.select("row", "spans").distinct().join(closed, "row", "left"))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    columns = [f.name for f in docs.schema.fields]
+    at_text = f"c{columns.index('text')}"
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, at_text):
             texts, n_words, n_removed = [], [], []
-            for text, spans, shut in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("__spans"), batch.column("__shut"), strict=True):
+            own = [batch.column(f"c{i}") for i in range(len(columns))]
+            for text, spans, shut in zip(batch.column(at_text).cast(pa.binary()).to_pylist(), batch.column("spans"), batch.column("shut"), strict=True):
                 words = (text or b"").split()
                 kept = words
                 if spans.is_valid:
@@ -194,6 +295,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, rounds=ROUNDS) -> DataFram
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(kept))
             new = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*(new if c == "text" else batch.column(c) for c in columns), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], [*columns, "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*(new if c == "text" else x for c, x in zip(columns, own, strict=True)), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], [*columns, "n_words", "n_removed"])
 
-    return keyed.join(verdict, "__row", "left").drop("__row").mapInArrow(clean, schema)
+    joined = keyed.join(verdict, "row", "left")
+    return joined.select(*(F.col("doc")[c].alias(f"c{i}") for i, c in enumerate(columns)), "spans", "shut").mapInArrow(clean, schema)
