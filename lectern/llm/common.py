@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -26,10 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: in spark.checkpoint.dir, which the cluster or the tests' session must name."""
     if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
-        folder = tempfile.mkdtemp(prefix="spark-lectern-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{folder.rstrip('/')}/lectern"
 
 
@@ -126,6 +124,23 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Arrays that are summed in one group.
+FOLD = 64
+
+
+def summed(pieces: DataFrame, dtype: str) -> dict[int, np.ndarray]:
+    """The sums of the tasks' arrays, by part, of pieces (part, task, data): in a tree, FOLD arrays in a group at most, then one for each part to the driver."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x, dtype) for x in table.column("data").to_pylist()], axis=0)
+        return pa.table({"part": table.column("part")[:1], "task": pa.array([table.column("task")[0].as_py() // FOLD], pa.int32()), "data": pa.array([total.astype(dtype).tobytes()], pa.binary())})
+
+    tasks = (pieces.agg(F.max("task")).first()[0] or 0) + 1
+    while tasks > 1:
+        pieces, tasks = cut(pieces.groupBy("part", F.expr(f"task div {FOLD}")).applyInArrow(add, "part int, task int, data binary")), -(-tasks // FOLD)
+    return {r["part"]: np.frombuffer(r["data"], dtype) for r in pieces.select("part", "data").collect()}
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for each id of edges (a, b): component is the smallest id reachable.
 

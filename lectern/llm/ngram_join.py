@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, cut, mix, slices, word_names, words_of
+from .common import components, cut, mix, slices, summed, word_names, words_of
 
 #: Counters of the frequency sketch, as a power of two, and the pieces it travels in.
 SKETCH_BITS, SKETCH_PARTS = 19, 64
@@ -29,8 +29,8 @@ SHARED = 2
 BLOCK, BLOCK_BYTES = 1500, 12 << 20
 #: Lists of a set that are remembered as ahead of a later one; pairs that share none of them may be verified in more than one list.
 AHEAD = 64
-#: Pieces of the frequency sketch that are summed in one group.
-FOLD = 64
+#: Classes (24 bytes each) whose list is broadcast; the texts of more are found by a shuffled join.
+FEW = 1_000_000
 BASE = 0x9FB21C651E98DF25
 
 
@@ -92,21 +92,8 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
 
 
 def frequency_levels(signed: DataFrame) -> np.ndarray:
-    """The sketch of all tasks summed, as 4 log2 of each counter: 2**SKETCH_BITS bytes whatever the input.
-
-    The tasks' pieces are summed in a tree, FOLD of them in a group at most.
-    """
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(c, "<i8") for c in table.column("counts").to_pylist()], axis=0)
-        return pa.table({"part": table.column("part")[:1], "task": pa.array([table.column("task")[0].as_py() // FOLD], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
-
-    pieces = signed.where("part IS NOT NULL").select("part", "task", "counts")
-    tasks = (pieces.agg(F.max("task")).first()[0] or 0) + 1
-    while tasks > 1:
-        pieces, tasks = pieces.groupBy("part", F.expr(f"task div {FOLD}")).applyInArrow(add, "part int, task int, counts binary"), -(-tasks // FOLD)
-        pieces = cut(pieces) if tasks > 1 else pieces
-    found = {r["part"]: np.frombuffer(r["counts"], "<i8") for r in pieces.select("part", "counts").collect()}
+    """The sketch of all tasks summed, as 4 log2 of each counter: 2**SKETCH_BITS bytes whatever the input."""
+    found = summed(signed.where("part IS NOT NULL").select("part", "task", F.col("counts").alias("data")), "<i8")
     none = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, "<i8")
     return (4 * np.log2(np.concatenate([found.get(k, none) for k in range(SKETCH_PARTS)]) + 1)).astype(np.uint8)
 
@@ -300,6 +287,7 @@ def similar_links(docs: DataFrame, signed: DataFrame, n: int, percent: int, roun
     # one text of each class that may have to be verified
     wanted = tried.select(F.explode(F.array("a", "b")).alias("cls")).union(lists.select("cls")).distinct()
     wanted = cut(wanted.join(sets, "cls").select("cls", "rep.*"))
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
     own = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
     texts = cut(own.join(wanted, F.expr("hash = text_hash AND id <=> doc_id")).groupBy("cls").agg(F.min("text").alias("text")))
     links = cut(verified(tried, texts, n, percent))
