@@ -24,29 +24,44 @@ def digest_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def merge_runs(runs: DataFrame, bits: int = 3) -> DataFrame:
-    """One row (digest, n_bytes, check, keep_id, group_size) for each distinct text, by binomial rounds.
+    """One row (digest, n_bytes, check, keep_id, group_size) for each distinct text, by a tree of merges of sorted runs.
 
-    In each round the runs whose numbers agree but for the lowest `bits` bits
-    are merged: each task first folds what it holds of a text to one row, equal
-    digests meet, and the smallest id and the summed count stay. A digest
-    counts as equal only if length and a second, independent hash agree too, so
-    every level's survivor is verified. A level is written, sorted by digest,
-    before the next one reads it. Rounds end when one run is left: log of the
-    number of input partitions.
+    Each input partition is a run. In the first round `2**bits` neighbouring runs
+    exchange their digests and are merged; each task folds what it holds of a
+    text to one row before that. The merged runs are then dealt out by ranges of
+    the digest, once, and sorted by digest and number of the run. From there on
+    the runs whose numbers agree but for the lowest `bits` bits lie side by side,
+    so each further round is one pass over sorted rows, without exchange, sort
+    or table of its own: a sort aggregate that merges up to `2**bits` runs and
+    hands sorted runs to the next round, until one run is left. A digest counts
+    as equal only if length and a second, independent hash agree too, and the
+    smallest id and the summed count stay, so every round's survivor is
+    verified. The rounds are as many as the logarithm of the number of input
+    partitions.
     """
     key = ["digest", "n_bytes", "check"]
-    top = runs.agg(F.max("run")).first()[0] or 0
-    level = runs.select("run", *key, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    while True:
-        top >>= bits
-        level = (
-            level.groupBy(F.shiftright("run", bits).alias("run"), *key)
-            .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-            .sortWithinPartitions("run", "digest")
-        )
-        level = cut(level)
-        if not top:
-            return level.drop("run")
+    top = (runs.agg(F.max("run")).first()[0] or 0) >> bits
+    # a struct has no place in a hash aggregate's row, so Spark merges sorted rows
+    fold = (F.min(F.struct("keep_id")).alias("best"), F.sum("group_size").alias("group_size"))
+
+    def merged(level: DataFrame, *numbers: str) -> DataFrame:
+        return level.groupBy(*key, *numbers).agg(*fold).select(*key, *numbers, F.col("best.keep_id").alias("keep_id"), "group_size")
+
+    first = runs.select(*key, F.shiftright("run", bits).alias("run"), F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    level = cut(merged(first, "run"))
+    depth = 0
+    while top >> bits * depth:
+        depth += 1
+    if not depth:
+        return level.drop("run")
+    # the number of the run that a row is in after each round, the last round first
+    numbers = {f"run{k}": F.shiftright("run", bits * k) for k in range(depth - 1, -1, -1)}
+    level = level.select(*key, *(n.alias(k) for k, n in numbers.items()), "keep_id", "group_size")
+    level, names = level.repartitionByRange("digest").sortWithinPartitions(*key, *numbers), list(numbers)
+    while names:
+        names.pop()
+        level = merged(level, *names)
+    return level
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3) -> DataFrame:
