@@ -6,37 +6,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, summed
 
 #: Rotated coordinates travel as whole multiples of this, so that every task decides alike.
 GRID = 1e-6
 #: What rounding to the grid may add to a block's squared distance.
 SLACK = 1e-4
-#: Rows of a product of two blocks of vectors.
-TILE = 512
+#: Rows of a product of two blocks of vectors, and columns of one where most pairs are candidates.
+TILE, WIDE = 512, 4096
+#: Pairs that are looked at one by one at once.
+PIECE = 1 << 16
+#: Cosines closer to the threshold than this are worked out for the pair alone.
+CLOSE = 1e-9
 
 
 def distinct_vectors(vectors: DataFrame) -> DataFrame:
-    """(rep, copies, vec, dim): usable vectors, each distinct one once, as little-endian 32-bit floats."""
+    """(embedding, rep, copies, dim): usable vectors, each distinct one once."""
     good = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = vectors.where(F.coalesce(good & F.exists("embedding", lambda v: v != 0), F.lit(False)))
     return usable.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).select("embedding", "rep", "copies", F.size("embedding").alias("dim"))
 
 
 def second_moments(vectors: DataFrame, dim: int) -> np.ndarray:
-    """The sum of the outer products of the unit vectors, over all of them: dim by dim numbers from each task."""
+    """The sum of the outer products of the unit vectors, over all of them: a dim by dim matrix."""
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dim, dim))
         for batch in batches:
             x = unit(batch.column("embedding"), dim)
             total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "task", "data"])
 
-    return np.sum([np.frombuffer(r["m"]).reshape(dim, dim) for r in vectors.select("embedding").mapInArrow(moments, "m binary").collect()], axis=0)
+    found = summed(cut(vectors.select("embedding").mapInArrow(moments, "part int, task int, data binary")), "<f8")
+    return found.get(0, np.zeros(dim * dim)).reshape(dim, dim)
 
 
 def unit(column: pa.Array, dim: int) -> np.ndarray:
@@ -63,13 +69,19 @@ def subspaces(moment: np.ndarray, cosine: float, blocks: int) -> tuple[np.ndarra
     return vector[:, ::-1][:, order], first[:-1], (2 - 2 * cosine) * held / held.sum()
 
 
+def number_type(vectors: DataFrame) -> str:
+    """How components travel: as they are given, single or double precision."""
+    return "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
+
+
 def cells(vectors: DataFrame, dim: int, rotation: np.ndarray, first: np.ndarray, budgets: np.ndarray) -> DataFrame:
     """(rep, copies, vec, at, block, cell): for each block the stripe, as wide as the block's radius with its slack, of its leading coordinate."""
     width = np.sqrt(budgets + SLACK) + 4 * GRID  # no pair that a block claims lies further apart
+    kind = number_type(vectors)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.asarray(batch.column("embedding").flatten(), dtype="<f4").reshape(-1, dim)
+            x = np.asarray(batch.column("embedding").flatten(), dtype=kind).reshape(-1, dim)
             y = np.rint(unit(batch.column("embedding"), dim) @ rotation / GRID).astype("<i4")
             n, k = len(x), len(first)
             cell = np.floor(y[:, first] * GRID / width).astype(np.int32)
@@ -113,66 +125,117 @@ def units_of_work(placed: DataFrame, chunk: int) -> DataFrame:
     return own.withColumn("u", F.explode(F.concat(inside, up, down))).select("block", "u.*", "rep", "copies", "vec", "at")
 
 
-def links_in(units: DataFrame, dim: int, first: np.ndarray, budgets: np.ndarray, cosine: float) -> DataFrame:
+class Forest:
+    """Components of n things, and the links that joined them."""
+
+    def __init__(self, n: int):
+        self.root, self.edges = np.arange(n), []
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Take up links; only those between components are looked at one by one."""
+        root = self.root
+        open_ = root[i] != root[j]
+        if not open_.any():
+            return
+        i, j = i[open_], j[open_]
+        _, some = np.unique(root[i] * len(root) + root[j], return_index=True)  # one link for each pair of components
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for a, b in zip(i[some].tolist(), j[some].tolist(), strict=True):
+            if (ra := find(a)) != (rb := find(b)):
+                root[rb] = ra
+                self.edges.append((a, b))
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def links_in(units: DataFrame, dim: int, first: np.ndarray, budgets: np.ndarray, cosine: float, kind: str = "<f8") -> DataFrame:
     """(rep, other, n) from each unit of work: how many vectors rep links with there, and an edge of a spanning forest of the links.
 
     A pair is a candidate in each block whose budget it keeps. It is verified, in
     double precision on the given components, in the first of these only, which
     every task finds alike; so no pair is counted twice. Counts leave a task as
-    sums and links as forests, never as all pairs.
+    sums and links as forests, never as all pairs. Where most pairs of a tile are
+    candidates, as among near copies, it is worked out in whole matrices, else
+    pair by pair in pieces; both hold a bounded number of pairs at once.
     """
     last = np.append(first[1:], dim)
-    limit = (budgets + SLACK) / GRID**2
+    limit = np.floor((budgets + SLACK) / GRID**2)
 
     def compare(table: pa.Table) -> pa.Table:
         rep, copies, side = (table.column(c).to_numpy() for c in ("rep", "copies", "side"))
-        vec = np.frombuffer(b"".join(table.column("vec").to_pylist()), "<f4").reshape(-1, dim).astype(np.float64)
+        vec = np.frombuffer(b"".join(table.column("vec").to_pylist()), kind).reshape(-1, dim).astype(np.float64)
         at = np.frombuffer(b"".join(table.column("at").to_pylist()), "<i4").reshape(-1, dim).astype(np.float64)
-        scale = np.abs(vec).max(axis=1, keepdims=True)
-        vec = vec / scale
+        vec = vec / np.abs(vec).max(axis=1, keepdims=True)
         norm = np.sqrt((vec * vec).sum(axis=1))
         block, within = table.column("block")[0].as_py(), table.column("next")[0].as_py() == 0 and table.column("one")[0] == table.column("two")[0]
         left = np.flatnonzero(side == 0)
         right = left if within else np.flatnonzero(side == 1)
-        part = slice(first[block], last[block])
-        sums = np.zeros(len(rep), np.int64)
-        root = np.arange(len(rep))
+        parts = [slice(a, b) for a, b in zip(first[: block + 1], last[: block + 1], strict=True)]
+        squares = [(at[:, p] * at[:, p]).sum(axis=1) for p in parts]  # whole numbers below 2**53: every task finds the same
+        sums, forest = np.zeros(len(rep), np.int64), Forest(len(rep))
 
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
+        def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return (vec[i] * vec[j]).sum(axis=1) / (norm[i] * norm[j]) >= cosine
+
+        def one_by_one(i: np.ndarray, j: np.ndarray) -> None:
+            for b, p in enumerate(parts):
+                gap = at[i, p] - at[j, p]
+                keeps = (gap * gap).sum(axis=1) <= limit[b]
+                i, j = (i[keeps], j[keeps]) if b == block else (i[~keeps], j[~keeps])
+            ok = near(i, j)
+            i, j = i[ok], j[ok]
+            np.add.at(sums, i, copies[j])
+            np.add.at(sums, j, copies[i])
+            forest.join(i, j)
+
+        def all_at_once(rows: np.ndarray, columns: np.ndarray) -> None:
+            keeps = rows[:, None] < columns if within else np.ones((len(rows), len(columns)), bool)
+            for b, p in enumerate(parts):
+                far = squares[b][rows, None] + squares[b][columns] - 2 * (at[rows, p] @ at[columns, p].T) > limit[b]
+                keeps &= ~far if b == block else far
+            cos = (vec[rows] @ vec[columns].T) / (norm[rows, None] * norm[columns])
+            ok = keeps & (cos >= cosine)
+            doubt = np.flatnonzero(keeps & (np.abs(cos - cosine) < CLOSE))
+            for some in np.array_split(doubt, -(-len(doubt) // PIECE)) if len(doubt) else ():
+                i, j = np.divmod(some, len(columns))
+                ok[i, j] = near(rows[i], columns[j])
+            sums[rows] += ok @ copies[columns]
+            sums[columns] += copies[rows] @ ok
+            while True:  # a row of links joins its components, so that most links lie within one when they are looked at
+                apart = ok & (forest.root[rows, None] != forest.root[columns])
+                i = np.flatnonzero(apart.any(axis=1))
+                if not len(i):
+                    break
+                j = np.flatnonzero(apart[i[0]])
+                forest.join(np.full(len(j), rows[i[0]]), columns[j])
 
-        edges = []
         # the squared distances of a tile are one product of extended rows, in single precision and with room for its errors
-        z = at[right][:, part] * GRID
+        z = at[right][:, parts[block]] * GRID
         z = np.hstack([-2 * z, np.ones((len(z), 1)), (z * z).sum(axis=1, keepdims=True)]).astype(np.float32)
         room = np.float32(budgets[block] + 2 * SLACK)
         for start in range(0, len(left), TILE):
             rows = left[start : start + TILE]
-            y = at[rows][:, part] * GRID
+            y = at[rows][:, parts[block]] * GRID
             y = np.hstack([y, (y * y).sum(axis=1, keepdims=True), np.ones((len(y), 1))]).astype(np.float32)
-            i, j = np.divmod(np.flatnonzero(y @ z.T <= room), len(right))
-            i, j = rows[i], right[j]
-            if within:
-                i, j = i[i < j], j[i < j]
-            for b in range(block + 1):
-                # whole numbers below 2**53: every task finds the same
-                gap = at[i, first[b] : last[b]] - at[j, first[b] : last[b]]
-                keeps = (gap * gap).sum(axis=1) <= limit[b]
-                i, j = (i[keeps], j[keeps]) if b == block else (i[~keeps], j[~keeps])
-            ok = (vec[i] * vec[j]).sum(axis=1) / (norm[i] * norm[j]) >= cosine
-            i, j = i[ok], j[ok]
-            np.add.at(sums, i, copies[j])
-            np.add.at(sums, j, copies[i])
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                if (ra := find(a)) != (rb := find(b)):
-                    root[rb] = ra
-                    edges.append((a, b))
+            for a in range(0, len(right), WIDE):
+                columns = right[a : a + WIDE]
+                hit = np.flatnonzero(y @ z[a : a + WIDE].T <= room)
+                if len(hit) * 8 > len(rows) * len(columns):
+                    all_at_once(rows, columns)
+                    continue
+                for some in range(0, len(hit), PIECE):
+                    i, j = np.divmod(hit[some : some + PIECE], len(columns))
+                    i, j = rows[i], columns[j]
+                    one_by_one(i[i < j], j[i < j]) if within else one_by_one(i, j)
         hit = np.flatnonzero(sums)
-        one = np.array([a for a, _ in edges], np.int64)
-        two = np.array([b for _, b in edges], np.int64)
+        one = np.array([a for a, _ in forest.edges], np.int64)
+        two = np.array([b for _, b in forest.edges], np.int64)
         return pa.table(
             {"rep": np.concatenate([rep[hit], rep[one]]), "other": pa.array(np.concatenate([np.zeros(len(hit), np.int64), rep[two]]), mask=np.concatenate([np.ones(len(hit), bool), np.zeros(len(two), bool)])), "n": np.concatenate([sums[hit], np.zeros(len(one), np.int64)])}
         )
@@ -198,14 +261,16 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.9, blocks: int = 4, ch
     link. Range joins run over stripes of a block's leading coordinate, in
     chunks of bounded size.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    given = vectors.schema["embedding"].dataType.elementType.simpleString()
+    numbers = F.col("embedding") if given in ("float", "double") else F.col("embedding").cast("array<double>")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), numbers.alias("embedding"))
     distinct = cut(distinct_vectors(rows.where("vec_id IS NOT NULL")))
     found = None
     for dim in sorted(r["dim"] for r in distinct.select("dim").distinct().collect()):
         own = distinct.where(F.col("dim") == dim)
         rotation, first, budgets = subspaces(second_moments(own, dim), cosine, blocks)
         units = units_of_work(cells(own, dim, rotation, first, budgets), chunk)
-        links = links_in(units, dim, first, budgets, cosine)
+        links = links_in(units, dim, first, budgets, cosine, number_type(own))
         found = links if found is None else found.union(links)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
