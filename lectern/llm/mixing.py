@@ -95,11 +95,11 @@ def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> li
     return out
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 16, period: int = 1000, parts: int = 64) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 16, period: int = 1000, by: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """docs with a column mix_slot: the document's block's slot in the mixed order, and mix_source_block, the block's number in its source.
 
-    A source's documents are put in the order of a hash and cut into blocks of
-    `block` documents. The blocks take the slots of a Pfair schedule for the
+    A source's documents are put in the order of a hash of the columns `by` and cut
+    into blocks of `block` documents. The blocks take the slots of a Pfair schedule for the
     target weights (equal ones if none are given; sources without a weight get
     the smallest): while all sources last, every beginning of the order holds of
     each source its share of blocks, give or take less than one. When a source
@@ -107,8 +107,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block:
     repeated. Weights hold exactly, however long the order is; only those below
     one slot of a `period` are raised to one.
 
-    Sources are numbered with one row for each hash part of each source, so a
-    source with most rows is numbered in `parts` tasks; the schedule is worked out
+    A source with most rows is numbered in many tasks, by ranges of the hash; the
+    driver gets one row for each source in each of them. The schedule is worked out
     for the least period in which the weights are whole and each block finds its
     slot by arithmetic. What the driver holds and broadcasts are the sources' sizes
     and one such period, or one number for each block where the period is longer
@@ -119,16 +119,16 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block:
     """
     docs = docs.drop("mix_slot", "mix_source_block")
     name = F.coalesce(F.col("source").cast("string"), F.lit("\0"))
-    keyed = docs.withColumn("__source", name).withColumn("__hash", F.xxhash64("doc_id", "text", F.lit(3)))
-    keyed = keyed.repartitionByRange("__source", "__hash").sortWithinPartitions("__source", "__hash").withColumn("__part", F.spark_partition_id())
-    keyed = cut(keyed.withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    keyed = docs.select(F.struct("*").alias("doc"), name.alias("name"), F.xxhash64(*by, F.lit(3)).alias("hash"))
+    keyed = keyed.repartitionByRange("name", "hash").sortWithinPartitions("name", "hash").drop("hash").withColumn("part", F.spark_partition_id())
+    keyed = cut(keyed.withColumn("i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     # one row for each source in each partition of the sort
-    runs = keyed.groupBy("__part", "__source").agg(F.count("*").alias("n"), F.min("__i").alias("first")).collect()
+    runs = keyed.groupBy("part", "name").agg(F.count("*").alias("n"), F.min("i").alias("first")).collect()
     sizes: dict[str, int] = {}
     ahead = []
-    for r in sorted(runs, key=lambda r: (r["__source"], r["__part"])):
-        ahead.append((r["__part"], r["__source"], sizes.get(r["__source"], 0) - r["first"]))
-        sizes[r["__source"]] = sizes.get(r["__source"], 0) + r["n"]
+    for r in sorted(runs, key=lambda r: (r["name"], r["part"])):
+        ahead.append((r["part"], r["name"], sizes.get(r["name"], 0) - r["first"]))
+        sizes[r["name"]] = sizes.get(r["name"], 0) + r["n"]
     if not sizes:
         return docs.withColumn("mix_slot", F.lit(None).cast("long")).withColumn("mix_source_block", F.lit(None).cast("long"))
     blocks = {s: ceil(n / block) for s, n in sizes.items()}
@@ -139,16 +139,17 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block:
     for where, placed, ends, at, length in plan:
         pattern += [(s, placed[s], ends[s], at, length, where[s]) for s in where if ends[s] > placed[s]]
     spark = docs.sparkSession
-    offsets = F.broadcast(spark.createDataFrame(ahead, "__p int, __s string, __ahead long"))
-    schedule = F.broadcast(spark.createDataFrame(pattern, "__name string, __from long, __to long, __at long, __period long, __where array<long>"))
-    numbered = keyed.join(offsets, F.expr("__part = __p AND __source = __s")).withColumn("__b", F.floor((F.col("__i") + F.col("__ahead")) / block).cast("long"))
-    placed = numbered.join(schedule, F.expr("__source = __name AND __b >= __from AND __b < __to"))
-    j, per = F.col("__b") - F.col("__from"), F.size("__where")
-    slot = F.col("__at") + F.floor(j / per) * F.col("__period") + F.element_at("__where", (j % per).cast("int") + 1)
-    return placed.withColumn("mix_slot", slot.cast("long")).withColumn("mix_source_block", F.col("__b")).select(*docs.columns, "mix_slot", "mix_source_block")
+    offsets = F.broadcast(spark.createDataFrame(ahead, "part int, name string, ahead long"))
+    schedule = F.broadcast(spark.createDataFrame(pattern, "name string, start long, stop long, at long, length long, places array<long>"))
+    numbered = keyed.join(offsets, ["part", "name"]).withColumn("b", F.floor((F.col("i") + F.col("ahead")) / block).cast("long"))
+    placed = numbered.join(schedule, (numbered["name"] == schedule["name"]) & (numbered["b"] >= schedule["start"]) & (numbered["b"] < schedule["stop"]))
+    j, per = F.col("b") - F.col("start"), F.size("places")
+    slot = F.col("at") + F.floor(j / per) * F.col("length") + F.element_at("places", (j % per).cast("int") + 1)
+    return placed.select("doc.*", slot.cast("long").alias("mix_slot"), F.col("b").alias("mix_source_block"))
 
 
 def mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 16, period: int = 1000) -> DataFrame:
     """docs sorted by the mixed order, with its own columns only: files written from it hold the sources in their target weights from first to last."""
     mixed = mix_sources(docs, weights, block, period)
-    return mixed.withColumn("__h", F.xxhash64("doc_id", F.lit(3))).repartitionByRange("mix_slot", "__h").sortWithinPartitions("mix_slot", "__h").select(*docs.drop("mix_slot", "mix_source_block").columns)
+    order = [F.col("mix_slot"), F.xxhash64("doc_id", F.lit(3))]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).drop("mix_slot", "mix_source_block")

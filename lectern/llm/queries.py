@@ -55,7 +55,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources in equal shares, in blocks of 16 documents: each document's block and the block's slot."""
-    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), block=16).select("doc_id", "source", "mix_source_block", "mix_slot")
+    slim = table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("text_hash"))
+    return mix_sources(slim, block=16, by=("doc_id", "text_hash")).select("doc_id", "source", "mix_source_block", "mix_slot")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
