@@ -117,7 +117,7 @@ def dedup_lines(docs: DataFrame, copies: int = 3, least: int = 20, batches: int
     it. A null or empty text is one empty line and becomes the empty text. Rows
     count as documents; rows repeated with one id share its decisions, and a
     null id is smaller than any other. An empty table gives an empty result.
-    Other columns pass unchanged; n_lines and n_dropped are replaced.
+    Other columns pass unchanged, under any names; n_lines and n_dropped are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
     runs = LineRuns(copies, least, fanin)
@@ -128,16 +128,17 @@ def dedup_lines(docs: DataFrame, copies: int = 3, least: int = 20, batches: int
     drops = (
         lines.join(keys, LINE)
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy(F.col("doc_id").alias("__id"))
-        .agg(F.collect_set(F.struct(*LINE)).alias("__drop"))
+        .groupBy(F.col("doc_id").alias("id"))
+        .agg(F.collect_set(F.struct(*LINE)).alias("gone"))
     )
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     names = [f.name for f in docs.schema.fields]
+    at_text = f"c{names.index('text')}"
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, at_text):
             texts, n_lines, n_dropped = [], [], []
-            for text, drop in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("__drop").to_pylist(), strict=True):
+            for text, drop in zip(batch.column(at_text).cast(pa.binary()).to_pylist(), batch.column("gone").to_pylist(), strict=True):
                 rows = (text or b"").split(b"\n")
                 kept = rows
                 if drop:
@@ -147,7 +148,8 @@ def dedup_lines(docs: DataFrame, copies: int = 3, least: int = 20, batches: int
                 n_lines.append(len(rows))
                 n_dropped.append(len(rows) - len(kept))
             new = pa.array(texts, pa.binary()).cast(pa.string())
-            columns = [new if n == "text" else batch.column(n) for n in names]
+            columns = [new if n == "text" else batch.column(f"c{i}") for i, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
-    return docs.join(drops, docs["doc_id"].eqNullSafe(drops["__id"]), "left").drop("__id").mapInArrow(clean, schema)
+    joined = docs.select(F.struct("*").alias("doc")).join(drops, F.expr("doc.doc_id <=> id"), "left")
+    return joined.select(*(F.col("doc")[n].alias(f"c{i}") for i, n in enumerate(names)), "gone").mapInArrow(clean, schema)
