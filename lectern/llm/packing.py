@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import string
+import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,89 +17,113 @@ from pyspark.sql import types as T
 
 from .common import cut, held, slices, words_of
 
-#: Words that a Python worker keeps encoded from task to task; it starts anew when full.
-WORDS = 500_000
+#: Encoded words that a Python worker keeps from task to task, twice: those met lately, and those before them.
+WORDS = 400_000
 #: Bytes of text encoded at once: the more, the fewer words are looked up twice.
-SLICE = 4 << 20
-#: Words encoded at once.
+SLICE = 8 << 20
+#: Words or texts given to the tokenizer at once: an encoding is large.
 BATCH = 2000
-#: Words on which the short way of encoding is tried.
-PROBES = ("the", "stupid", "onreesthaha", "zzqxj", "a", "antidisestablishmentarianism")
 #: The token after each document.
 END = 1
+# How a tokenizer must part texts so that their words can be encoded one by one.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMAL = ("NFC", "Replace", "Lowercase")
+#: Words of Latin letters that NFC leaves alone and that lower-case letter by letter, and ASCII punctuation behind them.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-/:-@\\[-`{-~]*)")
 
 
-def encoder(path: str):
-    from tokenizers import Tokenizer
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the others in turn from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    return Tokenizer.from_file(path)
 
+class Encoded:
+    """Words to their ids as little-endian unsigned 32-bit bytes.
 
-class Encoded(dict):
-    """From a word to its ids as little-endian unsigned 32-bit bytes.
-
-    This holds for tokenizers that neither join nor look across white space
-    and part letters and digits from what follows them, as word_bpe_49k does:
-    a text's ids are its words' ids in turn, and ASCII punctuation at a word's
-    end is encoded on its own.
+    Where the tokenizer's own description says that it parts texts at white
+    space and letters from what follows them, and adds nothing, a text's ids are
+    its words' ids in turn, and a word of plain Latin letters is encoded by the
+    model alone, punctuation at its end on its own. Texts of any other tokenizer
+    are encoded whole.
     """
 
     def __init__(self, path: str):
-        super().__init__()
-        whole = encoder(path)
-        self.encode_batch, self.tokenize = whole.encode_batch, whole.model.tokenize
-        # a word of small ASCII letters is one piece that normalising leaves alone: then the model alone gives its ids
-        self.direct = all([t.id for t in self.tokenize(w)] == whole.encode(w, add_special_tokens=False).ids for w in PROBES)
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > WORDS:
-            self.clear()
-            new = list(words)
-        rest = []
-        for word in new:
-            if self.direct and word.isascii() and word.isalpha():
-                self[word] = array("I", [t.id for t in self.tokenize(word)]).tobytes()
-            else:
-                rest.append(word)
-        for at in range(0, len(rest), BATCH):  # an encoding is large: few at a time
-            some = rest[at : at + BATCH]
-            for word, e in zip(some, self.encode_batch(some, add_special_tokens=False), strict=True):
-                self[word] = array("I", e.ids).tobytes()
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        told = json.loads(Path(path).read_text())
+        normal, parts, model = ((told.get(k) or {}) for k in ("normalizer", "pre_tokenizer", "model"))
+        split, level = (parts.get("pretokenizers") or [{}, {}])[:2]
+        self.by_words = (
+            tuple(x["type"] for x in normal.get("normalizers", ())) == NORMAL
+            and normal["normalizers"][1]["pattern"] == {"Regex": r"\s+"}
+            and (split.get("type"), split.get("pattern"), split.get("behavior"), split.get("invert")) == ("Split", {"Regex": PARTS}, "Removed", True)
+            and (level.get("type"), level.get("add_prefix_space"), level.get("use_regex")) == ("ByteLevel", False, False)
+            and len(parts["pretokenizers"]) == 2
+            and not told.get("post_processor")
+            and model.get("type") == "BPE"
+            and not model.get("dropout")
+            and all(x["special"] and x["content"].startswith("<|") for x in told.get("added_tokens", ()))
+        )
+        self.letters = byte_letters()
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def plain(self, word: str) -> bytes:
+        """The ids of a word that is one piece."""
+        low = word.lower()
+        if not low.isascii():
+            low = low.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.whole.model.tokenize(low)]).tobytes()
 
     def ids_of(self, words: list[str]) -> list[bytes]:
-        parts = [parted(w) for w in words]
-        self.learn({x for core, tail in parts for x in (core, tail)})
-        return [self[core] + self[tail] if tail else self[core] for core, tail in parts]
-
-
-def parted(word: str) -> tuple[str, str]:
-    """The word in lower case without the punctuation at its end, and the punctuation; any word with a letter beyond ASCII, a control character or the mark of a special token is left alone."""
-    if not word.isascii() or not word.isprintable() or "<|" in word:
-        return word, ""
-    if word.isalpha():
-        return word.lower(), ""
-    core = word.rstrip(string.punctuation)
-    return (core.lower(), word[len(core) :]) if core else ("", word)
+        recent, older = self.recent, self.older
+        out = [recent.get(w) for w in words]
+        rest = []
+        for i in [i for i, x in enumerate(out) if x is None]:
+            w = words[i]
+            ids = older.get(w)
+            if ids is None:
+                found = PLAIN.fullmatch(w)
+                if not found:
+                    rest.append(i)
+                    continue
+                ids = self.plain(found[1])
+                if tail := found[2]:
+                    if tail not in recent:
+                        recent[tail] = array("I", self.whole.encode(tail, add_special_tokens=False).ids).tobytes()
+                    ids += recent[tail]
+            recent[w] = out[i] = ids
+        for at in range(0, len(rest), BATCH):
+            some = [words[i] for i in rest[at : at + BATCH]]
+            for i, w, e in zip(rest[at : at + BATCH], some, self.whole.encode_batch(some, add_special_tokens=False), strict=True):
+                recent[w] = out[i] = array("I", e.ids).tobytes()
+        if len(recent) > WORDS:
+            self.older, self.recent = recent, {}
+        return out
 
 
 def document_ids(texts: pa.Array, known: Encoded) -> tuple[np.ndarray, np.ndarray]:
     """The ids of the texts one after another, each with the end token, and the bounds of each text's ids."""
-    codes, words, bounds = words_of(texts)
-    own = known.ids_of(words.to_pylist())
+    if known.by_words:
+        codes, words, bounds = words_of(texts)
+        own = known.ids_of(words.to_pylist())
+    else:
+        own = []
+        for at in range(0, len(texts), 100):
+            own += [array("I", e.ids).tobytes() for e in known.whole.encode_batch([t or "" for t in texts[at : at + 100].to_pylist()], add_special_tokens=False)]
+        codes, bounds = np.arange(len(own)), np.arange(len(own) + 1)
+    codes = np.insert(codes, bounds[1:], len(own))  # the end token is one more word
+    own.append(np.array([END], "<u4").tobytes())
     size = np.fromiter(map(len, own), np.int64, len(own)) // 4
     flat = np.frombuffer(b"".join(own), "<u4")
     first = np.cumsum(size) - size
     sizes = size[codes]
     ahead = np.concatenate(([0], np.cumsum(sizes)))
     at = np.arange(ahead[-1], dtype=np.int32) + np.repeat((first[codes] - ahead[:-1]).astype(np.int32), sizes)
-    n = len(bounds) - 1
-    ends = ahead[bounds] + np.arange(n + 1)
-    ids = np.full(ahead[-1] + n, END, "<u4")
-    body = np.ones(len(ids), bool)
-    body[ends[1:] - 1] = False
-    ids[body] = flat[at]
-    return ids, ends
+    return flat[at], ahead[bounds + np.arange(len(bounds))]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, order: list[Column], with_ids: bool = False) -> DataFrame:
