@@ -42,7 +42,7 @@ def merge_runs(runs: DataFrame, bits: int = 3) -> DataFrame:
     key = ["digest", "n_bytes", "check"]
     top = (runs.agg(F.max("run")).first()[0] or 0) >> bits
     # a struct has no place in a hash aggregate's row, so Spark merges sorted rows
-    fold = (F.min(F.struct("keep_id")).alias("best"), F.sum("group_size").alias("group_size"))
+    fold = (F.min(F.struct(F.isnull("keep_id").alias("none"), "keep_id")).alias("best"), F.sum("group_size").alias("group_size"))
 
     def merged(level: DataFrame, *numbers: str) -> DataFrame:
         return level.groupBy(*key, *numbers).agg(*fold).select(*key, *numbers, F.col("best.keep_id").alias("keep_id"), "group_size")
