@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,14 +11,13 @@ from ..functions import hgvs, text
 
 #: Digit runs up to this length are join tokens; longer ones take the other way.
 LONGEST_TOKEN = 12
-#: Variants that are broadcast, after they were counted.
-FEW = 10_000
 PAIR = ["paper_id", "variant_id"]
 
 
 def prose(passages: DataFrame) -> DataFrame:
-    """Passages of sections that hold prose; an unnamed section does."""
-    return passages.where(text.is_prose(F.col("section_type")))
+    """Passages of sections that hold prose, of a collection's first document; an unnamed section does."""
+    first = F.col("doc_seq") == 0 if "doc_seq" in passages.columns else F.lit(True)
+    return passages.where(text.is_prose(F.col("section_type")) & first)
 
 
 def flatten_papers(passages: DataFrame) -> DataFrame:
@@ -73,21 +74,24 @@ def beginnings(run: Column) -> Column:
 
 
 def variant_tokens(variants: DataFrame) -> DataFrame:
-    """(variant_id, kind, tok): what a chunk's digit runs must hold for a form to match; kind `any` where no token is sure.
+    """(variant_id, kind, tok): what a chunk must hold for a form to match.
 
     A DNA pattern has no left boundary, so its first number is the end of a run
     of the text ("end"), provided another sign follows it in the pattern. A
-    protein form's first number follows a letter: it is a whole run if a sign
-    follows it ("end" holds this too), else the beginning of one ("begin").
+    number that follows another sign is the beginning of a run ("begin"); a
+    protein form's is a whole run if a sign follows it ("end" holds this too). Of
+    long numbers the first or last LONGEST_TOKEN digits count. A form without a
+    number, or that is nothing but one, is found by its first one or two signs
+    that stand together ("gram").
     """
 
-    forms = F.array(*(F.struct(F.col(n).alias("form"), F.lit(k).alias("open_kind")) for n, k in (("var_dna", "any"), ("plong", "begin"), ("pshort", "begin"))))
+    forms = F.array(*(F.struct(F.col(n).alias("form")) for n in ("var_dna", "plong", "pshort")))
     own = variants.select("variant_id", F.explode(forms).alias("f")).select("variant_id", "f.*").where("form <> ''")
     run = hgvs.first_digit_run(F.col("form"))
-    fits = run.isNotNull() & (F.length(run) <= LONGEST_TOKEN)
-    letter = (F.col("open_kind") == "begin") & F.col("form").rlike("^[^0-9]+[0-9]")
-    kind = F.when(fits & F.col("form").rlike("[0-9][^0-9]"), "end").when(fits & letter, "begin").otherwise("any")
-    return own.select("variant_id", kind.alias("kind"), F.when(kind != "any", run).alias("tok")).distinct()
+    kind = F.when(F.col("form").rlike("[0-9][^0-9]"), "end").when(F.col("form").rlike("^[^0-9]+[0-9]"), "begin").otherwise("gram")
+    together = F.lower(F.regexp_extract("form", r"([A-Za-z]+|[0-9]+|[^A-Za-z0-9])", 1))
+    tok = F.when(kind == "end", F.right(run, F.lit(LONGEST_TOKEN))).when(kind == "begin", F.left(run, F.lit(LONGEST_TOKEN))).otherwise(F.left(together, F.lit(2)))
+    return own.select("variant_id", kind.alias("kind"), tok.alias("tok")).distinct()
 
 
 def chunk_tokens(chunks: DataFrame) -> DataFrame:
@@ -100,17 +104,27 @@ def chunk_tokens(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.col("text").rlike("[0-9]")).select("paper_id", "chunk_seq", F.explode(both).alias("t")).select("paper_id", "chunk_seq", "t.*")
 
 
+def chunk_grams(chunks: DataFrame) -> DataFrame:
+    """(paper_id, chunk_seq, kind, tok): the distinct one and two signs that stand together in the chunk."""
+    low = F.lower("text")
+    places = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
+    grams = F.array_distinct(F.concat(F.transform(places, lambda i: F.substring(low, i, F.lit(1))), F.transform(places, lambda i: F.substring(low, i, F.lit(2)))))
+    return chunks.select("paper_id", "chunk_seq", F.lit("gram").alias("kind"), F.explode(grams).alias("tok"))
+
+
 def candidates(chunks: DataFrame, variants: DataFrame) -> DataFrame:
-    """(paper_id, chunk_seq, variant_id): pairs of a chunk and a variant that share a number where a match needs one."""
+    """(paper_id, chunk_seq, variant_id): pairs of a chunk and a variant that share a number, or else signs, where a match needs them."""
     wanted = variant_tokens(variants)
-    shared = chunk_tokens(chunks).join(wanted.where("kind <> 'any'"), ["kind", "tok"]).select("paper_id", "chunk_seq", "variant_id")
-    # forms without a usable number, rare among variants, are tried on every chunk
-    rest = wanted.where("kind = 'any'").select("variant_id").distinct()
-    n = rest.count()
-    if not n:
-        return shared.distinct()
-    rest = F.broadcast(rest) if n <= FEW else rest
-    return shared.union(chunks.select("paper_id", "chunk_seq").join(rest)).distinct()
+    tokens = chunk_tokens(chunks)
+    if not wanted.where("kind = 'gram'").isEmpty():
+        tokens = tokens.union(chunk_grams(chunks))
+    return tokens.join(wanted, ["kind", "tok"]).select("paper_id", "chunk_seq", "variant_id").distinct()
+
+
+def form_flags(rows: DataFrame) -> DataFrame:
+    """rows with by_dna, by_long and by_short: which forms of its variant the text holds."""
+    body = rows.withColumn("body", text.unescape_text(F.col("text")))
+    return body.withColumns({"by_dna": by_dna(F.col("body"), F.col("dna_pattern")), "by_long": by_form(F.col("text"), F.col("plong")), "by_short": by_form(F.col("text"), F.col("pshort"))}).drop("body")
 
 
 def match(chunks: DataFrame, variants: DataFrame, how: str = "token") -> DataFrame:
@@ -124,28 +138,61 @@ def match(chunks: DataFrame, variants: DataFrame, how: str = "token") -> DataFra
         pairs = chunks.join(forms)
     else:
         pairs = candidates(chunks, variants).join(chunks, ["paper_id", "chunk_seq"]).join(forms, "variant_id")
-    found = pairs.withColumn("body", text.unescape_text(F.col("text"))).select(
-        "paper_id", "chunk_seq", "variant_id",
-        by_dna(F.col("body"), F.col("dna_pattern")).alias("by_dna"), by_form(F.col("text"), F.col("plong")).alias("by_long"), by_form(F.col("text"), F.col("pshort")).alias("by_short"),
-    )
-    return found.where("by_dna OR by_long OR by_short")
+    return form_flags(pairs).where("by_dna OR by_long OR by_short").select("paper_id", "chunk_seq", "variant_id", "by_dna", "by_long", "by_short")
+
+
+def match_with(chunks: DataFrame, variants: DataFrame, matcher: Callable[[Column, Column], Column], pairs: DataFrame | None = None) -> DataFrame:
+    """(paper_id, chunk_seq, variant_id): the chunks that a user's matcher accepts.
+
+    matcher takes the chunk's text and the variant's row, as columns, and gives a
+    condition. It is asked about the pairs (paper_id, chunk_seq, variant_id) given,
+    else about those that share a number as match() needs it.
+    """
+    pairs = candidates(chunks, variants) if pairs is None else pairs.select("paper_id", "chunk_seq", "variant_id").distinct()
+    rows = pairs.join(chunks, ["paper_id", "chunk_seq"]).join(variants.select("variant_id", F.struct("*").alias("variant")), "variant_id")
+    return rows.where(F.coalesce(matcher(F.col("text"), F.col("variant")), F.lit(False))).select("paper_id", "chunk_seq", "variant_id")
+
+
+def positions(variants: DataFrame) -> DataFrame:
+    """(variant_id, tok): the first numbers of a variant's DNA and protein change."""
+    spots = F.array(hgvs.first_digit_run(F.col("var_dna")), hgvs.first_digit_run(F.col("plong")))
+    return variants.select("variant_id", F.explode(F.array_distinct(F.array_compact(spots))).alias("tok"))
+
+
+def position_candidates(chunks: DataFrame, variants: DataFrame) -> DataFrame:
+    """(paper_id, chunk_seq, variant_id, tok): chunks that hold a variant's position as a whole number; ids only."""
+    runs = chunks.where(F.col("text").rlike("[0-9]")).select("paper_id", "chunk_seq", F.explode(F.array_distinct(hgvs.digit_runs(F.col("text")))).alias("tok"))
+    return runs.join(positions(variants), "tok").select("paper_id", "chunk_seq", "variant_id", "tok")
+
+
+def stands_alone(body: Column, number: Column) -> Column:
+    """Whether a text holds a number with any other sign on both sides."""
+    return F.regexp_like(body, F.concat(F.lit(r"(?U)\D"), number, F.lit(r"\D")))
 
 
 def position_fallback(chunks: DataFrame, variants: DataFrame, hits: DataFrame) -> DataFrame:
     """(paper_id, chunk_seq, variant_id): chunks with the bare position, for pairs of paper and variant without any hit."""
-    spots = variants.select("variant_id", hgvs.first_digit_run(F.col("var_dna")).alias("d"), hgvs.first_digit_run(F.col("plong")).alias("p"))
-    spots = spots.select("variant_id", F.explode(F.array_distinct(F.array_compact(F.array("d", "p")))).alias("tok"))
-    held = chunks.where(F.col("text").rlike("[0-9]")).select("paper_id", "chunk_seq", "text", F.explode(F.array_distinct(hgvs.digit_runs(F.col("text")))).alias("tok"))
-    near = held.join(spots, "tok").where(F.regexp_like("text", F.concat(F.lit(r"(?U)\D"), F.col("tok"), F.lit(r"\D"))))
-    return near.select("paper_id", "chunk_seq", "variant_id").distinct().join(hits.select(*PAIR).distinct(), PAIR, "left_anti")
-
-
-def retrieve(chunks: DataFrame, variants: DataFrame, how: str = "token") -> DataFrame:
-    """match() and, for pairs that it leaves empty, position_fallback(): rows with match_kind `form` or `position`."""
-    hits = match(chunks, variants, how)
-    spots = position_fallback(chunks, variants, hits)
-    flags = [F.lit(False).alias(c) for c in ("by_dna", "by_long", "by_short")]
-    return hits.withColumn("match_kind", F.lit("form")).unionByName(spots.select("*", *flags, F.lit("position").alias("match_kind")))
+    missed = position_candidates(chunks, variants).join(hits.select(*PAIR).distinct(), PAIR, "left_anti")
+    near = missed.join(chunks, ["paper_id", "chunk_seq"]).where(stands_alone(F.col("text"), F.col("tok")))
+    return near.select("paper_id", "chunk_seq", "variant_id").distinct()
+
+
+def retrieve(chunks: DataFrame, variants: DataFrame) -> DataFrame:
+    """match() and, for pairs that it leaves empty, position_fallback(), in one pass: rows with match_kind `form` or `position`.
+
+    Candidates of both kinds are joined with their text once and judged once;
+    whether a pair of paper and variant has any form is a window over the pair,
+    whose partitioning serves the counts and ranks that follow.
+    """
+    none = F.array().cast("array<string>")
+    near = position_candidates(chunks, variants).groupBy("paper_id", "chunk_seq", "variant_id").agg(F.collect_set("tok").alias("numbers"))
+    both = candidates(chunks, variants).withColumn("numbers", none).unionByName(near)
+    pairs = both.groupBy("paper_id", "chunk_seq", "variant_id").agg(F.flatten(F.collect_list("numbers")).alias("numbers"))
+    rows = pairs.join(chunks, ["paper_id", "chunk_seq"]).join(variants.select("variant_id", "dna_pattern", "plong", "pshort"), "variant_id")
+    judged = form_flags(rows).withColumn("near", F.exists("numbers", lambda t: stands_alone(F.col("text"), t)))
+    judged = judged.select("paper_id", "chunk_seq", "variant_id", "by_dna", "by_long", "by_short", F.expr("by_dna OR by_long OR by_short").alias("form"), "near").where("form OR near")
+    known = judged.withColumn("any_form", F.bool_or("form").over(Window.partitionBy(*PAIR))).where("form OR NOT any_form")
+    return known.select("paper_id", "chunk_seq", "variant_id", "by_dna", "by_long", "by_short", F.when(F.col("form"), "form").otherwise("position").alias("match_kind"))
 
 
 def top_chunks(retrieved: DataFrame, k: int = 5) -> DataFrame:

@@ -8,22 +8,44 @@ from pyspark.sql import functions as F
 # States, response codes and the published limits of the conversion service.
 DONE, FAILED = "done", "failed"
 RUNNING = ("pending", "running", "converting")
-LIGHT_RUNNING = ("waiting-file", "uploading", *RUNNING)
-LOCAL_STATES = {"completed": DONE, "failed": FAILED, "processing": "running", "pending": "pending"}
+#: The states of each kind of task: which one is done, which has failed, which go on.
+VOCABULARIES = {
+    "precise": (DONE, FAILED, RUNNING),
+    "light": (DONE, FAILED, ("waiting-file", "uploading", "pending", "running")),
+    "local": ("completed", FAILED, ("pending", "processing")),
+}
 AUTH_CODES = ("401", "A0202", "A0211")
-MAX_FILES, MAX_MB, MAX_PAGES = 200, 200, 200
-LIGHT_MB, LIGHT_PAGES = 10, 20
+MAX_FILES = 200
+#: Megabytes and pages of a file, by tier.
+LIMITS = {"precise": (200, 200), "light": (10, 20)}
 ENVELOPE = "code string, msg string, trace_id string, data string"
 TASK = "task_id string, state string, full_zip_url string, err_msg string, data_id string, extract_progress struct<extracted_pages:int,total_pages:int>"
 SESSION_HOURS = 24
 
 
-def is_terminal(state: Column) -> Column:
-    return state.isin(DONE, FAILED)
+def is_terminal(state: Column, vocabulary: str = "precise") -> Column:
+    done, failed, _ = VOCABULARIES[vocabulary]
+    return state.isin(done, failed)
 
 
-def is_running(state: Column) -> Column:
-    return state.isin(*RUNNING)
+def is_failed(state: Column, vocabulary: str = "precise") -> Column:
+    return state == VOCABULARIES[vocabulary][1]
+
+
+def is_running(state: Column, vocabulary: str = "precise") -> Column:
+    return state.isin(*VOCABULARIES[vocabulary][2])
+
+
+def judge_states(tasks: DataFrame) -> DataFrame:
+    """tasks (vocabulary, state) with terminal, failed and running by the vocabulary's own states; null for an unknown vocabulary."""
+
+    def by(test) -> Column:
+        flag = F.lit(None).cast("boolean")
+        for v in VOCABULARIES:
+            flag = F.when(F.col("vocabulary") == v, test(F.col("state"), v)).otherwise(flag)
+        return flag
+
+    return tasks.withColumns({"terminal": by(is_terminal), "failed": by(is_failed), "running": by(is_running)})
 
 
 def classify_response(http_status: Column, body: Column) -> Column:
@@ -37,9 +59,10 @@ def classify_response(http_status: Column, body: Column) -> Column:
     )
 
 
-def validate_batches(files: DataFrame) -> DataFrame:
-    """(batch_id, n_files, violations) of files (batch_id, mb, pages): only the number of files refuses a batch."""
-    counted = files.groupBy("batch_id").agg(F.count("path").alias("n_files"), F.count_if(F.col("mb") > MAX_MB).alias("heavy"), F.count_if(F.col("pages") > MAX_PAGES).alias("long"))
+def validate_batches(files: DataFrame, tier: str = "precise") -> DataFrame:
+    """(batch_id, n_files, violations) of files (batch_id, mb, pages) by the tier's limits: only the number of files refuses a batch."""
+    mb, pages = LIMITS[tier]
+    counted = files.groupBy("batch_id").agg(F.count("path").alias("n_files"), F.count_if(F.col("mb") > mb).alias("heavy"), F.count_if(F.col("pages") > pages).alias("long"))
     broken = F.array_compact(F.array(
         F.when(F.col("n_files") == 0, "empty"), F.when(F.col("n_files") > MAX_FILES, "too many files"),
         F.when(F.col("heavy") > 0, "file over size"), F.when(F.col("long") > 0, "file over pages"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,21 +12,11 @@ from ..operators import manifest as mf
 from ..operators import retrieve as rt
 from ..operators import tables as tb
 from ..operators import tasks as tk
+from . import files  # noqa: F401 - registers its queries
 from . import fixtures as fx
+from .registry import ORACLE_SQL, QUERIES, register
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def register(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = fx.with_(sql)
-        return f
-
-    return add
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def c(name: str):
@@ -185,6 +173,16 @@ def j01_match_nested(spark, sf):
     return rt.match(fx.chunks(spark, sf), fx.prepared(spark))
 
 
+@register("SELECT paper_id, chunk_seq, variant_id FROM chunks, variants WHERE coalesce(contains(lower(text), lower(nullif(pshort, ''))), false) OR contains(text, c_variant)")
+def x02_matcher_plugin(spark, sf):
+    """A matcher of the user's own: the short protein form in any case, or the change as it is written."""
+
+    def matcher(body, variant):
+        return F.contains(F.lower(body), F.lower(F.nullif(variant["pshort"], F.lit("")))) | F.contains(body, variant["c_variant"])
+
+    return rt.match_with(fx.chunks(spark, sf), fx.prepared(spark), matcher)
+
+
 @register("SELECT paper_id, chunk_seq, variant_id FROM spots")
 def r06_position_fallback(spark, sf):
     chunks, variants = fx.chunks(spark, sf), fx.prepared(spark)
@@ -329,11 +327,16 @@ def f11_row_at(spark, sf):
     return tb.row_at(fx.grid(spark, sf), 1).select("paper_id", "c", "text")
 
 
-@register()
+PAGE_TEXTS = """SELECT paper_id, CAST(unnest(range(0, len(l))) AS INT) AS r, unnest(l) AS t FROM (SELECT page_id AS paper_id, regexp_extract_all(html, '>([^<>]+)<', 1) AS l FROM pages)"""
+
+
+@register(f"""
+SELECT paper_id, 0 AS table_seq, 'body' AS part, r, c, CASE WHEN c = 0 THEN 'all' ELSE replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') END AS text
+FROM ({PAGE_TEXTS}), (VALUES (0), (1)) v(c)""")
 def t01_t02_page_tables(spark, sf):
-    """The list items of the raw pages as tables of two columns, one cell spanning all rows: markup to grid."""
-    items = F.regexp_extract_all("html", F.lit("(?is)<p[^>]*>(.*?)</p>"), 1)
-    rows = F.transform(items, lambda s, i: F.concat(F.lit("<tr>"), F.when(i == 0, F.lit("<td rowspan=0>all</td>")).otherwise(""), F.lit("<td colspan='1'>"), s, F.lit("</td></tr>")))
+    """All texts of the raw pages as tables of two columns, one cell spanning all rows: markup to grid."""
+    texts = F.regexp_extract_all("html", F.lit(">([^<>]+)<"), 1)
+    rows = F.transform(texts, lambda s, i: F.concat(F.lit("<tr>"), F.when(i == 0, F.lit("<td rowspan=0>all</td>")).otherwise(""), F.lit("<td colspan='1'>"), s, F.lit("</td></tr>")))
     raw = fx.table(spark, sf, "pages").select(c("page_id").alias("paper_id"), F.lit(0).alias("table_seq"), F.concat(F.lit("<table>"), F.array_join(rows, ""), F.lit("</table>")).alias("markup"))
     return tb.expand_spans(tb.table_cells(raw))
 
@@ -355,9 +358,16 @@ def _questions(spark, sf):
     return an.ask(fx.pairs(spark, sf), rt.stuff_context(top, chunks), variants)
 
 
-@register()
+ASKED = """
+SELECT x.paper_id, x.variant_id, alias_idx, qtype, CASE WHEN alias_idx = 0 THEN c_variant ELSE plong END AS alias, c_variant, context
+FROM context x JOIN variants v ON v.variant_id = x.variant_id, (VALUES (0), (1)) a(alias_idx), (VALUES (0), (1)) q(qtype) WHERE CASE WHEN alias_idx = 0 THEN c_variant ELSE nullif(plong, '') END IS NOT NULL"""
+PROMPT = """CASE WHEN qtype = 0 THEN 'Does the text mention the variant ' || alias || '? Begin with yes or no and quote the sentence.' || chr(10) || chr(10) || 'Text:' || chr(10) || context
+  ELSE 'Which variants occur in trans with ' || alias || ', one on each line? Say none if there are none.' || chr(10) || chr(10) || 'Text:' || chr(10) || context END"""
+
+
+@register(f"SELECT paper_id, variant_id, alias_idx, qtype, length({PROMPT}) AS n_chars, md5({PROMPT}) AS md5 FROM ({ASKED})")
 def e17_prompts(spark, sf):
-    return an.render_prompts(_questions(spark, sf)).select("paper_id", "variant_id", "alias_idx", "qtype", F.length("prompt").alias("n_chars"), F.md5("prompt").alias("md5"))
+    return an.render_prompts(_questions(spark, sf)).select("paper_id", "variant_id", "alias_idx", "qtype", F.length("prompt").cast("long").alias("n_chars"), F.md5("prompt").alias("md5"))
 
 
 @register(rf"""
@@ -444,11 +454,11 @@ def u02_comma_union(spark, sf):
 
 
 @register("""
-SELECT paper_id, 0 AS variant_id, 0 AS section_idx, CAST(pos AS BIGINT) AS pos, line FROM answer_lines WHERE pos < 2
+SELECT paper_id, 0 AS variant_id, 0 AS section_idx, CAST(pos AS BIGINT) AS pos, line FROM answer_lines
 UNION ALL SELECT paper_id, variant_id, CASE WHEN alias_idx = 0 THEN 1 ELSE 2 END, CAST(0 AS BIGINT), answer FROM good""")
 def u03_merge_evidence(spark, sf):
     good = _good(spark, sf).select("paper_id", "variant_id", F.lit(0).alias("pos"), c("answer").alias("line"), "alias_idx")
-    tables = fx.answer_lines(spark, sf).where("pos < 2").withColumn("variant_id", F.lit(0))
+    tables = fx.answer_lines(spark, sf).withColumn("variant_id", F.lit(0))
     return an.merge_evidence((0, tables), (1, good.where("alias_idx = 0")), (2, good.where("alias_idx = 1")))
 
 
@@ -553,6 +563,14 @@ def f06_validate_batches(spark, sf):
     return tk.validate_batches(files)
 
 
+@register("""
+SELECT batch_id, n_files, concat_ws('; ', CASE WHEN n_files > 200 THEN 'too many files' END, CASE WHEN heavy > 0 THEN 'file over size' END, CASE WHEN long > 0 THEN 'file over pages' END) AS violations, n_files <= 200 AS accepted
+FROM (SELECT user_id % 300 AS batch_id, count(*) AS n_files, count(*) FILTER (WHERE event_id % 12 > 10) AS heavy, count(*) FILTER (WHERE event_id % 23 > 20) AS long FROM events GROUP BY user_id % 300)""")
+def f06_validate_light_batches(spark, sf):
+    files = fx.table(spark, sf, "events").select((c("user_id") % 300).alias("batch_id"), c("event_id").cast("string").alias("path"), (c("event_id") % 12).alias("mb"), (c("event_id") % 23).alias("pages"))
+    return tk.validate_batches(files, "light")
+
+
 BODIES = """SELECT event_id, CASE WHEN event_id % 7 = 4 THEN 429 WHEN event_id % 7 = 6 THEN 500 ELSE 200 END AS http_status,
  CASE event_id % 7 WHEN 0 THEN '{"code": 0, "msg": "ok"}' WHEN 1 THEN '{"code": 401}' WHEN 2 THEN '{"code": "A0202", "msg": "no"}' WHEN 3 THEN '{"code": -60001}' WHEN 4 THEN '{"msg": "slow"}' WHEN 5 THEN '<html>' ELSE '{"msg": "oops"}' END AS body FROM """
 
@@ -566,7 +584,20 @@ def f12_classify_response(spark, sf):
 
 @register("SELECT task_id, ts, state IN ('done', 'failed') AS terminal, state = 'failed' AS failed, state IN ('pending', 'running', 'converting') AS running FROM task_events")
 def f13_state_predicates(spark, sf):
-    return fx.task_events(spark, sf).select("task_id", c("ts").cast("timestamp_ntz").alias("ts"), tk.is_terminal(c("state")).alias("terminal"), (c("state") == tk.FAILED).alias("failed"), tk.is_running(c("state")).alias("running"))
+    return fx.task_events(spark, sf).select("task_id", c("ts").cast("timestamp_ntz").alias("ts"), tk.is_terminal(c("state")).alias("terminal"), tk.is_failed(c("state")).alias("failed"), tk.is_running(c("state")).alias("running"))
+
+
+WORDS = "CASE event_id % 9 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'converting' WHEN 3 THEN 'waiting-file' WHEN 4 THEN 'uploading' WHEN 5 THEN 'processing' WHEN 6 THEN 'completed' WHEN 7 THEN 'done' ELSE 'failed' END"
+KINDS = "CASE event_id % 4 WHEN 0 THEN 'precise' WHEN 1 THEN 'light' WHEN 2 THEN 'local' ELSE 'unheard-of' END"
+
+
+@register(f"""
+SELECT event_id, CASE vocabulary WHEN 'precise' THEN state IN ('done', 'failed') WHEN 'light' THEN state IN ('done', 'failed') WHEN 'local' THEN state IN ('completed', 'failed') END AS terminal,
+  CASE WHEN vocabulary <> 'unheard-of' THEN state = 'failed' END AS failed,
+  CASE vocabulary WHEN 'precise' THEN state IN ('pending', 'running', 'converting') WHEN 'light' THEN state IN ('waiting-file', 'uploading', 'pending', 'running') WHEN 'local' THEN state IN ('pending', 'processing') END AS running
+FROM (SELECT event_id, {KINDS} AS vocabulary, {WORDS} AS state FROM events)""")
+def f13_state_vocabularies(spark, sf):
+    return tk.judge_states(fx.table(spark, sf, "events").select("event_id", F.expr(KINDS).alias("vocabulary"), F.expr(WORDS).alias("state"))).select("event_id", "terminal", "failed", "running")
 
 
 @register("SELECT task_id, batch_id, state, ts FROM latest")
@@ -621,15 +652,21 @@ def _stream(spark, sf):
 @register("SELECT task_id, batch_id, state, ts FROM latest")
 def st1_w03_tracked_tasks(spark, sf):
     """The stream's last state of each task, as its sink holds it at the end."""
-    from ..streaming.tasks import track_batches
+    from ..streaming.tasks import current, track_batches
 
     out = fx.scratch(spark)
     track_batches(_stream(spark, sf), fx.batches(spark, sf), f"{out}/tasks", f"{out}/checkpoint").awaitTermination()
-    latest = tk.latest_status(spark.read.parquet(f"{out}/tasks/changes").drop("batch"))
-    return latest.withColumn("ts", c("ts").cast("timestamp_ntz"))
+    return current(spark, f"{out}/tasks/tasks").select("task_id", "batch_id", "state", c("ts").cast("timestamp_ntz").alias("ts"))
 
 
-@register()
+FIRST = "SELECT task_id, date_trunc('milliseconds', min(ts)) + INTERVAL 86400 SECOND AS due FROM task_events GROUP BY task_id"
+ENDED = f"""SELECT t.task_id, state, ts, row_number() OVER (PARTITION BY t.task_id ORDER BY ts, state) AS n FROM task_events t JOIN ({FIRST}) f ON f.task_id = t.task_id
+  WHERE state IN ('done', 'failed') AND date_trunc('milliseconds', ts) <= due"""
+
+
+@register(f"""
+SELECT CAST(f.task_id AS VARCHAR) AS task_id, coalesce(state, 'timeout') AS outcome, CASE WHEN state IS NULL THEN due ELSE ts END AS ts FROM ({FIRST}) f LEFT JOIN ({ENDED}) e ON e.task_id = f.task_id AND n = 1
+WHERE state IS NOT NULL OR due <= (SELECT max(ts) - INTERVAL 1 HOUR FROM task_events)""")
 def st1_task_outcomes(spark, sf):
     """Each task's outcome by its own state and timer: done, failed or timeout."""
     from ..streaming.tasks import track_tasks
@@ -637,17 +674,17 @@ def st1_task_outcomes(spark, sf):
     out = fx.scratch(spark)
     tracked = track_tasks(_stream(spark, sf).select(c("task_id").cast("string").alias("task_id"), "state", "ts"), deadline=86_400)
     tracked.writeStream.outputMode("append").format("parquet").option("path", f"{out}/outcomes").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("task_id string, outcome string, ts timestamp").parquet(f"{out}/outcomes")
+    return spark.read.schema("task_id string, outcome string, ts timestamp").parquet(f"{out}/outcomes").withColumn("ts", c("ts").cast("timestamp_ntz"))
 
 
 @register(BATCH_STATES)
 def st2_tracked_batches(spark, sf):
     """The state of each batch that the stream keeps, at its end."""
-    from ..streaming.tasks import track_batches
+    from ..streaming.tasks import current, track_batches
 
     out = fx.scratch(spark)
     track_batches(_stream(spark, sf), fx.batches(spark, sf), f"{out}/batches", f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/batches/state")
+    return current(spark, f"{out}/batches/state")
 
 
 @register("SELECT DISTINCT doc_id AS pmid FROM documents")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hgvs import RESIDUES
 from ..operators import retrieve
+from ..shared import shared_folder
 
 #: Variants 0 to VARIANTS - 1 are asked about.
 VARIANTS = 20
@@ -75,10 +75,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(paper_id, variant_id): every paper is asked about a third of the variants."""
+    """(paper_id, variant_id): every paper is asked about every variant."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"))
-    asked = F.filter(F.sequence(F.lit(0), F.lit(VARIANTS - 1)), lambda v: (F.col("paper_id") + v) % 3 == 0)
-    return docs.select("paper_id", F.explode(asked).alias("variant_id"))
+    return docs.select("paper_id", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("variant_id"))
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,11 +120,8 @@ def answer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, or one of our own where it is unset."""
-    if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
-        folder = tempfile.mkdtemp(prefix="spark-lectern-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    """A new folder that all executors share."""
+    return f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def task_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
@@ -233,7 +229,7 @@ SELECT DISTINCT paper_id, chunk_seq, variant_id FROM chunks, variants
 WHERE (regexp_matches(text, '[^0-9]' || regexp_extract(var_dna, '[0-9]+') || '[^0-9]') OR coalesce(regexp_matches(text, '[^0-9]' || nullif(regexp_extract(plong, '[0-9]+'), '') || '[^0-9]'), false))
   AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.paper_id = chunks.paper_id AND h.variant_id = variants.variant_id)""",
     "retrieved": "SELECT *, 'form' AS match_kind FROM hits UNION ALL SELECT *, false, false, false, 'position' FROM spots",
-    "pairs": f"SELECT paper_id, v AS variant_id FROM (SELECT doc_id AS paper_id, CAST(unnest(range(0, {VARIANTS})) AS INT) AS v FROM documents) WHERE (paper_id + v) % 3 = 0",
+    "pairs": f"SELECT paper_id, v AS variant_id FROM (SELECT doc_id AS paper_id, CAST(unnest(range(0, {VARIANTS})) AS INT) AS v FROM documents)",
     "top": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, variant_id ORDER BY chunk_seq) AS rank FROM retrieved) WHERE rank <= 5",
     "counters": """
 SELECT p.paper_id, p.variant_id, count(*) FILTER (WHERE by_dna) AS dna_chunks, count(*) FILTER (WHERE by_long) AS long_chunks, count(*) FILTER (WHERE by_short) AS short_chunks,

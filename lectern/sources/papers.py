@@ -12,13 +12,16 @@ ARTICLE_TEXTS = ("//content/text()", "//abstract/text()", "//text/text()", "//ma
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(paper_id, path, body): whole files, named by their file name, without control bytes and document type."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
-    return named(files)
+    """(paper_id, path, body): whole files, without control bytes and document type.
+
+    A paper is named by its file, or by the folder where the files lie in folders paper_id=...
+    """
+    files = spark.read.text(path, wholetext=True).withColumnRenamed("value", "body")
+    return named(files.select("*", F.col("_metadata.file_path").alias("path")))
 
 
 def named(files: DataFrame) -> DataFrame:
-    paper = F.regexp_extract("path", r"([^/]+?)(\.[A-Za-z0-9]+)?$", 1)
+    paper = F.col("paper_id") if "paper_id" in files.columns else F.regexp_extract("path", r"([^/]+?)(\.[A-Za-z0-9]+)?$", 1)
     body = F.regexp_replace(scrub_control(F.col("body")), r"(?s)<!DOCTYPE[^>\[]*(\[.*?\])?\s*>", "")
     return files.select(paper.alias("paper_id"), "path", body.alias("body"))
 
@@ -64,17 +67,23 @@ def is_table(kind: Column) -> Column:
 
 
 def bioc_tables(passages: DataFrame) -> DataFrame:
-    """(paper_id, table_seq, name, markup) of table passages, over all documents of a collection."""
+    """(paper_id, table_seq, name, markup) of table passages, over all documents of a collection in their order."""
     rows = passages.where(is_table(F.col("type"))).select("paper_id", "doc_seq", "seq", F.col("infons")["id"].alias("name"), F.col("infons")["xml"].alias("markup")).where("markup IS NOT NULL")
-    return rows.select("paper_id", (F.col("doc_seq") * 1_000_000 + F.col("seq")).alias("table_seq"), "name", "markup")
+    order = Window.partitionBy("paper_id").orderBy("doc_seq", "seq")
+    return rows.select("paper_id", (F.row_number().over(order) - 1).alias("table_seq"), "name", "markup")
 
 
 def article_tables(files: DataFrame) -> DataFrame:
-    """(paper_id, table_seq, name, markup) of tables with a head and a body in article XML; cells are td alone."""
+    """(paper_id, table_seq, name, markup) of the tables in article XML; cells are td alone, their texts stripped.
+
+    A table needs a body; without a head its first row will serve as one, so it needs a second.
+    """
     markup = F.regexp_extract_all("body", F.lit(r"(?is)(<table\b.*?</table>)"), 1)
     rows = parsed(files).where("bioc IS NULL").select("paper_id", F.posexplode(markup).alias("table_seq", "markup"))
-    whole = F.col("markup").rlike("(?i)<thead") & F.col("markup").rlike("(?i)<tbody")
-    return rows.where(whole).select("paper_id", "table_seq", F.lit(None).cast("string").alias("name"), F.regexp_replace("markup", r"(?is)<th\b.*?</th>", "").alias("markup"))
+    body = F.regexp_extract("markup", r"(?is)<tbody[^>]*>(.*?)</tbody>", 1)
+    whole = (F.regexp_count(body, F.lit(r"(?i)<tr\b")) > F.when(F.col("markup").rlike("(?i)<thead"), 0).otherwise(1)) & F.col("markup").rlike("(?i)<tbody")
+    cells = F.regexp_replace(F.regexp_replace("markup", r"(?is)<th\b.*?</th>", ""), r"(?i)(<td\b[^>]*>)\s+|\s+(</td>)", "$1$2")
+    return rows.where(whole).select("paper_id", "table_seq", F.lit(None).cast("string").alias("name"), cells.alias("markup"))
 
 
 def markdown_tables(files: DataFrame) -> DataFrame:
@@ -84,11 +93,16 @@ def markdown_tables(files: DataFrame) -> DataFrame:
 
 
 def read_csv_tables(spark: SparkSession, path: str, columns: int) -> tuple[DataFrame, DataFrame]:
-    """Headerless CSV files, a row to a line, as grid cells (paper_id, table_seq, part, r, c, text), and the lines that could not be read."""
+    """Headerless CSV files as grid cells (paper_id, table_seq, part, r, c, text), and the records that could not be read.
+
+    A quoted field may hold line ends. A file is read in one piece, so its rows keep their order.
+    """
     schema = ", ".join(f"c{i} string" for i in range(columns)) + ", _bad string"
-    lines = spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[A-Za-z0-9]+)?$", 1).alias("paper_id"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "quote": '"', "escape": '"'}
-    rows = lines.where("line <> ''").withColumn("v", F.from_csv("line", schema, options))
-    good = rows.where("v._bad IS NULL").withColumn("r", F.row_number().over(Window.partitionBy("paper_id").orderBy("at")) - 1)
-    cells = good.select("paper_id", F.lit(0).alias("table_seq"), F.lit("body").alias("part"), "r", F.posexplode(F.array(*(f"v.c{i}" for i in range(columns)))).alias("c", "text"))
-    return cells, rows.where("v._bad IS NOT NULL").select("paper_id", "line")
+    rows = spark.read.csv(path, schema=schema, header=False, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", quote='"', escape='"', emptyValue="")
+    paper = F.col("paper_id") if "paper_id" in rows.columns else F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[A-Za-z0-9]+)?$", 1)
+    # all columns are read, as a record counts as broken by those that are
+    told = F.coalesce(F.nullif("_bad", F.lit("")), *(f"c{i}" for i in range(columns)))
+    rows = rows.select(paper.alias("paper_id"), "_bad", told.alias("line"), F.monotonically_increasing_id().alias("at"), F.array(*(f"c{i}" for i in range(columns))).alias("row"))
+    good = rows.where("_bad IS NULL").withColumn("r", F.row_number().over(Window.partitionBy("paper_id").orderBy("at")) - 1)
+    cells = good.select("paper_id", F.lit(0).alias("table_seq"), F.lit("body").alias("part"), "r", F.posexplode("row").alias("c", "text"))
+    return cells, rows.where("_bad IS NOT NULL").select("paper_id", "line")

@@ -49,14 +49,11 @@ def write_failed_ids(fetch_log: DataFrame, path: str) -> None:
 def write_papers(papers: DataFrame, path: str) -> None:
     """Add papers (pmid, body) that are not there yet, in folders by a hash of the id; running it again adds nothing."""
     spark = papers.sparkSession
-    try:
-        there = spark.read.parquet(path).select("pmid")
-        new = papers.join(there, "pmid", "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        new = papers
-    new.dropDuplicates(["pmid"]).withColumn("pmid_bucket", F.pmod(F.xxhash64("pmid"), F.lit(PAPER_BUCKETS)).cast("int")).write.mode("append").partitionBy("pmid_bucket").parquet(path)
+    papers.limit(0).write.mode("append").parquet(path)  # the first time, the table is there but empty
+    there = spark.read.schema(papers.schema).parquet(path).select("pmid")
+    new = papers.join(there, "pmid", "left_anti").dropDuplicates(["pmid"])
+    bucket = F.pmod(F.xxhash64("pmid"), F.lit(PAPER_BUCKETS)).cast("int")
+    new.withColumn("pmid_bucket", bucket).write.mode("append").partitionBy("pmid_bucket").parquet(path)
 
 
 def write_reports(reports: DataFrame, path: str) -> None:

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators.tasks import DONE, FAILED, batch_states, latest_status
+from ..operators.tasks import DONE, FAILED, batch_states
 
 #: Seconds after its first event at which a task that has not ended is given up.
 DEADLINE = 600
@@ -71,19 +71,32 @@ def track_tasks(events: DataFrame, deadline: int = DEADLINE, late: str = "1 hour
     return timed.groupBy("task_id").transformWithStateInPandas(TaskTracker(deadline), f"task_id {kind}, outcome string, ts timestamp", "Append", "EventTime")
 
 
-def track_batches(events: DataFrame, batches: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keep the table at path/state at the current state of each batch of a stream (task_id, batch_id, state, ts).
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The table that a stream keeps at path, as its last whole micro-batch left it."""
+    rows = spark.read.parquet(path)
+    return rows.join(F.broadcast(rows.agg(F.max("version").alias("version"))), "version").drop("version", "slot")
+
 
-    Only tasks that changed come out of the stream's aggregate; they are added to
-    path/changes, under the number of the micro-batch so that a repeated one
-    replaces itself, and the states are rolled up from there.
+def track_batches(events: DataFrame, batches: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keep the tables at path/tasks and path/state at the last state of each task and batch of a stream (task_id, batch_id, state, ts).
+
+    Only tasks that changed come out of the stream's aggregate; they replace
+    their rows in the tasks' table, and the states are rolled up from it, so a
+    micro-batch costs what the tasks are and not what the stream has been. Each
+    table lies in two slots that micro-batches write in turn, each from the
+    other: one that is repeated replaces itself, and readers (see current) always
+    find a whole version.
     """
 
     def merge(changed: DataFrame, number: int) -> None:
-        spark = changed.sparkSession
-        changed.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
-        latest = latest_status(spark.read.parquet(f"{path}/changes").drop("batch"))
-        batch_states(batches, latest).write.mode("overwrite").parquet(f"{path}/state")
+        spark, slot = changed.sparkSession, number % 2
+        latest = changed.select("task_id", "batch_id", "state", "ts")
+        if number:
+            before = spark.read.parquet(f"{path}/tasks/slot={1 - slot}").drop("version")
+            latest = before.join(latest, "task_id", "left_anti").unionByName(latest)
+        latest.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{path}/tasks/slot={slot}")
+        rolled = batch_states(batches, spark.read.parquet(f"{path}/tasks/slot={slot}"))
+        rolled.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{path}/state/slot={slot}")
 
     last = events.groupBy("task_id").agg(F.max(F.struct("ts", "state", "batch_id")).alias("e")).select("task_id", "e.*")
     return last.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(merge).start()
