@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_folder
+
 #: ASCII white space: the space and 0x09-0x0D.
 SPACE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -25,10 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: in spark.checkpoint.dir, which the cluster or the tests' session must name."""
-    if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{folder.rstrip('/')}/lectern"
+    """Where tables are cut: in the folder that all executors share."""
+    return f"{shared_folder(spark)}/lectern"
 
 
 def cut(df: DataFrame) -> DataFrame:
