@@ -495,10 +495,68 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
     return an.build_report(pairs, an.bullet_list(lines, an.PAIR, "pos", "line"), an.compose_mention(good), trans, _diagnostics(spark, sf))
 
 
-@register()
+MENTIONS = rf"""
+SELECT paper_id, variant_id, string_agg(CASE WHEN alias_idx = 0 THEN 'DNA match: ' ELSE 'Protein match: ' END || m, chr(10) ORDER BY alias_idx, m) FILTER (WHERE contains(lower(m), 'yes')) AS mention FROM (
+  SELECT *, CASE WHEN contains(context, alias) THEN 'yes: ' || regexp_replace(substr(context, greatest(instr(context, alias) - 80, 1), length(alias) + least(instr(context, alias) - 1, 80) + 80), '[ \t-\r]+', ' ', 'g') ELSE 'none' END AS m
+  FROM ({ASKED}) WHERE qtype = 0) GROUP BY paper_id, variant_id"""
+CHANGES = an.CHANGE.replace(r"\s", r"[ \t-\r]")
+TRANS = rf"""
+SELECT paper_id, variant_id, string_agg('- ' || p, chr(10) ORDER BY i) AS trans FROM (
+  SELECT paper_id, m.variant_id, regexp_replace(m, '[ \t-\r]+', '', 'g') AS p, min(i) AS i FROM (
+    SELECT paper_id, variant_id, generate_subscripts(l, 1) AS i, unnest(l) AS m FROM (SELECT *, regexp_extract_all(context, '{CHANGES}') AS l FROM context x)) m
+  JOIN variants v ON v.variant_id = m.variant_id WHERE regexp_replace(m, '[ \t-\r]+', '', 'g') <> c_variant GROUP BY ALL) GROUP BY paper_id, variant_id"""
+TABLE_LINES = """
+SELECT h.paper_id, h.variant_id, string_agg('- ' || line, chr(10) ORDER BY h.r, line) AS lines FROM (
+  SELECT DISTINCT g.paper_id, v.variant_id, g.r FROM grid g JOIN pairs p ON p.paper_id = g.paper_id JOIN variants v ON v.variant_id = p.variant_id
+  WHERE part = 'body' AND (contains(text, regexp_extract(c_variant, '[0-9]+')) OR coalesce(contains(text, nullif(regexp_extract(plong, '[0-9]+'), '')), false))) h
+JOIN (SELECT g.paper_id, g.r, string_agg(coalesce(header, '') || ': ' || coalesce(text, ''), '; ' ORDER BY g.c) AS line FROM grid g LEFT JOIN headers h ON h.paper_id = g.paper_id AND h.c = g.c WHERE part = 'body' GROUP BY g.paper_id, g.r) l
+  ON l.paper_id = h.paper_id AND l.r = h.r GROUP BY h.paper_id, h.variant_id"""
+
+
+def _said(label: str, value: str) -> str:
+    return f"'- {label}: ' || coalesce(nullif({value}, ''), 'n/a')"
+
+
+def _counted(label: str, n: str, flag: str) -> str:
+    return f"'- {label}: ' || CAST({n} AS VARCHAR) || CASE WHEN {flag} THEN ' (yes)' ELSE ' (no)' END"
+
+
+_YES = "CASE WHEN {} THEN 'yes' ELSE 'no' END"
+_NUMBER = r"'\D' || nullif(regexp_extract({}, '[0-9]+'), '') || '\D'"
+DIAGNOSTICS = ", ".join((
+    "'### 1. Input'", _said("HGVS name", "hgvs"), _said("DNA change", "var_dna"),
+    "chr(10) || '### 2. Name lookup'", _said("Status", "protein_status"), _said("Protein description", "description"), _said("Without p.()", fx._BODY),
+    "chr(10) || '### 3. Forms'", _said("Long form", "plong"), _said("Short form", "pshort"), _said("Numbers for tables", "array_to_string(regexp_extract_all(plong, '[0-9]+'), ',')"),
+    "chr(10) || '### 4. Search'", _said("DNA pattern", "dna_pattern"), _counted("DNA chunks", "dna_chunks", "dna_matched"), _counted("Long-form chunks", "long_chunks", "long_matched"), _counted("Short-form chunks", "short_chunks", "short_matched"),
+    "chr(10) || '### 5. Position fallback'", _said("Triggered", _YES.format("fallback_triggered")), _said("DNA position", _NUMBER.format("var_dna")), _said("Protein position", _NUMBER.format("plong")), _counted("Chunks", "fallback_chunks", "fallback_matched"),
+    "chr(10) || '### 6. Summary'", _said("Found", _YES.format("total_chunks > 0")), _said("Chunks in all", "CAST(total_chunks AS VARCHAR)"), _said("Short form", "pshort"),
+))
+REPORT = f"""
+SELECT c.paper_id, c.variant_id, 'Evidence summary' AS title, 4 AS n_sections,
+  'Variant and genotype in tables' || chr(10) || coalesce(lines, 'No table evidence') || chr(10) || chr(10) || 'Variant in the text' || chr(10) || coalesce(mention, 'Variant not found in the text') || chr(10) || chr(10)
+  || 'Variants in trans in the text' || chr(10) || coalesce(trans, 'None') || chr(10) || chr(10) || 'Diagnostics' || chr(10) || concat_ws(chr(10), {DIAGNOSTICS}) AS report
+FROM counters c JOIN variants v ON v.variant_id = c.variant_id LEFT JOIN ({TABLE_LINES}) t ON t.paper_id = c.paper_id AND t.variant_id = c.variant_id
+LEFT JOIN ({MENTIONS}) m ON m.paper_id = c.paper_id AND m.variant_id = c.variant_id LEFT JOIN ({TRANS}) x ON x.paper_id = c.paper_id AND x.variant_id = c.variant_id"""
+
+
+def _flat(r):
+    parts = F.transform("report.sections", lambda s: F.concat(s["title"], F.lit("\n"), s["body"]))
+    return r.select("paper_id", "variant_id", c("report.title").alias("title"), F.size("report.sections").alias("n_sections"), F.array_join(parts, "\n\n").alias("report"))
+
+
+@register(REPORT)
 def a09_a11_reports(spark, sf):
-    r = reports(spark, sf)
-    return r.select("paper_id", "variant_id", c("report.title").alias("title"), F.size("report.sections").alias("n_sections"), F.transform("report.sections", lambda s: F.concat(s["title"], F.lit("\n"), s["body"])).alias("s")).select("paper_id", "variant_id", "title", "n_sections", F.array_join("s", "\n\n").alias("report"))
+    return _flat(reports(spark, sf))
+
+
+@register(REPORT)
+def s13_write_reports(spark, sf):
+    """The reports as their sink keeps them."""
+    from ..sources.reference import write_reports
+
+    path = fx.scratch(spark)
+    write_reports(reports(spark, sf), path)
+    return _flat(spark.read.parquet(path))
 
 
 # Manifests and evaluation
