@@ -18,9 +18,9 @@ from pyspark.sql import types as T
 from .common import cut, held, slices, words_of
 
 #: Encoded words that a Python worker keeps from task to task, twice: those met lately, and those before them.
-WORDS = 400_000
+WORDS = 200_000
 #: Bytes of text encoded at once: the more, the fewer words are looked up twice.
-SLICE = 8 << 20
+SLICE = 6 << 20
 #: Words or texts given to the tokenizer at once: an encoding is large.
 BATCH = 2000
 #: The token after each document.
