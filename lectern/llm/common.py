@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import shared_folder
@@ -38,6 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_told(df: DataFrame, **what: Column) -> tuple[DataFrame, dict]:
+    """cut(), and aggregates over the rows, taken while they are written."""
+    told = Observation()
+    return cut(df.observe(told, *(c.alias(k) for k, c in what.items()))), told.get
+
+
 def written_order(files: DataFrame) -> list[Column]:
     """Columns that order the rows of a table read from Spark's files as they were written: by the writing task's number, then by the row in the file."""
     name = F.col("_metadata.file_name")
@@ -149,17 +155,19 @@ def components(edges: DataFrame) -> DataFrame:
     of an id with many partners meet only as partial minimums and as skewed
     joins, which Spark splits.
     """
-    pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
-    while True:
+
+    def told(rows: DataFrame) -> tuple[DataFrame, dict]:
+        return cut_told(rows, n=F.count(F.lit(1)), total=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+
+    pairs, state = told(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while state["n"]:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")).select("k", F.least("k", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         small = large.join(down, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        pairs = cut(small.select("e.*").where("u <> v").distinct())
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
+        pairs, now = told(small.select("e.*").where("u <> v").distinct())
+        if now == state:
             break
-        state = tuple(now)
+        state = now
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).union(pairs.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()

@@ -154,7 +154,7 @@ class Forest:
             root[:] = root[root]
 
 
-def links_in(units: DataFrame, dim: int, first: np.ndarray, budgets: np.ndarray, cosine: float, kind: str = "<f8") -> DataFrame:
+def links_in(units: DataFrame, dim: int, first: np.ndarray, budgets: np.ndarray, cosine: float, kind: str = "<f4") -> DataFrame:
     """(rep, other, n) from each unit of work: how many vectors rep links with there, and an edge of a spanning forest of the links.
 
     A pair is a candidate in each block whose budget it keeps. It is verified, in
