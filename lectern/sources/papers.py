@@ -105,4 +105,4 @@ def read_csv_tables(spark: SparkSession, path: str, columns: int) -> tuple[DataF
     rows = rows.select(paper.alias("paper_id"), "_bad", told.alias("line"), F.monotonically_increasing_id().alias("at"), F.array(*(f"c{i}" for i in range(columns))).alias("row"))
     good = rows.where("_bad IS NULL").withColumn("r", F.row_number().over(Window.partitionBy("paper_id").orderBy("at")) - 1)
     cells = good.select("paper_id", F.lit(0).alias("table_seq"), F.lit("body").alias("part"), "r", F.posexplode("row").alias("c", "text"))
-    return cells, rows.where("_bad IS NOT NULL").select("paper_id", "line")
+    return cells, rows.where("_bad IS NOT NULL AND line IS NOT NULL").select("paper_id", "line")

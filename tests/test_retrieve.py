@@ -72,3 +72,38 @@ def test_no_registered_match_tries_every_pair(spark, monkeypatch):
     monkeypatch.setattr(catalog.rt, "match", lambda chunks, variants, how="token": ways.append(how) or match(chunks, variants, how))
     catalog.j01_match_nested(spark, SMALL)
     assert ways and "nested" not in ways
+
+
+def test_forms_without_numbers_and_long_numbers(spark):
+    chunks = spark.createDataFrame([(1, 0, "x A > G y"), (1, 1, "DEL here"), (2, 0, "12345678901234567890"), (2, 1, "no 7"), (3, 0, "q35w"), (3, 1, "c.991234567890123A>T")], "paper_id long, chunk_seq int, text string")
+    variants = spark.createDataFrame([(0, "x:c.A>G"), (1, "x:c.del"), (2, "x:c.35"), (3, "x:c.1234567890123A>T"), (4, "x:c.90")], "variant_id int, hgvs string")
+    known = rt.prepare_variants(variants)
+    got = rows(rt.match(chunks, known))
+    assert got == rows(rt.match(chunks, known, "nested"))
+    assert {r[:3] for r in got} == {(1, 0, 0), (1, 1, 1), (3, 0, 2), (3, 1, 3), (2, 0, 4), (3, 1, 4)}
+
+
+def test_retrieval_in_one_pass_is_matching_then_fallback(spark):
+    chunks, variants = fx.chunks(spark, SMALL), fx.prepared(spark)
+    found = rt.retrieve(chunks, variants).collect()
+    hits = rt.match(chunks, variants)
+    spots = rt.position_fallback(chunks, variants, hits)
+    forms = {tuple(r) for r in hits.collect()}
+    assert {(r["paper_id"], r["chunk_seq"], r["variant_id"], r["by_dna"], r["by_long"], r["by_short"]) for r in found if r["match_kind"] == "form"} == forms
+    assert {(r["paper_id"], r["chunk_seq"], r["variant_id"]) for r in found if r["match_kind"] == "position"} == {tuple(r) for r in spots.collect()}
+    assert len(found) == len(forms) + spots.count()
+
+
+def test_user_matcher(spark):
+    from pyspark.sql import functions as F
+
+    chunks = spark.createDataFrame([(1, 0, "see L24R"), (1, 1, "see 24"), (2, 0, "none")], "paper_id long, chunk_seq int, text string")
+    variants = spark.createDataFrame([(0, "L24R"), (1, "none")], "variant_id int, name string")
+    every = chunks.select("paper_id", "chunk_seq").crossJoin(variants.select("variant_id"))
+    got = rt.match_with(chunks, variants, lambda body, v: F.contains(body, v["name"]), every)
+    assert rows(got) == [(1, 0, 0), (2, 0, 1)]
+
+
+def test_prose_is_of_the_first_document(spark):
+    passages = spark.createDataFrame([(1, 0, 0, "TITLE", "a"), (1, 0, 1, None, "b"), (1, 1, 0, "TITLE", "z"), (1, 0, 2, "ref", "r")], "paper_id long, doc_seq int, seq int, section_type string, text string")
+    assert rows(rt.flatten_papers(rt.prose(passages))) == [(1, "a\nb")]

@@ -1,7 +1,8 @@
 from datetime import datetime, timedelta
 
 from lectern.streaming.papers import arriving_files, ingest_new_papers
-from lectern.streaming.tasks import expire_sessions, track_tasks
+from lectern.operators.tasks import batch_states, latest_status
+from lectern.streaming.tasks import current, expire_sessions, track_batches, track_tasks
 
 START = datetime(2024, 1, 1)
 
@@ -34,3 +35,22 @@ def test_new_papers_land_once(spark, tmp_path):
         ingest_new_papers(arriving_files(spark, str(inbox)), "paper_id", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
         (inbox / "2.xml").write_text(f"<a>{body}</a>")
     assert sorted(r["paper_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1", "2"]
+
+
+def test_states_over_many_micro_batches(spark, tmp_path):
+    """The kept tables equal the batch roll-up after every part of the stream, also when a micro-batch is repeated."""
+    schema = "task_id long, batch_id long, state string, ts timestamp"
+    at = lambda s: START + timedelta(seconds=s)
+    parts = [[(1, 0, "running", at(0)), (2, 0, "running", at(1)), (3, 1, "pending", at(1))], [(1, 0, "done", at(5))], [(2, 0, "done", at(9)), (3, 1, "failed", at(9)), (4, 2, "converting", at(9))], [(4, 2, "done", at(7))]]
+    batches = spark.createDataFrame([(0,), (1,), (2,), (3,)], "batch_id long")
+    seen = []
+    for number, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        seen += part
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        track_batches(stream, batches, str(tmp_path / "kept"), str(tmp_path / "cp")).awaitTermination()
+        latest = latest_status(spark.createDataFrame(seen, schema))
+        for name, want in (("tasks", latest), ("state", batch_states(batches, latest))):
+            got = current(spark, str(tmp_path / "kept" / name)).select(*want.columns)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), (number, name)
+    assert {p.name for p in (tmp_path / "kept/tasks").iterdir() if p.is_dir()} == {"slot=0", "slot=1"}

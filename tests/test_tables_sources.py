@@ -89,3 +89,21 @@ def test_status_log(spark, tmp_path):
 
 def test_is_table(spark):
     assert [r[0] for r in spark.createDataFrame([("table",), ("x",), (None,)], "t string").select(papers.is_table(F.col("t"))).collect()] == [True, False, False]
+
+
+def test_tables_of_articles(spark, tmp_path):
+    """Without a head the first row is one; a single row is no table, nor is a head alone; texts are stripped."""
+    tables = (
+        "<table><tbody><tr><td> H </td><td>I</td></tr><tr><td>1</td><td>\n2 </td></tr></tbody></table>"
+        "<table><tbody><tr><td>lone</td></tr></tbody></table><table><thead><tr><td>only</td></tr></thead></table>"
+        "<table><thead><tr><td>A</td></tr></thead><tbody><tr><td> b c </td></tr></tbody></table>"
+    )
+    (tmp_path / "a.xml").write_text(f"<article><tables>{tables}</tables></article>")
+    raw = papers.article_tables(papers.read_files(spark, str(tmp_path)))
+    csv = tb.table_to_csv(tb.promote_first_row(tb.expand_spans(tb.table_cells(raw)))).orderBy("table_seq").collect()
+    assert [(r["table_seq"], r["csv"]) for r in csv] == [(0, "H,I\n1,2"), (3, "A\nb c")]
+
+
+def test_many_documents_number_their_tables(spark):
+    passages = spark.createDataFrame([("p", 3000 * k, 1, {"type": "table", "xml": f"<table>{k}</table>"}, "table") for k in range(3)], "paper_id string, doc_seq int, seq int, infons map<string,string>, type string")
+    assert [(r["table_seq"], r["markup"]) for r in papers.bioc_tables(passages).orderBy("table_seq").collect()] == [(k, f"<table>{k}</table>") for k in range(3)]
