@@ -60,3 +60,54 @@ def test_fixed_chunks(spark):
     rows = spark.createDataFrame([("a" * 10,), ("b" * 25,), ("",)], "t string")
     got = [r[0] for r in rows.select(tx.fixed_chunks(F.col("t"), 10, 2)).collect()]
     assert [list(map(len, g)) for g in got] == [[10], [10, 10, 9], [0]]
+
+
+def chunks_by_the_rule(text, width, overlap, separators=("\n\n", "\n", " ", "")):
+    """The rule of recursive chunks said again, by positions: pieces are [start, end) ranges and a pack is a run of them."""
+    if not text:
+        return []
+    found = [s for s in separators if s and s in text]
+    separator = found[0] if found else ""
+    finer = separators[separators.index(separator) + 1 :]
+    cuts = [0, len(text)]
+    if separator:
+        at = text.find(separator)
+        while at >= 0:
+            cuts.append(at)
+            at = text.find(separator, at + len(separator))
+    else:
+        cuts += range(len(text))
+    cuts = sorted(set(cuts))
+    pieces = list(zip(cuts, cuts[1:], strict=False))
+    out, first, k = [], 0, 0
+    while k <= len(pieces):
+        long = k < len(pieces) and pieces[k][1] - pieces[k][0] >= width and finer
+        full = k < len(pieces) and k > first and pieces[k][1] - pieces[first][0] > width
+        if k == len(pieces) or long or full:
+            if k > first:
+                out.append(text[pieces[first][0] : pieces[k - 1][1]].strip())
+            if k == len(pieces):
+                break
+            if long:
+                out += chunks_by_the_rule(text[slice(*pieces[k])], width, overlap, finer)
+                k, first = k + 1, k + 1
+                continue
+            while first < k and (pieces[k - 1][1] - pieces[first][0] > overlap or pieces[k][1] - pieces[first][0] > width):
+                first += 1
+        k += 1
+    return [c for c in out if c]
+
+
+@given(st.text(alphabet="abc \n", max_size=400), st.integers(5, 40), st.integers(0, 12))
+def test_recursive_chunks_follow_the_rule(text, width, overlap):
+    assert tx.split_recursive(text, width, min(overlap, width - 1)) == chunks_by_the_rule(text, width, min(overlap, width - 1))
+
+
+def test_recursive_chunks_of_whole_documents(spark):
+    from conftest import SMALL
+
+    from lectern.plans import catalog
+    from lectern.plans import fixtures as fx
+
+    want = {(r["paper_id"], i, c) for r in fx.papers(spark, SMALL).collect() for i, c in enumerate(chunks_by_the_rule(r["body"], 1500, 100))}
+    assert {tuple(r) for r in catalog.r02_recursive_chunks(spark, SMALL).select("paper_id", "chunk_seq", "text").collect()} == want
