@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,7 +156,11 @@ def spread(spans: pa.Array, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def passages(opened: DataFrame, window: int) -> DataFrame:
-    """(name, print, row, first, size): the long symbols of each run of open windows, which is parsed as a text of its own."""
+    """(name, print, row, first, size): the long symbols of each run of open windows, which is parsed as a text of its own.
+
+    And a row (row, spans, words) for each document: the words of its runs, all
+    that later rounds need of it.
+    """
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -169,14 +174,16 @@ def passages(opened: DataFrame, window: int) -> DataFrame:
             name, a, b = long_symbols(word_names(words, 31)[own], span, window)
             check = Prints(word_names(words, 32)[own], BASES[0]).of(a, b)
             rows = np.asarray(batch.column("row"))[at[span[a]]]
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(check.view(np.int64)), pa.array(rows), pa.array(place[a] - bounds[at[span[a]]]), pa.array(b - a)], ["name", "print", "row", "first", "size"])
-
-    return opened.mapInArrow(parsed, "name long, print long, row long, first long, size long")
-
+            n = len(a)
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(check.view(np.int64)), pa.array(rows), pa.array(place[a] - bounds[at[span[a]]]), pa.array(b - a), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.string())], names)
+            k = batch.num_rows
+            sizes = np.bincount(at, weights=many, minlength=k).astype(np.int64)
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), words.take(pa.array(own))), " ")
+            none = pa.nulls(k, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, batch.column("row"), none, none, batch.column("spans"), texts], names)
 
-def runs_of(on: np.ndarray) -> np.ndarray:
-    """The edges of the runs where a mask holds: first, end, first, end and so on."""
-    return np.flatnonzero(np.diff(np.concatenate(([0], on.astype(np.int8), [0]))))
+    names = ["name", "print", "row", "first", "size", "spans", "words"]
+    return opened.mapInArrow(parsed, "name long, print long, row long, first long, size long, spans array<long>, words string")
 
 
 def covered(n: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -185,47 +192,36 @@ def covered(n: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(step)[:n] > 0
 
 
-def to_compare(opened: DataFrame, window: int) -> DataFrame:
-    """(row, text, spans, sure): the open windows in none of the passages in `found`, and of those in passages the ones whose passage is its first occurrence; documents without any are left out."""
+def windows(opened: DataFrame, window: int) -> DataFrame:
+    """(w1, w2, row, pos): two fingerprints of each open window in none of the passages in `found`; and, with pos -1, of each in a passage that is the first of its kind."""
 
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, left, sure = [], [], []
-            for i, (spans, found) in enumerate(zip(batch.column("spans"), batch.column("found"), strict=True)):
-                edges = np.asarray(spans.values)
-                is_open = covered(int(edges.max(initial=0)), edges[::2], edges[1::2])
-                settled = stands = np.zeros(len(is_open), bool)
-                if found.is_valid:
-                    first, size, rep = (np.asarray(found.values.field(k)) for k in ("first", "size", "rep"))
-                    end = first + size - window + 1
-                    settled, stands = covered(len(is_open), first, end), covered(len(is_open), first[rep > 0], end[rep > 0])
-                pair = runs_of(is_open & ~settled), runs_of(is_open & stands)
-                if len(pair[0]) or len(pair[1]):
-                    keep.append(i)
-                    left.append(pair[0])
-                    sure.append(pair[1])
-            some = batch.select(["row", "text"]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(left, pa.list_(pa.int64())), pa.array(sure, pa.list_(pa.int64()))], ["row", "text", "spans", "sure"])
-
-    return opened.select("row", "text", "spans", "found").mapInArrow(rest, "row long, text string, spans array<long>, sure array<long>")
-
-
-def window_rows(docs: DataFrame, window: int) -> DataFrame:
-    """(w1, w2, row, pos): two fingerprints of each window; of those that are sure to be repeats, pos is -1."""
+    def to_compare(spans: pa.Scalar, found: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+        edges = np.asarray(spans.values)
+        is_open = covered(int(edges.max(initial=0)), edges[::2], edges[1::2])
+        if not found.is_valid:
+            return np.flatnonzero(is_open), np.zeros(0, np.int64)
+        first, size, rep = (np.asarray(found.values.field(k)) for k in ("first", "size", "rep"))
+        end = first + size - window + 1
+        settled = covered(len(is_open), first, end)
+        return np.flatnonzero(is_open & ~settled), np.flatnonzero(is_open & covered(len(is_open), first[rep > 0], end[rep > 0]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=1 << 20):
-            codes, words, bounds = words_of(batch.column("text"))
+        for batch in slices(batches, "words", most=1 << 20):
+            codes, words, bounds = words_of(batch.column("words"))
             prints = [Prints(word_names(words, seed)[codes], base) for seed, base in zip((21, 22), BASES, strict=True)]
-            for kind in ("spans", "sure"):
-                at, first, end = spread(batch.column(kind), bounds)
-                many = end - first
-                start = np.arange(many.sum()) + np.repeat(first - (np.cumsum(many) - many), many)
-                at = np.repeat(at, many)
-                pos = start - bounds[at] if kind == "spans" else np.full(len(start), -1)
-                yield pa.RecordBatch.from_arrays([*(pa.array(p.of(start, start + window).view(np.int64)) for p in prints), pa.array(np.asarray(batch.column("row"))[at]), pa.array(pos)], ["w1", "w2", "row", "pos"])
+            start, row, pos = [], [], []
+            for at, own, spans, found in zip(bounds.tolist(), batch.column("row").to_pylist(), batch.column("spans"), batch.column("found"), strict=False):
+                edges = np.asarray(spans.values)
+                # where each run of open windows begins among the words that are left
+                shift = at + np.concatenate(([0], np.cumsum(edges[1::2] - edges[::2] + window - 1)[:-1])) - edges[::2]
+                for sure, p in enumerate(to_compare(spans, found)):
+                    start.append(p + shift[np.searchsorted(edges[::2], p, "right") - 1])
+                    row.append(np.full(len(p), own, np.int64))
+                    pos.append(np.full(len(p), -1, np.int64) if sure else p)
+            start, row, pos = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (start, row, pos))
+            yield pa.RecordBatch.from_arrays([*(pa.array(p.of(start, start + window).view(np.int64)) for p in prints), pa.array(row), pa.array(pos)], ["w1", "w2", "row", "pos"])
 
-    return docs.mapInArrow(rows, "w1 long, w2 long, row long, pos long")
+    return opened.select("row", "spans", "words", "found").mapInArrow(rows, "w1 long, w2 long, row long, pos long")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, rounds=ROUNDS) -> DataFrame:
@@ -257,17 +253,18 @@ def remove_repeats(docs: DataFrame, window: int = 35, rounds=ROUNDS) -> DataFram
     slim = docs.select(F.xxhash64(F.col("doc_id").cast("string"), text_of()).alias("row"), "text")
     named = symbols(slim, window, rounds)
     alone = named.groupBy("name").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("at").alias("at")).where("n = 1 OR at < 0").select("row", "at")
-    opened = cut(slim.join(open_windows(alone, window), "row"))
+    spans = cut(open_windows(alone, window))
 
-    long = passages(opened, window)
+    found = cut(passages(slim.join(spans, "row"), window))
+    long = found.where("words IS NULL").select("name", "print", "row", "first", "size")
     twice = long.groupBy("name", "print", "size").agg(F.count("*").alias("n"), F.min(F.struct("row", "first")).alias("rep")).where("n > 1").drop("n")
     one = (F.struct("row", "first") == F.col("rep")).cast("int").alias("rep")
     settled = cut(long.join(twice, ["name", "print", "size"]).select("row", F.struct("first", "size", one).alias("p")).groupBy("row").agg(F.collect_list("p").alias("found")))
 
-    rows = window_rows(to_compare(opened.join(settled, "row", "left"), window), window)
+    rows = windows(found.where("words IS NOT NULL").select("row", "spans", "words").join(settled, "row", "left"), window)
     once = rows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("pos").alias("pos")).where("n = 1 AND pos >= 0")
     closed = once.groupBy("row").agg(F.collect_list("pos").alias("shut"))
-    verdict = cut(opened.select("row", "spans").distinct().join(closed, "row", "left"))
+    verdict = cut(spans.join(closed, "row", "left"))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     at_text = f"c{columns.index('text')}"
 
