@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, text_of
+from .common import remainder, slices, text_of
 
 #: Bytes of text compressed at once; longer texts are sums over their pieces.
 PIECE = 4096
@@ -80,7 +80,7 @@ def identify_languages(docs: DataFrame, samples: dict[str, tuple[bytes, float]],
             words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             words.precompute_compress(compression_params=params)
             coders.append(zstandard.ZstdCompressor(dict_data=words, compression_params=params))
-        for batch in batches:
+        for batch in slices(batches):
             best, score, margin = [], [], []
             for text in batch.column("text").to_pylist():
                 if not languages or text is None or not LETTER.search(text):

@@ -12,13 +12,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, remainder, slices, text_of, words_of
+from .common import cut, held, remainder, slices, text_of, words_of
 
 #: Fixed lexicon: common English insults and threats.
 INSULTS = ("idiot", "idiots", "moron", "stupid", "dumb", "loser", "losers", "pathetic", "scum", "trash", "worthless", "disgusting", "clown", "jerk", "imbecile", "filth", "vermin", "hate", "kill", "die")
 #: Patterns of single words: shouting, drawn-out letters, masked letters, piled-up marks.
 PATTERNS = {"shout": r"^\P{Ll}*\p{Lu}{3,}\P{Ll}*$", "drawn": r"(\p{L})\1\1", "masked": r"\p{L}[*@$#]+\p{L}", "marks": r"[!?]{2,}"}
 PREFIXES = (4, 5, 6)
+#: Words whose voters a Python worker remembers, twice: those met lately, and those before them.
+WORDS = 50_000
 EDGE = string.punctuation
 #: Columns of totals() beside the voters.
 TOTALS = 3
@@ -43,26 +45,56 @@ class Model:
         return len(self.terms) + len(PATTERNS)
 
 
-def votes(texts: pa.Array, terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class Voters:
+    """The voters of a set of terms: the numbers of those that fire for a word, remembered for words met lately."""
+
+    def __init__(self, terms: dict[str, int]):
+        self.terms = terms
+        self.tests = [regex.compile(p) for p in PATTERNS.values()]
+        self.begin = [(n, {t[:-1]: i for t, i in terms.items() if len(t) == n + 1 and t[-1] == "-"}) for n in PREFIXES]
+        self.recent: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def of(self, word: str) -> tuple[int, ...]:
+        core = word.strip(EDGE)
+        low = core.lower()
+        own = [begin[low[:n]] for n, begin in self.begin if len(low) > n and low[:n] in begin]
+        if low in self.terms:
+            own.append(self.terms[low])
+        n = len(self.terms)
+        if core.isalpha() and core[1:].islower():  # no shout, and no mark between letters
+            if len(core) > 2 and self.tests[1].search(core):
+                own.append(n + 1)
+            if ("!" in word or "?" in word) and self.tests[3].search(word):
+                own.append(n + 3)
+        else:
+            own += [n + k for k, t in enumerate(self.tests) if t.search(word)]
+        return tuple(own)
+
+    def of_all(self, words: list[str]) -> list[tuple[int, ...]]:
+        recent, older = self.recent, self.older
+        out = [recent.get(w) for w in words]
+        for i in [i for i, x in enumerate(out) if x is None]:
+            w = words[i]
+            found = older.get(w)
+            out[i] = recent[w] = self.of(w) if found is None else found
+        if len(recent) > WORDS:
+            self.older, self.recent = recent, {}
+        return out
+
+
+def votes(texts: pa.Array, voters: Voters) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Which voters fire in which texts: (text, voter, times) and the number of words of each text."""
     codes, words, bounds = words_of(texts)
-    tests = [regex.compile(p) for p in PATTERNS.values()]
-    whose, what = [], []
-    for i, w in enumerate(words.to_pylist()):
-        own = {terms[t] for t in terms_of(w) if t in terms}
-        if not (w.isalpha() and w[1:].islower()):
-            own.update(len(terms) + k for k, t in enumerate(tests) if t.search(w))
-        elif len(w) > 2 and tests[1].search(w):
-            own.add(len(terms) + 1)
-        whose += [i] * len(own)
-        what += own
-    n, m = len(bounds) - 1, len(terms) + len(PATTERNS)
-    many = np.bincount(np.array(whose, np.int64), minlength=max(1, len(words)))
+    found = voters.of_all(words.to_pylist())
+    n, m = len(bounds) - 1, len(voters.terms) + len(PATTERNS)
+    many = np.fromiter(map(len, found), np.int64, len(found)) if found else np.zeros(1, np.int64)
+    what = np.array([v for own in found if own for v in own], np.int64)
     first = np.cumsum(many) - many
     at = np.flatnonzero(many[codes]) if len(codes) else np.zeros(0, np.int64)
     hits = many[codes[at]] if len(codes) else np.zeros(0, np.int64)
     k = np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits)
-    voter = np.array(what, np.int64)[np.repeat(first[codes[at]], hits) + k] if len(k) else np.zeros(0, np.int64)
+    voter = what[np.repeat(first[codes[at]], hits) + k] if len(k) else np.zeros(0, np.int64)
     text = np.repeat(np.searchsorted(bounds, at, side="right") - 1, hits)
     key, times = np.unique(text * m + voter, return_counts=True)
     return key // m, key % m, times, np.diff(bounds).reshape(n)
@@ -167,19 +199,23 @@ def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: in
     return w[:-1], float(w[-1])
 
 
-def threshold_shift(x: np.ndarray, target: np.ndarray, threshold: float, folds: int = 4) -> float:
-    """What to add to the logits so that `threshold` parts the labels best, by F1 on folds that the fit has not seen."""
+def threshold_shift(x: np.ndarray, target: np.ndarray, label: np.ndarray, threshold: float, folds: int = 4) -> float:
+    """What to add to the logits so that `threshold` parts the given labels best, by F1 on folds that the fit has not seen; label is nan where unknown."""
     logit = np.zeros(len(x))
     fold = np.arange(len(x)) % folds
     for k in range(folds):
         w, b = fit_linear(x[fold != k], target[fold != k])
         logit[fold == k] = x[fold == k] @ w + b
-    true = (target > 0.5)[order := np.argsort(-logit)]
+    logit, true = logit[~np.isnan(label)], label[~np.isnan(label)] == 1
+    if not true.any():
+        return 0.0
+    order = np.argsort(-logit)
+    true = true[order]
     hits = np.cumsum(true)
     f1 = 2 * hits / (np.arange(1, len(true) + 1) + true.sum())
     k = int(np.argmax(f1))
     edge = (logit[order[k]] + logit[order[min(k + 1, len(true) - 1)]]) / 2
-    return float(np.log(threshold / (1 - threshold)) - edge) if true.any() else 0.0
+    return float(np.log(threshold / (1 - threshold)) - edge)
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 9_000, threshold: float = 0.7) -> Model:
@@ -202,8 +238,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 9_000, thre
     terms = {t: i for i, t in enumerate(dict.fromkeys([*INSULTS, *mine_terms(rows)]))}
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voters = Voters(terms)
         for batch in slices(batches):
-            text, voter, times, words = votes(batch.column("text"), terms)
+            text, voter, times, words = votes(batch.column("text"), voters)
             cut_at = np.searchsorted(text, np.arange(len(words) + 1))
             lists = [[c[a:b].tolist() for a, b in zip(cut_at[:-1], cut_at[1:], strict=True)] for c in (voter, times)]
             yield pa.RecordBatch.from_arrays([pa.array(lists[0], pa.list_(pa.int64())), pa.array(lists[1], pa.list_(pa.int64())), pa.array(words), batch.column("toxic").cast(pa.float64())], ["voter", "times", "words", "toxic"])
@@ -220,7 +257,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 9_000, thre
     x = features(text, voter, times, words, m)
     target = label_model(x[:, :m], label)
     weights, bias = fit_linear(x, target)
-    return Model(terms, weights, bias + threshold_shift(x, target, threshold))
+    return Model(terms, weights, bias + threshold_shift(x, target, label, threshold))
 
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -232,9 +269,12 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7) -> Dat
     """
     terms, weights, bias, m = model.terms, model.weights, model.bias, model.voters
 
+    key = f"voters-{hash(tuple(terms.items()))}"
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            text, voter, times, words = votes(batch.column("text"), terms)
+        voters = held(key, lambda: Voters(terms))
+        for batch in slices(batches, holds=key):
+            text, voter, times, words = votes(batch.column("text"), voters)
             n = len(words)
             logit = bias + np.bincount(text, weights=weights[voter], minlength=n) + totals(text, voter, times, words, m) @ weights[m:]
             score = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
