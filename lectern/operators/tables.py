@@ -136,8 +136,8 @@ def quoted(value: Column) -> Column:
 
 
 def table_to_csv(grid: DataFrame, distinct_headers: bool = True) -> DataFrame:
-    """(paper_id, table_seq, csv): a header line and the body rows."""
-    clean = normalise_cells(grid)
+    """(paper_id, table_seq, csv): a header line and the body rows; cells are dealt out once, by table, for all that follows."""
+    clean = normalise_cells(grid).repartition(*TABLE)
     head = merge_headers(clean, distinct_headers).select(*TABLE, F.lit(-1).alias("r"), "c", F.col("header").alias("text"))
     cells = head.unionByName(clean.where("part = 'body'").select(*TABLE, "r", "c", "text"))
     lines = cells.groupBy(*TABLE, "r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "text"))), lambda x: quoted(x["text"])), ",").alias("line"))
