@@ -7,6 +7,7 @@ it is written.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -77,22 +78,28 @@ def place_spans(rows: list[list[tuple[int, int, str | None]]]) -> list[list[str
 def expand_spans(cells: DataFrame) -> DataFrame:
     """The grid of each table part: rows (paper_id, table_seq, part, r, c, text), a null text where no cell reaches.
 
-    Spans are placed one after the other within a table part and side by side
-    for all parts.
+    Spans are placed one after the other within a table part, many parts in a
+    batch and side by side.
     """
-
-    def place(table: pa.Table) -> pa.Table:
-        found = table.select(["tr", "cell_seq", "rowspan", "colspan", "text"]).to_pylist()
-        rows: list[list] = [[] for _ in range(max(x["tr"] for x in found) + 1)]
-        for x in sorted(found, key=lambda x: (x["tr"], x["cell_seq"])):
-            rows[x["tr"]].append((x["rowspan"], x["colspan"], x["text"]))
-        flat = [(r, c, v) for r, row in enumerate(place_spans(rows)) for c, v in enumerate(row)]
-        r, c, v = zip(*flat, strict=True) if flat else ((), (), ())
-        key = [pa.array([table.column(k)[0].as_py()] * len(flat), table.schema.field(k).type) for k in (*TABLE, "part")]
-        return pa.table([*key, pa.array(r, pa.int32()), pa.array(c, pa.int32()), pa.array(v, pa.string())], names=[*TABLE, "part", "r", "c", "text"])
-
+    key = [*TABLE, "part"]
     kind = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
-    return cells.groupBy(*TABLE, "part").applyInArrow(place, f"paper_id {kind['paper_id']}, table_seq {kind['table_seq']}, part string, r int, c int, text string")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, flat = [], []
+            for i, found in enumerate(batch.column("cells").to_pylist()):
+                rows: list[list] = [[] for _ in range(max(x["tr"] for x in found) + 1)]
+                for x in sorted(found, key=lambda x: (x["tr"], x["cell_seq"])):
+                    rows[x["tr"]].append((x["rowspan"], x["colspan"], x["text"]))
+                own = [(r, c, v) for r, row in enumerate(place_spans(rows)) for c, v in enumerate(row)]
+                at += [i] * len(own)
+                flat += own
+            r, c, v = zip(*flat, strict=True) if flat else ((), (), ())
+            keys = [batch.column(k).take(pa.array(at, pa.int64())) for k in key]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(r, pa.int32()), pa.array(c, pa.int32()), pa.array(v, pa.string())], [*key, "r", "c", "text"])
+
+    parts = cells.groupBy(*key).agg(F.collect_list(F.struct("tr", "cell_seq", "rowspan", "colspan", "text")).alias("cells"))
+    return parts.mapInArrow(place, f"paper_id {kind['paper_id']}, table_seq {kind['table_seq']}, part string, r int, c int, text string")
 
 
 def grid_width(grid: DataFrame) -> DataFrame:
