@@ -42,6 +42,11 @@ def e07_dna_pattern(spark, sf):
     return fx.free_variants(spark, sf).select("variant_id", hgvs.dna_pattern(hgvs.dna_core(hgvs.strip_reference(c("hgvs")))).alias("dna_pattern"))
 
 
+@register("SELECT variant_id, '(?<![0-9])' || dna_pattern AS dna_pattern FROM free")
+def e07_strict_dna_pattern(spark, sf):
+    return fx.free_variants(spark, sf).select("variant_id", hgvs.strict_dna_pattern(hgvs.dna_core(hgvs.strip_reference(c("hgvs")))).alias("dna_pattern"))
+
+
 @register("""
 SELECT variant_id, array_to_string(regexp_extract_all(c_variant, '[0-9]+'), '|') AS runs,
   list_reduce(list_prepend(NULL, regexp_extract_all(c_variant, '[0-9]+')), lambda a, x: CASE WHEN a IS NULL OR length(x) > length(a) THEN x ELSE a END) AS longest FROM free""")
@@ -80,6 +85,16 @@ def e14_is_number(spark, sf):
     return fx.grid(spark, sf).select("paper_id", "r", "c", tx.is_number(F.coalesce("text", F.lit(""))).alias("number"))
 
 
+ODD_NUMBERS = "CASE l_orderkey % 10 WHEN 0 THEN n WHEN 1 THEN '-' || n WHEN 2 THEN n || '.5' WHEN 3 THEN n || 'e3' WHEN 4 THEN n || 'd' WHEN 5 THEN n || 'F' WHEN 6 THEN n || ',5' WHEN 7 THEN n || ' %' WHEN 8 THEN 'x' || n ELSE '' END"
+
+
+@register(f"SELECT k, v, try_cast(v AS DOUBLE) IS NOT NULL AND v <> '' AS number FROM (SELECT l_orderkey AS k, {ODD_NUMBERS} AS v FROM (SELECT l_orderkey, CAST(l_partkey AS VARCHAR) AS n FROM lineitem))")
+def e14_is_odd_number(spark, sf):
+    """Numbers with signs, fractions, exponents and type suffixes, and texts that look like them."""
+    rows = fx.table(spark, sf, "lineitem").select("l_orderkey", c("l_partkey").cast("string").alias("n"))
+    return rows.select(c("l_orderkey").alias("k"), F.expr(ODD_NUMBERS).alias("v")).select("k", "v", tx.is_number(c("v")).alias("number"))
+
+
 @register("SELECT paper_id, pos, trim(trim(lower(line), '*')) AS key FROM answer_lines")
 def e15_answer_key(spark, sf):
     return fx.answer_lines(spark, sf).select("paper_id", "pos", tx.answer_key(c("line")).alias("key"))
@@ -173,6 +188,18 @@ def j01_match_nested(spark, sf):
     return rt.match(fx.chunks(spark, sf), fx.prepared(spark))
 
 
+def many_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """A variant in one of many notations for each part, prepared."""
+    free = fx.free_variants(spark, sf)
+    return rt.prepare_variants(free.select("variant_id", "hgvs"), free.select("hgvs", "description"))
+
+
+@register()
+def j01_match_many_variants(spark, sf):
+    """Chunks matched with a variant for each part: thousands at sf0.1, where a nested loop would try every pair."""
+    return rt.match(fx.chunks(spark, sf), many_variants(spark, sf))
+
+
 @register("SELECT paper_id, chunk_seq, variant_id FROM chunks, variants WHERE coalesce(contains(lower(text), lower(nullif(pshort, ''))), false) OR contains(text, c_variant)")
 def x02_matcher_plugin(spark, sf):
     """A matcher of the user's own: the short protein form in any case, or the change as it is written."""
@@ -281,6 +308,26 @@ def t08_table_to_csv(spark, sf):
     return tb.table_to_csv(fx.grid(spark, sf)).select("paper_id", "csv")
 
 
+def _quoted_sql(v: str) -> str:
+    return f"""CASE WHEN contains({v}, ',') OR contains({v}, '"') OR contains({v}, chr(10)) THEN '"' || replace({v}, '"', '""') || '"' ELSE {v} END"""
+
+
+@register(f"""
+SELECT p_brand AS paper_id, 'name,"a, b"' || chr(10) || string_agg({_quoted_sql('n')} || ',' || {_quoted_sql('t')}, chr(10) ORDER BY p_partkey) AS csv
+FROM (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN p_name || ', etc' ELSE p_name END AS n, CASE p_partkey % 4 WHEN 0 THEN '"' || p_type || '"' WHEN 1 THEN p_type || chr(10) || 'x' ELSE p_type END AS t FROM part) GROUP BY p_brand""")
+def t08_quoted_csv(spark, sf):
+    """Parts as a table for each brand, with commas, quotes and line ends in cells and a header."""
+    from pyspark.sql import Window
+
+    k = c("p_partkey")
+    n = F.when(k % 3 == 0, F.concat("p_name", F.lit(", etc"))).otherwise(c("p_name"))
+    t = F.when(k % 4 == 0, F.concat(F.lit('"'), "p_type", F.lit('"'))).when(k % 4 == 1, F.concat("p_type", F.lit("\nx"))).otherwise(c("p_type"))
+    parts = fx.table(spark, sf, "part").withColumn("r", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1)
+    body = parts.select(c("p_brand").alias("paper_id"), F.lit(0).alias("table_seq"), F.lit("body").alias("part"), "r", F.posexplode(F.array(n, t)).alias("c", "text"))
+    head = parts.select(c("p_brand").alias("paper_id")).distinct().select("paper_id", F.lit(0).alias("table_seq"), F.lit("head").alias("part"), F.lit(0).alias("r"), F.posexplode(F.array(F.lit("name"), F.lit("a, b"))).alias("c", "text"))
+    return tb.table_to_csv(head.unionByName(body)).select("paper_id", "csv")
+
+
 @register("SELECT DISTINCT paper_id, r FROM cell_hits")
 def t09_variant_rows(spark, sf):
     return tb.variant_rows(tb.alias_hits(fx.grid(spark, sf), fx.aliases(spark, sf))).select("paper_id", "r")

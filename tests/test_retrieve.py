@@ -107,3 +107,8 @@ def test_user_matcher(spark):
 def test_prose_is_of_the_first_document(spark):
     passages = spark.createDataFrame([(1, 0, 0, "TITLE", "a"), (1, 0, 1, None, "b"), (1, 1, 0, "TITLE", "z"), (1, 0, 2, "ref", "r")], "paper_id long, doc_seq int, seq int, section_type string, text string")
     assert rows(rt.flatten_papers(rt.prose(passages))) == [(1, "a\nb")]
+
+
+def test_many_variants_equal_the_nested_loop(spark):
+    chunks, known = fx.chunks(spark, SMALL), catalog.many_variants(spark, SMALL)
+    assert rows(catalog.j01_match_many_variants(spark, SMALL)) == rows(rt.match(chunks, known, "nested"))
