@@ -11,6 +11,8 @@ from ..functions import hgvs, text
 
 #: Digit runs up to this length are join tokens; longer ones take the other way.
 LONGEST_TOKEN = 12
+#: So many different signs of forms without a number are looked for one by one in each chunk.
+FEW_GRAMS = 100
 PAIR = ["paper_id", "variant_id"]
 
 
@@ -104,9 +106,12 @@ def chunk_tokens(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.col("text").rlike("[0-9]")).select("paper_id", "chunk_seq", F.explode(both).alias("t")).select("paper_id", "chunk_seq", "t.*")
 
 
-def chunk_grams(chunks: DataFrame) -> DataFrame:
-    """(paper_id, chunk_seq, kind, tok): the distinct one and two signs that stand together in the chunk."""
+def chunk_grams(chunks: DataFrame, wanted: list[str]) -> DataFrame:
+    """(paper_id, chunk_seq, kind, tok): which of the wanted one or two signs the chunk holds, or all that stand together if more than FEW_GRAMS are wanted."""
     low = F.lower("text")
+    if len(wanted) <= FEW_GRAMS:
+        held = F.filter(F.array(*map(F.lit, wanted)), lambda t: F.contains(F.lower(F.col("text")), t))
+        return chunks.select("paper_id", "chunk_seq", F.lit("gram").alias("kind"), F.explode(held).alias("tok"))
     places = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
     grams = F.array_distinct(F.concat(F.transform(places, lambda i: F.substring(low, i, F.lit(1))), F.transform(places, lambda i: F.substring(low, i, F.lit(2)))))
     return chunks.select("paper_id", "chunk_seq", F.lit("gram").alias("kind"), F.explode(grams).alias("tok"))
@@ -116,8 +121,9 @@ def candidates(chunks: DataFrame, variants: DataFrame) -> DataFrame:
     """(paper_id, chunk_seq, variant_id): pairs of a chunk and a variant that share a number, or else signs, where a match needs them."""
     wanted = variant_tokens(variants)
     tokens = chunk_tokens(chunks)
-    if not wanted.where("kind = 'gram'").isEmpty():
-        tokens = tokens.union(chunk_grams(chunks))
+    grams = [r["tok"] for r in wanted.where("kind = 'gram'").select("tok").distinct().limit(FEW_GRAMS + 1).collect()]
+    if grams:
+        tokens = tokens.union(chunk_grams(chunks, sorted(grams)))
     return tokens.join(wanted, ["kind", "tok"]).select("paper_id", "chunk_seq", "variant_id").distinct()
 
 
