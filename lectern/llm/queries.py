@@ -18,6 +18,7 @@ from .sharding import hilbert_shards
 from .substring_dedup import remove_repeats
 from .toxicity import learn_toxicity, score_toxicity
 from .vector_dedup import similar_vectors
+from .warc import round_trip
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +78,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as archives, read back by ranges."""
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_vector_dedup, op3_hilbert_shards, op4_language_id, op5_substring_dedup, op6_line_dedup, op7_source_mixing, op8_exact_dedup, op9_best_fit_packing, op10_ngram_join, pipeline)
+    for f in (op1_toxicity, op2_vector_dedup, op3_hilbert_shards, op4_language_id, op5_substring_dedup, op6_line_dedup, op7_source_mixing, op8_exact_dedup, op9_best_fit_packing, op10_ngram_join, op11_warc, pipeline)
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -178,5 +184,13 @@ WITH RECURSIVE d AS (
 )
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id
 FROM d JOIN comp ON comp.id = d.doc_id LEFT JOIN n ON n.r = d.r
+""",
+    "op11_warc": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY d ORDER BY page_id) AS i, first_value(page_id) OVER (PARTITION BY d ORDER BY page_id) AS f FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND i > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND i > 1 THEN f END AS refers_to FROM r
 """,
 }
