@@ -17,6 +17,7 @@ from .packing import pack
 from .sharding import hilbert_shards
 from .substring_dedup import remove_repeats
 from .toxicity import learn_toxicity, score_toxicity
+from .vector_codes import compress
 from .vector_dedup import similar_vectors
 from .warc import round_trip
 
@@ -83,6 +84,11 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors in four bytes, by codebooks of 256 entries for each quarter, trained in four rounds over all rows."""
+    return compress(table(spark, sf_dir, "embeddings"))[0].drop("label")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,13 +97,46 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_vector_dedup, op3_hilbert_shards, op4_language_id, op5_substring_dedup, op6_line_dedup, op7_source_mixing, op8_exact_dedup, op9_best_fit_packing, op10_ngram_join, op11_warc, pipeline)
+    for f in (op1_toxicity, op2_vector_dedup, op3_hilbert_shards, op4_language_id, op5_substring_dedup, op6_line_dedup, op7_source_mixing, op8_exact_dedup, op9_best_fit_packing, op10_ngram_join, op11_warc, op12_vector_codes, pipeline)
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
 _BLANKS = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORDS = rf"list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}+'), lambda w: w <> '')"
 
+
+
+def _codes_sql(parts: int, entries: int, rounds: int, scale: int) -> str:
+    """The rounds one after the other; squared distances in whole numbers that double precision holds."""
+    steps = [f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT r, vec_id, v AS whole, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS x FROM k, (SELECT unnest(range({parts})) AS part)
+), b0 AS MATERIALIZED (
+  SELECT part, e, x AS c FROM (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id NULLS LAST, whole) - 1 AS e, x FROM p) WHERE e < {entries}
+)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, part, min(struct_pack(d := list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c), e := e)) AS m FROM p JOIN b{i} USING (part) GROUP BY r, part
+)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS MATERIALIZED (
+  SELECT part, e, list(y ORDER BY i) AS c FROM (
+    SELECT part, m.e AS e, i, floor(sum(x[i]) / count(*)) AS y FROM a{i} JOIN p USING (r, part), (SELECT unnest(range(1, (SELECT max(len(x)) FROM p) + 1)) AS i) GROUP BY part, m.e, i) GROUP BY part, e
+), b{i + 1} AS MATERIALIZED (
+  SELECT b{i}.part, b{i}.e, coalesce(m{i}.c, b{i}.c) AS c FROM b{i} LEFT JOIN m{i} ON m{i}.part = b{i}.part AND m{i}.e = b{i}.e
+)""")
+    steps.append(f"""coded AS (
+  SELECT r, string_agg(lower(lpad(to_hex(m.e), 2, '0')), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r
+), sha AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(c, lambda y: CAST(CAST(y AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{rounds}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN coded USING (r), sha""")
+    return ", ".join(steps)
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_vector_dedup": """
 WITH RECURSIVE v AS (
@@ -193,4 +232,5 @@ WITH p AS (
 )
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND i > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND i > 1 THEN f END AS refers_to FROM r
 """,
+    "op12_vector_codes": _codes_sql(4, 256, 4, 1024),
 }
