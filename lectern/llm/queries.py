@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import remainder, table, text_of
 from .exact_dedup import exact_duplicates
+from .hard_negatives import mine
 from .language_id import identify_languages, language_samples, learnable
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
@@ -89,6 +90,12 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(table(spark, sf_dir, "embeddings"))[0].drop("label")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector as an anchor; one label in seven is moved on first."""
+    moved = lambda i, own: F.when(i % 7 == 0, (own + 1) % 10).otherwise(own)
+    return mine(table(spark, sf_dir, "embeddings"), scale=256, positives=5, negatives=10, least=30, most=90, anchor=lambda i: i % 100 == 0, label=moved)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,7 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_vector_dedup, op3_hilbert_shards, op4_language_id, op5_substring_dedup, op6_line_dedup, op7_source_mixing, op8_exact_dedup, op9_best_fit_packing, op10_ngram_join, op11_warc, op12_vector_codes, pipeline)
+    for f in (op1_toxicity, op2_vector_dedup, op3_hilbert_shards, op4_language_id, op5_substring_dedup, op6_line_dedup, op7_source_mixing, op8_exact_dedup, op9_best_fit_packing, op10_ngram_join, op11_warc, op12_vector_codes, op13_hard_negatives, pipeline)
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -233,4 +240,18 @@ WITH p AS (
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND i > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND i > 1 THEN f END AS refers_to FROM r
 """,
     "op12_vector_codes": _codes_sql(4, 256, 4, 1024),
+    "op13_hard_negatives": """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0
+), pos AS (
+  SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id NULLS LAST) AS p FROM s WHERE same
+), neg AS (
+  SELECT pos.ar, pos.anchor_id, p, pos.vec_id AS positive_id, n.vec_id AS negative_id, pos.score AS positive_score, n.score AS negative_score, row_number() OVER (PARTITION BY pos.ar, p ORDER BY n.score DESC, n.vec_id NULLS LAST) AS rank
+  FROM pos JOIN s n ON n.ar = pos.ar AND NOT n.same AND 30 * pos.score <= 100 * n.score AND 100 * n.score <= 90 * pos.score WHERE p <= 5
+)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 10
+""",
 }
