@@ -62,19 +62,65 @@ def s01_r01_prose_of_bioc(spark, sf):
     return rt.flatten_papers(rt.prose(ps.read_passages(spark, bioc_papers(spark, sf)))).select(c("paper_id").cast("long").alias("paper_id"), "body")
 
 
-@register("""
-SELECT paper_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY o) - 1 AS INT) AS seq, line AS text
-FROM (SELECT paper_id, line, min(CASE WHEN seq = 0 THEN 1000000 ELSE seq END) AS o FROM doc_lines WHERE line <> '' GROUP BY paper_id, line)""")
+#: What becomes of a line by its place: an element of its kind, and the text that is read from it (in SQL for both engines).
+ELEMENTS = (
+    ("abstract", "<abstract a='>'>{0}</abstract>", "line"),
+    ("content", '<section id="s"><content>{0}</content></section>', "line"),
+    ("nested", "<main_content><section><title>T: </title><p>{0}</p> <content><text>again</text>: <i>{0}</i></content></section></main_content>", "concat('T: ', line, ' again: ', line)"),
+    ("text", "<text >{0}<!-- <content>no</content> --> <i> and</i><content/></text>", "concat(line, '  and')"),
+    ("cdata", "<content>{0} <![CDATA[<text>1 < 2</text>]]></content>", "concat(line, ' <text>1 < 2</text>')"),
+    ("other", "<title>{0}</title>", "''"),
+)
+ELEMENT_TEXT = "CASE CAST((seq + paper_id) % 6 AS INT) " + " ".join(f"WHEN {i} THEN {t}" for i, (_, _, t) in enumerate(ELEMENTS)) + " END"
+
+
+@register(f"""
+SELECT paper_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY seq) - 1 AS INT) AS seq, text
+FROM (SELECT paper_id, seq, regexp_replace({ELEMENT_TEXT}, '^\\s+|\\s+$', '', 'g') AS text FROM doc_lines) WHERE text <> ''""")
 def s02_read_article_xml(spark, sf):
-    """Documents as articles, the first line as the abstract and the others as sections: each text once."""
+    """Documents as articles, a line in an element of one kind or another: read in order, with all that an element holds, equal lines each time."""
     lines = fx.table(spark, sf, "documents").select(c("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("seq", "line"))
-    tag = F.when(c("seq") == 0, "abstract").otherwise("content")
-    part = F.concat(F.lit("<"), tag, F.lit(">"), escaped(c("line")), F.lit("</"), tag, F.lit(">"))
+    kinds = F.array(*(F.replace(F.lit(xml), F.lit("{0}"), escaped(c("line"))) for _, xml, _ in ELEMENTS))
+    part = F.element_at(kinds, ((c("seq") + c("paper_id")) % len(ELEMENTS) + 1).cast("int"))
     bodies = lines.groupBy("paper_id").agg(in_order("seq", part).alias("p"))
     path = written(spark, bodies.select("paper_id", F.concat(F.lit("<article>"), "p", F.lit("</article>")).alias("body")))
     return ps.article_passages(ps.read_files(spark, path)).select(c("paper_id").cast("long").alias("paper_id"), "seq", "text")
 
 
+INFONS = """<infon key="type">a</infon><infon>nameless</infon><infon key="n">{0}</infon><infon key="type">b</infon><infon key="n">{1}</infon>"""
+
+
+def odd_papers(spark: SparkSession, sf: str) -> str:
+    """A collection for each document with a passage for each line: every third repeats keys and has an infon without one."""
+    lines = fx.table(spark, sf, "documents").select(c("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("seq", "line"))
+    odd = F.replace(F.replace(F.lit(INFONS), F.lit("{0}"), c("seq").cast("string")), F.lit("{1}"), (c("seq") + 1).cast("string"))
+    infons = F.when((c("paper_id") + c("seq")) % 3 == 0, odd).otherwise('<infon key="type">one</infon>')
+    passage = F.concat(F.lit("<passage>"), infons, F.lit("<text>"), escaped(c("line")), F.lit("</text></passage>"))
+    bodies = lines.groupBy("paper_id").agg(in_order("seq", passage).alias("p"))
+    return written(spark, bodies.select("paper_id", F.concat(F.lit("<collection><document><id>1</id>"), "p", F.lit("</document></collection>")).alias("body")))
+
+
+@register("""
+SELECT paper_id, CAST(seq AS INT) AS seq, CASE WHEN odd THEN 'b' ELSE 'one' END AS last_type, CASE WHEN odd THEN 'a' ELSE 'one' END AS first_type,
+  CASE WHEN odd THEN 'a|b' ELSE 'one' END AS all_types, CASE WHEN odd THEN CAST(seq + 1 AS VARCHAR) END AS last_n, CASE WHEN odd THEN CAST(seq AS VARCHAR) END AS first_n, CASE WHEN odd THEN 2 ELSE 1 END AS keys
+FROM (SELECT paper_id, seq, (paper_id + seq) % 3 = 0 AS odd FROM doc_lines)""")
+def s01_repeated_infons(spark, sf):
+    """Passages that repeat keys, or have an infon without one, by each rule of what counts."""
+    files = ps.read_files(spark, odd_papers(spark, sf))
+    raw = ps.raw_passages(files).select("paper_id", "seq", *(ps.infon_map(c("p.infon"), r).alias(r) for r in ps.REPEATED))
+    return raw.select(
+        c("paper_id").cast("long").alias("paper_id"), "seq", c("last")["type"].alias("last_type"), c("first")["type"].alias("first_type"), F.array_join(c("all")["type"], "|").alias("all_types"),
+        c("last")["n"].alias("last_n"), c("first")["n"].alias("first_n"), F.size("last").alias("keys"),
+    )
+
+
+@register("""
+SELECT paper_id, 0 AS doc_seq, CAST(seq AS INT) AS seq, unnest(['no key', 'repeated key', 'repeated key']) AS reason, unnest([NULL, 'n', 'type']) AS key, CAST(unnest([1, 2, 2]) AS BIGINT) AS n FROM doc_lines WHERE (paper_id + seq) % 3 = 0""")
+def s01_rejected_infons(spark, sf):
+    """What of these passages' infons is told apart."""
+    return ps.rejected_infons(ps.read_files(spark, odd_papers(spark, sf))).withColumn("paper_id", c("paper_id").cast("long"))
+
+
 @register("SELECT DISTINCT doc_id AS paper_id, 'not well-formed' AS reason FROM documents WHERE doc_id % 7 = 0")
 def s01_rejected_files(spark, sf):
     """Documents as articles of which one in seven breaks off: those are told, the others are read."""
@@ -124,7 +170,7 @@ def s06_t01_t02_markdown_tables(spark, sf):
     return cells_of(ps.markdown_tables(ps.read_files(spark, written(spark, bodies))))
 
 
-@register(f"""
+ARTICLE_GRID = f"""
 SELECT k % {PAPERS} AS paper_id, t AS table_seq, CASE WHEN r = 0 THEN 'head' ELSE 'body' END AS part, CASE WHEN r = 0 THEN 0 ELSE r - 1 END AS r, c, text
 FROM (SELECT paper_id AS k, r, c, text, max(r) OVER (PARTITION BY paper_id) AS last FROM grid WHERE part = 'body' AND text IS NOT NULL)
 JOIN (SELECT k AS key, CAST(row_number() OVER (PARTITION BY k % {PAPERS} ORDER BY k) - 1 AS INT) AS t FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem)) ON key = k
@@ -132,17 +178,35 @@ WHERE k % 2 = 1 AND last > 0
 UNION ALL SELECT k % {PAPERS}, t, part, r, c, text
 FROM (SELECT paper_id AS k, part, r, c, CASE WHEN part = 'head' THEN coalesce(text, '') ELSE text END AS text FROM grid WHERE part = 'head' OR text IS NOT NULL)
 JOIN (SELECT k AS key, CAST(row_number() OVER (PARTITION BY k % {PAPERS} ORDER BY k) - 1 AS INT) AS t FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem)) ON key = k
-WHERE k % 2 = 0""")
-def s05_t05_article_tables(spark, sf):
-    """Orders as tables of articles: padded cells, row headings that do not count, odd ones without a head; of these, single rows are no table."""
+WHERE k % 2 = 0"""
+
+
+def article_papers(spark: SparkSession, sf: str) -> str:
+    """Orders as tables of articles: padded cells, row headings that do not count, odd ones without a head."""
     head = "".join(f"<tr><th>h</th>{''.join(f'<td>{v}</td>' for v in row)}</tr>" for row in (("Part", "Part", "Flag", "Status"), ("Part", "Quantity", "Flag", "")))
     markup = F.concat(F.lit("<table>"), F.when(c("k") % 2 == 0, f"<thead>{head}</thead>").otherwise(""), F.lit("<tbody>"), "rows", F.lit("</tbody></table>"))
     tables = body_rows(spark, sf, " ").select("k", (c("k") % PAPERS).alias("paper_id"), markup.alias("markup"))
     bodies = tables.groupBy("paper_id").agg(F.concat(F.lit("<article><abstract>x</abstract><tables>"), in_order("k", c("markup")), F.lit("</tables></article>")).alias("body"))
-    grid = tb.expand_spans(tb.table_cells(ps.article_tables(ps.read_files(spark, written(spark, bodies)))))
+    return written(spark, bodies)
+
+
+def promoted(spark: SparkSession, sf: str, numbered: str) -> DataFrame:
+    grid = tb.expand_spans(tb.table_cells(ps.article_tables(ps.read_files(spark, article_papers(spark, sf)), numbered)))
     return tb.promote_first_row(grid).select(c("paper_id").cast("long").alias("paper_id"), c("table_seq").cast("int").alias("table_seq"), "part", "r", "c", "text")
 
 
+@register(ARTICLE_GRID)
+def s05_t05_article_tables(spark, sf):
+    """Tables of articles by their place among all; of those without a head, single rows are no table."""
+    return promoted(spark, sf, "all")
+
+
+@register(f"SELECT paper_id, CAST(dense_rank() OVER (PARTITION BY paper_id ORDER BY table_seq) - 1 AS INT) AS table_seq, part, r, c, text FROM ({ARTICLE_GRID})")
+def s05_accepted_tables(spark, sf):
+    """The same tables by their place among those that are tables."""
+    return promoted(spark, sf, "accepted")
+
+
 @register(f"""
 SELECT k % {PAPERS} AS paper_id, CAST(row_number() OVER (PARTITION BY k % {PAPERS} ORDER BY k) - 1 AS INT) AS r, unnest([0, 1, 2]) AS c,
   unnest([CAST(k AS VARCHAR), p || ', "' || s || '"' || chr(10) || 'second line', s]) AS text FROM (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p FROM orders)
@@ -158,6 +222,35 @@ def s09_read_csv_tables(spark, sf):
     return cells.select("paper_id", "r", "c", "text").unionByName(told).withColumn("paper_id", c("paper_id").cast("long"))
 
 
+#: Orders in files of two to four columns. In every seventh file a record is too long, in every seventh a quote stays open; one record in eleven is short.
+MIXED = f"""
+SELECT p, k, row_number() OVER (PARTITION BY p ORDER BY k) - 1 AS r, 2 + p % 3 AS width, k % 11 = 0 AND k > first AS short, s, o
+FROM (SELECT o_orderkey % {PAPERS} AS p, o_orderkey AS k, o_orderpriority AS o, o_orderstatus AS s, min(o_orderkey) OVER (PARTITION BY o_orderkey % {PAPERS}) AS first FROM orders)"""
+
+
+def mixed_papers(spark: SparkSession, sf: str) -> str:
+    fx.table(spark, sf, "orders").createOrReplaceTempView("orders")
+    rows = spark.sql(MIXED)
+    quoted = F.concat(F.lit('"'), c("o"), F.lit(', ""'), c("s"), F.lit('""\r\n",'), c("s"), F.lit(","))
+    whole = F.element_at(F.array(F.concat_ws(",", c("k"), "s"), F.concat(c("k").cast("string"), F.lit(","), F.expr("rtrim(',', {})".format("q"))), F.concat(c("k").cast("string"), F.lit(","), c("q"))), (c("width") - 1).cast("int"))
+    line = F.when(c("short"), c("k").cast("string")).otherwise(whole)
+    bodies = rows.withColumn("q", quoted).groupBy(c("p").alias("paper_id")).agg(in_order("k", F.concat(line, F.lit("\r\n\n"))).alias("b"))
+    end = F.when(c("paper_id") % 7 == 5, "1,2,3,4,5").when(c("paper_id") % 7 == 6, 'x,"open').otherwise("")
+    return written(spark, bodies.select("paper_id", F.concat("b", end).alias("body")))
+
+
+@register(f"""
+SELECT p AS paper_id, CAST(r AS INT) AS r, CAST(unnest(range(0, width)) AS INT) AS c,
+  unnest(CASE WHEN short THEN [CAST(k AS VARCHAR), NULL, NULL, NULL] WHEN width = 2 THEN [CAST(k AS VARCHAR), s] ELSE [CAST(k AS VARCHAR), o || ', "' || s || '"' || chr(13) || chr(10), s, NULL] END[1:width]) AS text, 'cell' AS kind
+FROM ({MIXED}) WHERE p % 7 <> 6
+UNION ALL SELECT DISTINCT o_orderkey % {PAPERS}, -1, -1, CASE WHEN o_orderkey % {PAPERS} % 7 = 5 THEN '1,2,3,4,5' END, CASE WHEN o_orderkey % {PAPERS} % 7 = 5 THEN 'fields' ELSE 'open quote' END FROM orders WHERE o_orderkey % {PAPERS} % 7 >= 5""")
+def s09_csv_of_any_width(spark, sf):
+    """Files of several widths in one folder: their cells, and as row -1 what was rejected, without the text of whole files."""
+    cells, bad = ps.read_csv_tables(spark, mixed_papers(spark, sf))
+    told = bad.select("paper_id", F.lit(-1).alias("r"), F.lit(-1).alias("c"), F.when(c("reason") == "fields", c("line")).alias("text"), c("reason").alias("kind"))
+    return cells.select("paper_id", "r", "c", "text", F.lit("cell").alias("kind")).unionByName(told).withColumn("paper_id", c("paper_id").cast("long"))
+
+
 @register("SELECT g.r, CAST(max(CASE WHEN g.c = 1 THEN text END) AS INT) AS quantity, max(CASE WHEN g.c = 2 THEN text END) AS flag FROM grid g WHERE part = 'body' AND paper_id = (SELECT min(l_orderkey) FROM lineitem) GROUP BY g.r")
 def p05_sql_over_table(spark, sf):
     """A question in SQL about one table, the first order's, under the names of its headers."""

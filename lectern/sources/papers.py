@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import scrub_control
+from ..functions.text import scrub_control, strip
 
 BIOC = "document array<struct<id string, passage array<struct<infon array<struct<_key string, _VALUE string>>, text string>>>>"
-ARTICLE_TEXTS = ("//content/text()", "//abstract/text()", "//text/text()", "//main_content/text()")
+# The elements of article XML that hold prose.
+PROSE_ELEMENTS = ("content", "abstract", "text", "main_content")
+#: Signs of Unicode's private area that mark where these begin and end; a file's own are dropped.
+BEGIN, END = "\ue000", "\ue001"
+#: Which value of a repeated infon key counts; `all` gives arrays.
+REPEATED = ("last", "first", "all")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -31,12 +36,39 @@ def parsed(files: DataFrame) -> DataFrame:
     return files.withColumn("bioc", F.from_xml("body", BIOC, {"mode": "PERMISSIVE"})).withColumn("bioc", F.when(F.col("bioc.document").isNotNull(), F.col("bioc")))
 
 
-def bioc_passages(files: DataFrame) -> DataFrame:
-    """(paper_id, doc_seq, seq, infons, section_type, type, text) of the BioC collections among files; prose takes doc_seq 0."""
+def infon_map(infons: Column, repeated: str = "last") -> Column:
+    """A passage's infons (_key, _VALUE) by their keys in order of appearance; of a repeated key the last or first value, or all. Those without a key are left out."""
+    if repeated not in REPEATED:
+        raise ValueError(f"repeated is one of {', '.join(REPEATED)}")
+    named = F.filter(F.coalesce(infons, F.array().cast("array<struct<_key:string,_VALUE:string>>")), lambda i: i["_key"].isNotNull())
+    own = lambda k: F.transform(F.filter(named, lambda i: i["_key"] == k), lambda i: i["_VALUE"])
+    keys = F.array_distinct(F.transform(named, lambda i: i["_key"]))
+    pick = {"last": lambda k: F.element_at(own(k), -1), "first": lambda k: F.element_at(own(k), 1), "all": own}[repeated]
+    return F.map_from_arrays(keys, F.transform(keys, pick))
+
+
+def raw_passages(files: DataFrame) -> DataFrame:
+    """(paper_id, doc_seq, seq, p) of the BioC collections among files; p has the passage's infons and text."""
     docs = parsed(files).where("bioc IS NOT NULL").select("paper_id", F.posexplode("bioc.document").alias("doc_seq", "d"))
-    rows = docs.select("paper_id", "doc_seq", F.posexplode("d.passage").alias("seq", "p"))
-    pairs = F.coalesce(F.transform("p.infon", lambda i: F.struct(i["_key"], i["_VALUE"])), F.array().cast("array<struct<_key:string,_VALUE:string>>"))
-    return rows.select("paper_id", "doc_seq", "seq", F.map_from_entries(pairs).alias("infons"), F.col("p.text").alias("text")).withColumn("section_type", F.col("infons")["section_type"]).withColumn("type", F.col("infons")["type"])
+    return docs.select("paper_id", "doc_seq", F.posexplode("d.passage").alias("seq", "p"))
+
+
+def bioc_passages(files: DataFrame, repeated: str = "last") -> DataFrame:
+    """(paper_id, doc_seq, seq, infons, text, section_type, type) of the BioC collections among files; prose takes doc_seq 0.
+
+    A key that a passage repeats has its last value, its first, or with
+    repeated="all" all of them in an array; section_type and type are then the last.
+    """
+    rows = raw_passages(files).select("paper_id", "doc_seq", "seq", infon_map(F.col("p.infon"), repeated).alias("infons"), F.col("p.text").alias("text"))
+    value = lambda k: F.element_at(F.col("infons")[k], -1) if repeated == "all" else F.col("infons")[k]
+    return rows.withColumn("section_type", value("section_type")).withColumn("type", value("type"))
+
+
+def rejected_infons(files: DataFrame) -> DataFrame:
+    """(paper_id, doc_seq, seq, reason, key, n) for each passage and key: `no key` for infons without one, `repeated key` for one that comes n times; the passages are read all the same."""
+    keys = raw_passages(files).select("paper_id", "doc_seq", "seq", F.explode("p.infon").alias("i")).select("paper_id", "doc_seq", "seq", F.col("i._key").alias("key"))
+    counted = keys.groupBy("paper_id", "doc_seq", "seq", "key").agg(F.count("*").alias("n")).where("key IS NULL OR n > 1")
+    return counted.select("paper_id", "doc_seq", "seq", F.when(F.col("key").isNull(), "no key").otherwise("repeated key").alias("reason"), "key", "n")
 
 
 def well_formed(body: Column) -> Column:
@@ -44,10 +76,46 @@ def well_formed(body: Column) -> Column:
     return F.from_xml(body, "_corrupt_record string", {"mode": "PERMISSIVE"})["_corrupt_record"].isNull() & F.trim(body).startswith("<")
 
 
+def marked(body: Column) -> Column:
+    """XML with a sign of its own behind the start and before the end of every prose element; comments and CDATA stay as they are."""
+    names = "|".join(PROSE_ELEMENTS)
+    attributes = r"""(?:\s+[^\s=<>/]+\s*=\s*(?:"[^"]*"|'[^']*'))*\s*"""
+
+    def tags(s: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(s, f"<(?:{names}){attributes}>", f"$0{BEGIN}"), rf"</(?:{names})\s*>", f"{END}$0")
+
+    clean = F.translate(body, BEGIN + END, "")
+    pieces = F.split(clean, r"(?=<!\[CDATA\[|<!--)|(?<=\]\]>|-->)")
+    apart = F.array_join(F.transform(pieces, lambda s: F.when(F.startswith(s, F.lit("<!")), s).otherwise(tags(s))), "")
+    return F.when(F.contains(clean, F.lit("<![CDATA[")) | F.contains(clean, F.lit("<!--")), apart).otherwise(tags(clean))
+
+
+def prose_texts(body: Column) -> Column:
+    """The whole texts of the outermost prose elements of well-formed XML, in the order of the document.
+
+    The document's text holds the signs of marked(); how many are open decides
+    which text belongs to an element, and an element within another is part of it.
+    """
+    signs = F.regexp_extract_all(F.xpath_string(marked(body), F.lit("/")), F.lit(f"([{BEGIN}{END}]|[^{BEGIN}{END}]+)"), 1)
+    start = F.struct(F.lit(0).alias("open"), F.lit("").alias("own"), F.array().cast("array<string>").alias("texts"))
+
+    def step(s: Column, sign: Column) -> Column:
+        ends = (sign == END) & (s["open"] == 1)
+        opened = s["open"] + F.when(sign == BEGIN, 1).when((sign == END) & (s["open"] > 0), -1).otherwise(0)
+        own = F.when(ends | (opened == 0), "").when((sign == BEGIN) | (sign == END), s["own"]).otherwise(F.concat(s["own"], sign))
+        return F.struct(opened.alias("open"), own.alias("own"), F.when(ends, F.array_append(s["texts"], s["own"])).otherwise(s["texts"]).alias("texts"))
+
+    return F.aggregate(signs, start, step, lambda s: s["texts"])
+
+
 def article_passages(files: DataFrame) -> DataFrame:
-    """Passages of article XML, each text once and in the order of the element kinds; for files that are not BioC."""
+    """Passages of article XML that is not BioC: a passage for each outermost prose element, with all text in it, in the order of the document.
+
+    Equal paragraphs are passages of their own. Outer white space is dropped, and
+    so are elements without text.
+    """
     other = parsed(files).where("bioc IS NULL").where(well_formed(F.col("body")))
-    texts = F.array_distinct(F.filter(F.transform(F.concat(*(F.xpath("body", F.lit(x)) for x in ARTICLE_TEXTS)), F.trim), lambda t: t != ""))
+    texts = F.filter(F.transform(prose_texts(F.col("body")), strip), lambda t: t != "")
     rows = other.select("paper_id", F.posexplode(texts).alias("seq", "text"))
     return rows.select("paper_id", F.lit(0).alias("doc_seq"), "seq", F.create_map().cast("map<string,string>").alias("infons"), "text", F.lit(None).cast("string").alias("section_type"), F.lit(None).cast("string").alias("type"))
 
@@ -73,17 +141,26 @@ def bioc_tables(passages: DataFrame) -> DataFrame:
     return rows.select("paper_id", (F.row_number().over(order) - 1).alias("table_seq"), "name", "markup")
 
 
-def article_tables(files: DataFrame) -> DataFrame:
+def article_tables(files: DataFrame, numbered: str = "accepted") -> DataFrame:
     """(paper_id, table_seq, name, markup) of the tables in article XML; cells are td alone, their texts stripped.
 
-    A table needs a body; without a head its first row will serve as one, so it needs a second.
+    A table needs a body; without a head its first row will serve as one, so it
+    needs a second. table_seq counts the accepted tables, or with numbered="all"
+    those that are none too.
     """
-    markup = F.regexp_extract_all("body", F.lit(r"(?is)(<table\b.*?</table>)"), 1)
-    rows = parsed(files).where("bioc IS NULL").select("paper_id", F.posexplode(markup).alias("table_seq", "markup"))
-    body = F.regexp_extract("markup", r"(?is)<tbody[^>]*>(.*?)</tbody>", 1)
-    whole = (F.regexp_count(body, F.lit(r"(?i)<tr\b")) > F.when(F.col("markup").rlike("(?i)<thead"), 0).otherwise(1)) & F.col("markup").rlike("(?i)<tbody")
+    found = F.regexp_extract_all("body", F.lit(r"(?is)(<table\b.*?</table>)"), 1)
+
+    def whole(m: Column) -> Column:
+        body = F.regexp_extract(m, r"(?is)<tbody[^>]*>(.*?)</tbody>", 1)
+        return (F.regexp_count(body, F.lit(r"(?i)<tr\b")) > F.when(m.rlike("(?i)<thead"), 0).otherwise(1)) & m.rlike("(?i)<tbody")
+
+    other = parsed(files).where("bioc IS NULL")
+    if numbered == "all":
+        rows = other.select("paper_id", F.posexplode(found).alias("table_seq", "markup")).where(whole(F.col("markup")))
+    else:
+        rows = other.select("paper_id", F.posexplode(F.filter(found, whole)).alias("table_seq", "markup"))
     cells = F.regexp_replace(F.regexp_replace("markup", r"(?is)<th\b.*?</th>", ""), r"(?i)(<td\b[^>]*>)\s+|\s+(</td>)", "$1$2")
-    return rows.where(whole).select("paper_id", "table_seq", F.lit(None).cast("string").alias("name"), cells.alias("markup"))
+    return rows.select("paper_id", "table_seq", F.lit(None).cast("string").alias("name"), cells.alias("markup"))
 
 
 def markdown_tables(files: DataFrame) -> DataFrame:
@@ -92,17 +169,54 @@ def markdown_tables(files: DataFrame) -> DataFrame:
     return rows.select("paper_id", "table_seq", F.lit(None).cast("string").alias("name"), "markup")
 
 
-def read_csv_tables(spark: SparkSession, path: str, columns: int) -> tuple[DataFrame, DataFrame]:
-    """Headerless CSV files as grid cells (paper_id, table_seq, part, r, c, text), and the records that could not be read.
+#: Signs that no scrubbed file holds: they part records and fields once quotes are followed.
+RECORD, FIELD = "\x1e", "\x1f"
+
+
+def outside_quotes(s: Column, pattern: str, sign: str) -> Column:
+    """s with what matches outside quotes replaced: of the pieces between quotes every other one is outside."""
+    pieces = F.split(s, '"', -1)
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, F.regexp_replace(p, pattern, sign)).otherwise(p)), '"')
+
+
+def csv_fields(record: Column) -> Column:
+    """A record's fields without their quotes; an empty one is null, a quoted empty one is empty."""
+    fields = F.split(outside_quotes(record, ",", FIELD), FIELD, -1)
+    unquoted = lambda f: F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(fields, lambda f: F.when(F.startswith(f, F.lit('"')), unquoted(f)).otherwise(F.nullif(f, F.lit(""))))
+
+
+def quotes_amiss(body: Column) -> Column:
+    """Why a file's quotes can't be followed: one is left open, or one stands within a field; null where they can."""
+    pieces = F.split(body, '"', -1)
+    last = F.size(pieces) - 1
+    stray = F.exists(F.transform(pieces, lambda p, i: (i % 2 == 0) & (p != "") & (((i > 0) & ~p.rlike(r"^[,\r\n]")) | ((i < last) & ~p.rlike(r"[,\r\n]$")))), lambda x: x)
+    return F.when(last % 2 == 1, "open quote").when(stray, "quote within a field")
+
+
+def read_csv_tables(spark: SparkSession, path: str, columns: int | None = None, whole_files: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Headerless CSV files as grid cells (paper_id, table_seq, part, r, c, text), and rejects (paper_id, line, reason).
 
-    A quoted field may hold line ends. A file is read in one piece, so its rows keep their order.
+    Each file has a width of its own, that of its first record, or `columns`. A
+    record with more fields is rejected, or with whole_files all of its file; one
+    with fewer is filled up with nulls, or rejected where `columns` is given. A quoted field may hold
+    line ends, commas and doubled quotes. A file whose quotes can't be followed
+    is rejected, as one line. Blank lines don't count.
     """
-    schema = ", ".join(f"c{i} string" for i in range(columns)) + ", _bad string"
-    rows = spark.read.csv(path, schema=schema, header=False, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", quote='"', escape='"', emptyValue="")
-    paper = F.col("paper_id") if "paper_id" in rows.columns else F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[A-Za-z0-9]+)?$", 1)
-    # all columns are read, as a record counts as broken by those that are
-    told = F.coalesce(F.nullif("_bad", F.lit("")), *(f"c{i}" for i in range(columns)))
-    rows = rows.select(paper.alias("paper_id"), "_bad", told.alias("line"), F.monotonically_increasing_id().alias("at"), F.array(*(f"c{i}" for i in range(columns))).alias("row"))
-    good = rows.where("_bad IS NULL").withColumn("r", F.row_number().over(Window.partitionBy("paper_id").orderBy("at")) - 1)
-    cells = good.select("paper_id", F.lit(0).alias("table_seq"), F.lit("body").alias("part"), "r", F.posexplode("row").alias("c", "text"))
-    return cells, rows.where("_bad IS NOT NULL AND line IS NOT NULL").select("paper_id", "line")
+    lines = F.filter(F.split(outside_quotes(F.col("body"), r"\r\n|\r|\n", RECORD), RECORD, -1), lambda r: F.trim(r) != "")
+    records = F.transform(lines, lambda r: F.struct(r.alias("line"), csv_fields(r).alias("fields")))
+    amiss = quotes_amiss(F.col("body"))
+    files = read_files(spark, path).select("paper_id", "body", amiss.alias("amiss"), F.when(amiss.isNull(), records).alias("records"))
+    width = F.lit(columns) if columns else F.size(F.get("records", F.lit(0))["fields"])
+    files = files.withColumn("width", width)
+    fits = lambda x: F.size(x["fields"]) == F.col("width") if columns else F.size(x["fields"]) <= F.col("width")
+    bad = F.filter("records", lambda x: ~fits(x))
+    told = F.when(F.col("amiss").isNotNull(), F.array(F.struct(F.col("body").alias("line"), F.col("amiss").alias("reason")))).otherwise(F.transform(bad, lambda x: F.struct(x["line"].alias("line"), F.lit("fields").alias("reason"))))
+    rejects = files.select("paper_id", F.explode(told).alias("t")).select("paper_id", "t.line", "t.reason")
+    sound = files.where("amiss IS NULL")
+    if whole_files:
+        sound = sound.where(F.size(bad) == 0)
+    rows = sound.select("paper_id", "width", F.posexplode(F.filter("records", fits)).alias("r", "x"))
+    padded = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.get(F.col("x.fields"), i))
+    cells = rows.select("paper_id", F.lit(0).alias("table_seq"), F.lit("body").alias("part"), "r", F.posexplode(padded).alias("c", "text"))
+    return cells, rejects

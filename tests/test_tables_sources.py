@@ -45,7 +45,7 @@ def test_papers(spark, tmp_path):
     assert [(r["doc_seq"], r["seq"], r["section_type"], r["text"]) for r in passages] == [(0, 0, "TITLE", "A title"), (0, 1, "ref", "A reference"), (0, 2, None, "cells"), (1, 0, None, "no section")]
     table = papers.bioc_tables(papers.bioc_passages(files)).first()
     assert (table["name"], table["markup"]) == ("T1", "<table><tr><td>a</td></tr></table>")
-    assert [r["text"] for r in papers.article_passages(files).orderBy("seq").collect()] == ["One", "Two", "Short"]
+    assert [r["text"] for r in papers.article_passages(files).orderBy("seq").collect()] == ["Short", "One", "Two"]
     assert [r["paper_id"] for r in papers.rejected(files).collect()] == ["bad"]
     grid = tb.expand_spans(tb.table_cells(papers.article_tables(files)))
     assert {(r["part"], r["text"]) for r in grid.collect()} == {("head", "H"), ("body", "v")}
@@ -101,9 +101,46 @@ def test_tables_of_articles(spark, tmp_path):
     (tmp_path / "a.xml").write_text(f"<article><tables>{tables}</tables></article>")
     raw = papers.article_tables(papers.read_files(spark, str(tmp_path)))
     csv = tb.table_to_csv(tb.promote_first_row(tb.expand_spans(tb.table_cells(raw)))).orderBy("table_seq").collect()
-    assert [(r["table_seq"], r["csv"]) for r in csv] == [(0, "H,I\n1,2"), (3, "A\nb c")]
+    assert [(r["table_seq"], r["csv"]) for r in csv] == [(0, "H,I\n1,2"), (1, "A\nb c")]
 
 
 def test_many_documents_number_their_tables(spark):
     passages = spark.createDataFrame([("p", 3000 * k, 1, {"type": "table", "xml": f"<table>{k}</table>"}, "table") for k in range(3)], "paper_id string, doc_seq int, seq int, infons map<string,string>, type string")
     assert [(r["table_seq"], r["markup"]) for r in papers.bioc_tables(passages).orderBy("table_seq").collect()] == [(k, f"<table>{k}</table>") for k in range(3)]
+
+
+def test_article_text_in_order(spark, tmp_path):
+    """Whole texts of the outermost elements, nested ones once, equal ones each time; comments and CDATA are text or none."""
+    body = """<?xml version="1.0"?><!-- <content>no</content> --><article><abstract> A &lt;1&gt; </abstract><section><content>same</content></section>
+    <main_content><section><p>HBB c.20A&gt;T</p> <content>inner <text>deep</text></content></section></main_content><content/><content a="x > y">same</content>
+    <text><![CDATA[<content> & raw]]></text><abstract>  </abstract><title>none</title><context>none</context></article>"""
+    (tmp_path / "a.xml").write_text(body)
+    got = papers.article_passages(papers.read_files(spark, str(tmp_path))).orderBy("seq").collect()
+    assert [r["text"] for r in got] == ["A <1>", "same", "HBB c.20A>T inner deep", "same", "<content> & raw"]
+
+
+def test_odd_infons_do_not_stop_a_job(spark, tmp_path):
+    passage = '<passage><infon key="type">x</infon><infon key="type">table</infon><infon>v</infon><infon key="xml">&lt;table/&gt;</infon><text>t</text></passage>'
+    (tmp_path / "a.xml").write_text(f"<collection><document><id>1</id>{passage}<passage><text>bare</text></passage></document></collection>")
+    files = papers.read_files(spark, str(tmp_path))
+    last, first, every = (papers.bioc_passages(files, r).orderBy("seq").first() for r in papers.REPEATED)
+    assert (last["infons"], last["type"]) == ({"type": "table", "xml": "<table/>"}, "table")
+    assert (first["infons"]["type"], first["type"]) == ("x", "x")
+    assert (every["infons"]["type"], every["type"]) == (["x", "table"], "table")
+    assert papers.bioc_passages(files).count() == 2 and papers.bioc_tables(papers.bioc_passages(files)).count() == 1
+    assert {(r["seq"], r["reason"], r["key"], r["n"]) for r in papers.rejected_infons(files).collect()} == {(0, "no key", None, 1), (0, "repeated key", "type", 2)}
+
+
+def test_csv_files_of_their_own_width(spark, tmp_path):
+    bodies = {
+        "two": 'a,"b ""q"", c"\r\n\r\nd,\n"",x', "one": "lone", "three": "1,2,3\n4\n5,6,7,8\n9,,\n", "open": 'a,"b\nc,d', "stray": 'pipe of 5",a 6" b\nb,c', "empty": "",
+    }
+    for name, body in bodies.items():
+        (tmp_path / f"{name}.csv").write_bytes(body.encode())
+    cells, bad = papers.read_csv_tables(spark, str(tmp_path))
+    grid = {}
+    for r in cells.orderBy("paper_id", "r", "c").collect():
+        grid.setdefault(r["paper_id"], {}).setdefault(r["r"], []).append(r["text"])
+    assert {k: list(v.values()) for k, v in grid.items()} == {"two": [["a", 'b "q", c'], ["d", None], ["", "x"]], "one": [["lone"]], "three": [["1", "2", "3"], ["4", None, None], ["9", None, None]]}
+    assert {(r["paper_id"], r["reason"]) for r in bad.collect()} == {("three", "fields"), ("open", "open quote"), ("stray", "quote within a field")}
+    assert {r["paper_id"] for r in papers.read_csv_tables(spark, str(tmp_path), whole_files=True)[0].collect()} == {"two", "one"}
