@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +13,11 @@ NO_PROSE = ("TABLE", "REF", "COMP_INT", "AUTH_CONT", "SUPPL")
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once: what stands in a lambda is else worked out anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def scrub_control(s: Column) -> Column:
     """Without the control bytes that XML forbids."""
     return F.regexp_replace(s, CONTROL, "")

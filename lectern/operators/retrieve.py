@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hgvs, text
 
-#: Digit runs up to this length are join tokens; longer ones take the other way.
+#: Of longer numbers the last or first so many digits are join tokens.
 LONGEST_TOKEN = 12
-#: So many different signs of forms without a number are looked for one by one in each chunk.
-FEW_GRAMS = 100
+#: Letters that count as others where case does not count.
+ODD_CASE = ("\u017f\u0131\u0130\u212a", "siik")
 PAIR = ["paper_id", "variant_id"]
 
 
@@ -65,66 +66,101 @@ def by_form(body: Column, form: Column) -> Column:
     return F.coalesce(F.contains(body, form) & (form != ""), F.lit(False))
 
 
-def suffixes(run: Column) -> Column:
-    n = F.least(F.length(run), F.lit(LONGEST_TOKEN))
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.right(run, i))
+def squeezed(s: Column) -> Column:
+    """A text without white space, in the case in which DNA changes are compared."""
+    return F.regexp_replace(F.lower(F.translate(s, *ODD_CASE)), r"(?U)\s+", "")
 
 
-def beginnings(run: Column) -> Column:
-    n = F.least(F.length(run), F.lit(LONGEST_TOKEN))
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.left(run, i))
+def forms_of(variants: DataFrame) -> DataFrame:
+    """(variant_id, way, form, pattern): what a chunk may hold of a variant: its DNA change, or its long or short protein form."""
+    none = F.lit(None).cast("string")
+    all_forms = F.array(*(F.struct(F.lit(way).alias("way"), F.col(form).alias("form"), pattern.alias("pattern")) for way, form, pattern in (("dna", "var_dna", F.col("dna_pattern")), ("long", "plong", none), ("short", "pshort", none))))
+    return variants.select("variant_id", F.explode(all_forms).alias("f")).select("variant_id", "f.*").where("form <> ''")
 
 
-def variant_tokens(variants: DataFrame) -> DataFrame:
-    """(variant_id, kind, tok): what a chunk must hold for a form to match.
+def numbers_in(s: Column) -> Column:
+    """The digit runs of a text, each with the sign before and the sign after it, empty at the ends."""
+    before = F.regexp_extract_all(s, F.lit("(^|[^0-9])[0-9]++"), 1)
+    run, after = (F.regexp_extract_all(s, F.lit("([0-9]++)([^0-9]|$)"), i) for i in (1, 2))
+    return F.arrays_zip(before.alias("before"), run.alias("run"), after.alias("after"))
+
+
+def token(kind: str, tok: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), tok.alias("tok"))
 
-    A DNA pattern has no left boundary, so its first number is the end of a run
-    of the text ("end"), provided another sign follows it in the pattern. A
-    number that follows another sign is the beginning of a run ("begin"); a
-    protein form's is a whole run if a sign follows it ("end" holds this too). Of
-    long numbers the first or last LONGEST_TOKEN digits count. A form without a
-    number, or that is nothing but one, is found by its first one or two signs
-    that stand together ("gram").
-    """
 
-    forms = F.array(*(F.struct(F.col(n).alias("form")) for n in ("var_dna", "plong", "pshort")))
-    own = variants.select("variant_id", F.explode(forms).alias("f")).select("variant_id", "f.*").where("form <> ''")
-    run = hgvs.first_digit_run(F.col("form"))
-    kind = F.when(F.col("form").rlike("[0-9][^0-9]"), "end").when(F.col("form").rlike("^[^0-9]+[0-9]"), "begin").otherwise("gram")
+def form_tokens(forms: DataFrame) -> DataFrame:
+    """forms with `tokens`: things of which a chunk must hold each for the form to match.
+
+    A number between two signs must stand in the text as a whole between the same
+    signs (whole). A form's first number, with no sign before it, must be the
+    end of a number before the same sign (end); its last, with no sign after it,
+    the beginning of one behind the same sign (begin). DNA changes are looked for in
+    the squeezed text, protein forms in the text as it is. A form without such
+    a number has its first one or two signs that stand together (gram).
+    """
+    dna = F.col("way") == "dna"
+    text_form = F.when(dna, squeezed(F.col("form"))).otherwise(F.col("form"))
+
+    def of(n: Column) -> Column:
+        before, run, after = n["before"], n["run"], n["after"]
+        whole = F.struct(F.lit("whole").alias("kind"), F.concat(before, run, after).alias("tok"))
+        end = F.struct(F.lit("end").alias("kind"), F.concat(F.right(run, F.lit(LONGEST_TOKEN)), after).alias("tok"))
+        begin = F.struct(F.lit("begin").alias("kind"), F.concat(before, F.left(run, F.lit(LONGEST_TOKEN))).alias("tok"))
+        return F.when((before != "") & (after != ""), whole).when(after != "", end).when(before != "", begin)
+
+    own = F.array_distinct(F.array_compact(F.transform(numbers_in(text_form), of)))
+    named = F.transform(own, lambda t: F.struct(F.concat(F.when(dna, "dna ").otherwise("as is "), t["kind"]).alias("kind"), t["tok"].alias("tok")))
     together = F.lower(F.regexp_extract("form", r"([A-Za-z]+|[0-9]+|[^A-Za-z0-9])", 1))
-    tok = F.when(kind == "end", F.right(run, F.lit(LONGEST_TOKEN))).when(kind == "begin", F.left(run, F.lit(LONGEST_TOKEN))).otherwise(F.left(together, F.lit(2)))
-    return own.select("variant_id", kind.alias("kind"), tok.alias("tok")).distinct()
+    return forms.withColumn("tokens", F.when(F.size(named) > 0, named).otherwise(F.array(token("gram", F.left(together, F.lit(2))))))
 
 
 def chunk_tokens(chunks: DataFrame) -> DataFrame:
-    """(paper_id, chunk_seq, kind, tok): the ends and beginnings of the chunk's digit runs."""
-    runs = F.array_distinct(hgvs.digit_runs(F.col("text")))
-    both = F.concat(
-        F.transform(F.array_distinct(F.flatten(F.transform(runs, suffixes))), lambda t: F.struct(F.lit("end").alias("kind"), t.alias("tok"))),
-        F.transform(F.array_distinct(F.flatten(F.transform(runs, beginnings))), lambda t: F.struct(F.lit("begin").alias("kind"), t.alias("tok"))),
-    )
-    return chunks.where(F.col("text").rlike("[0-9]")).select("paper_id", "chunk_seq", F.explode(both).alias("t")).select("paper_id", "chunk_seq", "t.*")
+    """(paper_id, chunk_seq, kind, tok) of chunks (paper_id, chunk_seq, text, body): all that form_tokens() may ask for, but for grams."""
+
+    def parts(space: str, n: Column) -> Column:
+        before, run, after = n["before"], n["run"], n["after"]
+        lengths = F.sequence(F.lit(1), F.least(F.length(run), F.lit(LONGEST_TOKEN)))
+        whole = F.when((before != "") & (after != ""), F.array(token(f"{space} whole", F.concat(before, run, after))))
+        ends = F.when(after != "", F.transform(lengths, lambda k: token(f"{space} end", F.concat(F.right(run, k), after))))
+        begins = F.when(before != "", F.transform(lengths, lambda k: token(f"{space} begin", F.concat(before, F.left(run, k)))))
+        return F.flatten(F.array_compact(F.array(whole, ends, begins)))
+
+    def all_parts(space: str, t: Column) -> Column:
+        return F.flatten(F.transform(F.array_distinct(numbers_in(t)), lambda n: parts(space, n)))
+
+    found = F.concat(all_parts("dna", squeezed(F.col("body"))), all_parts("as is", F.col("text")))
+    return chunks.where(F.col("body").rlike("[0-9]") | F.col("text").rlike("[0-9]")).select("paper_id", "chunk_seq", F.explode(F.array_distinct(found)).alias("t")).select("paper_id", "chunk_seq", "t.*")
+
+
+def chunk_grams(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(paper_id, chunk_seq, kind, tok): which of the wanted grams a chunk holds. There are at most as many as pairs of signs, and none where each form has a number."""
+    grams = wanted.where("kind = 'gram'").agg(F.collect_set("tok").alias("grams")).scalar()
+    rows = chunks.select("paper_id", "chunk_seq", F.lower("body").alias("low"), grams.alias("grams")).where("size(grams) > 0")
+    return rows.select("paper_id", "chunk_seq", F.lit("gram").alias("kind"), F.explode(F.filter("grams", lambda t: F.contains(F.col("low"), t))).alias("tok"))
 
 
-def chunk_grams(chunks: DataFrame, wanted: list[str]) -> DataFrame:
-    """(paper_id, chunk_seq, kind, tok): which of the wanted one or two signs the chunk holds, or all that stand together if more than FEW_GRAMS are wanted."""
-    low = F.lower("text")
-    if len(wanted) <= FEW_GRAMS:
-        held = F.filter(F.array(*map(F.lit, wanted)), lambda t: F.contains(F.lower(F.col("text")), t))
-        return chunks.select("paper_id", "chunk_seq", F.lit("gram").alias("kind"), F.explode(held).alias("tok"))
-    places = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
-    grams = F.array_distinct(F.concat(F.transform(places, lambda i: F.substring(low, i, F.lit(1))), F.transform(places, lambda i: F.substring(low, i, F.lit(2)))))
-    return chunks.select("paper_id", "chunk_seq", F.lit("gram").alias("kind"), F.explode(grams).alias("tok"))
+def unescaped(chunks: DataFrame) -> DataFrame:
+    """chunks with `body`, the text with its escapes resolved, in which DNA changes are looked for."""
+    return chunks.select("paper_id", "chunk_seq", "text", text.unescape_text(F.col("text")).alias("body"))
 
 
-def candidates(chunks: DataFrame, variants: DataFrame) -> DataFrame:
-    """(paper_id, chunk_seq, variant_id): pairs of a chunk and a variant that share a number, or else signs, where a match needs them."""
-    wanted = variant_tokens(variants)
+def candidates(chunks: DataFrame, forms: DataFrame) -> DataFrame:
+    """(paper_id, chunk_seq, way, form, pattern): chunks (as unescaped() gives them) and distinct forms that share the form's rarest token.
+
+    Forms with one token are joined by it. For the others the chunks that hold each
+    of their tokens are counted: the rarest is the join key, and a form of which a
+    token is nowhere matches nothing and goes.
+    """
     tokens = chunk_tokens(chunks)
-    grams = [r["tok"] for r in wanted.where("kind = 'gram'").select("tok").distinct().limit(FEW_GRAMS + 1).collect()]
-    if grams:
-        tokens = tokens.union(chunk_grams(chunks, sorted(grams)))
-    return tokens.join(wanted, ["kind", "tok"]).select("paper_id", "chunk_seq", "variant_id").distinct()
+    wanted = form_tokens(forms.select("way", "form", "pattern").distinct())
+    single = wanted.where("size(tokens) = 1").select("way", "form", "pattern", F.col("tokens")[0].alias("t")).select("way", "form", "pattern", "t.*")
+    several = wanted.where("size(tokens) > 1").select("way", "form", "pattern", F.explode("tokens").alias("t")).select("way", "form", "pattern", "t.*")
+    common = tokens.join(several.select("kind", "tok").distinct(), ["kind", "tok"], "left_semi").groupBy("kind", "tok").agg(F.count("*").alias("n"))
+    counted = several.join(common, ["kind", "tok"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = counted.groupBy("way", "form", "pattern").agg(F.min(F.struct("n", "kind", "tok")).alias("r")).where("r.n > 0")
+    keys = single.union(rarest.select("way", "form", "pattern", "r.kind", "r.tok"))
+    return tokens.union(chunk_grams(chunks, single)).join(keys, ["kind", "tok"]).select("paper_id", "chunk_seq", "way", "form", "pattern")
 
 
 def form_flags(rows: DataFrame) -> DataFrame:
@@ -133,30 +169,61 @@ def form_flags(rows: DataFrame) -> DataFrame:
     return body.withColumns({"by_dna": by_dna(F.col("body"), F.col("dna_pattern")), "by_long": by_form(F.col("text"), F.col("plong")), "by_short": by_form(F.col("text"), F.col("pshort"))}).drop("body")
 
 
+FLAGS = ["by_dna", "by_long", "by_short"]
+
+
 def match(chunks: DataFrame, variants: DataFrame, how: str = "token") -> DataFrame:
     """(paper_id, chunk_seq, variant_id, by_dna, by_long, by_short): the chunks that mention a variant.
 
-    how="token" joins chunks and variants on their numbers and verifies the
-    pairs that meet; "nested" tries every pair and serves few variants and tests.
+    how="token" joins chunks and distinct forms on tokens, verifies each form once in
+    a chunk, by its signs and then by its pattern, and gives the result to all
+    variants that have the form. chunks are read up to four times: where they are costly,
+    pass them as a written table. "nested" tries every pair and serves few
+    variants and tests.
     """
-    forms = variants.select("variant_id", "dna_pattern", "plong", "pshort")
     if how == "nested":
-        pairs = chunks.join(forms)
-    else:
-        pairs = candidates(chunks, variants).join(chunks, ["paper_id", "chunk_seq"]).join(forms, "variant_id")
-    return form_flags(pairs).where("by_dna OR by_long OR by_short").select("paper_id", "chunk_seq", "variant_id", "by_dna", "by_long", "by_short")
+        pairs = chunks.join(variants.select("variant_id", "dna_pattern", "plong", "pshort"))
+        return form_flags(pairs).where("by_dna OR by_long OR by_short").select("paper_id", "chunk_seq", "variant_id", *FLAGS)
+    forms, bodies = forms_of(variants), unescaped(chunks)
+    rows = candidates(bodies, forms).join(bodies, ["paper_id", "chunk_seq"])
+    literal = F.when(F.col("way") == "dna", F.contains(squeezed(F.col("body")), squeezed(F.col("form")))).otherwise(F.contains("text", F.col("form")))
+    held = rows.where(literal).where(F.when(F.col("way") == "dna", by_dna(F.col("body"), F.col("pattern"))).otherwise(True))
+    named = held.select("paper_id", "chunk_seq", "way", "form", F.coalesce("pattern", F.lit("")).alias("pattern")).join(forms.withColumn("pattern", F.coalesce("pattern", F.lit(""))), ["way", "form", "pattern"])
+    return named.groupBy("paper_id", "chunk_seq", "variant_id").agg(*(F.bool_or(F.col("way") == flag[3:]).alias(flag) for flag in FLAGS))
+
+
+@dataclass(frozen=True)
+class Matcher:
+    """A matcher of the user's own.
+
+    accepts takes a chunk's text and a variant's row, as columns, and gives a
+    condition. text_tokens and variant_tokens give arrays of strings: a chunk and a
+    variant are only compared where they share one, so that each accepted pair must.
+    """
+
+    accepts: Callable[[Column, Column], Column]
+    text_tokens: Callable[[Column], Column]
+    variant_tokens: Callable[[Column], Column]
 
 
-def match_with(chunks: DataFrame, variants: DataFrame, matcher: Callable[[Column, Column], Column], pairs: DataFrame | None = None) -> DataFrame:
+def match_with(chunks: DataFrame, variants: DataFrame, matcher: Matcher | Callable[[Column, Column], Column], pairs: DataFrame | None = None) -> DataFrame:
     """(paper_id, chunk_seq, variant_id): the chunks that a user's matcher accepts.
 
-    matcher takes the chunk's text and the variant's row, as columns, and gives a
-    condition. It is asked about the pairs (paper_id, chunk_seq, variant_id) given,
-    else about those that share a number as match() needs it.
+    It is asked about the pairs that share one of its own tokens, or, also as a
+    bare condition, about the pairs (paper_id, chunk_seq, variant_id) given.
     """
-    pairs = candidates(chunks, variants) if pairs is None else pairs.select("paper_id", "chunk_seq", "variant_id").distinct()
-    rows = pairs.join(chunks, ["paper_id", "chunk_seq"]).join(variants.select("variant_id", F.struct("*").alias("variant")), "variant_id")
-    return rows.where(F.coalesce(matcher(F.col("text"), F.col("variant")), F.lit(False))).select("paper_id", "chunk_seq", "variant_id")
+    rows = variants.select("variant_id", F.struct("*").alias("variant"))
+    if pairs is not None:
+        pairs, accepts = pairs.select("paper_id", "chunk_seq", "variant_id").distinct(), matcher.accepts if isinstance(matcher, Matcher) else matcher
+    elif isinstance(matcher, Matcher):
+        accepts = matcher.accepts
+        held = chunks.select("paper_id", "chunk_seq", F.explode(F.array_distinct(matcher.text_tokens(F.col("text")))).alias("tok"))
+        wanted = rows.select("variant_id", F.explode(F.array_distinct(matcher.variant_tokens(F.col("variant")))).alias("tok"))
+        pairs = held.join(wanted, "tok").select("paper_id", "chunk_seq", "variant_id").distinct()
+    else:
+        raise ValueError("a matcher without tokens of its own needs pairs to look at")
+    known = pairs.join(chunks, ["paper_id", "chunk_seq"]).join(rows, "variant_id")
+    return known.where(F.coalesce(accepts(F.col("text"), F.col("variant")), F.lit(False))).select("paper_id", "chunk_seq", "variant_id")
 
 
 def positions(variants: DataFrame) -> DataFrame:
@@ -165,40 +232,29 @@ def positions(variants: DataFrame) -> DataFrame:
     return variants.select("variant_id", F.explode(F.array_distinct(F.array_compact(spots))).alias("tok"))
 
 
-def position_candidates(chunks: DataFrame, variants: DataFrame) -> DataFrame:
-    """(paper_id, chunk_seq, variant_id, tok): chunks that hold a variant's position as a whole number; ids only."""
-    runs = chunks.where(F.col("text").rlike("[0-9]")).select("paper_id", "chunk_seq", F.explode(F.array_distinct(hgvs.digit_runs(F.col("text")))).alias("tok"))
-    return runs.join(positions(variants), "tok").select("paper_id", "chunk_seq", "variant_id", "tok")
-
-
-def stands_alone(body: Column, number: Column) -> Column:
-    """Whether a text holds a number with any other sign on both sides."""
-    return F.regexp_like(body, F.concat(F.lit(r"(?U)\D"), number, F.lit(r"\D")))
+def position_hits(chunks: DataFrame, variants: DataFrame) -> DataFrame:
+    """(paper_id, chunk_seq, variant_id): chunks that hold a variant's position as a whole number, with another sign on both sides."""
+    alone = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)(?<=\D)([0-9]+)(?=\D)"), 1))
+    runs = chunks.where(F.col("text").rlike("[0-9]")).select("paper_id", "chunk_seq", F.explode(alone).alias("tok"))
+    return runs.join(positions(variants), "tok").select("paper_id", "chunk_seq", "variant_id").distinct()
 
 
 def position_fallback(chunks: DataFrame, variants: DataFrame, hits: DataFrame) -> DataFrame:
     """(paper_id, chunk_seq, variant_id): chunks with the bare position, for pairs of paper and variant without any hit."""
-    missed = position_candidates(chunks, variants).join(hits.select(*PAIR).distinct(), PAIR, "left_anti")
-    near = missed.join(chunks, ["paper_id", "chunk_seq"]).where(stands_alone(F.col("text"), F.col("tok")))
-    return near.select("paper_id", "chunk_seq", "variant_id").distinct()
+    return position_hits(chunks, variants).join(hits.select(*PAIR).distinct(), PAIR, "left_anti").select("paper_id", "chunk_seq", "variant_id")
 
 
 def retrieve(chunks: DataFrame, variants: DataFrame) -> DataFrame:
-    """match() and, for pairs that it leaves empty, position_fallback(), in one pass: rows with match_kind `form` or `position`.
+    """match() and, for pairs that it leaves empty, position_fallback(): rows with match_kind `form` or `position`.
 
-    Candidates of both kinds are joined with their text once and judged once;
-    whether a pair of paper and variant has any form is a window over the pair,
-    whose partitioning serves the counts and ranks that follow.
+    Positions are told by the join on numbers alone, without the text. Whether a
+    pair of paper and variant has any form is a window over the pair, whose
+    partitioning serves the counts and ranks that follow.
     """
-    none = F.array().cast("array<string>")
-    near = position_candidates(chunks, variants).groupBy("paper_id", "chunk_seq", "variant_id").agg(F.collect_set("tok").alias("numbers"))
-    both = candidates(chunks, variants).withColumn("numbers", none).unionByName(near)
-    pairs = both.groupBy("paper_id", "chunk_seq", "variant_id").agg(F.flatten(F.collect_list("numbers")).alias("numbers"))
-    rows = pairs.join(chunks, ["paper_id", "chunk_seq"]).join(variants.select("variant_id", "dna_pattern", "plong", "pshort"), "variant_id")
-    judged = form_flags(rows).withColumn("near", F.exists("numbers", lambda t: stands_alone(F.col("text"), t)))
-    judged = judged.select("paper_id", "chunk_seq", "variant_id", "by_dna", "by_long", "by_short", F.expr("by_dna OR by_long OR by_short").alias("form"), "near").where("form OR near")
-    known = judged.withColumn("any_form", F.bool_or("form").over(Window.partitionBy(*PAIR))).where("form OR NOT any_form")
-    return known.select("paper_id", "chunk_seq", "variant_id", "by_dna", "by_long", "by_short", F.when(F.col("form"), "form").otherwise("position").alias("match_kind"))
+    near = position_hits(chunks, variants).select("paper_id", "chunk_seq", "variant_id", *(F.lit(False).alias(flag) for flag in FLAGS), F.lit(False).alias("form"))
+    both = match(chunks, variants).withColumn("form", F.lit(True)).union(near)
+    known = both.withColumn("any_form", F.bool_or("form").over(Window.partitionBy(*PAIR))).where("form OR NOT any_form")
+    return known.select("paper_id", "chunk_seq", "variant_id", *FLAGS, F.when(F.col("form"), "form").otherwise("position").alias("match_kind"))
 
 
 def top_chunks(retrieved: DataFrame, k: int = 5) -> DataFrame:

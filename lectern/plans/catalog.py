@@ -12,6 +12,7 @@ from ..operators import manifest as mf
 from ..operators import retrieve as rt
 from ..operators import tables as tb
 from ..operators import tasks as tk
+from ..shared import kept
 from . import files  # noqa: F401 - registers its queries
 from . import fixtures as fx
 from .registry import ORACLE_SQL, QUERIES, register
@@ -173,19 +174,18 @@ def r02_recursive_chunks(spark, sf):
     return rt.chunk(fx.papers(spark, sf), how="recursive")
 
 
+def kept_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks, cut once for all that reads them."""
+    return kept(fx.chunks(spark, sf))
+
+
 HITS = "SELECT paper_id, chunk_seq, variant_id, by_dna, by_long, by_short FROM hits"
 
 
 @register(HITS)
 def r03_r05_j01_match(spark, sf):
     """The flagship: chunks and variants joined on the numbers they share, and verified."""
-    return rt.match(fx.chunks(spark, sf), fx.prepared(spark))
-
-
-@register(HITS)
-def j01_match_nested(spark, sf):
-    """What a nested loop over all chunks and variants finds, by the join on numbers; the loop itself is run by tests alone."""
-    return rt.match(fx.chunks(spark, sf), fx.prepared(spark))
+    return rt.match(kept_chunks(spark, sf), fx.prepared(spark))
 
 
 def many_variants(spark: SparkSession, sf: str) -> DataFrame:
@@ -194,46 +194,64 @@ def many_variants(spark: SparkSession, sf: str) -> DataFrame:
     return rt.prepare_variants(free.select("variant_id", "hgvs"), free.select("hgvs", "description"))
 
 
-@register()
+@register("""
+SELECT paper_id, chunk_seq, variant_id, bool_or(h.way = 'dna') AS by_dna, bool_or(h.way = 'long') AS by_long, bool_or(h.way = 'short') AS by_short
+FROM many_hits h JOIN many_forms f ON f.way = h.way AND f.form = h.form GROUP BY paper_id, chunk_seq, variant_id""")
 def j01_match_many_variants(spark, sf):
     """Chunks matched with a variant for each part: thousands at sf0.1, where a nested loop would try every pair."""
-    return rt.match(fx.chunks(spark, sf), many_variants(spark, sf))
+    return rt.match(kept_chunks(spark, sf), many_variants(spark, sf))
 
 
 @register("SELECT paper_id, chunk_seq, variant_id FROM chunks, variants WHERE coalesce(contains(lower(text), lower(nullif(pshort, ''))), false) OR contains(text, c_variant)")
 def x02_matcher_plugin(spark, sf):
-    """A matcher of the user's own: the short protein form in any case, or the change as it is written."""
+    """A matcher of the user's own, the short protein form in any case or the change as it is written, by its own tokens: the numbers in both."""
 
-    def matcher(body, variant):
+    def accepts(body, variant):
         return F.contains(F.lower(body), F.lower(F.nullif(variant["pshort"], F.lit("")))) | F.contains(body, variant["c_variant"])
 
-    return rt.match_with(fx.chunks(spark, sf), fx.prepared(spark), matcher)
+    numbers = lambda v: F.array_compact(F.array(hgvs.first_digit_run(v["c_variant"]), hgvs.first_digit_run(v["pshort"])))
+    return rt.match_with(kept_chunks(spark, sf), fx.prepared(spark), rt.Matcher(accepts, hgvs.digit_runs, numbers))
+
+
+GENES = ("and", "The", "pour", "nicht", "que", "will", "est", "der")
+_GENE = "element_at(array(" + ", ".join(f"'{g}'" for g in GENES) + "), CAST(n_nationkey % {} AS INT) + 1)".format(len(GENES))
+
+
+@register(f"""
+SELECT paper_id, chunk_seq, variant_id FROM (SELECT DISTINCT paper_id, chunk_seq, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM chunks)
+JOIN (SELECT n_nationkey AS variant_id, ([{", ".join(f"'{g}'" for g in GENES)}])[CAST(n_nationkey % {len(GENES)} AS INT) + 1] AS gene FROM nation) ON gene = w""")
+def x02_gene_matcher(spark, sf):
+    """A matcher on gene names, here words, that finds them in chunks without any number."""
+    variants = fx.table(spark, sf, "nation").select(c("n_nationkey").alias("variant_id"), F.expr(_GENE).alias("gene"))
+    words = lambda body: F.regexp_extract_all(body, F.lit("([A-Za-z]+)"), 1)
+    accepts = lambda body, v: F.array_contains(words(body), v["gene"])
+    return rt.match_with(kept_chunks(spark, sf), variants, rt.Matcher(accepts, words, lambda v: F.array(v["gene"])))
 
 
 @register("SELECT paper_id, chunk_seq, variant_id FROM spots")
 def r06_position_fallback(spark, sf):
-    chunks, variants = fx.chunks(spark, sf), fx.prepared(spark)
+    chunks, variants = kept_chunks(spark, sf), fx.prepared(spark)
     return rt.position_fallback(chunks, variants, rt.match(chunks, variants))
 
 
 @register("SELECT paper_id, variant_id, chunk_seq, match_kind, CAST(rank AS INT) AS rank FROM top")
 def r07_w01_top_chunks(spark, sf):
-    return rt.top_chunks(rt.retrieve(fx.chunks(spark, sf), fx.prepared(spark)), 5).select("paper_id", "variant_id", "chunk_seq", "match_kind", "rank")
+    return rt.top_chunks(rt.retrieve(kept_chunks(spark, sf), fx.prepared(spark)), 5).select("paper_id", "variant_id", "chunk_seq", "match_kind", "rank")
 
 
 @register("SELECT * EXCLUDE (total_chunks) FROM counters")
 def r08_g06_match_counters(spark, sf):
-    return rt.match_counters(fx.pairs(spark, sf), rt.retrieve(fx.chunks(spark, sf), fx.prepared(spark)))
+    return rt.match_counters(fx.pairs(spark, sf), rt.retrieve(kept_chunks(spark, sf), fx.prepared(spark)))
 
 
 @register("SELECT paper_id, c.variant_id, total_chunks > 0 AS ok, total_chunks, pshort AS short_form FROM counters c JOIN variants v ON v.variant_id = c.variant_id")
 def r09_retrieval_summary(spark, sf):
     variants = fx.prepared(spark)
-    return rt.retrieval_summary(fx.pairs(spark, sf), rt.retrieve(fx.chunks(spark, sf), variants), variants)
+    return rt.retrieval_summary(fx.pairs(spark, sf), rt.retrieve(kept_chunks(spark, sf), variants), variants)
 
 
 def _top(spark, sf):
-    chunks, variants = fx.chunks(spark, sf), fx.prepared(spark)
+    chunks, variants = kept_chunks(spark, sf), fx.prepared(spark)
     return rt.top_chunks(rt.retrieve(chunks, variants), 5), chunks, variants
 
 
@@ -253,7 +271,7 @@ def r11_alias_in_sources(spark, sf):
 @register("SELECT p.paper_id, p.variant_id FROM pairs p JOIN counters c ON c.paper_id = p.paper_id AND c.variant_id = p.variant_id WHERE total_chunks > 0")
 def f07_j07_relevant(spark, sf):
     pairs, variants = fx.pairs(spark, sf), fx.prepared(spark)
-    return rt.relevant(pairs, rt.retrieval_summary(pairs, rt.retrieve(fx.chunks(spark, sf), variants), variants))
+    return rt.relevant(pairs, rt.retrieval_summary(pairs, rt.retrieve(kept_chunks(spark, sf), variants), variants))
 
 
 @register("SELECT p.paper_id, p.variant_id, protein_status, plong, pshort FROM pairs p JOIN variants v ON v.variant_id = p.variant_id")
@@ -509,9 +527,13 @@ def u03_merge_evidence(spark, sf):
     return an.merge_evidence((0, tables), (1, good.where("alias_idx = 0")), (2, good.where("alias_idx = 1")))
 
 
-def _diagnostics(spark, sf):
-    pairs, variants = fx.pairs(spark, sf), fx.prepared(spark)
-    found = rt.retrieve(fx.chunks(spark, sf), variants)
+def _found(spark, sf):
+    """(found, chunks, variants): the retrieval of all pairs, written once; counters, summaries and contexts read it."""
+    chunks, variants = kept_chunks(spark, sf), fx.prepared(spark)
+    return kept(rt.retrieve(chunks, variants)), chunks, variants
+
+
+def _diagnostics(pairs, found, variants):
     return an.build_diagnostics(rt.match_counters(pairs, found), rt.retrieval_summary(pairs, found, variants), variants)
 
 
@@ -526,20 +548,23 @@ def a10_diagnostics(spark, sf):
         "dna_chunks": "dna_search.chunks", "long_chunks": "protein_search.long_chunks", "short_chunks": "protein_search.short_chunks", "fallback_triggered": "position_fallback.triggered", "dna_position": "position_fallback.dna_pattern",
         "protein_position": "position_fallback.protein_pattern", "fallback_chunks": "position_fallback.chunks", "ok": "summary.ok", "total_chunks": "summary.total_chunks",
     }
-    return _diagnostics(spark, sf).select("paper_id", "variant_id", *(c(f"{d}.{path}").alias(n) for n, path in names.items()))
+    found, _, variants = _found(spark, sf)
+    return _diagnostics(fx.pairs(spark, sf), found, variants).select("paper_id", "variant_id", *(c(f"{d}.{path}").alias(n) for n, path in names.items()))
 
 
 def reports(spark: SparkSession, sf: str) -> DataFrame:
     """Every asked pair's report: retrieval, questions answered by rule, table evidence, diagnostics."""
     pairs = fx.pairs(spark, sf)
-    good = an.judge(an.built_in_answers(_questions(spark, sf))).where("reason IS NULL")
+    found, chunks, variants = _found(spark, sf)
+    contexts = rt.stuff_context(rt.top_chunks(found, 5), chunks)
+    good = kept(an.judge(an.built_in_answers(an.ask(pairs, contexts, variants))).where("reason IS NULL").drop("context", "prompt"))
     trans = an.bullet_list(an.first_of_each(an.in_trans_lines(good), an.PAIR, "pos", "line"), an.PAIR, "pos", "line")
-    named = fx.prepared(spark).select("variant_id", F.explode(hgvs.table_aliases(c("c_variant"), c("plong"))).alias("alias"))
+    named = variants.select("variant_id", F.explode(hgvs.table_aliases(c("c_variant"), c("plong"))).alias("alias"))
     asked = pairs.join(named, "variant_id").select("paper_id", "variant_id", "alias")
     grid = fx.grid(spark, sf)
     hits = tb.alias_hits(grid, asked.select("paper_id", "alias").distinct()).join(asked, ["paper_id", "alias"]).select("paper_id", "table_seq", "variant_id", "r").distinct()
     lines = hits.join(tb.verbalise_rows(grid), ["paper_id", "table_seq", "r"]).select("paper_id", "variant_id", c("r").alias("pos"), F.replace("lines", F.lit("\n"), F.lit("; ")).alias("line"))
-    return an.build_report(pairs, an.bullet_list(lines, an.PAIR, "pos", "line"), an.compose_mention(good), trans, _diagnostics(spark, sf))
+    return an.build_report(pairs, an.bullet_list(lines, an.PAIR, "pos", "line"), an.compose_mention(good), trans, _diagnostics(pairs, found, variants))
 
 
 MENTIONS = rf"""

@@ -281,6 +281,14 @@ def _free_sql() -> str:
 
 
 CTE["free"] = _free_sql()
+_MANY = "SELECT variant_id, '{}' AS way, {} AS form, {} AS re FROM free WHERE {} <> ''"
+_RE = pattern_sql("var_dna", "[chars]*").replace("[chars]", "[" + chr(92) * 2 + "s" + chr(92) * 2 + "x{00A0}]")
+CTE["many_forms"] = " UNION ALL ".join(_MANY.format(way, form, re_, form) for way, form, re_ in (("dna", "var_dna", _RE), ("long", "plong", "''"), ("short", "pshort", "''")))
+# each distinct form is tried in every chunk by its signs, and where they are there by its pattern
+CTE["many_tried"] = """
+SELECT paper_id, chunk_seq, text, way, form, re FROM (SELECT *, lower(regexp_replace(text, '[\\s\\x{00A0}]+', '', 'g')) AS sq FROM chunks), (SELECT DISTINCT way, form, re FROM many_forms)
+WHERE CASE WHEN way = 'dna' THEN contains(sq, lower(form)) ELSE contains(text, form) END"""
+CTE["many_hits"] = "SELECT paper_id, chunk_seq, way, form FROM many_tried WHERE CASE WHEN way = 'dna' THEN regexp_matches(text, '(?i)' || re) ELSE true END"
 
 
 def with_(final: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import scrub_control, strip
+from ..functions.text import bound, scrub_control, strip
 
 BIOC = "document array<struct<id string, passage array<struct<infon array<struct<_key string, _VALUE string>>, text string>>>>"
 # The elements of article XML that hold prose.
@@ -188,10 +188,12 @@ def csv_fields(record: Column) -> Column:
 
 def quotes_amiss(body: Column) -> Column:
     """Why a file's quotes can't be followed: one is left open, or one stands within a field; null where they can."""
-    pieces = F.split(body, '"', -1)
-    last = F.size(pieces) - 1
-    stray = F.exists(F.transform(pieces, lambda p, i: (i % 2 == 0) & (p != "") & (((i > 0) & ~p.rlike(r"^[,\r\n]")) | ((i < last) & ~p.rlike(r"[,\r\n]$")))), lambda x: x)
-    return F.when(last % 2 == 1, "open quote").when(stray, "quote within a field")
+
+    def stray(pieces: Column, last: Column) -> Column:
+        # outside quotes there is nothing between a quote and the next comma or line end
+        return F.exists(F.transform(pieces, lambda p, i: (i % 2 == 0) & (p != "") & (((i > 0) & ~p.rlike(r"^[,\r\n]")) | ((i < last) & ~p.rlike(r"[,\r\n]$")))), lambda x: x)
+
+    return bound(F.split(body, '"', -1), lambda pieces: bound(F.size(pieces) - 1, lambda last: F.when(last % 2 == 1, "open quote").when(stray(pieces, last), "quote within a field")))
 
 
 def read_csv_tables(spark: SparkSession, path: str, columns: int | None = None, whole_files: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -205,18 +207,21 @@ def read_csv_tables(spark: SparkSession, path: str, columns: int | None = None,
     """
     lines = F.filter(F.split(outside_quotes(F.col("body"), r"\r\n|\r|\n", RECORD), RECORD, -1), lambda r: F.trim(r) != "")
     records = F.transform(lines, lambda r: F.struct(r.alias("line"), csv_fields(r).alias("fields")))
+
+    def parted(rows: Column, width: Column) -> Column:
+        fits = lambda x: F.size(x["fields"]) == width if columns else F.size(x["fields"]) <= width
+        return F.struct(width.alias("width"), F.filter(rows, fits).alias("good"), F.filter(rows, lambda x: ~fits(x)).alias("bad"))
+
+    widths = lambda rows: F.lit(columns) if columns else F.coalesce(F.size(F.get(rows, F.lit(0))["fields"]), F.lit(0))
+    table = bound(records, lambda rows: bound(widths(rows), lambda width: parted(rows, width)))
     amiss = quotes_amiss(F.col("body"))
-    files = read_files(spark, path).select("paper_id", "body", amiss.alias("amiss"), F.when(amiss.isNull(), records).alias("records"))
-    width = F.lit(columns) if columns else F.size(F.get("records", F.lit(0))["fields"])
-    files = files.withColumn("width", width)
-    fits = lambda x: F.size(x["fields"]) == F.col("width") if columns else F.size(x["fields"]) <= F.col("width")
-    bad = F.filter("records", lambda x: ~fits(x))
-    told = F.when(F.col("amiss").isNotNull(), F.array(F.struct(F.col("body").alias("line"), F.col("amiss").alias("reason")))).otherwise(F.transform(bad, lambda x: F.struct(x["line"].alias("line"), F.lit("fields").alias("reason"))))
+    files = read_files(spark, path).select("paper_id", "body", amiss.alias("amiss"), F.when(amiss.isNull(), table).alias("table"))
+    told = F.when(F.col("amiss").isNotNull(), F.array(F.struct(F.col("body").alias("line"), F.col("amiss").alias("reason")))).otherwise(F.transform("table.bad", lambda x: F.struct(x["line"].alias("line"), F.lit("fields").alias("reason"))))
     rejects = files.select("paper_id", F.explode(told).alias("t")).select("paper_id", "t.line", "t.reason")
     sound = files.where("amiss IS NULL")
     if whole_files:
-        sound = sound.where(F.size(bad) == 0)
-    rows = sound.select("paper_id", "width", F.posexplode(F.filter("records", fits)).alias("r", "x"))
+        sound = sound.where("size(table.bad) = 0")
+    rows = sound.select("paper_id", F.col("table.width").alias("width"), F.posexplode("table.good").alias("r", "x"))
     padded = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.get(F.col("x.fields"), i))
     cells = rows.select("paper_id", F.lit(0).alias("table_seq"), F.lit("body").alias("part"), "r", F.posexplode(padded).alias("c", "text"))
     return cells, rejects

@@ -70,7 +70,7 @@ def test_no_registered_match_tries_every_pair(spark, monkeypatch):
     ways = []
     match = catalog.rt.match
     monkeypatch.setattr(catalog.rt, "match", lambda chunks, variants, how="token": ways.append(how) or match(chunks, variants, how))
-    catalog.j01_match_nested(spark, SMALL)
+    catalog.j01_match_many_variants(spark, SMALL)
     assert ways and "nested" not in ways
 
 
@@ -112,3 +112,42 @@ def test_prose_is_of_the_first_document(spark):
 def test_many_variants_equal_the_nested_loop(spark):
     chunks, known = fx.chunks(spark, SMALL), catalog.many_variants(spark, SMALL)
     assert rows(catalog.j01_match_many_variants(spark, SMALL)) == rows(rt.match(chunks, known, "nested"))
+
+
+def test_tokens_never_lose_a_match(spark):
+    """Random texts and forms of few signs, with white space where patterns allow it, against every pair tried."""
+    import random
+
+    rng = random.Random(8)
+    pick = lambda signs, least, most: "".join(rng.choice(signs) for _ in range(rng.randint(least, most)))
+    texts = [pick("1122cG>A_*+ \u00a0\tgadel=", 0, 40) for _ in range(400)]
+    chunks = spark.createDataFrame([(i // 4, i % 4, t) for i, t in enumerate(texts)], "paper_id long, chunk_seq int, text string")
+    names = sorted({pick("1122G>A_*+del=", 1, 6) for _ in range(250)})
+    bodies = [f"p.({pick('12AGde', 5, 7)})" for _ in names]
+    variants = spark.createDataFrame([(i, f"x{i}:c.{n}") for i, n in enumerate(names)], "variant_id int, hgvs string")
+    proteins = spark.createDataFrame([(f"x{i}:c.{n}", b) for i, (n, b) in enumerate(zip(names, bodies, strict=True))], "hgvs string, description string")
+    known = rt.prepare_variants(variants, proteins)
+    got = rows(rt.match(chunks, known))
+    assert got == rows(rt.match(chunks, known, "nested")) and len(got) > 500
+
+
+def test_forms_are_verified_once(spark):
+    """Variants that share a form share its candidates; a form of which a token is nowhere has none."""
+    chunks = rt.unescaped(spark.createDataFrame([(1, i, "c.100_123dup") for i in range(3)], "paper_id long, chunk_seq int, text string"))
+    variants = spark.createDataFrame([(i, f"x{i}:c.100_123dup") for i in range(50)] + [(60, "x:c.100_999dup"), (61, "x:c.=")], "variant_id int, hgvs string")
+    tried = rt.candidates(chunks, rt.forms_of(rt.prepare_variants(variants))).collect()
+    assert sorted((r["chunk_seq"], r["form"]) for r in tried) == [(i, "100_123dup") for i in range(3)]
+
+
+def test_a_matcher_with_its_own_tokens(spark):
+    """A matcher on gene names finds chunks without numbers; without tokens it needs pairs."""
+    import pytest
+    from pyspark.sql import functions as F
+
+    chunks = spark.createDataFrame([(1, 0, "the HBB gene"), (1, 1, "see 24"), (2, 0, None)], "paper_id long, chunk_seq int, text string")
+    variants = spark.createDataFrame([(0, "HBB"), (1, "TP53"), (2, None)], "variant_id int, gene string")
+    words = lambda body: F.split(body, " ")
+    matcher = rt.Matcher(lambda body, v: F.contains(body, v["gene"]), words, lambda v: F.array_compact(F.array(v["gene"])))
+    assert rows(rt.match_with(chunks, variants, matcher)) == [(1, 0, 0)]
+    with pytest.raises(ValueError, match="needs pairs"):
+        rt.match_with(chunks, variants, matcher.accepts)
