@@ -76,17 +76,18 @@ def latest_status(events: DataFrame) -> DataFrame:
     return last.select("task_id", "e.batch_id", "e.state", "e.ts")
 
 
-def batch_states(batches: DataFrame, latest: DataFrame) -> DataFrame:
-    """(batch_id, state, done, total) for each batch; one without tasks is unknown.
+def rolled_state(total: Column, done: Column, bad: Column, going: Column) -> Column:
+    """A batch's state by its counts. No tasks: unknown. All done: done. Any failed and none running: failed. Else running."""
+    return F.when(total == 0, "unknown").when(done == total, DONE).when((bad > 0) & (going == 0), FAILED).otherwise("running")
+
 
-    All done: done. Any failed and none running: failed. Else running.
-    """
+def batch_states(batches: DataFrame, latest: DataFrame) -> DataFrame:
+    """(batch_id, state, done, total) for each batch; see rolled_state."""
     known = batches.join(latest, "batch_id", "left").groupBy("batch_id").agg(
         F.count("task_id").alias("total"), F.count_if(F.col("state") == DONE).alias("done"),
         F.count_if(F.col("state") == FAILED).alias("bad"), F.count_if(is_running(F.col("state"))).alias("going"),
     )
-    state = F.when(F.col("total") == 0, "unknown").when(F.col("done") == F.col("total"), DONE).when((F.col("bad") > 0) & (F.col("going") == 0), FAILED).otherwise("running")
-    return known.select("batch_id", state.alias("state"), "done", "total")
+    return known.select("batch_id", rolled_state(*map(F.col, ("total", "done", "bad", "going"))).alias("state"), "done", "total")
 
 
 def result_keys(tasks: DataFrame) -> DataFrame:

@@ -780,13 +780,13 @@ def _stream(spark, sf):
 
 
 @register("SELECT task_id, batch_id, state, ts FROM latest")
-def st1_w03_tracked_tasks(spark, sf):
-    """The stream's last state of each task, as its sink holds it at the end."""
-    from ..streaming.tasks import current, track_batches
+def st2_w03_tracked_tasks(spark, sf):
+    """The stream's last state of each task, as its table holds it at the end."""
+    from ..streaming.tasks import current_tasks, track_batches
 
     out = fx.scratch(spark)
-    track_batches(_stream(spark, sf), fx.batches(spark, sf), f"{out}/tasks", f"{out}/checkpoint").awaitTermination()
-    return current(spark, f"{out}/tasks/tasks").select("task_id", "batch_id", "state", c("ts").cast("timestamp_ntz").alias("ts"))
+    track_batches(_stream(spark, sf), f"{out}/kept", f"{out}/checkpoint").awaitTermination()
+    return current_tasks(spark, f"{out}/kept").withColumn("ts", c("ts").cast("timestamp_ntz"))
 
 
 FIRST = "SELECT task_id, date_trunc('milliseconds', min(ts)) + INTERVAL 86400 SECOND AS due FROM task_events GROUP BY task_id"
@@ -807,26 +807,41 @@ def st1_task_outcomes(spark, sf):
     return spark.read.schema("task_id string, outcome string, ts timestamp").parquet(f"{out}/outcomes").withColumn("ts", c("ts").cast("timestamp_ntz"))
 
 
+@register(f"""
+SELECT CAST(f.task_id AS VARCHAR) AS task_id, coalesce(state, 'timeout') AS outcome, CASE WHEN state IS NULL THEN due ELSE ts END AS ts FROM ({FIRST}) f LEFT JOIN ({ENDED}) e ON e.task_id = f.task_id AND n = 1
+WHERE coalesce(ts, due) <= (SELECT max(ts) - INTERVAL 1 HOUR FROM task_events)""")
+def st1_settled_outcomes(spark, sf):
+    """The outcomes that no event still to come can change."""
+    from ..streaming.tasks import track_tasks
+
+    out = fx.scratch(spark)
+    tracked = track_tasks(_stream(spark, sf).select(c("task_id").cast("string").alias("task_id"), "state", "ts"), deadline=86_400, settle=True)
+    tracked.writeStream.outputMode("append").format("parquet").option("path", f"{out}/outcomes").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("task_id string, outcome string, ts timestamp").parquet(f"{out}/outcomes").withColumn("ts", c("ts").cast("timestamp_ntz"))
+
+
 @register(BATCH_STATES)
 def st2_tracked_batches(spark, sf):
     """The state of each batch that the stream keeps, at its end."""
-    from ..streaming.tasks import current, track_batches
+    from ..streaming.tasks import current_batches, track_batches
 
     out = fx.scratch(spark)
-    track_batches(_stream(spark, sf), fx.batches(spark, sf), f"{out}/batches", f"{out}/checkpoint").awaitTermination()
-    return current(spark, f"{out}/batches/state")
+    track_batches(_stream(spark, sf), f"{out}/kept", f"{out}/checkpoint", compact=1).awaitTermination()
+    return current_batches(spark, f"{out}/kept", fx.batches(spark, sf))
 
 
-@register("SELECT DISTINCT doc_id AS pmid FROM documents")
+@register("SELECT DISTINCT doc_id AS pmid, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'before' ELSE 'stream' END AS landed FROM documents")
 def st3_ingested_papers(spark, sf):
-    """Documents as arriving papers; the ones that landed, each once."""
+    """Documents as arriving papers, those with a label landed before by another run: each is there once."""
+    from ..sources.reference import land_papers
     from ..streaming.papers import ingest_new_papers
 
     out = fx.scratch(spark)
     docs = fx.table(spark, sf, "documents")
+    land_papers(docs.join(fx.table(spark, sf, "labels").select("doc_id").distinct(), "doc_id").select(c("doc_id").alias("pmid"), "text"), f"{out}/landed", "pmid", "before")
     stream = spark.readStream.schema(docs.schema).parquet(f"{sf}/documents.parquet*")
     ingest_new_papers(stream.select(c("doc_id").alias("pmid"), "text"), "pmid", f"{out}/landed", f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/landed").select("pmid")
+    return spark.read.parquet(f"{out}/landed").select("pmid", F.when(c("ingest") == "before", "before").otherwise("stream").alias("landed"))
 
 
 # Inputs beyond one notation

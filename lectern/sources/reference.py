@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from ..operators.manifest import failed_ids
 from ..operators.tasks import parse_status_log
@@ -46,14 +49,31 @@ def write_failed_ids(fetch_log: DataFrame, path: str) -> None:
     failed_ids(fetch_log).write.mode("overwrite").json(path)
 
 
+def land_papers(papers: DataFrame, path: str, key: str, ingest: str) -> None:
+    """Add to the table at path the papers whose key is not there yet, in folders by a hash of the key and by `ingest`.
+
+    ingest names this addition: done again under the same name, it replaces
+    itself. Only folders that the papers' keys fall in are looked at. Of several papers of one key
+    the one with the least other columns lands; those without a key don't.
+    """
+    spark, bucket = papers.sparkSession, f"{key}_bucket"
+    others = [f.name for f in papers.schema if f.name != key]
+    ordered = [f.name for f in papers.schema if f.name != key and not isinstance(f.dataType, MapType | VariantType)]
+    rows = papers.where(F.col(key).isNotNull())
+    if others:
+        rows = rows.groupBy(key).agg(F.min_by(F.struct(*others), F.struct(*ordered) if ordered else F.lit(0)).alias("rest")).select(key, "rest.*").select(*papers.columns)
+    else:
+        rows = rows.distinct()
+    one = rows.withColumn(bucket, F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(PAPER_BUCKETS)).cast("int")).withColumn("ingest", F.lit(ingest))
+    one.limit(0).write.mode("append").parquet(path)  # the first time, the table is there but empty
+    touched = [r[0] for r in one.select(bucket).distinct().collect()]  # at most PAPER_BUCKETS
+    there = spark.read.schema(one.schema).parquet(path).where(F.col(bucket).isin(touched) & (F.col("ingest") != ingest)).select(key)
+    one.join(there, key, "left_anti").select(*one.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(bucket, "ingest").parquet(path)
+
+
 def write_papers(papers: DataFrame, path: str) -> None:
-    """Add papers (pmid, body) that are not there yet, in folders by a hash of the id; running it again adds nothing."""
-    spark = papers.sparkSession
-    papers.limit(0).write.mode("append").parquet(path)  # the first time, the table is there but empty
-    there = spark.read.schema(papers.schema).parquet(path).select("pmid")
-    new = papers.join(there, "pmid", "left_anti").dropDuplicates(["pmid"])
-    bucket = F.pmod(F.xxhash64("pmid"), F.lit(PAPER_BUCKETS)).cast("int")
-    new.withColumn("pmid_bucket", bucket).write.mode("append").partitionBy("pmid_bucket").parquet(path)
+    """Add papers (pmid, body) that are not there yet; running it again adds nothing. See land_papers()."""
+    land_papers(papers, path, "pmid", uuid.uuid4().hex)
 
 
 def write_reports(reports: DataFrame, path: str) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.papers import named
+from ..sources.reference import land_papers
 
 
 def arriving_files(spark: SparkSession, path: str) -> DataFrame:
@@ -15,6 +16,17 @@ def arriving_files(spark: SparkSession, path: str) -> DataFrame:
     return named(files)
 
 
-def ingest_new_papers(papers: DataFrame, key: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Add the papers of a stream whose key has not landed yet to target; the checkpoint remembers what has."""
-    return papers.dropDuplicates([key]).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest_new_papers(papers: DataFrame, key: str, target: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Add the papers of a stream whose key has not landed yet to the table at target, whoever landed it and when.
+
+    The stream keeps no state of its own: each micro-batch looks at the landed keys
+    in the folders that its own keys fall in. It lands under the stream's id and its number,
+    so one that is repeated replaces itself. See land_papers().
+    """
+
+    def land(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        stream = spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+        land_papers(batch, target, key, f"{stream}-{number}")
+
+    return papers.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(land).start()
