@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,11 +79,19 @@ def forms_of(variants: DataFrame) -> DataFrame:
     return variants.select("variant_id", F.explode(all_forms).alias("f")).select("variant_id", "f.*").where("form <> ''")
 
 
+#: A digit run behind a sign and white space, if they are there; and the white space and the sign that follow.
+RUN = r"(?U)([^0-9\s]?\s*[0-9]++)(?=(\s*+[^0-9\s]?))"
+
+
 def numbers_in(s: Column) -> Column:
-    """The digit runs of a text, each with the sign before and the sign after it, empty at the ends."""
-    before = F.regexp_extract_all(s, F.lit("(^|[^0-9])[0-9]++"), 1)
-    run, after = (F.regexp_extract_all(s, F.lit("([0-9]++)([^0-9]|$)"), i) for i in (1, 2))
-    return F.arrays_zip(before.alias("before"), run.alias("run"), after.alias("after"))
+    """The digit runs of a text as (run, before, after, dna_before, dna_after): with the signs next to them, and with those beyond white space in the case of DNA changes; empty at the ends."""
+    pairs = F.zip_with(F.regexp_extract_all(s, F.lit(RUN), 1), F.regexp_extract_all(s, F.lit(RUN), 2), lambda b, a: F.struct(b.alias("b"), F.regexp_extract(b, "([0-9]+)$", 1).alias("run"), a.alias("after")))
+
+    def signs(x: Column) -> Column:
+        before = F.left(x["b"], F.length(x["b"]) - F.length(x["run"]))
+        return F.struct(x["run"].alias("run"), F.right(before, F.lit(1)).alias("before"), F.left(x["after"], F.lit(1)).alias("after"), squeezed(before).alias("dna_before"), squeezed(x["after"]).alias("dna_after"))
+
+    return F.transform(pairs, signs)
 
 
 def token(kind: str, tok: Column) -> Column:
@@ -90,7 +99,7 @@ def token(kind: str, tok: Column) -> Column:
 
 
 def form_tokens(forms: DataFrame) -> DataFrame:
-    """forms with `tokens`: things of which a chunk must hold each for the form to match.
+    """(way, form, pattern, kind, tok, n): the n things of which a chunk must hold each for a form to match.
 
     A number between two signs must stand in the text as a whole between the same
     signs (whole). A form's first number, with no sign before it, must be the
@@ -100,36 +109,39 @@ def form_tokens(forms: DataFrame) -> DataFrame:
     a number has its first one or two signs that stand together (gram).
     """
     dna = F.col("way") == "dna"
-    text_form = F.when(dna, squeezed(F.col("form"))).otherwise(F.col("form"))
 
     def of(n: Column) -> Column:
-        before, run, after = n["before"], n["run"], n["after"]
+        before, run, after = F.when(dna, n["dna_before"]).otherwise(n["before"]), n["run"], F.when(dna, n["dna_after"]).otherwise(n["after"])
         whole = F.struct(F.lit("whole").alias("kind"), F.concat(before, run, after).alias("tok"))
         end = F.struct(F.lit("end").alias("kind"), F.concat(F.right(run, F.lit(LONGEST_TOKEN)), after).alias("tok"))
         begin = F.struct(F.lit("begin").alias("kind"), F.concat(before, F.left(run, F.lit(LONGEST_TOKEN))).alias("tok"))
         return F.when((before != "") & (after != ""), whole).when(after != "", end).when(before != "", begin)
 
-    own = F.array_distinct(F.array_compact(F.transform(numbers_in(text_form), of)))
-    named = F.transform(own, lambda t: F.struct(F.concat(F.when(dna, "dna ").otherwise("as is "), t["kind"]).alias("kind"), t["tok"].alias("tok")))
+    own = F.array_distinct(F.array_compact(F.transform(numbers_in(F.col("form")), of)))
     together = F.lower(F.regexp_extract("form", r"([A-Za-z]+|[0-9]+|[^A-Za-z0-9])", 1))
-    return forms.withColumn("tokens", F.when(F.size(named) > 0, named).otherwise(F.array(token("gram", F.left(together, F.lit(2))))))
+    gram = F.array(F.struct(F.lit("gram").alias("kind"), F.left(together, F.lit(2)).alias("tok"), F.lit(1).alias("n")))
+    named = text.bound(own, lambda all_own: F.transform(all_own, lambda t: F.struct(F.concat(F.when(dna, "dna ").otherwise("as is "), t["kind"]).alias("kind"), t["tok"].alias("tok"), F.size(all_own).alias("n"))))
+    tokens = text.bound(named, lambda found: F.when(F.size(found) > 0, found).otherwise(gram))
+    return forms.select("way", "form", "pattern", F.explode(tokens).alias("t")).select("way", "form", "pattern", "t.*")
 
 
 def chunk_tokens(chunks: DataFrame) -> DataFrame:
     """(paper_id, chunk_seq, kind, tok) of chunks (paper_id, chunk_seq, text, body): all that form_tokens() may ask for, but for grams."""
 
     def parts(space: str, n: Column) -> Column:
-        before, run, after = n["before"], n["run"], n["after"]
+        before, run, after = (n["dna_before"], n["run"], n["dna_after"]) if space == "dna" else (n["before"], n["run"], n["after"])
         lengths = F.sequence(F.lit(1), F.least(F.length(run), F.lit(LONGEST_TOKEN)))
         whole = F.when((before != "") & (after != ""), F.array(token(f"{space} whole", F.concat(before, run, after))))
         ends = F.when(after != "", F.transform(lengths, lambda k: token(f"{space} end", F.concat(F.right(run, k), after))))
         begins = F.when(before != "", F.transform(lengths, lambda k: token(f"{space} begin", F.concat(before, F.left(run, k)))))
         return F.flatten(F.array_compact(F.array(whole, ends, begins)))
 
-    def all_parts(space: str, t: Column) -> Column:
-        return F.flatten(F.transform(F.array_distinct(numbers_in(t)), lambda n: parts(space, n)))
+    def all_parts(numbers: Column, *spaces: str) -> Column:
+        return text.bound(F.array_distinct(numbers), lambda d: F.concat(*(F.flatten(F.transform(d, partial(parts, space))) for space in spaces)))
 
-    found = F.concat(all_parts("dna", squeezed(F.col("body"))), all_parts("as is", F.col("text")))
+    same = all_parts(numbers_in(F.col("text")), "dna", "as is")
+    apart = F.concat(all_parts(numbers_in(F.col("body")), "dna"), all_parts(numbers_in(F.col("text")), "as is"))
+    found = F.when(F.col("text") == F.col("body"), same).otherwise(apart)
     return chunks.where(F.col("body").rlike("[0-9]") | F.col("text").rlike("[0-9]")).select("paper_id", "chunk_seq", F.explode(F.array_distinct(found)).alias("t")).select("paper_id", "chunk_seq", "t.*")
 
 
@@ -154,8 +166,7 @@ def candidates(chunks: DataFrame, forms: DataFrame) -> DataFrame:
     """
     tokens = chunk_tokens(chunks)
     wanted = form_tokens(forms.select("way", "form", "pattern").distinct())
-    single = wanted.where("size(tokens) = 1").select("way", "form", "pattern", F.col("tokens")[0].alias("t")).select("way", "form", "pattern", "t.*")
-    several = wanted.where("size(tokens) > 1").select("way", "form", "pattern", F.explode("tokens").alias("t")).select("way", "form", "pattern", "t.*")
+    single, several = (wanted.where(which).drop("n") for which in ("n = 1", "n > 1"))
     common = tokens.join(several.select("kind", "tok").distinct(), ["kind", "tok"], "left_semi").groupBy("kind", "tok").agg(F.count("*").alias("n"))
     counted = several.join(common, ["kind", "tok"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = counted.groupBy("way", "form", "pattern").agg(F.min(F.struct("n", "kind", "tok")).alias("r")).where("r.n > 0")
