@@ -251,8 +251,9 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.9, blocks: int = 4, ch
     row whose vec_id it is stays. Vectors that are null, zero, or hold null or
     non-finite components link with nothing, nor do vectors of different
     lengths. Equal vectors are compared once and counted with their copies.
-    Repeated rows count as vectors of their own; a null vec_id links with
-    nothing and stays. An empty table gives an empty result. Other columns are
+    Repeated rows count as vectors of their own: rows that share a vec_id but not
+    the vector have links of their own, and one component, as it is of ids. A
+    null vec_id links with nothing and stays. An empty table gives an empty result. Other columns are
     not read.
 
     The unit vectors are rotated to principal axes and cut into blocks of few
@@ -264,10 +265,11 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.9, blocks: int = 4, ch
     given = vectors.schema["embedding"].dataType.elementType.simpleString()
     numbers = F.col("embedding") if given in ("float", "double") else F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), numbers.alias("embedding"))
-    distinct = cut(distinct_vectors(rows.where("vec_id IS NOT NULL")))
+    # vectors are told apart by a number that is fixed as they are written, since rows of one id may have different ones
+    distinct = cut(distinct_vectors(rows.where("vec_id IS NOT NULL")).withColumn("vid", F.monotonically_increasing_id()))
     found = None
     for dim in sorted(r["dim"] for r in distinct.select("dim").distinct().collect()):
-        own = distinct.where(F.col("dim") == dim)
+        own = distinct.where(F.col("dim") == dim).select(F.col("vid").alias("rep"), "copies", "embedding")
         rotation, first, budgets = subspaces(second_moments(own, dim), cosine, blocks)
         units = units_of_work(cells(own, dim, rotation, first, budgets), chunk)
         links = links_in(units, dim, first, budgets, cosine, number_type(own))
@@ -275,13 +277,17 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.9, blocks: int = 4, ch
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = cut(found)
-    comp = components(found.where("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    known = cut(
-        distinct.join(counts, "rep", "left")
-        .join(comp, F.col("rep") == F.col("id"), "left")
-        .select("embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
-    own = F.when(F.col("vec_id").isNotNull(), F.col("embedding"))
-    joined = rows.withColumn("embedding", own).join(known, "embedding", "left")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    counts = found.groupBy("rep").agg(F.sum("n").alias("n")).withColumnRenamed("rep", "vid")
+    known = cut(distinct.join(counts, "vid", "left").select("embedding", "vid", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    usable = F.when(F.col("vec_id").isNotNull(), F.col("embedding"))
+    slim = cut(rows.withColumn("embedding", usable).join(known.drop("vid"), "embedding", "left").select("vec_id", "rep", "n_links"))
+    # an id whose rows have several vectors, or one and none, stands for all of them
+    several = slim.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count_if(F.col("rep").isNull()).alias("none")).where("least <> most OR none > 0 AND least <> vec_id").select("vec_id")
+    shared = slim.where("rep IS NOT NULL").join(several, "vec_id").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
+    names = known.select("vid", "rep")
+    pairs = found.where("other IS NOT NULL").select(F.col("rep").alias("x"), F.col("other").alias("y"))
+    linked = pairs.join(names.select(F.col("vid").alias("x"), F.col("rep").alias("a")), "x").join(names.select(F.col("vid").alias("y"), F.col("rep").alias("b")), "y").select("a", "b")
+    comp = components(linked.union(shared))
+    node = F.coalesce("rep", "vec_id")
+    joined = slim.withColumn("id", node).join(comp, "id", "left")
+    return joined.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -598,3 +598,19 @@ def test_stretches_of_the_packed_output_hold_the_shares(spark, tmp_path, monkeyp
 def test_digests(spark):
     got = queries.op5_substring_dedup(spark, SMALL).limit(3).collect()
     assert all(len(r["kept_sha256"]) == len(hashlib.sha256(b"").hexdigest()) for r in got)
+
+
+def test_vectors_that_share_an_id_have_links_of_their_own(spark, tmp_path):
+    """Ids given several times with other vectors, or without one, against the query's SQL."""
+    import random
+
+    schema = "vec_id long, embedding array<float>, label int"
+    df = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0)], schema)
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in similar_vectors(df).collect())
+    assert got == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+    rng = random.Random(4)
+    rows = [(rng.randrange(150), rng.choice([None, [0.0] * 4] + [[round(rng.gauss(0, 1), 1) for _ in range(4)]] * 12), 0) for _ in range(250)]
+    rows += [(i, v, 0) for (_, v, _), i in zip(rows[:60], range(140, 200), strict=True)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "t"))
+    next((tmp_path / "t").glob("part*.parquet")).rename(tmp_path / "embeddings.parquet")
+    same(spark, str(tmp_path), queries.op2_vector_dedup, queries.ORACLE_SQL["op2_vector_dedup"])
