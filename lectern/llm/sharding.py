@@ -100,19 +100,20 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, bits: int = 5) -> DataFram
     first. Repeated rows each get their own slot. An empty table gives an empty
     result. Other columns are not read.
     """
-    named = docs.select("doc_id", "text", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")))
-    for c in ("lang", "source"):
-        named = named.join(string_cells(docs, c, bits).select(F.col("value").alias(c), F.col("cell").alias(f"{c}_cell")), c)
-    base = cut(
-        named.select(
+    # what is joined below is slim: texts are read once, for their size and hashes
+    slim = cut(
+        docs.select(
             "doc_id",
             (F.octet_length(text_of()) + F.lit(8)).cast("long").alias("size"),
             F.crc32(text_of().cast("binary")).alias("text_crc32"),
             F.xxhash64(text_of()).alias("text_hash"),
-            "lang_cell",
-            "source_cell",
+            *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")),
         )
     )
+    named = slim
+    for c in ("lang", "source"):
+        named = named.join(string_cells(slim, c, bits).select(F.col("value").alias(c), F.col("cell").alias(f"{c}_cell")), c)
+    base = cut(named.select("doc_id", *GROUP, "lang_cell", "source_cell"))
     groups = base.groupBy(*GROUP).agg(F.min("lang_cell").alias("lang_cell"), F.min("source_cell").alias("source_cell"), F.count("*").alias("n"))
     groups = quantised(groups, {"size_cell": F.col("size")}, bits)
     groups = cut(groups.withColumn("curve", along_curve(["lang_cell", "source_cell", "size_cell"], bits)).select(*GROUP, "curve"))

@@ -614,3 +614,26 @@ def test_vectors_that_share_an_id_have_links_of_their_own(spark, tmp_path):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "t"))
     next((tmp_path / "t").glob("part*.parquet")).rename(tmp_path / "embeddings.parquet")
     same(spark, str(tmp_path), queries.op2_vector_dedup, queries.ORACLE_SQL["op2_vector_dedup"])
+
+
+def test_shards_and_slots_recomputed(spark):
+    """Shard and slot of every row from the order alone: the curve, then the text's hash, then the id; copies of a text share a place on the curve."""
+    import random
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdef") * rng.randrange(1, 9) for _ in range(rng.randrange(40))) for _ in range(150)]
+    rows = [(i, rng.choice(texts), rng.choice(["en", "de", None]), rng.choice(["hot", "hot", "s1", None, ""])) for i in range(601)] + [(700, None), (701, "")]
+    docs = table(spark, rows)
+    hashes = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    got = by_id(hilbert_shards(docs, 7))
+    order = sorted(got, key=lambda i: (got[i]["curve"], hashes[i], i))
+    n = len(order)
+    for place, i in enumerate(order):
+        shard = place * 7 // n
+        first = next(p for p in range(n) if p * 7 // n == shard)
+        assert (got[i]["shard"], got[i]["slot"]) == (shard, place - first)
+    curves = defaultdict(set)
+    for i, text, *_ in rows:
+        curves[text or ""].add(got[i]["curve"])
+        assert got[i]["size"] == len((text or "").encode()) + 8 and got[i]["text_crc32"] == zlib.crc32((text or "").encode())
+    assert all(len(c) == 1 for c in curves.values())
