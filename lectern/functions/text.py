@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -101,54 +101,75 @@ def fixed_chunks(text: Column, width: int = 1500, overlap: int = 100) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * stride + 1, F.lit(width)))
 
 
-def split_recursive(text: str, width: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
-    """A text's chunks of at most `width` characters, broken at the coarsest separator that does.
+#: Where texts are broken, the coarsest first; then between any two characters.
+BREAKS = ("\n\n", "\n", " ")
+
+
+def broken(text: Column, width: int, overlap: int, breaks: tuple[str, ...] = BREAKS) -> Column:
+    """A text as (kind, part) in order: a `piece` to be packed with its neighbours, a `chunk` as it is, or an `end` of what is packed together.
 
     The first separator found in the text cuts it, and stays at the head of what
-    follows. Short pieces are packed greedily; a piece that is too long closes the
-    pack and is cut by the finer separators. A new pack starts with the end of
-    the one before, at most `overlap` characters. Chunks are stripped, empty
-    ones dropped.
+    follows. A piece that is too long is cut by the finer separators, and is
+    packed apart from what stands around it. A text without any is cut in windows.
     """
-    at = next((i for i, s in enumerate(separators) if not s or s in text), len(separators) - 1)
-    separator, finer = separators[at], separators[at + 1 :]
-    if separator:
-        head, *tail = text.split(separator)
-        pieces = [p for p in (head, *(separator + t for t in tail)) if p]
-    else:
-        pieces = list(text)
-    chunks: list[str] = []
-    pack: list[str] = []
-    size = 0
-
-    def close() -> None:
-        if chunk := "".join(pack).strip():
-            chunks.append(chunk)
-
-    for piece in pieces:
-        if len(piece) >= width and finer:
-            if pack:
-                close()
-                pack, size = [], 0
-            chunks += split_recursive(piece, width, overlap, finer)
-            continue
-        if pack and size + len(piece) > width:
-            close()
-            while pack and (size > overlap or size + len(piece) > width):
-                size -= len(pack.pop(0))
-        pack.append(piece)
-        size += len(piece)
-    if pack:
-        close()
-    return chunks
 
+    def item(kind: str, part: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), part.alias("part"))
 
-def recursive_chunks(text: Column, width: int = 1500, overlap: int = 100) -> Column:
-    """split_recursive as a column of arrays, in Arrow batches."""
+    def by(sign: str, finer: tuple[str, ...]) -> Column:
+        end = F.array(item("end", F.lit("")))
+
+        def headed(piece: Column, i: Column) -> Column:
+            return F.when(i > 0, F.concat(F.lit(sign), piece)).otherwise(piece)
+
+        def apart(piece: Column) -> Column:
+            return F.when(F.length(piece) >= width, F.concat(end, broken(piece, width, overlap, finer), end)).otherwise(F.array(item("piece", piece)))
+
+        return F.flatten(F.transform(F.filter(F.transform(F.split(text, sign, -1), headed), lambda piece: piece != ""), apart))
+
+    step = width - min(overlap, width - 1)
+    last = F.greatest(F.ceil((F.length(text) - width) / step), F.lit(0)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: item("chunk", F.substring(text, i * step + 1, F.lit(width))))
+    for at in reversed(range(len(breaks))):
+        cut = F.when(F.contains(text, F.lit(breaks[at])), by(breaks[at], breaks[at + 1 :])).otherwise(cut)
+    return cut
+
+
+def packed(items: Column, width: int, overlap: int) -> Column:
+    """Chunks of broken() items: pieces are packed greedily; a new pack begins with the end of the one before, at most `overlap` characters. Chunks are stripped, empty ones dropped."""
+    none = F.array().cast("array<string>")
 
-    @F.pandas_udf("array<string>")
-    def chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: None if t is None else split_recursive(t, width, overlap))
+    def with_chunk(chunks: Column, chunk: Column) -> Column:
+        return bound(strip(chunk), lambda c: F.when(c != "", F.array_append(chunks, c)).otherwise(chunks))
 
-    return chunks(text)
+    def tail(pack: Column, most: Column) -> Column:
+        # how many of the last pieces fit, and their characters
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("size"), F.lit(True).alias("open"))
+
+        def take(s: Column, piece: Column) -> Column:
+            fits = s["open"] & (s["size"] + F.length(piece) <= most)
+            return F.struct((s["n"] + fits.cast("int")).alias("n"), F.when(fits, s["size"] + F.length(piece)).otherwise(s["size"]).alias("size"), fits.alias("open"))
+
+        return F.aggregate(F.reverse(pack), start, take)
+
+    def state(pack: Column, size: Column, chunks: Column) -> Column:
+        return F.struct(pack.alias("pack"), size.alias("size"), chunks.alias("chunks"))
+
+    def step(s: Column, x: Column) -> Column:
+        piece = x["part"]
+        closed = with_chunk(s["chunks"], F.array_join(s["pack"], ""))
+        added = state(F.array_append(s["pack"], piece), s["size"] + F.length(piece), s["chunks"])
+        again = bound(
+            tail(s["pack"], F.least(F.lit(overlap), width - F.length(piece))),
+            lambda t: state(F.array_append(F.slice(s["pack"], F.size(s["pack"]) - t["n"] + 1, t["n"]), piece), t["size"] + F.length(piece), closed),
+        )
+        full = (F.size(s["pack"]) > 0) & (s["size"] + F.length(piece) > width)
+        return F.when(x["kind"] == "end", state(none, F.lit(0), closed)).when(x["kind"] == "chunk", state(none, F.lit(0), with_chunk(s["chunks"], piece))).when(full, again).otherwise(added)
+
+    end = F.array(F.struct(F.lit("end").alias("kind"), F.lit("").alias("part")))
+    return F.aggregate(F.concat(items, end), state(none, F.lit(0), none), step, lambda s: s["chunks"])
+
+
+def recursive_chunks(text: Column, width: int = 1500, overlap: int = 100) -> Column:
+    """A text's chunks of at most `width` characters, broken at the coarsest separator that does; null for null."""
+    return F.when(text.isNotNull(), packed(broken(text, width, overlap), width, overlap))

@@ -169,7 +169,7 @@ def r02b_fixed_chunks(spark, sf):
     return fx.chunks(spark, sf)
 
 
-@register()
+@register(f"SELECT paper_id, CAST(generate_subscripts(c, 1) - 1 AS INT) AS chunk_seq, unnest(c) AS text FROM (SELECT paper_id, {fx.recursive_sql('body')} AS c FROM papers)")
 def r02_recursive_chunks(spark, sf):
     return rt.chunk(fx.papers(spark, sf), how="recursive")
 

@@ -291,6 +291,41 @@ WHERE CASE WHEN way = 'dna' THEN contains(sq, lower(form)) ELSE contains(text, f
 CTE["many_hits"] = "SELECT paper_id, chunk_seq, way, form FROM many_tried WHERE CASE WHEN way = 'dna' THEN regexp_matches(text, '(?i)' || re) ELSE true END"
 
 
+def recursive_sql(text: str, width: int = 1500, overlap: int = 100) -> str:
+    """The recursive chunks of a text as a list, by list functions and one list_reduce."""
+    end, step = "struct_pack(kind := 'end', part := '')", width - min(overlap, width - 1)
+
+    def broken(t: str, breaks: tuple[str, ...], depth: int = 0) -> str:
+        cut = f"list_transform(range(0, greatest(CAST(ceil((length({t}) - {width}) / {step}.0) AS BIGINT), 0) + 1), lambda w{depth}: struct_pack(kind := 'chunk', part := substr({t}, CAST(w{depth} * {step} + 1 AS BIGINT), {width})))"
+        for at in reversed(range(len(breaks))):
+            sign, d = breaks[at], f"{depth}{at}"
+            pieces = f"list_filter(list_transform(string_split({t}, {sign}), lambda p{d}, i{d}: CASE WHEN i{d} > 1 THEN {sign} || p{d} ELSE p{d} END), lambda q{d}: q{d} <> '')"
+            apart = f"CASE WHEN length(r{d}) >= {width} THEN list_concat(list_concat([{end}], {broken(f'r{d}', breaks[at + 1 :], depth + 1)}), [{end}]) ELSE [struct_pack(kind := 'piece', part := r{d})] END"
+            cut = f"CASE WHEN contains({t}, {sign}) THEN flatten(list_transform({pieces}, lambda r{d}: {apart})) ELSE {cut} END"
+        return cut
+
+    def state(kind: str, part: str, pack: str, size: str, chunks: str) -> str:
+        return f"struct_pack(kind := {kind}, part := {part}, pack := CAST({pack} AS VARCHAR[]), size := CAST({size} AS BIGINT), chunks := CAST({chunks} AS VARCHAR[]))"
+
+    def grown(chunk: str) -> str:
+        stripped = f"regexp_replace({chunk}, '^\\s+|\\s+$', '', 'g')"
+        return f"CASE WHEN {stripped} <> '' THEN list_append(a.chunks, {stripped}) ELSE a.chunks END"
+
+    size = lambda some: f"coalesce(list_sum(list_transform({some}, lambda y: length(y))), 0)"
+    most = f"least({overlap}, {width} - length(x.part))"
+    n = f"len(list_filter(range(1, len(a.pack) + 1), lambda k: {size('a.pack[len(a.pack) - k + 1 : len(a.pack)]')} <= {most}))"
+    tail = f"list_slice(a.pack, len(a.pack) - {n} + 1, len(a.pack))"
+    closed = grown("array_to_string(a.pack, '')")
+    items = f"list_concat({broken(text, ('chr(10) || chr(10)', 'chr(10)', 'chr(32)'))}, [{end}])"
+    elements = f"list_concat([{state(repr(''), repr(''), '[]', '0', '[]')}], list_transform({items}, lambda z: {state('z.kind', 'z.part', '[]', '0', '[]')}))"
+    step_sql = (
+        f"CASE WHEN x.kind = 'end' THEN {state('x.kind', 'x.part', '[]', '0', closed)} WHEN x.kind = 'chunk' THEN {state('x.kind', 'x.part', '[]', '0', grown('x.part'))}"
+        f" WHEN len(a.pack) > 0 AND a.size + length(x.part) > {width} THEN {state('x.kind', 'x.part', f'list_append({tail}, x.part)', f'{size(tail)} + length(x.part)', closed)}"
+        f" ELSE {state('x.kind', 'x.part', 'list_append(a.pack, x.part)', 'a.size + length(x.part)', 'a.chunks')} END"
+    )
+    return f"(list_reduce({elements}, lambda a, x: {step_sql})).chunks"
+
+
 def with_(final: str) -> str:
     """final with the named pieces it uses, and those they use."""
     needed: list[str] = []

@@ -1,7 +1,7 @@
+import random
 import re
 
-from hypothesis import given
-from hypothesis import strategies as st
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import hgvs
@@ -40,20 +40,18 @@ def test_numbers(spark):
     assert [r[0] for r in rows.select(tx.is_number(F.col("t"))).collect()] == [True, True, False, False, False, False, False]
 
 
-def test_recursive_chunks_by_hand():
-    assert tx.split_recursive("short", 10, 2) == ["short"]
-    assert tx.split_recursive("", 10, 2) == []
-    assert tx.split_recursive("aa bb cc", 5, 2) == ["aa bb", "cc"]
-    assert tx.split_recursive("one\n\ntwo\n\nthree", 9, 0) == ["one\n\ntwo", "three"]
-    assert tx.split_recursive("x" * 25, 10, 3) == ["x" * 10, "x" * 10, "x" * 10, "x" * 4]
-    assert tx.split_recursive("aa bb cc dd", 8, 3) == ["aa bb cc", "cc dd"]
+def chunked(spark, texts, width, overlap):
+    """The recursive chunks of each text, in order."""
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tx.recursive_chunks(F.col("t"), width, overlap).alias("c"))
+    found = {r["i"]: r["c"] for r in rows.collect()}
+    return [found[i] for i in range(len(texts))]
 
 
-@given(st.text(alphabet="ab \n", max_size=300), st.integers(5, 40), st.integers(0, 4))
-def test_recursive_chunks_are_short_and_lose_no_word(text, width, overlap):
-    chunks = tx.split_recursive(text, width, overlap)
-    assert all(0 < len(c) <= width for c in chunks)
-    assert set(re.sub(r"\s", "", text)) == set(re.sub(r"\s", "", "".join(chunks)))
+def test_recursive_chunks_by_hand(spark):
+    assert chunked(spark, ["short", "", "x" * 25, None], 10, 3) == [["short"], [], ["x" * 10, "x" * 10, "x" * 10, "x" * 4], None]
+    assert chunked(spark, ["aa bb cc"], 5, 2) == [["aa bb", "cc"]]
+    assert chunked(spark, ["one\n\ntwo\n\nthree"], 9, 0) == [["one\n\ntwo", "three"]]
+    assert chunked(spark, ["aa bb cc dd"], 8, 3) == [["aa bb cc", "cc dd"]]
 
 
 def test_fixed_chunks(spark):
@@ -98,9 +96,15 @@ def chunks_by_the_rule(text, width, overlap, separators=("\n\n", "\n", " ", ""))
     return [c for c in out if c]
 
 
-@given(st.text(alphabet="abc \n", max_size=400), st.integers(5, 40), st.integers(0, 12))
-def test_recursive_chunks_follow_the_rule(text, width, overlap):
-    assert tx.split_recursive(text, width, min(overlap, width - 1)) == chunks_by_the_rule(text, width, min(overlap, width - 1))
+@pytest.mark.parametrize(("width", "overlap"), [(5, 0), (8, 3), (9, 8), (20, 5), (40, 12)])
+def test_recursive_chunks_follow_the_rule(spark, width, overlap):
+    rng = random.Random(width)
+    texts = ["".join(rng.choice("abc \n" if i % 3 else "ab\u00e9    \n\n") for _ in range(rng.randrange(400))) for i in range(250)]
+    got = chunked(spark, texts, width, overlap)
+    assert got == [chunks_by_the_rule(t, width, overlap) for t in texts]
+    for text, chunks in zip(texts, got, strict=True):
+        assert all(0 < len(c) <= width for c in chunks)
+        assert set(re.sub(r"\s", "", text)) == set(re.sub(r"\s", "", "".join(chunks)))
 
 
 def test_recursive_chunks_of_whole_documents(spark):
