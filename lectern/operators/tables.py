@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 
 TABLE = ["paper_id", "table_seq"]
+LONGEST_SPAN = 1_000_000_000
+#: A table part of more cells than this is rejected, not laid out.
+MOST_CELLS = 10_000_000
 
 # The entities of cell text, the ampersand last.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
@@ -28,8 +32,9 @@ def markup_text(s: Column) -> Column:
 
 
 def span(cell: Column, name: str) -> Column:
-    """A cell's rowspan or colspan; 1 if it has none that is a number."""
-    return F.coalesce(F.regexp_extract(cell, rf"(?is)^<t[dh][^>]*\b{name}\s*=\s*[\"']?(\d+)", 1).try_cast("int"), F.lit(1))
+    """A cell's rowspan or colspan; 1 if it has none that is a number, LONGEST_SPAN for longer ones."""
+    digits = F.regexp_extract(cell, rf"(?is)^<t[dh][^>]*\b{name}\s*=\s*[\"']?0*(\d+)", 1)
+    return F.when(F.length(digits) > 9, LONGEST_SPAN).otherwise(F.coalesce(digits.try_cast("int"), F.lit(1)))
 
 
 def table_cells(raw_tables: DataFrame) -> DataFrame:
@@ -47,39 +52,70 @@ def table_cells(raw_tables: DataFrame) -> DataFrame:
     return cells.select(*TABLE, "part", "tr", "cell_seq", span(F.col("cell"), "rowspan").alias("rowspan"), span(F.col("cell"), "colspan").alias("colspan"), markup_text(F.col("cell")).alias("text"))
 
 
-def place_spans(rows: list[list[tuple[int, int, str | None]]]) -> list[list[str | None]]:
-    """The grid of rows of (rowspan, colspan, text).
+def grid_size(rows: list[list[tuple[int, int, str | None]]]) -> tuple[int, int]:
+    """Rows and columns of the grid of rows of (rowspan, colspan, text): as wide as a row's colspans and the cells that reach into it from above, each as one."""
+    n = len(rows)
+    more = [0] * (n + 1)  # cells that begin to reach into a row, less those that end before it
+    for i, row in enumerate(rows):
+        for rowspan, _, _ in row:
+            if i + 1 < n and rowspan != 1:
+                more[i + 1] += 1
+                more[min(i + rowspan, n) if rowspan else n] -= 1
+    return n, max((sum(cell[1] for cell in row) + reaching for row, reaching in zip(rows, accumulate(more), strict=False)), default=0)
+
+
+def painted(width: int, layers: list[tuple[int, int, str | None]]) -> list[tuple[int, int, str | None]]:
+    """A row as runs (start, end, text) that fill its width; layers lie over those before them, and where there is none the text is None."""
+    runs: list[tuple[int, int, str | None]] = []
+    ends = sorted({0, width, *(e for a, b, _ in layers for e in (a, b))})
+    for a, b in zip(ends, ends[1:], strict=False):
+        runs.append((a, b, next((text for x, y, text in reversed(layers) if x <= a and b <= y), None)))
+    return runs
+
+
+def laid_out(rows: list[list[tuple[int, int, str | None]]], width: int) -> list[list[tuple[int, int, str | None]]]:
+    """The grid as runs of each row.
 
     A cell takes the first free column and fills its rectangle; columns that a
     cell above still holds are skipped. Span 0 reaches to the last row or column.
-    What falls outside the grid is dropped, holes are None. The width is the
-    largest sum of a row's colspans and the spans that reach into the row.
+    What falls outside the grid is dropped, holes have no text.
     """
-    width, reach = 0, []
+    grid, above = [], []  # above: (first row below it, start, end, text) of cells that hold columns
     for i, row in enumerate(rows):
-        width = max(width, sum(colspan for _, colspan, _ in row) + len(reach))
-        reach = [s - 1 for s in [*reach, *(rowspan or len(rows) - i for rowspan, _, _ in row)] if s > 1]
-    grid: list[list[str | None]] = [[None] * width for _ in rows]
-    taken: set[tuple[int, int]] = set()
-    for i, row in enumerate(rows):
-        c = 0
-        for rowspan, colspan, value in row:
-            while (i, c) in taken:
-                c += 1
-            down, across = rowspan or len(rows) - i, colspan or max(width - c, 0)
-            for y in range(i, min(i + down, len(rows))):
-                for x in range(c, min(c + across, width)):
-                    grid[y][x] = value
-                    taken.add((y, x))
+        above = [cell for cell in above if cell[0] > i]
+        c, own = 0, []
+        for rowspan, colspan, text in row:
+            while (held := next((end for _, start, end, _ in above if start <= c < end), None)) is not None:
+                c = held
+            across = colspan or max(width - c, 0)
+            if c < min(c + across, width):
+                own.append((i + rowspan if rowspan else len(rows), c, min(c + across, width), text))
             c += across
+        layers = [(a, b, text) for _, a, b, text in above + own]
+        # without cells from above a row's own stand side by side from the first column on
+        grid.append(painted(width, layers) if above else [*layers, *([(c, width, None)] if c < width else [])])
+        above += own
     return grid
 
 
-def expand_spans(cells: DataFrame) -> DataFrame:
+def cell_lists(cells: DataFrame) -> DataFrame:
+    """A row for each table part, with all its cells."""
+    return cells.groupBy(*TABLE, "part").agg(F.collect_list(F.struct("tr", "cell_seq", "rowspan", "colspan", "text")).alias("cells"))
+
+
+def rows_of(found: list[dict]) -> list[list[tuple[int, int, str | None]]]:
+    rows: list[list] = [[] for _ in range(max(x["tr"] for x in found) + 1)]
+    for x in sorted(found, key=lambda x: (x["tr"], x["cell_seq"])):
+        rows[x["tr"]].append((x["rowspan"], x["colspan"], x["text"]))
+    return rows
+
+
+def expand_spans(cells: DataFrame, most: int = MOST_CELLS) -> DataFrame:
     """The grid of each table part: rows (paper_id, table_seq, part, r, c, text), a null text where no cell reaches.
 
     Spans are placed one after the other within a table part, many parts in a
-    batch and side by side.
+    batch and side by side, as runs of a row; what they fill is made in the JVM. Parts
+    of more than `most` cells are left out: see oversized().
     """
     key = [*TABLE, "part"]
     kind = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
@@ -88,18 +124,32 @@ def expand_spans(cells: DataFrame) -> DataFrame:
         for batch in batches:
             at, flat = [], []
             for i, found in enumerate(batch.column("cells").to_pylist()):
-                rows: list[list] = [[] for _ in range(max(x["tr"] for x in found) + 1)]
-                for x in sorted(found, key=lambda x: (x["tr"], x["cell_seq"])):
-                    rows[x["tr"]].append((x["rowspan"], x["colspan"], x["text"]))
-                own = [(r, c, v) for r, row in enumerate(place_spans(rows)) for c, v in enumerate(row)]
+                rows = rows_of(found)
+                n, width = grid_size(rows)
+                own = [(r, a, b, text) for r, row in enumerate(laid_out(rows, width)) for a, b, text in row] if n * width <= most else []
                 at += [i] * len(own)
                 flat += own
-            r, c, v = zip(*flat, strict=True) if flat else ((), (), ())
+            r, a, b, text = zip(*flat, strict=True) if flat else ((), (), (), ())
             keys = [batch.column(k).take(pa.array(at, pa.int64())) for k in key]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(r, pa.int32()), pa.array(c, pa.int32()), pa.array(v, pa.string())], [*key, "r", "c", "text"])
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(r, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(text, pa.string())], [*key, "r", "first", "end", "text"])
+
+    runs = cell_lists(cells).mapInArrow(place, f"paper_id {kind['paper_id']}, table_seq {kind['table_seq']}, part string, r int, first int, end int, text string")
+    return runs.select(*key, "r", F.explode(F.sequence("first", F.col("end") - 1)).alias("c"), "text")
+
+
+def oversized(cells: DataFrame, most: int = MOST_CELLS) -> DataFrame:
+    """(paper_id, table_seq, part, n_rows, width) of the table parts that expand_spans() leaves out."""
+    key = [*TABLE, "part"]
+    kind = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [grid_size(rows_of(found)) for found in batch.column("cells").to_pylist()]
+            at = pa.array([i for i, (n, width) in enumerate(sizes) if n * width > most], pa.int64())
+            n, width = (pa.array([sizes[i.as_py()][k] for i in at], pa.int64()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in key), n, width], [*key, "n_rows", "width"])
 
-    parts = cells.groupBy(*key).agg(F.collect_list(F.struct("tr", "cell_seq", "rowspan", "colspan", "text")).alias("cells"))
-    return parts.mapInArrow(place, f"paper_id {kind['paper_id']}, table_seq {kind['table_seq']}, part string, r int, c int, text string")
+    return cell_lists(cells).mapInArrow(measure, f"paper_id {kind['paper_id']}, table_seq {kind['table_seq']}, part string, n_rows long, width long")
 
 
 def grid_width(grid: DataFrame) -> DataFrame:

@@ -406,6 +406,22 @@ def t01_t02_page_tables(spark, sf):
     return tb.expand_spans(tb.table_cells(raw))
 
 
+WIDE = "CASE o_orderkey % 5 WHEN 0 THEN 1000000000 WHEN 1 THEN 12345678901 ELSE o_orderkey % 4 + 1 END"
+
+
+@register(f"""
+SELECT k, CAST(c % 2 AS INT) AS r, CAST(c // 2 AS INT) AS c, CASE WHEN c // 2 = n THEN s WHEN c % 2 = 0 THEN 'k' WHEN c // 2 = 0 THEN 'x' END AS text, CAST(NULL AS BIGINT) AS width
+FROM (SELECT o_orderkey AS k, o_orderstatus AS s, {WIDE} AS n, unnest(range(0, CASE WHEN o_orderkey % 5 > 1 THEN 2 * (CAST({WIDE} AS BIGINT) + 1) ELSE 0 END)) AS c FROM orders)
+UNION ALL SELECT o_orderkey, -1, -1, NULL, 1000000001 FROM orders WHERE o_orderkey % 5 < 2""")
+def t02_spans_within_a_limit(spark, sf):
+    """Orders as tables whose first cell is up to a thousand million columns wide: grids, and as row -1 the tables that are none."""
+    markup = F.concat(F.lit("<table><tr><td colspan='"), F.expr(f"CAST({WIDE} AS STRING)"), F.lit("'>k</td><td rowspan=2>"), c("o_orderstatus"), F.lit("</td></tr><tr><td>x</td></tr></table>"))
+    raw = fx.table(spark, sf, "orders").select(c("o_orderkey").alias("paper_id"), F.lit(0).alias("table_seq"), markup.alias("markup"))
+    cells = tb.table_cells(raw)
+    grid = tb.expand_spans(cells).select(c("paper_id").alias("k"), "r", "c", "text", F.lit(None).cast("long").alias("width"))
+    return grid.union(tb.oversized(cells).select("paper_id", F.lit(-1), F.lit(-1), F.lit(None).cast("string"), "width"))
+
+
 # Questions, answers and reports
 
 

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from lectern.operators import tables as tb
@@ -12,11 +14,46 @@ BIOC = """<?xml version="1.0"?><!DOCTYPE collection SYSTEM "BioC.dtd"><collectio
 ARTICLE = "<article><abstract>Short</abstract><section><content>One</content><content>Two</content></section><table><thead><tr><td>H</td></tr></thead><tbody><tr><th>n</th><td>v</td></tr></tbody></table></article>"
 
 
+def spread(rows):
+    """The grid of rows of (rowspan, colspan, text), cell by cell."""
+    return [[text for a, b, text in row for _ in range(a, b)] for row in tb.laid_out(rows, tb.grid_size(rows)[1])]
+
+
+def cell_by_cell(rows):
+    """The same by a table of taken cells."""
+    width, grid = 0, {}
+    for i, row in enumerate(rows):
+        reach = sum(1 for j in range(i) for s, _, _ in rows[j] if (j + s if s else len(rows)) > i)
+        width = max(width, sum(s for _, s, _ in row) + reach)
+    for i, row in enumerate(rows):
+        c = 0
+        for down, across, text in row:
+            while (i, c) in grid:
+                c += 1
+            last = c + across if across else max(c, width)
+            grid |= {(y, x): text for y in range(i, min(i + down, len(rows)) if down else len(rows)) for x in range(c, min(last, width))}
+            c = last
+    return [[grid.get((y, x)) for x in range(width)] for y in range(len(rows))]
+
+
 def test_spans():
-    assert tb.place_spans([[(1, 1, "a"), (2, 1, "b")], [(1, 1, "c")]]) == [["a", "b"], ["c", "b"]]
-    assert tb.place_spans([[(0, 1, "a"), (1, 2, "b")], [(1, 1, "c")]]) == [["a", "b", "b"], ["a", "c", None]]
-    assert tb.place_spans([[(9, 1, "a")], [], []]) == [["a"], ["a"], ["a"]]
-    assert tb.place_spans([]) == []
+    assert spread([[(1, 1, "a"), (2, 1, "b")], [(1, 1, "c")]]) == [["a", "b"], ["c", "b"]]
+    assert spread([[(0, 1, "a"), (1, 2, "b")], [(1, 1, "c")]]) == [["a", "b", "b"], ["a", "c", None]]
+    assert spread([[(9, 1, "a")], [], []]) == [["a"], ["a"], ["a"]]
+    assert spread([]) == []
+    rng = random.Random(2)
+    for _ in range(2000):
+        rows = [[(rng.choice([1, 1, 1, 2, 3, 0]), rng.choice([1, 1, 1, 2, 4, 0]), f"{i}.{k}") for k in range(rng.randrange(4))] for i in range(rng.randrange(1, 6))]
+        assert spread(rows) == cell_by_cell(rows), rows
+
+
+def test_spans_beyond_the_limit_are_rejected(spark):
+    """A huge colspan costs nothing and is told; a huge rowspan ends with the table."""
+    markup = ["<table><tr><td colspan='1000000000'>a</td></tr><tr><td>b</td></tr></table>", "<table><tr><td colspan=99999999999999999999>a</td></tr></table>", "<table><tr><td rowspan=1000000000>a</td><td>b</td></tr><tr><td>c</td></tr></table>"]
+    cells = tb.table_cells(spark.createDataFrame(list(enumerate(markup)), "paper_id int, markup string").selectExpr("paper_id", "0 AS table_seq", "markup"))
+    assert {(r["paper_id"], r["n_rows"], r["width"]) for r in tb.oversized(cells).collect()} == {(0, 2, 10**9), (1, 1, 10**9)}
+    grid = {(r["paper_id"], r["r"], r["c"], r["text"]) for r in tb.expand_spans(cells).collect()}
+    assert grid == {(2, 0, 0, "a"), (2, 0, 1, "b"), (2, 1, 0, "a"), (2, 1, 1, "c")}
 
 
 def test_markup_to_grid_and_csv(spark):
