@@ -270,3 +270,26 @@ def wide_view(grid: DataFrame, paper_id, table_seq: int, view: str) -> DataFrame
     wide = one.where("part = 'body'").groupBy("r").agg(*columns).orderBy("r")
     wide.createOrReplaceTempView(view)
     return wide
+
+
+def variant_rows_of(grid: DataFrame) -> DataFrame:
+    """(paper_id, table_seq, r, row): the body rows of all tables, each a VARIANT object of its cells' texts under the headers.
+
+    A repeated header gets its column's number, one without text is column_<c>. So a
+    question in SQL runs over every table, whatever its headers: a table without
+    the header asked for gives null.
+    """
+    clean = normalise_cells(grid)
+    cells = clean.where("part = 'body'").join(merge_headers(clean), [*TABLE, "c"], "left")
+    rows = cells.groupBy(*TABLE, "r").agg(F.array_sort(F.collect_list(F.struct("c", "header", "text"))).alias("cells"))
+
+    def named(found: Column) -> Column:
+        plain = F.transform(found, lambda x: F.coalesce(F.nullif(x["header"], F.lit("")), F.concat(F.lit("column_"), x["c"].cast("string"))))
+        return tx.bound(plain, lambda names: F.zip_with(names, F.sequence(F.lit(1), F.size(names)), lambda n, i: F.when(F.array_position(names, n) < i, F.concat(n, F.lit("_"), F.get(found, (i - 1).cast("int"))["c"].cast("string"))).otherwise(n)))
+
+    def as_map(found: Column) -> Column:
+        keyed = tx.bound(named(found), lambda names: F.zip_with(names, found, lambda n, x: F.struct(n.alias("k"), x["text"].alias("v"))))
+        last = lambda pairs, k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]
+        return tx.bound(keyed, lambda pairs: tx.bound(F.array_distinct(F.transform(pairs, lambda p: p["k"])), lambda keys: F.map_from_arrays(keys, F.transform(keys, lambda k: last(pairs, k)))))
+
+    return rows.select(*TABLE, "r", F.parse_json(F.to_json(as_map(F.col("cells")))).alias("row"))

@@ -259,6 +259,17 @@ def p05_sql_over_table(spark, sf):
     return spark.sql("SELECT r, CAST(`Part Quantity` AS INT) AS quantity, Flag AS flag FROM lectern_one_table")
 
 
+@register("""
+SELECT paper_id, count(*) AS n_rows, CAST(sum(CAST(q AS INT)) AS BIGINT) AS quantity, max(f) FILTER (WHERE CAST(q AS INT) > 25) AS flag
+FROM (SELECT paper_id, r, max(CASE WHEN c = 1 THEN text END) AS q, max(CASE WHEN c = 2 THEN text END) AS f FROM grid WHERE part = 'body' GROUP BY paper_id, r) GROUP BY paper_id""")
+def p05_sql_over_all_tables(spark, sf):
+    """One question in SQL about the tables of all orders, by the names of their headers."""
+    tb.variant_rows_of(fx.grid(spark, sf)).createOrReplaceTempView("lectern_all_tables")
+    return spark.sql("""
+        SELECT paper_id, count(*) AS n_rows, sum(quantity) AS quantity, max(flag) FILTER (WHERE quantity > 25) AS flag
+        FROM (SELECT paper_id, try_variant_get(row, '$["Part Quantity"]', 'int') AS quantity, try_variant_get(row, '$.Flag', 'string') AS flag FROM lectern_all_tables) GROUP BY paper_id""")
+
+
 # Reference files and sinks
 
 

@@ -181,3 +181,12 @@ def test_csv_files_of_their_own_width(spark, tmp_path):
     assert {k: list(v.values()) for k, v in grid.items()} == {"two": [["a", 'b "q", c'], ["d", None], ["", "x"]], "one": [["lone"]], "three": [["1", "2", "3"], ["4", None, None], ["9", None, None]]}
     assert {(r["paper_id"], r["reason"]) for r in bad.collect()} == {("three", "fields"), ("open", "open quote"), ("stray", "quote within a field")}
     assert {r["paper_id"] for r in papers.read_csv_tables(spark, str(tmp_path), whole_files=True)[0].collect()} == {"two", "one"}
+
+
+def test_sql_over_tables_of_any_headers(spark):
+    """Tables with other headers, repeated ones and none answer one question together."""
+    markup = ["<table><thead><tr><td>Gene</td><td>n</td></tr></thead><tr><td>HBB</td><td>3</td></tr><tr><td>TP53</td></tr></table>", "<table><thead><tr><td>n</td><td>n</td><td></td></tr></thead><tr><td>1</td><td>2</td><td>z</td></tr></table>"]
+    raw = spark.createDataFrame(list(enumerate(markup)), "paper_id int, markup string").selectExpr("paper_id", "0 AS table_seq", "markup")
+    tb.variant_rows_of(tb.expand_spans(tb.table_cells(raw))).createOrReplaceTempView("any_tables")
+    got = spark.sql("SELECT paper_id, r, try_variant_get(row, '$.Gene', 'string') AS gene, try_variant_get(row, '$.n', 'int') AS n, try_variant_get(row, '$.n_1', 'int') AS n1, try_variant_get(row, '$.column_2', 'string') AS z FROM any_tables")
+    assert sorted(map(tuple, got.collect()), key=repr) == [(0, 0, "HBB", 3, None, None), (0, 1, "TP53", None, None, None), (1, 0, None, 1, 2, "z")]
