@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructType
 
 from ..functions import hgvs
 from ..functions import text as tx
@@ -165,25 +166,17 @@ def build_diagnostics(counters: DataFrame, summary: DataFrame, variants: DataFra
     return rows.select(*PAIR, body.alias("diagnostics"))
 
 
-def render_diagnostics(d: Column) -> Column:
-    """A diagnostics record as Markdown under six headings; what is missing is n/a."""
-    n, dna, protein, back, end = (d[k] for k in ("normalization", "dna_search", "protein_search", "position_fallback", "summary"))
-
-    def line(label: str, value: Column) -> Column:
-        return F.concat(F.lit(f"- {label}: "), tx.present_or(value.cast("string"), "n/a"))
-
-    def count(label: str, number: Column, flag: Column) -> Column:
-        return F.concat(F.lit(f"- {label}: "), F.coalesce(number, F.lit(0)).cast("string"), F.lit(" ("), tx.yes_no(F.coalesce(flag, F.lit(False))), F.lit(")"))
-
-    return F.concat_ws(
-        "\n",
-        F.lit("### 1. Input"), line("HGVS name", d["input_hgvs"]), line("DNA change", d["var_dna"]),
-        F.lit("\n### 2. Name lookup"), line("Status", n["status"]), line("Protein description", n["raw_description"]), line("Without p.()", n["stripped"]),
-        F.lit("\n### 3. Forms"), line("Long form", n["long_form"]), line("Short form", n["short_form"]), line("Numbers for tables", n["digits"]),
-        F.lit("\n### 4. Search"), line("DNA pattern", dna["pattern"]), count("DNA chunks", dna["chunks"], dna["matched"]), count("Long-form chunks", protein["long_chunks"], protein["long_matched"]), count("Short-form chunks", protein["short_chunks"], protein["short_matched"]),
-        F.lit("\n### 5. Position fallback"), line("Triggered", tx.yes_no(F.coalesce(back["triggered"], F.lit(False)))), line("DNA position", back["dna_pattern"]), line("Protein position", back["protein_pattern"]), count("Chunks", back["chunks"], back["matched"]),
-        F.lit("\n### 6. Summary"), line("Found", tx.yes_no(F.coalesce(end["ok"], F.lit(False)))), line("Chunks in all", end["total_chunks"]), line("Short form", end["short_form"]),
-    )
+def rendered(record: Column, kind: StructType) -> list[Column]:
+    """A record's lines: a field each, under its name; a record within it has its name as a heading. Flags are yes or no, what is missing is n/a."""
+    lines = []
+    for field in kind:
+        value, label = record[field.name], field.name.replace("_", " ")
+        if isinstance(field.dataType, StructType):
+            lines += [F.lit(f"\n## {label}"), *rendered(value, field.dataType)]
+        else:
+            said = F.when(value, "yes").when(~value, "no") if isinstance(field.dataType, BooleanType) else value.cast("string")
+            lines.append(F.concat(F.lit(f"{label}: "), tx.present_or(said, "n/a")))
+    return lines
 
 
 def build_report(pairs: DataFrame, tables: DataFrame, mentions: DataFrame, trans: DataFrame, diagnostics: DataFrame) -> DataFrame:
@@ -195,7 +188,7 @@ def build_report(pairs: DataFrame, tables: DataFrame, mentions: DataFrame, trans
     rows = pairs.select(*PAIR)
     for part, column, name in ((tables, "bullets", "__tables"), (mentions, "mention", "__mention"), (trans, "bullets", "__trans"), (diagnostics, "diagnostics", "__diagnostics")):
         rows = rows.join(part.select(*PAIR, F.col(column).alias(name)), PAIR, "left")
-    bodies = (tx.present_or(F.col("__tables"), "No table evidence"), tx.present_or(F.col("__mention"), "Variant not found in the text"), tx.present_or(F.col("__trans"), "None"), render_diagnostics(F.col("__diagnostics")))
+    bodies = (tx.present_or(F.col("__tables"), "No table evidence"), tx.present_or(F.col("__mention"), "Variant not found in the text"), tx.present_or(F.col("__trans"), "None"), F.concat_ws("\n", *rendered(F.col("__diagnostics"), diagnostics.schema["diagnostics"].dataType)))
     sections = F.array(*(F.struct(F.lit(t).alias("title"), b.alias("body")) for t, b in zip(SECTIONS, bodies, strict=True)))
     return rows.select(*PAIR, F.struct(F.lit("Evidence summary").alias("title"), sections.alias("sections")).alias("report"))
 

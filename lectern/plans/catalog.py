@@ -616,24 +616,24 @@ JOIN (SELECT g.paper_id, g.r, string_agg(coalesce(header, '') || ': ' || coalesc
   ON l.paper_id = h.paper_id AND l.r = h.r GROUP BY h.paper_id, h.variant_id"""
 
 
-def _said(label: str, value: str) -> str:
-    return f"'- {label}: ' || coalesce(nullif({value}, ''), 'n/a')"
+_NUMBER = r"'\D' || nullif(regexp_extract({}, '[0-9]+'), '') || '\D'"
+#: The record's fields in SQL, by the record they are in; flags end in ?.
+FIELDS = {
+    "": {"input hgvs": "hgvs", "var dna": "var_dna"},
+    "normalization": {"status": "protein_status", "raw description": "description", "stripped": fx._BODY, "long form": "plong", "short form": "pshort", "digits": "array_to_string(regexp_extract_all(plong, '[0-9]+'), ',')"},
+    "dna search": {"pattern": "dna_pattern", "matched?": "dna_matched", "chunks": "dna_chunks"},
+    "protein search": {"long matched?": "long_matched", "long chunks": "long_chunks", "short matched?": "short_matched", "short chunks": "short_chunks"},
+    "position fallback": {"triggered?": "fallback_triggered", "dna pattern": _NUMBER.format("var_dna"), "protein pattern": _NUMBER.format("plong"), "matched?": "fallback_matched", "chunks": "fallback_chunks"},
+    "summary": {"ok?": "total_chunks > 0", "total chunks": "total_chunks", "short form": "pshort"},
+}
 
 
-def _counted(label: str, n: str, flag: str) -> str:
-    return f"'- {label}: ' || CAST({n} AS VARCHAR) || CASE WHEN {flag} THEN ' (yes)' ELSE ' (no)' END"
+def _field(label: str, value: str) -> str:
+    said = f"CASE WHEN {value} THEN 'yes' ELSE 'no' END" if label.endswith("?") else f"coalesce(nullif(CAST({value} AS VARCHAR), ''), 'n/a')"
+    return f"'{label.rstrip('?')}: ' || {said}"
 
 
-_YES = "CASE WHEN {} THEN 'yes' ELSE 'no' END"
-_NUMBER = r"'\D' || nullif(regexp_extract({}, '[0-9]+'), '') || '\D'"
-DIAGNOSTICS = ", ".join((
-    "'### 1. Input'", _said("HGVS name", "hgvs"), _said("DNA change", "var_dna"),
-    "chr(10) || '### 2. Name lookup'", _said("Status", "protein_status"), _said("Protein description", "description"), _said("Without p.()", fx._BODY),
-    "chr(10) || '### 3. Forms'", _said("Long form", "plong"), _said("Short form", "pshort"), _said("Numbers for tables", "array_to_string(regexp_extract_all(plong, '[0-9]+'), ',')"),
-    "chr(10) || '### 4. Search'", _said("DNA pattern", "dna_pattern"), _counted("DNA chunks", "dna_chunks", "dna_matched"), _counted("Long-form chunks", "long_chunks", "long_matched"), _counted("Short-form chunks", "short_chunks", "short_matched"),
-    "chr(10) || '### 5. Position fallback'", _said("Triggered", _YES.format("fallback_triggered")), _said("DNA position", _NUMBER.format("var_dna")), _said("Protein position", _NUMBER.format("plong")), _counted("Chunks", "fallback_chunks", "fallback_matched"),
-    "chr(10) || '### 6. Summary'", _said("Found", _YES.format("total_chunks > 0")), _said("Chunks in all", "CAST(total_chunks AS VARCHAR)"), _said("Short form", "pshort"),
-))
+DIAGNOSTICS = ", ".join(line for heading, fields in FIELDS.items() for line in ([f"chr(10) || '## {heading}'"] if heading else []) + [_field(k, v) for k, v in fields.items()])
 REPORT = f"""
 SELECT c.paper_id, c.variant_id, 'Evidence summary' AS title, 4 AS n_sections,
   'Variant and genotype in tables' || chr(10) || coalesce(lines, 'No table evidence') || chr(10) || chr(10) || 'Variant in the text' || chr(10) || coalesce(mention, 'Variant not found in the text') || chr(10) || chr(10)
