@@ -57,7 +57,8 @@ def judged(pages: DataFrame) -> DataFrame:
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
     ).withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha2("html", 256), "at": at})
     large = rows.where(F.col("payload_bytes") >= LEAST_REVISIT)
-    often = large.groupBy("payload_digest").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first")
+    # written, so that its size is known: where it is small, as most often, it is broadcast and no page is shuffled
+    often = cut(large.groupBy("payload_digest").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first"))
     known = rows.join(often, "payload_digest", "left")
     revisit = F.col("first").isNotNull() & (F.col("at") != F.col("first"))
 
