@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from lectern.llm.common import components, words_of
 from lectern.llm.exact_dedup import exact_duplicates
 from lectern.llm.language_id import identify_languages, language_samples, learnable
 from lectern.llm.line_dedup import LineRuns, dedup_lines, id_batches
-from lectern.llm.mixing import exact, mix_sources, pfair_pattern, shares, whole_weights
+from lectern.llm.mixing import Pfair, exact, mix_sources, phases, slot_table
 from lectern.llm.ngram_join import drop_similar, jaccard_components, least_difference, set_sketch, sketches
 from lectern.llm.packing import Encoded, best_fit, document_ids, lower_bound, pack
 from lectern.llm.sharding import hilbert_index, hilbert_shards
@@ -479,15 +480,47 @@ def test_packing_of_awkward_rows(spark):
 # mixing
 
 
-@given(st.lists(st.floats(0.01, 10), min_size=1, max_size=8), st.integers(20, 200))
-def test_pfair_lag_is_below_one(weights, period):
-    slots = whole_weights({f"s{i}": w for i, w in enumerate(weights)}, period)
-    assert sum(slots.values()) == period and min(slots.values()) >= 1
-    done = Counter()
-    for t, (s, j) in enumerate(pfair_pattern(slots), 1):
-        assert done[s] == j
+def slot_by_slot(weights, n):
+    """The schedule by looking at every source's next block in every slot."""
+    total, done, out = sum(weights.values()), Counter(), []
+    for t in range(n):
+        due = {s: Fraction(done[s] + 1) / (w / total) for s, w in weights.items() if done[s] / (w / total) < t + 1}
+        s = min(due, key=lambda s: (ceil(due[s]), s))
+        out.append((s, done[s]))
         done[s] += 1
-        assert all(abs(done[x] * period - a * t) < period for x, a in slots.items())
+    return out
+
+
+@given(st.lists(st.one_of(st.integers(1, 40), st.floats(0.001, 10)), min_size=1, max_size=8), st.integers(0, 300))
+def test_a_schedule_entered_anywhere_is_the_schedule(weights, at):
+    own = {f"s{i}": exact(w) for i, w in enumerate(weights)}
+    plan, whole = Pfair(own), slot_by_slot(own, 340)
+    assert plan.done(at) == [sum(s == x for s, _ in whole[:at]) for x in plan.names]
+    assert [(plan.names[i], j) for i, j in plan.slots(at, 340)] == whole[at:]
+
+
+def test_a_thousand_million_blocks_need_no_list():
+    weights = {"a": Fraction(12345678), "b": Fraction(23456789), "c": Fraction(34567891), "d": Fraction(1)}
+    total = sum(weights.values())
+    blocks = {s: int(10**9 * w / total) + 1 for s, w in weights.items()}
+    plan = phases(blocks, weights)
+    assert sum(length for _, _, length, _ in plan) == sum(blocks.values())
+    first, _, length, _ = plan[0]
+    for at in (length // 3, length - 1, length):
+        done = first.done(at)
+        assert sum(done) == at and all(abs(n - weights[s] / total * at) < 1 for s, n in zip(first.names, done, strict=True))
+
+
+def test_listed_slots_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr("lectern.llm.mixing.STRETCH", 64)
+    weights = {"a": Fraction(5), "b": Fraction(3), "c": Fraction(1)}
+    blocks = {"a": 900, "b": 300, "c": 150}
+    got = slot_table(spark, phases(blocks, weights)).collect()
+    assert sorted(r["mix_slot"] for r in got) == list(range(1350))
+    assert {(r["name"], r["b"]) for r in got} == {(s, j) for s, n in blocks.items() for j in range(n)}
+    order = [(r["name"], r["b"]) for r in sorted(got, key=lambda r: r["mix_slot"])]
+    lasting = next(t for t, (s, j) in enumerate(order) if j + 1 == blocks[s]) + 1
+    assert order[:lasting] == slot_by_slot(weights, lasting)
 
 
 def lag(order, weights):
@@ -500,26 +533,21 @@ def lag(order, weights):
     return most
 
 
-@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 0.9, "b": 0.1}, {"a": 0.7, "b": 0.2, "c": 0.05, "d": 0.05}, {"a": 3.14159265358979, "b": 2.718281828, "c": 1}])
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 0.9, "b": 0.1}, {"a": 0.7, "b": 0.2, "c": 0.05, "d": 0.05}, {"a": 3.14159265358979, "b": 2.718281828, "c": 1}, {"a": 1, "b": 0.0001}])
 def test_lag_behind_the_targets_is_below_one_over_many_periods(spark, weights):
     total = sum(weights.values())
-    rows = [(1000 * k + i if k else -i, f"t{i}", None, s) for k, (s, w) in enumerate(weights.items(), 1) for i in range(round(3000 * w / total))]
-    got = mix_sources(table(spark, rows), weights, block=1, period=100).collect()
+    rows = [(1000 * k + i if k else -i, f"t{i}", None, s) for k, (s, w) in enumerate(weights.items(), 1) for i in range(ceil(3000 * w / total))]
+    got = mix_sources(table(spark, rows), weights, block=1).collect()
     order = [s for _, s in sorted((r["mix_slot"], r["source"]) for r in got)]
     assert sorted(r["mix_slot"] for r in got) == list(range(len(rows)))
     assert lag(order[:2900], weights) < 1
-    assert whole_weights({"a": 0.9, "b": 0.1}, 1000) == {"a": 900, "b": 100}
-
-
-def test_only_shares_below_a_slot_are_raised():
-    assert shares({"a": 3, "b": 1, "c": 1e-6}, Fraction(1, 100)) == {"a": Fraction(297, 400), "b": Fraction(99, 400), "c": Fraction(1, 100)}
 
 
 def test_mixing(spark):
     rows = [(i, f"t{i}", "en", "hot" if i % 3 else f"s{i % 5}") for i in range(900)] + [(None, None, None, None)] * 2
     df = table(spark, rows).withColumn("mix_slot", F.lit("x")).withColumn("part", F.lit(1))
     weights = {"hot": 1, "s0": 2, "s1": 1, "s2": 1, "s3": 1}
-    got = mix_sources(df, weights, block=4, period=60).collect()
+    got = mix_sources(df, weights, block=4).collect()
     assert len(got) == 902
     slot = defaultdict(set)
     size = Counter()
@@ -529,19 +557,16 @@ def test_mixing(spark):
     assert all(len(x) == 1 for x in slot.values()) and max(size.values()) == 4
     sources = {r["source"] for r in got}
     order = [next(iter(slot[k]))[0] for k in sorted(slot)]
-    share = whole_weights({s or "\0": weights.get(s, 1) for s in sources}, 60)
-    last = min(len([1 for s in order if s == x]) * 60 // share[x or "\0"] for x in sources if x)
-    done = Counter()
-    for t, s in enumerate(order[: min(last, 60)], 1):
-        done[s] += 1
-        if None not in sources:
-            assert all(abs(done[x] - share[x] * t / 60) < 1 for x in sources)
+    target = {s: weights.get(s, 1) for s in sources}
+    blocks = Counter(s for s, _ in size)
+    shortest = next(t for t, s in enumerate(order) if order[: t + 1].count(s) == blocks[s])
+    assert None in sources and lag(order[:shortest], target) < 1
     assert mix_sources(table(spark, [])).count() == 0
 
 
 def test_mixing_keeps_shares_until_a_source_ends(spark):
     df = table(spark, [(i, "x", None, "ab"[i % 4 == 0]) for i in range(4000)])
-    rows = mix_sources(df, {"a": 1, "b": 1}, block=10, period=100).collect()
+    rows = mix_sources(df, {"a": 1, "b": 1}, block=10).collect()
     order = [s for _, s in sorted({(r["mix_slot"], r["source"]) for r in rows})]
     done = Counter()
     for t, s in enumerate(order[:180], 1):

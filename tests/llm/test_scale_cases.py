@@ -228,12 +228,19 @@ def test_lag_is_below_one_block_over_20000_slots(spark, weights):
     total = sum(exact(w) for w in weights.values())
     size = {s: int(20_100 * exact(w) / total) + 30 for s, w in weights.items()}
     rows = spark.createDataFrame([(k * 100_000 + i, s) for k, (s, n) in enumerate(size.items()) for i in range(n)], "doc_id long, source string")
-    got = mix_sources(rows, weights, block=1, period=1000, by=("doc_id",)).select("mix_slot", "source").collect()
+    got = mix_sources(rows, weights, block=1, by=("doc_id",)).select("mix_slot", "source").collect()
     order = [s for _, s in sorted((r["mix_slot"], r["source"]) for r in got)]
     assert sorted(r["mix_slot"] for r in got) == list(range(sum(size.values())))
     assert lag(order[:20_000], weights) < Fraction(1)
 
 
+def test_blocks_beyond_the_broadcast_take_the_same_slots(spark, monkeypatch):
+    rows = table(spark, [(i, f"t{i}", None, "abc"[i % 7 % 3]) for i in range(800)])
+    want = {(r["doc_id"], r["mix_slot"]) for r in mix_sources(rows, block=4).collect()}
+    monkeypatch.setattr("lectern.llm.mixing.FEW_BLOCKS", 10)
+    assert {(r["doc_id"], r["mix_slot"]) for r in mix_sources(rows, block=4).collect()} == want
+
+
 def test_a_null_source_has_its_share(spark):
     rows = [(i, f"t{i}", None, "a" if i % 2 else None) for i in range(600)]
     got = mix_sources(table(spark, rows), block=1).collect()
