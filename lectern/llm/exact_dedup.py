@@ -23,48 +23,44 @@ def digest_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def merge_runs(runs: DataFrame, bits: int = 3) -> DataFrame:
+def merge_runs(runs: DataFrame, bits: int = 4) -> DataFrame:
     """One row (digest, n_bytes, check, keep_id, group_size) for each distinct text, by a tree of merges of sorted runs.
 
-    Each input partition is a run. In the first round `2**bits` neighbouring runs
-    exchange their digests and are merged; each task folds what it holds of a
-    text to one row before that. The merged runs are then dealt out by ranges of
-    the digest, once, and sorted by digest and number of the run. From there on
-    the runs whose numbers agree but for the lowest `bits` bits lie side by side,
-    so each further round is one pass over sorted rows, without exchange, sort
-    or table of its own: a sort aggregate that merges up to `2**bits` runs and
-    hands sorted runs to the next round, until one run is left. A digest counts
-    as equal only if length and a second, independent hash agree too, and the
-    smallest id and the summed count stay, so every round's survivor is
-    verified. The rounds are as many as the logarithm of the number of input
-    partitions.
+    Each input partition is a run: it is sorted by digest and folded to one row for
+    each of its texts. In every round `2**bits` runs with neighbouring numbers exchange
+    their digests and are merged to one sorted run, until one run is left, so there
+    is an exchange for each level of the tree, as many as the logarithm of the number of
+    input partitions to the base `2**bits`. A run of any level is spread over many tasks by its
+    digests. A digest counts as equal only if length and a second, independent
+    hash agree too, and the smallest id and the summed count stay, so every
+    round's survivor is verified.
+
+    A round's rows go by the digest and the numbers that their run will have in the rounds to
+    come, the last round's first: so they lie in the order that the next round's folding before
+    its exchange asks for, and only the merged side is sorted.
     """
     key = ["digest", "n_bytes", "check"]
-    top = (runs.agg(F.max("run")).first()[0] or 0) >> bits
+    top = runs.agg(F.max("run")).first()[0] or 0
     # a struct has no place in a hash aggregate's row, so Spark merges sorted rows
     fold = (F.min(F.struct(F.isnull("keep_id").alias("none"), "keep_id")).alias("best"), F.sum("group_size").alias("group_size"))
 
     def merged(level: DataFrame, *numbers: str) -> DataFrame:
         return level.groupBy(*key, *numbers).agg(*fold).select(*key, *numbers, F.col("best.keep_id").alias("keep_id"), "group_size")
 
-    first = runs.select(*key, F.shiftright("run", bits).alias("run"), F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    level = cut(merged(first, "run"))
-    depth = 0
+    depth = 1
     while top >> bits * depth:
         depth += 1
-    if not depth:
-        return level.drop("run")
-    # the number of the run that a row is in after each round, the last round first
-    numbers = {f"run{k}": F.shiftright("run", bits * k) for k in range(depth - 1, -1, -1)}
-    level = level.select(*key, *(n.alias(k) for k, n in numbers.items()), "keep_id", "group_size")
-    level, names = level.repartitionByRange("digest").sortWithinPartitions(*key, *numbers), list(numbers)
+    # the number of the run that a row is in after each round but the last, the last of these first
+    numbers = {f"run{k}": F.shiftright("run", bits * k) for k in range(depth - 1, 0, -1)}
+    level = runs.select(*key, *(n.alias(k) for k, n in numbers.items()), F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    names = list(numbers)
     while names:
-        names.pop()
         level = merged(level, *names)
-    return level
+        names.pop()
+    return merged(level)
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if they are identical after each run of ASCII white space

@@ -18,8 +18,8 @@ from oracle import same
 from pyspark.sql import functions as F
 
 from lectern.llm import queries
-from lectern.llm.common import components, words_of
-from lectern.llm.exact_dedup import exact_duplicates
+from lectern.llm.common import components, cut, words_of
+from lectern.llm.exact_dedup import digest_runs, exact_duplicates, merge_runs
 from lectern.llm.language_id import identify_languages, language_samples, learnable
 from lectern.llm.line_dedup import LineRuns, dedup_lines, id_batches
 from lectern.llm.mixing import Pfair, exact, mix_sources, phases, slot_table
@@ -89,6 +89,20 @@ def test_exact_duplicates_in_any_number_of_rounds(spark):
         assert all(r["keep_id"] == min(i for i in got if got[i]["text_sha256"] == r["text_sha256"]) for r in list(got.values())[:40])
 
 
+@pytest.mark.parametrize(("bits", "exchanges"), [(1, 6), (2, 3), (3, 2), (6, 1)])
+def test_a_level_of_the_tree_is_an_exchange(spark, bits, exchanges):
+    docs = spark.range(2000).select((2000 - F.col("id")).alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 90).alias("text")).repartition(64)
+    runs = cut(digest_runs(docs))
+    top = runs.agg(F.max("run")).first()[0]
+    assert 32 <= top < 64
+    merged = merge_runs(runs, bits)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == exchanges
+    # a task sorts its own run once and what it got in each round, and nothing else
+    assert plan.count("Sort [") == exchanges + 1
+    assert {(r["keep_id"], r["group_size"]) for r in merged.collect()} == {(min(x for x in range(1, 2001) if (2000 - x) % 90 == k), len(range(k, 2000, 90))) for k in range(90)}
+
+
 # sharding
 
 
