@@ -95,7 +95,9 @@ class LineRuns:
 
 
 def id_batches(docs: DataFrame, batches: int) -> list[DataFrame]:
-    """docs cut at approximate quantiles of the id, the largest ids first; null ids come last."""
+    """docs cut at approximate quantiles of the id, the largest ids first; null ids come last. Ids that are no numbers are dealt out by a hash."""
+    if not isinstance(docs.schema["doc_id"].dataType, T.NumericType):
+        return [docs.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(batches)) == i) for i in range(batches)]
     shares = [i / batches for i in range(1, batches)]
     bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 1000)).first()[0] or []), reverse=True)
     out, above = [], None
@@ -116,7 +118,7 @@ def dedup_lines(docs: DataFrame, copies: int = 3, least: int = 20, batches: int
     `copies` documents lose all their lines but those in the largest id holding
     it. A null or empty text is one empty line and becomes the empty text. Rows
     count as documents; rows repeated with one id share its decisions, and a
-    null id is smaller than any other. An empty table gives an empty result.
+    null id is smaller than any other. Ids are of any type that has an order. An empty table gives an empty result.
     Other columns pass unchanged, under any names; n_lines and n_dropped are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")

@@ -4,6 +4,8 @@ import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
+from datetime import date
+from decimal import Decimal
 from fractions import Fraction
 from itertools import combinations
 from math import ceil
@@ -187,6 +189,17 @@ def test_runs_are_compacted_and_order_does_not_count(spark):
     assert answers[0] == answers[1] and len(answers[0]) == 5
 
 
+def test_lines_of_documents_with_ids_of_any_order(spark):
+    text = "a line that everybody has\nonly {} has this line of text"
+    for kind, ids in (("string", ["b7", "a", "", "ß", "zz 1", None]), ("date", [date(2020, 1, d) for d in range(1, 6)] + [None]), ("decimal(20,2)", [Decimal(d) / 4 for d in range(5)] + [None])):
+        docs = spark.createDataFrame([(i, text.format(i)) for i in ids], f"doc_id {kind}, text string")
+        got = by_id(dedup_lines(docs))
+        # Spark orders strings by their bytes, as these letters' code points do
+        last = max(i for i in ids if i is not None)
+        assert {i for i in ids if got[i]["n_dropped"] == 0} == {last} and got[last]["text"] == text.format(last), kind
+        assert all(got[i]["text"] == f"only {i} has this line of text" for i in ids if i != last)
+
+
 # substring dedup
 
 
