@@ -11,7 +11,9 @@ from collections.abc import Iterator
 from functools import reduce
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ MOST_CELLS = 10_000_000
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
+#: Rows and cells, each cut at its end tag.
+ROW = r"(?is)(<tr\b.*?</tr>)"
+CELL_MARKUP = r"(?is)(<t[dh]\b.*?</t[dh]>)"
+
+
 def markup_text(s: Column) -> Column:
     """Cell markup without tags and with entities resolved."""
     return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, F.regexp_replace(s, "(?s)<[^>]*>", ""))
@@ -37,18 +44,22 @@ def span(cell: Column, name: str) -> Column:
     return F.when(F.length(digits) > 9, LONGEST_SPAN).otherwise(F.coalesce(digits.try_cast("int"), F.lit(1)))
 
 
+def head_and_body(markup: Column) -> Column:
+    """The parts (part, m) of a table's markup that are not empty."""
+    clean = tx.scrub_escapes(markup)
+    head = F.regexp_extract(clean, r"(?is)<thead[^>]*>(.*?)</thead>", 1)
+    body = F.when(head == "", clean).otherwise(F.regexp_replace(clean, r"(?is)<thead[^>]*>.*?</thead>", ""))
+    return F.filter(F.array(F.struct(F.lit("head").alias("part"), head.alias("m")), F.struct(F.lit("body").alias("part"), body.alias("m"))), lambda p: p["m"] != "")
+
+
 def table_cells(raw_tables: DataFrame) -> DataFrame:
     """(paper_id, table_seq, part, tr, cell_seq, rowspan, colspan, text) of raw_tables (paper_id, table_seq, markup).
 
     Rows are cut at their end tags and cells at theirs, so tables within cells are
     not told apart. Without a head, all rows are body.
     """
-    clean = tx.scrub_escapes(F.col("markup"))
-    head = F.regexp_extract(clean, r"(?is)<thead[^>]*>(.*?)</thead>", 1)
-    body = F.when(head == "", clean).otherwise(F.regexp_replace(clean, r"(?is)<thead[^>]*>.*?</thead>", ""))
-    parts = F.filter(F.array(F.struct(F.lit("head").alias("part"), head.alias("m")), F.struct(F.lit("body").alias("part"), body.alias("m"))), lambda p: p["m"] != "")
-    rows = raw_tables.select(*TABLE, F.explode(parts).alias("p")).select(*TABLE, "p.part", F.posexplode(F.regexp_extract_all("p.m", F.lit(r"(?is)(<tr\b.*?</tr>)"), 1)).alias("tr", "row"))
-    cells = rows.select(*TABLE, "part", "tr", F.posexplode(F.regexp_extract_all("row", F.lit(r"(?is)(<t[dh]\b.*?</t[dh]>)"), 1)).alias("cell_seq", "cell"))
+    rows = raw_tables.select(*TABLE, F.explode(head_and_body(F.col("markup"))).alias("p")).select(*TABLE, "p.part", F.posexplode(F.regexp_extract_all("p.m", F.lit(ROW), 1)).alias("tr", "row"))
+    cells = rows.select(*TABLE, "part", "tr", F.posexplode(F.regexp_extract_all("row", F.lit(CELL_MARKUP), 1)).alias("cell_seq", "cell"))
     return cells.select(*TABLE, "part", "tr", "cell_seq", span(F.col("cell"), "rowspan").alias("rowspan"), span(F.col("cell"), "colspan").alias("colspan"), markup_text(F.col("cell")).alias("text"))
 
 
@@ -98,16 +109,93 @@ def laid_out(rows: list[list[tuple[int, int, str | None]]], width: int) -> list[
     return grid
 
 
+#: What a cell is laid out by, and its text.
+CELL = "struct<tr:int,rowspan:int,colspan:int,text:string>"
+RUNS = "struct<n_rows:long,width:long,runs:array<struct<r:int,first:int,end:int,cell:int>>>"
+#: So many layouts of at most so many cells are kept by a worker: tables of a corpus repeat them.
+KNOWN_LAYOUTS, KNOWN_CELLS = 10_000, 500
+
+
+def table_parts(raw_tables: DataFrame) -> DataFrame:
+    """(paper_id, table_seq, part, cells) of raw_tables (paper_id, table_seq, markup): table_cells() as an array of each part's cells in their order, made within a row.
+
+    A table is one row here, so nothing is shuffled to bring its cells together.
+    """
+
+    def read(m: Column) -> Column:
+        rows = F.regexp_extract_all(m, F.lit(ROW), 1)
+        cell = lambda tr: lambda x: F.struct(tr.alias("tr"), span(x, "rowspan").alias("rowspan"), span(x, "colspan").alias("colspan"), markup_text(x).alias("text"))
+        return F.flatten(F.transform(rows, lambda row, tr: F.transform(F.regexp_extract_all(row, F.lit(CELL_MARKUP), 1), cell(tr))))
+
+    parts = raw_tables.select(*TABLE, F.explode(head_and_body(F.col("markup"))).alias("p"))
+    return parts.select(*TABLE, "p.part", read(F.col("p.m")).alias("cells")).where("size(cells) > 0")
+
+
 def cell_lists(cells: DataFrame) -> DataFrame:
-    """A row for each table part, with all its cells."""
-    return cells.groupBy(*TABLE, "part").agg(F.collect_list(F.struct("tr", "cell_seq", "rowspan", "colspan", "text")).alias("cells"))
+    """The same of cells that come apart, as table_cells() gives them."""
+    found = F.array_sort(F.collect_list(F.struct("tr", "cell_seq", "rowspan", "colspan", "text")))
+    return cells.groupBy(*TABLE, "part").agg(found.alias("cells")).select(*TABLE, "part", F.transform("cells", lambda x: F.struct(x["tr"], x["rowspan"], x["colspan"], x["text"])).cast(f"array<{CELL}>").alias("cells"))
+
+
+def layout(spans: np.ndarray, most: int) -> tuple[int, int, np.ndarray | None]:
+    """Rows, width and runs (r, first, end, cell; -1 for none) of the cells (tr, rowspan, colspan) of a table part; no runs where it has more than `most` cells."""
+    rows: list[list[tuple[int, int, int]]] = [[] for _ in range(int(spans[:, 0].max()) + 1)]
+    for at, (tr, rowspan, colspan) in enumerate(spans.tolist()):
+        rows[tr].append((rowspan, colspan, at))
+    n, width = grid_size(rows)
+    if n * width > most:
+        return n, width, None
+    runs = [(r, a, b, -1 if at is None else at) for r, row in enumerate(laid_out(rows, width)) for a, b, at in row]
+    return n, width, np.array(runs, np.int32).reshape(-1, 4)
 
 
-def rows_of(found: list[dict]) -> list[list[tuple[int, int, str | None]]]:
-    rows: list[list] = [[] for _ in range(max(x["tr"] for x in found) + 1)]
-    for x in sorted(found, key=lambda x: (x["tr"], x["cell_seq"])):
-        rows[x["tr"]].append((x["rowspan"], x["colspan"], x["text"]))
-    return rows
+def placed(parts: DataFrame, most: int = MOST_CELLS) -> DataFrame:
+    """parts (as table_parts() gives them) with n_rows, width and runs: arrays of (r, first, end, text) that fill each row, null for parts of more than `most` cells.
+
+    Only spans go to Python, where equal layouts are worked out once; texts stay in the JVM.
+    """
+    known: dict[bytes, tuple[int, int, np.ndarray | None]] = {}
+
+    def place(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for cells in batches:
+            flat = cells.flatten()
+            spans = np.stack([flat.field(i).to_numpy() for i in range(3)], axis=1) if len(flat) else np.zeros((0, 3), np.int32)
+            ends = np.cumsum([0, *pc.list_value_length(cells).to_pylist()])
+            found = []
+            for a, b in zip(ends, ends[1:], strict=False):
+                own = spans[a:b]
+                if b - a > KNOWN_CELLS:
+                    found.append(layout(own, most))
+                    continue
+                name = own.tobytes()
+                if name not in known and len(known) < KNOWN_LAYOUTS:
+                    known[name] = layout(own, most)
+                found.append(known[name] if name in known else layout(own, most))
+            runs = [x[2] for x in found if x[2] is not None]
+            every = np.concatenate(runs) if runs else np.zeros((0, 4), np.int32)
+            offsets = np.cumsum([0, *(0 if x[2] is None else len(x[2]) for x in found)])
+            struct = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(every[:, i])) for i in range(4)], ["r", "first", "end", "cell"])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct, mask=pa.array([x[2] is None for x in found], pa.bool_()))
+            yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), lists], ["n_rows", "width", "runs"])
+
+    spans = F.transform("cells", lambda x: F.struct(x["tr"].alias("tr"), x["rowspan"].alias("rowspan"), x["colspan"].alias("colspan")))
+    # the module's annotations are text, and Spark asks for types
+    place.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    # told nondeterministic, the function stays a step of its own: within the generator that follows Spark can't run it
+    laid = parts.withColumn("laid", F.arrow_udf(place, RUNS).asNondeterministic()(spans))
+    texts = F.transform("laid.runs", lambda x: F.struct(x["r"].alias("r"), x["first"].alias("first"), x["end"].alias("end"), F.when(x["cell"] >= 0, F.get(F.col("cells"), x["cell"])["text"]).alias("text")))
+    return laid.select(*TABLE, "part", "laid.n_rows", "laid.width", texts.alias("runs"))
+
+
+def filled(laid: DataFrame) -> DataFrame:
+    """The grid (paper_id, table_seq, part, r, c, text) of placed() parts, a null text where no cell reaches."""
+    runs = laid.select(*TABLE, "part", F.explode("runs").alias("x")).select(*TABLE, "part", "x.*")
+    return runs.select(*TABLE, "part", "r", F.explode(F.sequence("first", F.col("end") - 1)).alias("c"), "text")
+
+
+def table_grid(raw_tables: DataFrame, most: int = MOST_CELLS) -> DataFrame:
+    """The grid of each table part of raw_tables (paper_id, table_seq, markup): expand_spans(table_cells()) without a shuffle."""
+    return filled(placed(table_parts(raw_tables), most))
 
 
 def expand_spans(cells: DataFrame, most: int = MOST_CELLS) -> DataFrame:
@@ -117,39 +205,17 @@ def expand_spans(cells: DataFrame, most: int = MOST_CELLS) -> DataFrame:
     batch and side by side, as runs of a row; what they fill is made in the JVM. Parts
     of more than `most` cells are left out: see oversized().
     """
-    key = [*TABLE, "part"]
-    kind = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, flat = [], []
-            for i, found in enumerate(batch.column("cells").to_pylist()):
-                rows = rows_of(found)
-                n, width = grid_size(rows)
-                own = [(r, a, b, text) for r, row in enumerate(laid_out(rows, width)) for a, b, text in row] if n * width <= most else []
-                at += [i] * len(own)
-                flat += own
-            r, a, b, text = zip(*flat, strict=True) if flat else ((), (), (), ())
-            keys = [batch.column(k).take(pa.array(at, pa.int64())) for k in key]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(r, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(text, pa.string())], [*key, "r", "first", "end", "text"])
-
-    runs = cell_lists(cells).mapInArrow(place, f"paper_id {kind['paper_id']}, table_seq {kind['table_seq']}, part string, r int, first int, end int, text string")
-    return runs.select(*key, "r", F.explode(F.sequence("first", F.col("end") - 1)).alias("c"), "text")
+    return filled(placed(cell_lists(cells), most))
 
 
 def oversized(cells: DataFrame, most: int = MOST_CELLS) -> DataFrame:
     """(paper_id, table_seq, part, n_rows, width) of the table parts that expand_spans() leaves out."""
-    key = [*TABLE, "part"]
-    kind = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+    return too_large(placed(cell_lists(cells), most))
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = [grid_size(rows_of(found)) for found in batch.column("cells").to_pylist()]
-            at = pa.array([i for i, (n, width) in enumerate(sizes) if n * width > most], pa.int64())
-            n, width = (pa.array([sizes[i.as_py()][k] for i in at], pa.int64()) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in key), n, width], [*key, "n_rows", "width"])
 
-    return cell_lists(cells).mapInArrow(measure, f"paper_id {kind['paper_id']}, table_seq {kind['table_seq']}, part string, n_rows long, width long")
+def too_large(laid: DataFrame) -> DataFrame:
+    """(paper_id, table_seq, part, n_rows, width) of the placed() parts that have no grid."""
+    return laid.where("runs IS NULL").select(*TABLE, "part", "n_rows", "width")
 
 
 def grid_width(grid: DataFrame) -> DataFrame:

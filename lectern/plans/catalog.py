@@ -403,7 +403,7 @@ def t01_t02_page_tables(spark, sf):
     texts = F.regexp_extract_all("html", F.lit(">([^<>]+)<"), 1)
     rows = F.transform(texts, lambda s, i: F.concat(F.lit("<tr>"), F.when(i == 0, F.lit("<td rowspan=0>all</td>")).otherwise(""), F.lit("<td colspan='1'>"), s, F.lit("</td></tr>")))
     raw = fx.table(spark, sf, "pages").select(c("page_id").alias("paper_id"), F.lit(0).alias("table_seq"), F.concat(F.lit("<table>"), F.array_join(rows, ""), F.lit("</table>")).alias("markup"))
-    return tb.expand_spans(tb.table_cells(raw))
+    return tb.table_grid(raw)
 
 
 WIDE = "CASE o_orderkey % 5 WHEN 0 THEN 1000000000 WHEN 1 THEN 12345678901 ELSE o_orderkey % 4 + 1 END"
@@ -417,9 +417,12 @@ def t02_spans_within_a_limit(spark, sf):
     """Orders as tables whose first cell is up to a thousand million columns wide: grids, and as row -1 the tables that are none."""
     markup = F.concat(F.lit("<table><tr><td colspan='"), F.expr(f"CAST({WIDE} AS STRING)"), F.lit("'>k</td><td rowspan=2>"), c("o_orderstatus"), F.lit("</td></tr><tr><td>x</td></tr></table>"))
     raw = fx.table(spark, sf, "orders").select(c("o_orderkey").alias("paper_id"), F.lit(0).alias("table_seq"), markup.alias("markup"))
-    cells = tb.table_cells(raw)
-    grid = tb.expand_spans(cells).select(c("paper_id").alias("k"), "r", "c", "text", F.lit(None).cast("long").alias("width"))
-    return grid.union(tb.oversized(cells).select("paper_id", F.lit(-1), F.lit(-1), F.lit(None).cast("string"), "width"))
+    laid = tb.placed(tb.table_parts(raw))
+    # a table that is none has one run, of one place: both are told in one pass
+    told = F.array(F.struct(F.lit(-1).alias("r"), F.lit(-1).alias("first"), F.lit(0).alias("end"), F.lit(None).cast("string").alias("text")))
+    runs = laid.select("paper_id", "width", F.explode(F.coalesce("runs", told)).alias("x"))
+    grid = runs.select(c("paper_id").alias("k"), c("x.r").alias("r"), F.explode(F.sequence("x.first", c("x.end") - 1)).alias("c"), c("x.text").alias("text"), "width")
+    return grid.withColumn("width", F.when(c("r") < 0, c("width")))
 
 
 # Questions, answers and reports

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bound, scrub_control, strip
 
+INFON = "array<struct<_key:string,_VALUE:string>>"
 BIOC = "document array<struct<id string, passage array<struct<infon array<struct<_key string, _VALUE string>>, text string>>>>"
 # The elements of article XML that hold prose.
 PROSE_ELEMENTS = ("content", "abstract", "text", "main_content")
@@ -25,10 +26,43 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return named(files.select("*", F.col("_metadata.file_path").alias("path")))
 
 
+def pack_files(files: DataFrame, path: str) -> None:
+    """Write files (paper_id, body), where papers come in several parts also `part` (int, from 0), as rows of a table: many papers to a file.
+
+    A folder or file for each paper costs the driver a listing and a rename each,
+    and a task's opening; packed papers are read in splits like any table.
+    """
+    files.write.parquet(path)
+
+
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    """read_files() of packed papers: (paper_id, path, body), and `part` where they have parts. path is the paper's name within the pack."""
+    return named(spark.read.parquet(path).withColumn("path", F.concat(F.lit(f"{path}/paper_id="), F.col("paper_id").cast("string"))))
+
+
+def place_in_paper(rows: DataFrame, place: str) -> DataFrame:
+    """rows (paper_id, part, place) without part, place counted on through the parts of a paper, in their order.
+
+    The rows of each part are counted first, so no paper's rows need to come
+    together. Where papers have no parts, rows stay as they are.
+    """
+    if "part" not in rows.columns:
+        return rows
+    counted = rows.groupBy("paper_id", "part").agg((F.max(place) + 1).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("paper_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    later = counted.select("paper_id", "part", before.alias("__before")).where("__before > 0")
+    known = rows.join(F.broadcast(later), ["paper_id", "part"], "left")
+    return known.withColumn(place, (F.col(place) + F.coalesce("__before", F.lit(0))).cast("int")).select(*(c for c in rows.columns if c != "part"))
+
+
+def part_of(files: DataFrame) -> list[str]:
+    return ["part"] if "part" in files.columns else []
+
+
 def named(files: DataFrame) -> DataFrame:
     paper = F.col("paper_id") if "paper_id" in files.columns else F.regexp_extract("path", r"([^/]+?)(\.[A-Za-z0-9]+)?$", 1)
     body = F.regexp_replace(scrub_control(F.col("body")), r"(?s)<!DOCTYPE[^>\[]*(\[.*?\])?\s*>", "")
-    return files.select(paper.alias("paper_id"), "path", body.alias("body"))
+    return files.select(paper.alias("paper_id"), *part_of(files), "path", body.alias("body"))
 
 
 def parsed(files: DataFrame) -> DataFrame:
@@ -40,7 +74,7 @@ def infon_map(infons: Column, repeated: str = "last") -> Column:
     """A passage's infons (_key, _VALUE) by their keys in order of appearance; of a repeated key the last or first value, or all. Those without a key are left out."""
     if repeated not in REPEATED:
         raise ValueError(f"repeated is one of {', '.join(REPEATED)}")
-    named = F.filter(F.coalesce(infons, F.array().cast("array<struct<_key:string,_VALUE:string>>")), lambda i: i["_key"].isNotNull())
+    named = F.filter(F.coalesce(infons, F.array().cast(INFON)), lambda i: i["_key"].isNotNull())
     own = lambda k: F.transform(F.filter(named, lambda i: i["_key"] == k), lambda i: i["_VALUE"])
     keys = F.array_distinct(F.transform(named, lambda i: i["_key"]))
     pick = {"last": lambda k: F.element_at(own(k), -1), "first": lambda k: F.element_at(own(k), 1), "all": own}[repeated]
@@ -49,7 +83,7 @@ def infon_map(infons: Column, repeated: str = "last") -> Column:
 
 def raw_passages(files: DataFrame) -> DataFrame:
     """(paper_id, doc_seq, seq, p) of the BioC collections among files; p has the passage's infons and text."""
-    docs = parsed(files).where("bioc IS NOT NULL").select("paper_id", F.posexplode("bioc.document").alias("doc_seq", "d"))
+    docs = place_in_paper(parsed(files).where("bioc IS NOT NULL").select("paper_id", *part_of(files), F.posexplode("bioc.document").alias("doc_seq", "d")), "doc_seq")
     return docs.select("paper_id", "doc_seq", F.posexplode("d.passage").alias("seq", "p"))
 
 
@@ -116,12 +150,15 @@ def article_passages(files: DataFrame) -> DataFrame:
     """
     other = parsed(files).where("bioc IS NULL").where(well_formed(F.col("body")))
     texts = F.filter(F.transform(prose_texts(F.col("body")), strip), lambda t: t != "")
-    rows = other.select("paper_id", F.posexplode(texts).alias("seq", "text"))
+    rows = place_in_paper(other.select("paper_id", *part_of(files), F.posexplode(texts).alias("seq", "text")), "seq")
     return rows.select("paper_id", F.lit(0).alias("doc_seq"), "seq", F.create_map().cast("map<string,string>").alias("infons"), "text", F.lit(None).cast("string").alias("section_type"), F.lit(None).cast("string").alias("type"))
 
 
 def read_passages(spark: SparkSession, path: str) -> DataFrame:
-    files = read_files(spark, path)
+    return passages(read_files(spark, path))
+
+
+def passages(files: DataFrame) -> DataFrame:
     return bioc_passages(files).unionByName(article_passages(files))
 
 
@@ -141,6 +178,16 @@ def bioc_tables(passages: DataFrame) -> DataFrame:
     return rows.select("paper_id", (F.row_number().over(order) - 1).alias("table_seq"), "name", "markup")
 
 
+def bioc_file_tables(files: DataFrame) -> DataFrame:
+    """bioc_tables() of the collections among files: numbered where they are read, so their markup is not shuffled."""
+    infons = lambda p, k: F.try_element_at(F.filter(F.coalesce(p["infon"], F.array().cast(INFON)), lambda i: i["_key"] == k), F.lit(-1))["_VALUE"]
+    table = lambda p: F.struct(infons(p, "type").alias("type"), infons(p, "id").alias("name"), infons(p, "xml").alias("markup"))
+    passages = F.flatten(F.filter(F.transform("bioc.document", lambda d: d["passage"]), lambda p: p.isNotNull()))
+    found = F.filter(F.transform(passages, table), lambda t: is_table(t["type"]) & t["markup"].isNotNull())
+    rows = parsed(files).where("bioc IS NOT NULL").select("paper_id", *part_of(files), F.posexplode(found).alias("table_seq", "t"))
+    return place_in_paper(rows, "table_seq").select("paper_id", "table_seq", "t.name", "t.markup")
+
+
 def article_tables(files: DataFrame, numbered: str = "accepted") -> DataFrame:
     """(paper_id, table_seq, name, markup) of the tables in article XML; cells are td alone, their texts stripped.
 
@@ -155,17 +202,17 @@ def article_tables(files: DataFrame, numbered: str = "accepted") -> DataFrame:
         return (F.regexp_count(body, F.lit(r"(?i)<tr\b")) > F.when(m.rlike("(?i)<thead"), 0).otherwise(1)) & m.rlike("(?i)<tbody")
 
     other = parsed(files).where("bioc IS NULL")
+    some = found if numbered == "all" else F.filter(found, whole)
+    rows = place_in_paper(other.select("paper_id", *part_of(files), F.posexplode(some).alias("table_seq", "markup")), "table_seq")
     if numbered == "all":
-        rows = other.select("paper_id", F.posexplode(found).alias("table_seq", "markup")).where(whole(F.col("markup")))
-    else:
-        rows = other.select("paper_id", F.posexplode(F.filter(found, whole)).alias("table_seq", "markup"))
+        rows = rows.where(whole(F.col("markup")))
     cells = F.regexp_replace(F.regexp_replace("markup", r"(?is)<th\b.*?</th>", ""), r"(?i)(<td\b[^>]*>)\s+|\s+(</td>)", "$1$2")
     return rows.select("paper_id", "table_seq", F.lit(None).cast("string").alias("name"), cells.alias("markup"))
 
 
 def markdown_tables(files: DataFrame) -> DataFrame:
     """(paper_id, table_seq, name, markup) of HTML tables within Markdown."""
-    rows = files.select("paper_id", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)(<table\b.*?</table>)"), 1)).alias("table_seq", "markup"))
+    rows = place_in_paper(files.select("paper_id", *part_of(files), F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)(<table\b.*?</table>)"), 1)).alias("table_seq", "markup")), "table_seq")
     return rows.select("paper_id", "table_seq", F.lit(None).cast("string").alias("name"), "markup")
 
 
