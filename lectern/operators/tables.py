@@ -306,12 +306,25 @@ def or_no_table(papers: DataFrame, answers: DataFrame) -> DataFrame:
     return papers.select("paper_id").join(answers, "paper_id", "left").select("paper_id", "table_seq", F.coalesce("plain", F.lit("No table found")).alias("plain"))
 
 
+def headed_rows(grid: DataFrame) -> DataFrame:
+    """(paper_id, table_seq, r, cells): each body row as an array of (c, header, text), a null header where the column has none.
+
+    A row's cells are brought together first and then meet their table's headers, an
+    array too: joined cell by cell they would be shuffled twice.
+    """
+    clean = normalise_cells(grid)
+    heads = merge_headers(clean).groupBy(*TABLE).agg(F.array_sort(F.collect_list(F.struct("c", "header"))).alias("heads"))
+    rows = clean.where("part = 'body'").groupBy(*TABLE, "r").agg(F.array_sort(F.collect_list(F.struct("c", "text"))).alias("cells"))
+    # without gaps a column's header is at its place
+    gapless = F.element_at("heads", -1)["c"] == F.size("heads") - 1
+    found = lambda x: F.when(gapless, F.get("heads", x["c"])["header"]).otherwise(F.get(F.filter("heads", lambda h: h["c"] == x["c"]), F.lit(0))["header"])
+    return rows.join(heads, TABLE, "left").select(*TABLE, "r", F.transform("cells", lambda x: F.struct(x["c"].alias("c"), found(x).alias("header"), x["text"].alias("text"))).alias("cells"))
+
+
 def verbalise_rows(grid: DataFrame) -> DataFrame:
     """(paper_id, table_seq, r, lines): each body row as lines `header: value`."""
-    clean = normalise_cells(grid)
-    named = clean.where("part = 'body'").join(merge_headers(clean), [*TABLE, "c"], "left")
-    line = F.concat(F.coalesce("header", F.lit("")), F.lit(": "), F.col("text"))
-    return named.groupBy(*TABLE, "r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
+    line = lambda x: F.concat(F.coalesce(x["header"], F.lit("")), F.lit(": "), x["text"])
+    return headed_rows(grid).select(*TABLE, "r", F.array_join(F.transform("cells", line), "\n").alias("lines"))
 
 
 def row_at(grid: DataFrame, index: int) -> DataFrame:
@@ -345,9 +358,7 @@ def variant_rows_of(grid: DataFrame) -> DataFrame:
     question in SQL runs over every table, whatever its headers: a table without
     the header asked for gives null.
     """
-    clean = normalise_cells(grid)
-    cells = clean.where("part = 'body'").join(merge_headers(clean), [*TABLE, "c"], "left")
-    rows = cells.groupBy(*TABLE, "r").agg(F.array_sort(F.collect_list(F.struct("c", "header", "text"))).alias("cells"))
+    rows = headed_rows(grid)
 
     def named(found: Column) -> Column:
         plain = F.transform(found, lambda x: F.coalesce(F.nullif(x["header"], F.lit("")), F.concat(F.lit("column_"), x["c"].cast("string"))))
