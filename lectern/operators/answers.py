@@ -154,14 +154,19 @@ def merge_evidence(*parts: tuple[int, DataFrame]) -> DataFrame:
 
 def build_diagnostics(counters: DataFrame, summary: DataFrame, variants: DataFrame) -> DataFrame:
     """(paper_id, variant_id, diagnostics): one nested record for each pair."""
-    rows = counters.join(summary, PAIR).join(variants, "variant_id")
+    return diagnostics_of(counters.join(summary.drop("short_form"), PAIR), variants)
+
+
+def diagnostics_of(summed: DataFrame, variants: DataFrame) -> DataFrame:
+    """The same from counters and summary in one, as match_summary() gives them."""
+    rows = summed.join(variants, "variant_id")
     body = F.struct(
         F.col("hgvs").alias("input_hgvs"), F.col("var_dna"),
         F.struct(F.col("protein_status").alias("status"), F.col("description").alias("raw_description"), hgvs.protein_body(F.col("description")).alias("stripped"), F.col("plong").alias("long_form"), F.col("pshort").alias("short_form"), F.array_join(F.coalesce(hgvs.digit_runs(F.col("plong")), F.array().cast("array<string>")), ",").alias("digits")).alias("normalization"),
         F.struct(F.col("dna_pattern").alias("pattern"), F.col("dna_matched").alias("matched"), F.col("dna_chunks").alias("chunks")).alias("dna_search"),
         F.struct(F.col("long_matched"), F.col("long_chunks"), F.col("short_matched"), F.col("short_chunks")).alias("protein_search"),
         F.struct(F.col("fallback_triggered").alias("triggered"), hgvs.position_pattern(F.col("var_dna")).alias("dna_pattern"), hgvs.position_pattern(F.col("plong")).alias("protein_pattern"), F.col("fallback_matched").alias("matched"), F.col("fallback_chunks").alias("chunks")).alias("position_fallback"),
-        F.struct(F.col("ok"), F.col("total_chunks"), F.col("short_form")).alias("summary"),
+        F.struct(F.col("ok"), F.col("total_chunks"), F.col("pshort").alias("short_form")).alias("summary"),
     )
     return rows.select(*PAIR, body.alias("diagnostics"))
 

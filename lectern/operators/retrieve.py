@@ -274,22 +274,28 @@ def top_chunks(retrieved: DataFrame, k: int = 5) -> DataFrame:
     return retrieved.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def match_counters(pairs: DataFrame, retrieved: DataFrame) -> DataFrame:
-    """One row for each requested pair: how many chunks match by each form, whether the fallback ran, and what came of it."""
+def match_summary(pairs: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """match_counters() with ok and total_chunks of retrieval_summary(): retrieved is counted and joined once for both."""
     form = F.col("match_kind") == "form"
     counted = retrieved.groupBy(*PAIR).agg(
         F.count_if("by_dna").alias("n_dna"), F.count_if("by_long").alias("n_long"), F.count_if("by_short").alias("n_short"),
-        F.count_if(form).alias("n_form"), F.count_if(~form).alias("n_position"),
+        F.count_if(form).alias("n_form"), F.count_if(~form).alias("n_position"), F.count("*").alias("n_all"),
     )
     known = pairs.join(counted, PAIR, "left")
-    n = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("n_dna", "n_long", "n_short", "n_form", "n_position")}
+    n = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("n_dna", "n_long", "n_short", "n_form", "n_position", "n_all")}
     return known.select(
         *PAIR, n["n_dna"].alias("dna_chunks"), n["n_long"].alias("long_chunks"), n["n_short"].alias("short_chunks"),
         (n["n_dna"] > 0).alias("dna_matched"), (n["n_long"] > 0).alias("long_matched"), (n["n_short"] > 0).alias("short_matched"),
         (n["n_form"] == 0).alias("fallback_triggered"), (n["n_position"] > 0).alias("fallback_matched"), n["n_position"].alias("fallback_chunks"),
+        (n["n_all"] > 0).alias("ok"), n["n_all"].alias("total_chunks"),
     )
 
 
+def match_counters(pairs: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """One row for each requested pair: how many chunks match by each form, whether the fallback ran, and what came of it."""
+    return match_summary(pairs, retrieved).drop("ok", "total_chunks")
+
+
 def retrieval_summary(pairs: DataFrame, retrieved: DataFrame, variants: DataFrame) -> DataFrame:
     """One row for each requested pair: ok, all chunks found before any limit, and the short protein form."""
     counted = retrieved.groupBy(*PAIR).agg(F.count("*").alias("n"))

@@ -568,7 +568,7 @@ def _found(spark, sf):
 
 
 def _diagnostics(pairs, found, variants):
-    return an.build_diagnostics(rt.match_counters(pairs, found), rt.retrieval_summary(pairs, found, variants), variants)
+    return an.diagnostics_of(rt.match_summary(pairs, found), variants)
 
 
 @register(r"""
@@ -595,7 +595,8 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
     trans = an.bullet_list(an.first_of_each(an.in_trans_lines(good), an.PAIR, "pos", "line"), an.PAIR, "pos", "line")
     named = variants.select("variant_id", F.explode(hgvs.table_aliases(c("c_variant"), c("plong"))).alias("alias"))
     asked = pairs.join(named, "variant_id").select("paper_id", "variant_id", "alias")
-    grid = fx.grid(spark, sf)
+    # the tables of papers that are asked about: others are neither sorted nor spelled out
+    grid = fx.grid(spark, sf, fx.table(spark, sf, "documents").select(c("doc_id").alias("paper_id")))
     hits = tb.alias_hits(grid, asked.select("paper_id", "alias").distinct()).join(asked, ["paper_id", "alias"]).select("paper_id", "table_seq", "variant_id", "r").distinct()
     lines = hits.join(tb.verbalise_rows(grid), ["paper_id", "table_seq", "r"]).select("paper_id", "variant_id", c("r").alias("pos"), F.replace("lines", F.lit("\n"), F.lit("; ")).alias("line"))
     return an.build_report(pairs, an.bullet_list(lines, an.PAIR, "pos", "line"), an.compose_mention(good), trans, _diagnostics(pairs, found, variants))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lectern.operators import retrieve as rt
 from lectern.operators import tables as tb
 
 
@@ -22,3 +23,13 @@ def test_rows_meet_their_headers_once(spark):
     assert got == {(1, 0, 0, "a x: 00\n: 01\nc: 02"), (1, 0, 1, "a x: 10\n: 11\nc: 12"), (1, 1, 0, "h: \n: \n: "), (2, 0, 0, ": z")}
     plan = shuffles(tb.verbalise_rows(grid.withColumn("text", F.coalesce("text", F.lit("")))))
     assert "c#" not in "".join(line.split("Join")[1].split("]")[0] for line in plan.splitlines() if "Join [" in line), "cells are joined one by one"
+
+
+def test_a_pair_is_counted_once_for_counters_and_summary(spark):
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "paper_id long, variant_id int")
+    found = spark.createDataFrame([(1, 1, 0, True, False, True, "form"), (1, 1, 1, False, True, False, "form"), (2, 1, 0, False, False, False, "position")], "paper_id long, variant_id int, chunk_seq int, by_dna boolean, by_long boolean, by_short boolean, match_kind string")
+    variants = spark.createDataFrame([(1, "L1R"), (2, None)], "variant_id int, pshort string")
+    one = rt.match_summary(pairs, found)
+    both = rt.match_counters(pairs, found).join(rt.retrieval_summary(pairs, found, variants).drop("short_form"), ["paper_id", "variant_id"])
+    assert sorted(map(tuple, one.select(*both.columns).collect())) == sorted(map(tuple, both.collect()))
+    assert shuffles(one).count("Scan") == 2
