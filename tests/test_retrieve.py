@@ -139,6 +139,44 @@ def test_forms_are_verified_once(spark):
     assert sorted((r["chunk_seq"], r["form"]) for r in tried) == [(i, "100_123dup") for i in range(3)]
 
 
+def many_of_one_form(spark):
+    """Chunks and variants that share `=`; some of both share protein forms, too, and one variant stands twice in the table."""
+    texts = [f"= {['Leu24Arg', 'L25R', 'Leu26Arg L26R', 'none'][i % 4]}" if i % 5 else "Leu24Arg alone, L25R" for i in range(60)]
+    chunks = spark.createDataFrame([(i // 3, i % 3, t) for i, t in enumerate(texts)], "paper_id long, chunk_seq int, text string")
+    variants = spark.createDataFrame([(i, f"x{i}:c.=") for i in range(70)] + [(70, "y:c.7G>A")], "variant_id int, hgvs string")
+    named = [(f"x{i}:c.=", f"p.(Leu{24 + i % 9}Arg)") for i in range(0, 70, 2)] + [("x0:c.=", "p.(Leu25Arg)"), ("y:c.7G>A", "p.(Leu26Arg)")]
+    return chunks, rt.prepare_variants(variants, spark.createDataFrame(named, "hgvs string, description string"))
+
+
+def test_what_a_shared_form_multiplies_is_not_shuffled(spark):
+    """Its rows are as many as chunks times variants: nothing may be grouped above the join that gives them."""
+    import re
+
+    plan = rt.match(*many_of_one_form(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search("Aggregate|Join", plan)[0] == "Join"
+
+
+def test_tiles_give_each_row_once(spark, monkeypatch):
+    monkeypatch.setattr(rt, "TILE", 8)
+    chunks, known = many_of_one_form(spark)
+    want = {}
+    for *key, dna, long, short in map(tuple, rt.match(chunks, known, "nested").collect()):
+        before = want.get(tuple(key), (False, False, False))
+        want[tuple(key)] = (before[0] or dna, before[1] or long, before[2] or short)
+    got = rows(rt.match(chunks, known))
+    assert got == sorted((k + v for k, v in want.items()), key=repr)
+    assert {r[3:] for r in got} >= {(True, False, False), (True, True, False), (True, False, True), (True, True, True), (False, True, True), (False, True, False)}
+
+
+def test_tiles_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(rt, "TILE", 8)
+    held = spark.createDataFrame([(1, i, "dna", "=", "=") for i in range(300)] + [(2, 0, "long", "Leu24Arg", "")], "paper_id long, chunk_seq int, way string, form string, pattern string")
+    forms = spark.createDataFrame([(i, "dna", "=", "=") for i in range(200)] + [(0, "long", "Leu24Arg", ""), (1, "long", "Leu99Arg", "")], "variant_id int, way string, form string, pattern string")
+    sides = [{tuple(r)[:4]: r["count"] for r in side.groupBy("way", "form", "slice", "block").count().collect()} for side in rt.tiles(held, forms)]
+    assert len(sides[0].keys() & sides[1].keys()) == 38 * 25 + 1
+    assert all(max(side.values()) <= 4 * 8 for side in sides)
+
+
 def test_a_matcher_with_its_own_tokens(spark):
     """A matcher on gene names finds chunks without numbers; without tokens it needs pairs."""
     import pytest
