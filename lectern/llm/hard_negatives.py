@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
-from .whole_vectors import matrix, product, unpacked, whole_vectors
+from .whole_vectors import matrix, narrowest, product, unpacked, whole_vectors
 
 #: Rows that the codebooks are fitted on, and rounds of fitting. All rows are indexed; the fit decides the cells' shapes only.
 SAMPLE, FITS = 4096, 8
@@ -106,12 +106,13 @@ def closest(points: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, np.sqrt((gap * gap).sum(axis=1))
 
 
-def build_index(kept: DataFrame, n: int, dim: int) -> tuple[DataFrame, Cells]:
+def build_index(kept: DataFrame, n: int, dim: int, most: int) -> tuple[DataFrame, Cells]:
     """(cell, n, rids, ids, labels, flat) of all rows of kept, in blocks of their cell, and the cells."""
     half, entries = dim // 2, int(min(MOST_ENTRIES, max(1, round((n / CELL_ROWS) ** 0.5))))
     sample = kept.orderBy(F.xxhash64("rid"), "rid").limit(SAMPLE).select("whole").collect()
     points = np.array([r["whole"] for r in sample], np.float64).reshape(len(sample), dim)
     books = fitted(points[:, :half], entries), fitted(points[:, half:], entries)
+    kind = narrowest(most)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +120,7 @@ def build_index(kept: DataFrame, n: int, dim: int) -> tuple[DataFrame, Cells]:
             y = x.astype(np.float64)
             (i, one), (j, two) = closest(y[:, :half], books[0]), closest(y[:, half:], books[1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array((i * entries + j).astype(np.int32)), *(batch.column(c) for c in ("rid", "vec_id", "label")), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(one), pa.array(two)], ["cell", "rid", "vec_id", "label", "piece", "one", "two"]
+                [pa.array((i * entries + j).astype(np.int32)), *(batch.column(c) for c in ("rid", "vec_id", "label")), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), pa.array(one), pa.array(two)], ["cell", "rid", "vec_id", "label", "piece", "one", "two"]
             )
 
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +169,9 @@ ANCHOR = "rid long, anchor_id long, label long, whole array<long>, low array<lon
 ASK = "cell int, rids binary, labels binary, flat binary, low binary, high binary, slots int"
 
 
-def asked(anchors: DataFrame, cells: Cells, dim: int, enough: int | None) -> tuple[DataFrame, DataFrame]:
+def asked(anchors: DataFrame, cells: Cells, dim: int, enough: int | None, most: int) -> tuple[DataFrame, DataFrame]:
     """ASK rows, a cell and the anchors that look at it, and anchors with the cells they have seen then."""
+    kind = narrowest(most)
 
     def steps(batch: pa.RecordBatch) -> list[tuple[list[int], np.ndarray]]:
         found = []
@@ -190,7 +192,7 @@ def asked(anchors: DataFrame, cells: Cells, dim: int, enough: int | None) -> tup
                 rid, label = (batch.column(c).to_numpy() for c in ("rid", "label"))
                 low, high = (np.array(batch.column(c).to_pylist(), np.int64) for c in ("low", "high"))
                 for cell, ks in wanted.items():
-                    data = [cell, *(y[ks].astype("<i8").tobytes() for y in (rid, label, x, low, high)), low.shape[1]]
+                    data = [cell, *(y[ks].astype(t).tobytes() for y, t in ((rid, "<i8"), (label, "<i8"), (x, kind), (low, "<i8"), (high, "<i8"))), low.shape[1]]
                     kinds = [pa.int32(), *[pa.binary()] * 5, pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array([d], t) for d, t in zip(data, kinds, strict=True)], ["cell", "rids", "labels", "flat", "low", "high", "slots"])
 
@@ -231,8 +233,13 @@ FOUND = "rid long, slot int, score long, ident long, other long"
 
 
 def looked_at(asks: DataFrame, blocks: DataFrame, dim: int, k: int, same: bool, most: int) -> DataFrame:
-    """FOUND: for each anchor and slot the k best rows of one task's cells, of the same label or of others, within the slot's scores."""
-    pairs = asks.withColumnsRenamed({"rids": "a_rids", "labels": "a_labels", "flat": "a_flat"}).join(blocks, "cell")
+    """FOUND: for each anchor and slot the k best rows of one task's cells, of the same label or of others, within the slot's scores.
+
+    Asks grow with anchors times cells, but Spark tells their size from the anchors
+    alone: left to itself it sends them all to the driver, to be broadcast.
+    """
+    pairs = asks.withColumnsRenamed({"rids": "a_rids", "labels": "a_labels", "flat": "a_flat"}).join(blocks.hint("merge"), "cell")
+    kind = narrowest(most)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(k)
@@ -241,7 +248,7 @@ def looked_at(asks: DataFrame, blocks: DataFrame, dim: int, k: int, same: bool,
                 row = batch.slice(at, 1).to_pylist()[0]
                 rids, labels, ids, a_rids, a_labels = (np.frombuffer(row[c], "<i8") for c in ("rids", "labels", "ids", "a_rids", "a_labels"))
                 low, high = (unpacked(row[c], row["slots"], len(a_rids)) for c in ("low", "high"))
-                scores = product(unpacked(row["a_flat"], dim, len(a_rids)), unpacked(row["flat"], dim, len(rids)), most)
+                scores = product(unpacked(row["a_flat"], dim, len(a_rids), kind), unpacked(row["flat"], dim, len(rids), kind), most)
                 fits = (a_labels[:, None] == labels) & (a_rids[:, None] != rids) if same else a_labels[:, None] != labels
                 fits &= (scores >= low.min(axis=1)[:, None]) & (scores <= high.max(axis=1)[:, None])
                 for a in np.flatnonzero(fits.any(axis=1)):
@@ -273,7 +280,7 @@ def certified(anchors: DataFrame, blocks: DataFrame, cells: Cells, dim: int, k:
     `there` (rid, fitting) tells how many rows there are at all: who has found them
     all looks no further.
     """
-    asks, seen = asked(anchors, cells, dim, FIRST_ROWS)
+    asks, seen = asked(anchors, cells, dim, FIRST_ROWS, most)
     first = cut(best_of(looked_at(asks, blocks, dim, k, same, most), k))
     reached = first.groupBy("rid", "slot").agg(F.count("*").alias("n"), F.min("score").alias("least"))
     if there is None:
@@ -283,8 +290,8 @@ def certified(anchors: DataFrame, blocks: DataFrame, cells: Cells, dim: int, k:
         reached = reached.join(there, "rid").where((F.col("n") == k) | all_found).withColumn("least", F.when(all_found, LAST_ID).otherwise(F.col("least")))
     full = reached.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("slot", "least"))).alias("least"))  # as many as an anchor's slots
     raised = F.transform("low", lambda v, i: F.coalesce(F.greatest(v, F.col("least")[i]), v))
-    left = cut(anchors.drop("seen").join(seen, "rid").join(full, "rid", "left").select("rid", "anchor_id", "label", "whole", raised.alias("low"), "high", "seen"))
-    more, _ = asked(left, cells, dim, None)
+    left = cut(anchors.drop("seen").join(seen.hint("merge"), "rid").join(full, "rid", "left").select("rid", "anchor_id", "label", "whole", raised.alias("low"), "high", "seen"))
+    more, _ = asked(left, cells, dim, None, most)
     return cut(best_of(first.drop("rank").union(looked_at(more, blocks, dim, k, same, most)), k))
 
 
@@ -308,7 +315,7 @@ def mine(
     if not n:
         none = F.lit(None).cast("long")
         return kept.select(F.col("vec_id").alias("anchor_id"), none.alias("positive_id"), F.lit(0).alias("rank"), none.alias("negative_id"), none.alias("positive_score"), none.alias("negative_score"))
-    blocks, cells = build_index(kept, n, dim)
+    blocks, cells = build_index(kept, n, dim, largest)
     wide = lambda v: F.array(F.lit(v).cast("long"))
     anchors = cut(kept.where(anchor(F.col("vec_id"))).select("rid", F.col("vec_id").alias("anchor_id"), "label", "whole", wide(NOTHING).alias("low"), wide(LAST_ID).alias("high"), F.lit(None).cast("binary").alias("seen")))
     fitting = kept.groupBy("label").agg((F.count("*") - 1).alias("fitting"))

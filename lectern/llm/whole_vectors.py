@@ -45,12 +45,17 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.asarray(flat, dtype=np.int64).reshape(-1, dim) if dim else np.zeros((len(column), 0), np.int64)
 
 
-def unpacked(data: bytes, dim: int, rows: int) -> np.ndarray:
-    return np.frombuffer(data, "<i8").reshape(rows, dim)
+def narrowest(most: int) -> str:
+    """The kind of whole number that components up to `most` travel as."""
+    return next(f"<i{n}" for n in (2, 4, 8) if most < 1 << (8 * n - 1))
+
+
+def unpacked(data: bytes, dim: int, rows: int, kind: str = "<i8") -> np.ndarray:
+    return np.frombuffer(data, kind).reshape(rows, dim)
 
 
 def product(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """a @ b.T, exact: in double precision where no sum of components up to `most` can pass 2**53, else in 64-bit whole numbers."""
     if a.shape[1] * most * most < EXACT:
         return np.rint(a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    return a.astype(np.int64) @ b.astype(np.int64).T

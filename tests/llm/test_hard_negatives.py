@@ -52,6 +52,30 @@ def test_mined_equals_trying_all(spark, monkeypatch, kind, first):
     assert sorted(map(tuple, got.collect()), key=repr) == by_hand(rows, 16, 3, 4, 10)
 
 
+def test_asks_are_not_broadcast(spark, monkeypatch):
+    """Their size is anchors times cells, which no estimate from the anchors shows."""
+    monkeypatch.setattr(hard_negatives, "CELL_ROWS", 10)
+    plans, looked_at = [], hard_negatives.looked_at
+
+    def told(*args):
+        found = looked_at(*args)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(hard_negatives, "looked_at", told)
+    assert mine(spark.createDataFrame(rows_of("clusters"), SCHEMA), scale=16, anchor=lambda i: i % 10 == 0).count()
+    assert len(plans) == 4 and not any("Broadcast" in p for p in plans)
+
+
+@pytest.mark.parametrize("scale", [16, 1 << 16, 1 << 26])
+def test_components_of_any_size(spark, monkeypatch, scale):
+    """They travel as the narrowest whole numbers that hold them, and scores stay exact."""
+    monkeypatch.setattr(hard_negatives, "CELL_ROWS", 10)
+    rows = rows_of("clusters")[:300]
+    got = mine(spark.createDataFrame(rows, SCHEMA), scale=scale, positives=3, negatives=4, anchor=lambda i: i % 20 == 0)
+    assert sorted(map(tuple, got.collect()), key=repr) == by_hand(rows, scale, 3, 4, 20)
+
+
 def test_no_rows(spark):
     for rows in ([], [(1, [1.0, 2.0], None), (2, None, 1)]):
         got = mine(spark.createDataFrame(rows, SCHEMA))
