@@ -31,25 +31,40 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&ap
 #: Rows and cells, each cut at its end tag.
 ROW = r"(?is)(<tr\b.*?</tr>)"
 CELL_MARKUP = r"(?is)(<t[dh]\b.*?</t[dh]>)"
+#: What makes markup more than plain: an entity, a tag with attributes or of another kind, a cell that holds a tag. A plain cell is its text.
+NOT_PLAIN = r"(?i)&|<(?!/?(?:table|tbody|tr|td|th)>)|<t[dh]>[^<]*+<(?!/t[dh]>)"
+PLAIN_CELL = r"(?i)<t[dh]>([^<]*+)</t[dh]>"
 
 
 def markup_text(s: Column) -> Column:
     """Cell markup without tags and with entities resolved."""
-    return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, F.regexp_replace(s, "(?s)<[^>]*>", ""))
+    bare = F.regexp_replace(s, "(?s)<[^>]*>", "")
+    return F.when(F.contains(s, F.lit("&")), reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, bare)).otherwise(bare)
 
 
 def span(cell: Column, name: str) -> Column:
     """A cell's rowspan or colspan; 1 if it has none that is a number, LONGEST_SPAN for longer ones."""
     digits = F.regexp_extract(cell, rf"(?is)^<t[dh][^>]*\b{name}\s*=\s*[\"']?0*(\d+)", 1)
-    return F.when(F.length(digits) > 9, LONGEST_SPAN).otherwise(F.coalesce(digits.try_cast("int"), F.lit(1)))
+    told = tx.bound(digits, lambda d: F.when(F.length(d) > 9, LONGEST_SPAN).otherwise(F.coalesce(d.try_cast("int"), F.lit(1))))
+    return F.when(F.contains(F.lower(cell), F.lit(name)), told).otherwise(1)
 
 
-def head_and_body(markup: Column) -> Column:
-    """The parts (part, m) of a table's markup that are not empty."""
-    clean = tx.scrub_escapes(markup)
-    head = F.regexp_extract(clean, r"(?is)<thead[^>]*>(.*?)</thead>", 1)
-    body = F.when(head == "", clean).otherwise(F.regexp_replace(clean, r"(?is)<thead[^>]*>.*?</thead>", ""))
-    return F.filter(F.array(F.struct(F.lit("head").alias("part"), head.alias("m")), F.struct(F.lit("body").alias("part"), body.alias("m"))), lambda p: p["m"] != "")
+def head_and_body(raw_tables: DataFrame) -> DataFrame:
+    """(paper_id, table_seq, head, body) of raw_tables (paper_id, table_seq, markup): the markup of their parts, empty where there is none."""
+    clean = raw_tables.select(*TABLE, tx.scrub_escapes(F.col("markup")).alias("m"))
+    known = clean.select(*TABLE, "m", F.regexp_extract("m", r"(?is)<thead[^>]*>(.*?)</thead>", 1).alias("head"))
+    return known.select(*TABLE, "head", F.when(F.col("head") == "", F.col("m")).otherwise(F.regexp_replace("m", r"(?is)<thead[^>]*>.*?</thead>", "")).alias("body"))
+
+
+def one_by_one(tables: DataFrame, value: str) -> DataFrame:
+    """tables (paper_id, table_seq, head, body, ...) as rows (paper_id, table_seq, ..., part, value).
+
+    The outer generator, here and below: before a plain one Spark puts a filter on the
+    array's size, which works out anew whatever the array is made by.
+    """
+    p = F.array(*(F.struct(F.lit(part).alias("part"), F.col(part).alias(value)) for part in ("head", "body")))
+    rest = [c for c in tables.columns if c not in ("head", "body")]
+    return tables.select(*rest, F.explode_outer(p).alias("p")).select(*rest, "p.*")
 
 
 def table_cells(raw_tables: DataFrame) -> DataFrame:
@@ -58,7 +73,7 @@ def table_cells(raw_tables: DataFrame) -> DataFrame:
     Rows are cut at their end tags and cells at theirs, so tables within cells are
     not told apart. Without a head, all rows are body.
     """
-    rows = raw_tables.select(*TABLE, F.explode(head_and_body(F.col("markup"))).alias("p")).select(*TABLE, "p.part", F.posexplode(F.regexp_extract_all("p.m", F.lit(ROW), 1)).alias("tr", "row"))
+    rows = one_by_one(head_and_body(raw_tables), "m").select(*TABLE, "part", F.posexplode(F.regexp_extract_all("m", F.lit(ROW), 1)).alias("tr", "row"))
     cells = rows.select(*TABLE, "part", "tr", F.posexplode(F.regexp_extract_all("row", F.lit(CELL_MARKUP), 1)).alias("cell_seq", "cell"))
     return cells.select(*TABLE, "part", "tr", "cell_seq", span(F.col("cell"), "rowspan").alias("rowspan"), span(F.col("cell"), "colspan").alias("colspan"), markup_text(F.col("cell")).alias("text"))
 
@@ -116,25 +131,33 @@ RUNS = "struct<n_rows:long,width:long,runs:array<struct<r:int,first:int,end:int,
 KNOWN_LAYOUTS, KNOWN_CELLS = 10_000, 500
 
 
+def with_cells(tables: DataFrame, *names: str) -> DataFrame:
+    """tables with each column of markup named replaced by a struct (texts, cells): the texts of its rows' cells where it is plain and all rows are of one length, else an array of CELL in their order."""
+    rest = [c for c in tables.columns if c not in names]
+    rows = lambda n: F.regexp_extract_all(n, F.lit(ROW), 1)
+    cell = lambda tr: lambda x: F.struct(tr.alias("tr"), span(x, "rowspan").alias("rowspan"), span(x, "colspan").alias("colspan"), markup_text(x).alias("text"))
+    every = lambda n: F.flatten(F.transform(rows(n), lambda row, tr: F.transform(F.regexp_extract_all(row, F.lit(CELL_MARKUP), 1), cell(tr))))
+    plain = lambda n: F.when(~F.rlike(n, F.lit(NOT_PLAIN)), F.transform(rows(n), lambda row: F.regexp_extract_all(row, F.lit(PLAIN_CELL), 1)))
+    width = lambda texts: F.size(F.get(texts, F.lit(0)))
+    even = lambda texts: F.when((width(texts) > 0) & F.forall(texts, lambda row: F.size(row) == width(texts)), texts)
+    # step by step, so that each is worked out once
+    told = tables.select("*", *(plain(F.col(n)).alias(f"__plain_{n}") for n in names))
+    told = told.select(*tables.columns, *(even(F.col(f"__plain_{n}")).alias(f"__texts_{n}") for n in names))
+    return told.select(*rest, *(F.struct(F.col(f"__texts_{n}").alias("texts"), F.when(F.col(f"__texts_{n}").isNull(), every(F.col(n))).alias("cells")).alias(n) for n in names))
+
+
 def table_parts(raw_tables: DataFrame) -> DataFrame:
-    """(paper_id, table_seq, part, cells) of raw_tables (paper_id, table_seq, markup): table_cells() as an array of each part's cells in their order, made within a row.
+    """(paper_id, table_seq, part, cells) of raw_tables (paper_id, table_seq, markup): table_cells() within a row, as with_cells() gives them.
 
     A table is one row here, so nothing is shuffled to bring its cells together.
     """
-
-    def read(m: Column) -> Column:
-        rows = F.regexp_extract_all(m, F.lit(ROW), 1)
-        cell = lambda tr: lambda x: F.struct(tr.alias("tr"), span(x, "rowspan").alias("rowspan"), span(x, "colspan").alias("colspan"), markup_text(x).alias("text"))
-        return F.flatten(F.transform(rows, lambda row, tr: F.transform(F.regexp_extract_all(row, F.lit(CELL_MARKUP), 1), cell(tr))))
-
-    parts = raw_tables.select(*TABLE, F.explode(head_and_body(F.col("markup"))).alias("p"))
-    return parts.select(*TABLE, "p.part", read(F.col("p.m")).alias("cells")).where("size(cells) > 0")
+    return with_cells(one_by_one(head_and_body(raw_tables), "cells"), "cells")
 
 
 def cell_lists(cells: DataFrame) -> DataFrame:
     """The same of cells that come apart, as table_cells() gives them."""
     found = F.array_sort(F.collect_list(F.struct("tr", "cell_seq", "rowspan", "colspan", "text")))
-    return cells.groupBy(*TABLE, "part").agg(found.alias("cells")).select(*TABLE, "part", F.transform("cells", lambda x: F.struct(x["tr"], x["rowspan"], x["colspan"], x["text"])).cast(f"array<{CELL}>").alias("cells"))
+    return cells.groupBy(*TABLE, "part").agg(found.alias("cells")).select(*TABLE, "part", F.struct(F.lit(None).cast("array<array<string>>").alias("texts"), F.transform("cells", lambda x: F.struct(x["tr"], x["rowspan"], x["colspan"], x["text"])).cast(f"array<{CELL}>").alias("cells")).alias("cells"))
 
 
 def layout(spans: np.ndarray, most: int) -> tuple[int, int, np.ndarray | None]:
@@ -149,10 +172,12 @@ def layout(spans: np.ndarray, most: int) -> tuple[int, int, np.ndarray | None]:
     return n, width, np.array(runs, np.int32).reshape(-1, 4)
 
 
-def placed(parts: DataFrame, most: int = MOST_CELLS) -> DataFrame:
-    """parts (as table_parts() gives them) with n_rows, width and runs: arrays of (r, first, end, text) that fill each row, null for parts of more than `most` cells.
+def with_layout(rows: DataFrame, *names: str, most: int = MOST_CELLS) -> DataFrame:
+    """rows with each column named, as with_cells() gives it, replaced by a struct (n_rows, width, runs), null where there are no cells.
 
-    Only spans go to Python, where equal layouts are worked out once; texts stay in the JVM.
+    runs are arrays of (r, first, end, text) that fill each row, null for more than
+    `most` cells. Plain texts stand where they are; of other cells only the spans go to
+    Python, where equal layouts are worked out once, and texts stay in the JVM.
     """
     known: dict[bytes, tuple[int, int, np.ndarray | None]] = {}
 
@@ -160,37 +185,56 @@ def placed(parts: DataFrame, most: int = MOST_CELLS) -> DataFrame:
         for cells in batches:
             flat = cells.flatten()
             spans = np.stack([flat.field(i).to_numpy() for i in range(3)], axis=1) if len(flat) else np.zeros((0, 3), np.int32)
-            ends = np.cumsum([0, *pc.list_value_length(cells).to_pylist()])
-            found = []
-            for a, b in zip(ends, ends[1:], strict=False):
-                own = spans[a:b]
-                if b - a > KNOWN_CELLS:
-                    found.append(layout(own, most))
+            counts = pc.fill_null(pc.list_value_length(cells), 0).to_numpy()
+            ends = np.cumsum(counts)
+            found: list[tuple[int, int, np.ndarray | None] | None] = [None] * len(cells)
+            for i in np.flatnonzero(counts).tolist():
+                own = spans[ends[i] - counts[i] : ends[i]]
+                if counts[i] > KNOWN_CELLS:
+                    found[i] = layout(own, most)
                     continue
                 name = own.tobytes()
                 if name not in known and len(known) < KNOWN_LAYOUTS:
                     known[name] = layout(own, most)
-                found.append(known[name] if name in known else layout(own, most))
-            runs = [x[2] for x in found if x[2] is not None]
+                found[i] = known[name] if name in known else layout(own, most)
+            laid = [(None, None, None) if x is None else x for x in found]
+            runs = [x[2] for x in laid if x[2] is not None]
             every = np.concatenate(runs) if runs else np.zeros((0, 4), np.int32)
-            offsets = np.cumsum([0, *(0 if x[2] is None else len(x[2]) for x in found)])
+            offsets = np.cumsum([0, *(0 if x[2] is None else len(x[2]) for x in laid)])
             struct = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(every[:, i])) for i in range(4)], ["r", "first", "end", "cell"])
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct, mask=pa.array([x[2] is None for x in found], pa.bool_()))
-            yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), lists], ["n_rows", "width", "runs"])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct, mask=pa.array([x[2] is None for x in laid], pa.bool_()))
+            none = pa.array([x is None for x in found], pa.bool_())
+            yield pa.StructArray.from_arrays([pa.array([x[0] for x in laid], pa.int64()), pa.array([x[1] for x in laid], pa.int64()), lists], ["n_rows", "width", "runs"], mask=none)
 
-    spans = F.transform("cells", lambda x: F.struct(x["tr"].alias("tr"), x["rowspan"].alias("rowspan"), x["colspan"].alias("colspan")))
     # the module's annotations are text, and Spark asks for types
     place.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     # told nondeterministic, the function stays a step of its own: within the generator that follows Spark can't run it
-    laid = parts.withColumn("laid", F.arrow_udf(place, RUNS).asNondeterministic()(spans))
-    texts = F.transform("laid.runs", lambda x: F.struct(x["r"].alias("r"), x["first"].alias("first"), x["end"].alias("end"), F.when(x["cell"] >= 0, F.get(F.col("cells"), x["cell"])["text"]).alias("text")))
-    return laid.select(*TABLE, "part", "laid.n_rows", "laid.width", texts.alias("runs"))
+    place_spans = F.arrow_udf(place, RUNS).asNondeterministic()
+    rest = [c for c in rows.columns if c not in names]
+    spans = lambda n: F.transform(f"{n}.cells", lambda x: F.struct(x["tr"].alias("tr"), x["rowspan"].alias("rowspan"), x["colspan"].alias("colspan")))
+    laid = rows.select("*", *(place_spans(spans(n)).alias(f"__laid_{n}") for n in names))
+    run = lambda r, first, end, text: F.struct(r.alias("r"), first.alias("first"), end.alias("end"), text.alias("text"))
+
+    def whole(n: str) -> Column:
+        texts, cells, found = F.col(f"{n}.texts"), F.col(f"{n}.cells"), F.col(f"__laid_{n}")
+        height, width = F.size(texts).cast("long"), F.size(F.get(texts, F.lit(0))).cast("long")
+        plain = F.flatten(F.transform(texts, lambda row, r: F.transform(row, lambda text, i: run(r, i, i + 1, text))))
+        spanned = F.transform(found["runs"], lambda x: run(x["r"], x["first"], x["end"], F.when(x["cell"] >= 0, F.get(cells, x["cell"])["text"])))
+        struct = lambda n_rows, width, runs: F.struct(n_rows.alias("n_rows"), width.alias("width"), runs.alias("runs"))
+        return F.when(texts.isNotNull(), struct(height, width, F.when(height * width <= most, plain))).when(found.isNotNull(), struct(found["n_rows"], found["width"], spanned)).alias(n)
+
+    return laid.select(*rest, *(whole(n) for n in names))
+
+
+def placed(parts: DataFrame, most: int = MOST_CELLS) -> DataFrame:
+    """parts (as table_parts() gives them) that have cells, with n_rows, width and runs: arrays of (r, first, end, text) that fill each row, null for parts of more than `most` cells."""
+    return with_layout(parts, "cells", most=most).where("cells IS NOT NULL").select(*TABLE, "part", "cells.n_rows", "cells.width", "cells.runs")
 
 
 def filled(laid: DataFrame) -> DataFrame:
     """The grid (paper_id, table_seq, part, r, c, text) of placed() parts, a null text where no cell reaches."""
-    runs = laid.select(*TABLE, "part", F.explode("runs").alias("x")).select(*TABLE, "part", "x.*")
-    return runs.select(*TABLE, "part", "r", F.explode(F.sequence("first", F.col("end") - 1)).alias("c"), "text")
+    runs = laid.select(*TABLE, "part", F.explode_outer("runs").alias("x")).where("x IS NOT NULL").select(*TABLE, "part", "x.*")
+    return runs.select(*TABLE, "part", "r", F.explode_outer(F.sequence("first", F.col("end") - 1)).alias("c"), "text")
 
 
 def table_grid(raw_tables: DataFrame, most: int = MOST_CELLS) -> DataFrame:
@@ -198,6 +242,16 @@ def table_grid(raw_tables: DataFrame, most: int = MOST_CELLS) -> DataFrame:
     return filled(placed(table_parts(raw_tables), most))
 
 
+def promoted_grid(raw_tables: DataFrame, most: int = MOST_CELLS) -> DataFrame:
+    """promote_first_row(table_grid()): a table's row tells whether it has a head, so no cell is shuffled to meet it."""
+    laid = with_layout(with_cells(head_and_body(raw_tables), "head", "body"), "head", "body", most=most).select(*TABLE, F.col("head.runs").alias("head"), F.col("body.runs").alias("body"))
+    bare = F.coalesce(F.size("head") <= 0, F.lit(True))
+    first = lambda x: F.when(x["r"] == 0, "head").otherwise("body")
+    up = lambda x: F.struct(F.greatest(x["r"] - 1, F.lit(0)).alias("r"), x["first"].alias("first"), x["end"].alias("end"), x["text"].alias("text"))
+    own = laid.select(*TABLE, F.when(~bare, F.col("head")).otherwise(F.filter("body", lambda x: first(x) == "head")).alias("head"), F.when(~bare, F.col("body")).otherwise(F.transform(F.filter("body", lambda x: first(x) == "body"), up)).alias("body"))
+    return filled(one_by_one(own, "runs"))
+
+
 def expand_spans(cells: DataFrame, most: int = MOST_CELLS) -> DataFrame:
     """The grid of each table part: rows (paper_id, table_seq, part, r, c, text), a null text where no cell reaches.
 

@@ -80,6 +80,15 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("paper_id", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("variant_id"))
 
 
+#: A line's columns, by which an order's lines are ordered.
+LINE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+
+
+def line_cells() -> tuple[Column, ...]:
+    """The texts of a line's cells in its order's table."""
+    return F.col("l_partkey").cast("string"), F.col("l_quantity").cast("int").cast("string"), F.col("l_returnflag"), F.when(F.col("l_orderkey") % 2 == 0, F.col("l_linestatus"))
+
+
 def grid(spark: SparkSession, sf_dir: str, papers: DataFrame | None = None) -> DataFrame:
     """The grid of a table for each order: its lines as body rows, two stacked header rows, holes in the last column of odd tables.
 
@@ -87,14 +96,12 @@ def grid(spark: SparkSession, sf_dir: str, papers: DataFrame | None = None) -> D
     """
     from pyspark.sql import Window
 
-    every = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-    lines = table(spark, sf_dir, "lineitem").select(*every)
+    lines = table(spark, sf_dir, "lineitem").select(*LINE)
     if papers is not None:
         lines = lines.join(papers.select(F.col("paper_id").alias("l_orderkey")), "l_orderkey", "left_semi")
-    rows = lines.withColumn("r", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*every)) - 1)
+    rows = lines.withColumn("r", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE)) - 1)
     # explode() of places and texts: Spark drops a branch that a filter on part leaves empty, but not below posexplode()
-    body = (F.col("l_partkey").cast("string"), F.col("l_quantity").cast("int").cast("string"), F.col("l_returnflag"), F.when(F.col("l_orderkey") % 2 == 0, F.col("l_linestatus")))
-    placed = F.array(*(F.struct(F.lit(i).alias("c"), text.alias("text")) for i, text in enumerate(body)))
+    placed = F.array(*(F.struct(F.lit(i).alias("c"), text.alias("text")) for i, text in enumerate(line_cells())))
     cells = rows.select(F.col("l_orderkey").alias("paper_id"), F.lit(0).alias("table_seq"), F.lit("body").alias("part"), "r", F.explode(placed).alias("x")).select("paper_id", "table_seq", "part", "r", "x.c", "x.text")
     heads = (("Part", "Part", "Flag", "Status"), ("Part", "Quantity", "Flag", None))
     stacked = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(i).alias("c"), F.lit(text).cast("string").alias("text")) for r, row in enumerate(heads) for i, text in enumerate(row)))

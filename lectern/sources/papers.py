@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bound, scrub_control, strip
+from ..shared import kept
 
 INFON = "array<struct<_key:string,_VALUE:string>>"
 BIOC = "document array<struct<id string, passage array<struct<infon array<struct<_key string, _VALUE string>>, text string>>>>"
@@ -17,6 +18,10 @@ BEGIN, END = "\ue000", "\ue001"
 REPEATED = ("last", "first", "all")
 
 
+#: Bytes of a row group as compressed, and the rows after which the writer looks at them.
+PACK = {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "8"}
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(paper_id, path, body): whole files, without control bytes and document type.
 
@@ -30,9 +35,10 @@ def pack_files(files: DataFrame, path: str) -> None:
     """Write files (paper_id, body), where papers come in several parts also `part` (int, from 0), as rows of a table: many papers to a file.
 
     A folder or file for each paper costs the driver a listing and a rename each,
-    and a task's opening; packed papers are read in splits like any table.
+    and a task's opening; packed papers are read in splits like any table. Spark
+    reads up to 4096 rows of a row group at once, so row groups are small.
     """
-    files.write.parquet(path)
+    files.write.options(**PACK).parquet(path)
 
 
 def read_packed(spark: SparkSession, path: str) -> DataFrame:
@@ -44,10 +50,12 @@ def place_in_paper(rows: DataFrame, place: str) -> DataFrame:
     """rows (paper_id, part, place) without part, place counted on through the parts of a paper, in their order.
 
     The rows of each part are counted first, so no paper's rows need to come
-    together. Where papers have no parts, rows stay as they are.
+    together; they are written before that, so that papers are read once. Where
+    papers have no parts, rows stay as they are.
     """
     if "part" not in rows.columns:
         return rows
+    rows = kept(rows)
     counted = rows.groupBy("paper_id", "part").agg((F.max(place) + 1).alias("n"))
     before = F.sum("n").over(Window.partitionBy("paper_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     later = counted.select("paper_id", "part", before.alias("__before")).where("__before > 0")
@@ -66,8 +74,20 @@ def named(files: DataFrame) -> DataFrame:
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """files with `bioc`, null where the body is not a BioC collection."""
-    return files.withColumn("bioc", F.from_xml("body", BIOC, {"mode": "PERMISSIVE"})).withColumn("bioc", F.when(F.col("bioc.document").isNotNull(), F.col("bioc")))
+    """files with `bioc`, null where the body is not a BioC collection; what has no element of that name is not parsed."""
+    named = F.contains(F.lower("body"), F.lit("<document"))
+    return files.withColumn("bioc", F.when(named, F.from_xml("body", BIOC, {"mode": "PERMISSIVE"}))).withColumn("bioc", F.when(F.col("bioc.document").isNotNull(), F.col("bioc")))
+
+
+def numbered_rows(files: DataFrame, found: Column, place: str, name: str) -> DataFrame:
+    """(paper_id, place, name) for each element of the array `found` of a file.
+
+    Files are told apart within `found`, which is null for those that don't count: a
+    filter before it, and the one on its size that Spark puts before a plain
+    generator, would parse each file anew.
+    """
+    rows = files.select("paper_id", *part_of(files), F.posexplode_outer(found).alias(place, name)).where(F.col(place).isNotNull())
+    return place_in_paper(rows, place)
 
 
 def infon_map(infons: Column, repeated: str = "last") -> Column:
@@ -83,7 +103,7 @@ def infon_map(infons: Column, repeated: str = "last") -> Column:
 
 def raw_passages(files: DataFrame) -> DataFrame:
     """(paper_id, doc_seq, seq, p) of the BioC collections among files; p has the passage's infons and text."""
-    docs = place_in_paper(parsed(files).where("bioc IS NOT NULL").select("paper_id", *part_of(files), F.posexplode("bioc.document").alias("doc_seq", "d")), "doc_seq")
+    docs = numbered_rows(parsed(files), F.col("bioc.document"), "doc_seq", "d")
     return docs.select("paper_id", "doc_seq", F.posexplode("d.passage").alias("seq", "p"))
 
 
@@ -148,9 +168,8 @@ def article_passages(files: DataFrame) -> DataFrame:
     Equal paragraphs are passages of their own. Outer white space is dropped, and
     so are elements without text.
     """
-    other = parsed(files).where("bioc IS NULL").where(well_formed(F.col("body")))
     texts = F.filter(F.transform(prose_texts(F.col("body")), strip), lambda t: t != "")
-    rows = place_in_paper(other.select("paper_id", *part_of(files), F.posexplode(texts).alias("seq", "text")), "seq")
+    rows = numbered_rows(parsed(files), F.when(F.col("bioc").isNull() & well_formed(F.col("body")), texts), "seq", "text")
     return rows.select("paper_id", F.lit(0).alias("doc_seq"), "seq", F.create_map().cast("map<string,string>").alias("infons"), "text", F.lit(None).cast("string").alias("section_type"), F.lit(None).cast("string").alias("type"))
 
 
@@ -184,8 +203,7 @@ def bioc_file_tables(files: DataFrame) -> DataFrame:
     table = lambda p: F.struct(infons(p, "type").alias("type"), infons(p, "id").alias("name"), infons(p, "xml").alias("markup"))
     passages = F.flatten(F.filter(F.transform("bioc.document", lambda d: d["passage"]), lambda p: p.isNotNull()))
     found = F.filter(F.transform(passages, table), lambda t: is_table(t["type"]) & t["markup"].isNotNull())
-    rows = parsed(files).where("bioc IS NOT NULL").select("paper_id", *part_of(files), F.posexplode(found).alias("table_seq", "t"))
-    return place_in_paper(rows, "table_seq").select("paper_id", "table_seq", "t.name", "t.markup")
+    return numbered_rows(parsed(files), found, "table_seq", "t").select("paper_id", "table_seq", "t.name", "t.markup")
 
 
 def article_tables(files: DataFrame, numbered: str = "accepted") -> DataFrame:
@@ -201,9 +219,8 @@ def article_tables(files: DataFrame, numbered: str = "accepted") -> DataFrame:
         body = F.regexp_extract(m, r"(?is)<tbody[^>]*>(.*?)</tbody>", 1)
         return (F.regexp_count(body, F.lit(r"(?i)<tr\b")) > F.when(m.rlike("(?i)<thead"), 0).otherwise(1)) & m.rlike("(?i)<tbody")
 
-    other = parsed(files).where("bioc IS NULL")
     some = found if numbered == "all" else F.filter(found, whole)
-    rows = place_in_paper(other.select("paper_id", *part_of(files), F.posexplode(some).alias("table_seq", "markup")), "table_seq")
+    rows = numbered_rows(parsed(files), F.when(F.col("bioc").isNull(), some), "table_seq", "markup")
     if numbered == "all":
         rows = rows.where(whole(F.col("markup")))
     cells = F.regexp_replace(F.regexp_replace("markup", r"(?is)<th\b.*?</th>", ""), r"(?i)(<td\b[^>]*>)\s+|\s+(</td>)", "$1$2")
@@ -212,7 +229,7 @@ def article_tables(files: DataFrame, numbered: str = "accepted") -> DataFrame:
 
 def markdown_tables(files: DataFrame) -> DataFrame:
     """(paper_id, table_seq, name, markup) of HTML tables within Markdown."""
-    rows = place_in_paper(files.select("paper_id", *part_of(files), F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)(<table\b.*?</table>)"), 1)).alias("table_seq", "markup")), "table_seq")
+    rows = numbered_rows(files, F.regexp_extract_all("body", F.lit(r"(?is)(<table\b.*?</table>)"), 1), "table_seq", "markup")
     return rows.select("paper_id", "table_seq", F.lit(None).cast("string").alias("name"), "markup")
 
 
