@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,10 +72,10 @@ def part_of(files: DataFrame) -> list[str]:
     return ["part"] if "part" in files.columns else []
 
 
-def named(files: DataFrame) -> DataFrame:
+def named(files: DataFrame, *more: str) -> DataFrame:
     paper = F.col("paper_id") if "paper_id" in files.columns else F.regexp_extract("path", r"([^/]+?)(\.[A-Za-z0-9]+)?$", 1)
     body = F.regexp_replace(scrub_control(F.col("body")), r"(?s)<!DOCTYPE[^>\[]*(\[.*?\])?\s*>", "")
-    return files.select(paper.alias("paper_id"), *part_of(files), "path", body.alias("body"))
+    return files.select(paper.alias("paper_id"), *part_of(files), "path", *more, body.alias("body"))
 
 
 def parsed(files: DataFrame) -> DataFrame:
@@ -239,8 +244,9 @@ RECORD, FIELD = "\x1e", "\x1f"
 
 def outside_quotes(s: Column, pattern: str, sign: str) -> Column:
     """s with what matches outside quotes replaced: of the pieces between quotes every other one is outside."""
+    replaced = (lambda p: F.regexp_replace(p, pattern, sign)) if len(pattern) > 1 else (lambda p: F.translate(p, pattern, sign))
     pieces = F.split(s, '"', -1)
-    return F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, F.regexp_replace(p, pattern, sign)).otherwise(p)), '"')
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, replaced(p)).otherwise(p)), '"')
 
 
 def csv_fields(record: Column) -> Column:
@@ -250,14 +256,55 @@ def csv_fields(record: Column) -> Column:
     return F.transform(fields, lambda f: F.when(F.startswith(f, F.lit('"')), unquoted(f)).otherwise(F.nullif(f, F.lit(""))))
 
 
-def quotes_amiss(body: Column) -> Column:
-    """Why a file's quotes can't be followed: one is left open, or one stands within a field; null where they can."""
+def stray_quote(record: Column) -> Column:
+    """Whether a quote stands within a field: outside quotes there is nothing between a quote and the next comma or line end."""
 
     def stray(pieces: Column, last: Column) -> Column:
-        # outside quotes there is nothing between a quote and the next comma or line end
-        return F.exists(F.transform(pieces, lambda p, i: (i % 2 == 0) & (p != "") & (((i > 0) & ~p.rlike(r"^[,\r\n]")) | ((i < last) & ~p.rlike(r"[,\r\n]$")))), lambda x: x)
+        return F.exists(F.transform(pieces, lambda p, i: (i % 2 == 0) & (p != "") & (((i > 0) & ~F.substring(p, 1, 1).isin(*ends)) | ((i < last) & ~F.substring(p, -1, 1).isin(*ends)))), lambda x: x)
+
+    ends = (",", "\r", "\n")
+    return F.contains(record, F.lit('"')) & bound(F.split(record, '"', -1), lambda pieces: stray(pieces, F.size(pieces) - 1))
+
+
+#: So many records of a file are numbered in one group.
+RECORDS = 20_000
+#: A line and where it stands: the split of its file, its place there, the quotes before it there (odd: 1),
+#: and the lines up to it, itself too, that begin a record, if the split begins outside quotes and if it begins within them.
+LINES = "path string, block long, at long, body string, quotes long, odd long, begun_outside long, begun_within long"
+
 
-    return bound(F.split(body, '"', -1), lambda pieces: bound(F.size(pieces) - 1, lambda last: F.when(last % 2 == 1, "open quote").when(stray(pieces, last), "quote within a field")))
+def csv_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(paper_id, LINES): the lines of files, cut at line feeds; Spark reads large files in splits, each in its order."""
+
+    def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, at, quotes, begun = None, 0, 0, np.zeros(2, np.int64)
+        for batch in batches:
+            paths, block = batch.column("path").dictionary_encode(), batch.column("block").to_numpy()
+            counts = pc.count_substring(batch.column("body"), '"').to_numpy().astype(np.int64)
+            code = paths.indices.to_numpy()
+            ends = [0, *(np.flatnonzero((np.diff(code) != 0) | (np.diff(block) != 0)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+            found = np.zeros((batch.num_rows, 4), np.int64)
+            for a, b in zip(ends, ends[1:], strict=False):
+                if of != (of := (paths.dictionary[int(code[a])].as_py(), int(block[a]))):
+                    at, quotes, begun = 0, 0, np.zeros(2, np.int64)
+                own = quotes + np.cumsum(counts[a:b])
+                odd = (own - counts[a:b]) % 2
+                told = begun + np.cumsum(np.stack([odd == 0, odd == 1], axis=1), axis=0)
+                found[a:b] = np.column_stack([at + np.arange(b - a), odd, told])
+                at, quotes, begun = at + b - a, own[-1], told[-1]
+            place, odd, outside, within = (pa.array(np.ascontiguousarray(found[:, i])) for i in range(4))
+            columns = [batch.column("paper_id"), batch.column("path"), batch.column("block"), place, batch.column("body"), pa.array(counts), odd, outside, within]
+            yield pa.RecordBatch.from_arrays(columns, ["paper_id", "path", "block", "at", "body", "quotes", "odd", "begun_outside", "begun_within"])
+
+    read = spark.read.text(path, lineSep="\n").withColumnRenamed("value", "body")
+    lines = named(read.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")), "block")
+    return lines.mapInArrow(followed, f"paper_id {lines.schema['paper_id'].dataType.simpleString()}, {LINES}")
+
+
+def joined_lines(lines: DataFrame, *by: str) -> DataFrame:
+    """(by, body): the lines of each group in their order."""
+    in_order = F.array_sort(F.collect_list(F.struct("block", "at", "body")))
+    return lines.groupBy(*by).agg(F.array_join(F.transform(in_order, lambda x: x["body"]), "\n").alias("body"))
 
 
 def read_csv_tables(spark: SparkSession, path: str, columns: int | None = None, whole_files: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -267,25 +314,43 @@ def read_csv_tables(spark: SparkSession, path: str, columns: int | None = None,
     record with more fields is rejected, or with whole_files all of its file; one
     with fewer is filled up with nulls, or rejected where `columns` is given. A quoted field may hold
     line ends, commas and doubled quotes. A file whose quotes can't be followed
-    is rejected, as one line. Blank lines don't count.
+    is rejected, as one line without its last line feed. Blank lines don't count.
+
+    A file of any size is read in splits. The quotes of each tell where the next one
+    begins, and its records are counted on from those before; only a rejected
+    file comes together.
     """
-    lines = F.filter(F.split(outside_quotes(F.col("body"), r"\r\n|\r|\n", RECORD), RECORD, -1), lambda r: F.trim(r) != "")
-    records = F.transform(lines, lambda r: F.struct(r.alias("line"), csv_fields(r).alias("fields")))
-
-    def parted(rows: Column, width: Column) -> Column:
-        fits = lambda x: F.size(x["fields"]) == width if columns else F.size(x["fields"]) <= width
-        return F.struct(width.alias("width"), F.filter(rows, fits).alias("good"), F.filter(rows, lambda x: ~fits(x)).alias("bad"))
-
-    widths = lambda rows: F.lit(columns) if columns else F.coalesce(F.size(F.get(rows, F.lit(0))["fields"]), F.lit(0))
-    table = bound(records, lambda rows: bound(widths(rows), lambda width: parted(rows, width)))
-    amiss = quotes_amiss(F.col("body"))
-    files = read_files(spark, path).select("paper_id", "body", amiss.alias("amiss"), F.when(amiss.isNull(), table).alias("table"))
-    told = F.when(F.col("amiss").isNotNull(), F.array(F.struct(F.col("body").alias("line"), F.col("amiss").alias("reason")))).otherwise(F.transform("table.bad", lambda x: F.struct(x["line"].alias("line"), F.lit("fields").alias("reason"))))
-    rejects = files.select("paper_id", F.explode(told).alias("t")).select("paper_id", "t.line", "t.reason")
-    sound = files.where("amiss IS NULL")
+    lines = csv_lines(spark, path)
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("path", "block").agg(F.sum("quotes").alias("quotes"), F.max("begun_outside").alias("outside"), F.max("begun_within").alias("within"))
+    blocks = blocks.select("path", "block", "outside", "within", (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1).alias("inside"), (F.sum("quotes").over(Window.partitionBy("path")) % 2 == 1).alias("open"))
+    begun = F.when(F.col("inside"), F.col("within")).otherwise(F.col("outside"))
+    # these few rows for each file are written, so that Spark knows their size where they are joined
+    blocks = kept(blocks.select("path", "block", "inside", "open", F.coalesce(F.sum(begun).over(before), F.lit(0)).alias("done")))
+    record = F.col("done") + F.when(F.col("inside"), F.col("begun_within")).otherwise(F.col("begun_outside"))
+    placed = lines.join(blocks, ["path", "block"]).where(~F.col("open")).select("paper_id", "path", "block", "at", "body", record.alias("record"))
+    key = ["paper_id", "path", "bucket"]
+    records = joined_lines(placed.withColumn("bucket", F.floor(F.col("record") / RECORDS)).repartition(*key), *key, "record")
+    # line feeds outside quotes are gone by now: only a carriage return can end a line within
+    parted = F.when(F.contains("body", F.lit("\r")), F.split(outside_quotes(F.col("body"), r"\r\n|\r|\n", RECORD), RECORD, -1)).otherwise(F.array("body"))
+    own = F.filter(parted, lambda r: F.trim(r) != "")
+    rows = records.select(*key, "record", stray_quote(F.col("body")).alias("stray"), F.posexplode_outer(own).alias("sub", "line")).where("line IS NOT NULL")
+    rows = kept(rows.select("*", csv_fields(F.col("line")).alias("fields")).select("*", F.size("fields").alias("n")))
+    width = F.lit(columns) if columns else F.min_by("n", F.struct("record", "sub"))
+    files = kept(rows.groupBy("path").agg(F.max("stray").alias("stray"), width.alias("width")))
+
+    amiss = blocks.where("open").select("path", F.lit("open quote").alias("reason")).distinct().unionByName(files.where("stray").select("path", F.lit("quote within a field").alias("reason")))
+    whole = joined_lines(lines.join(kept(amiss), "path"), "paper_id", "path", "reason").select("paper_id", F.col("body").alias("line"), "reason")
+    known = rows.drop("stray").join(files.where(~F.col("stray")).drop("stray"), "path")
+    fits = F.col("n") == F.col("width") if columns else F.col("n") <= F.col("width")
+    bad, good = known.where(~fits), known.where(fits)
+    rejects = whole.unionByName(bad.select("paper_id", "line", F.lit("fields").alias("reason")))
     if whole_files:
-        sound = sound.where("size(table.bad) = 0")
-    rows = sound.select("paper_id", F.col("table.width").alias("width"), F.posexplode("table.good").alias("r", "x"))
-    padded = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.get(F.col("x.fields"), i))
-    cells = rows.select("paper_id", F.lit(0).alias("table_seq"), F.lit("body").alias("part"), "r", F.posexplode(padded).alias("c", "text"))
+        good = good.join(kept(bad.select("path").distinct()), "path", "left_anti")
+    counted = good.groupBy("path", "bucket").agg(F.count("*").alias("n_good"))
+    earlier = kept(counted.select("path", "bucket", F.coalesce(F.sum("n_good").over(Window.partitionBy("path").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier")))
+    place = F.row_number().over(Window.partitionBy("path", "bucket").orderBy("record", "sub")) - 1
+    numbered = good.select("paper_id", "path", "bucket", "width", "fields", place.alias("place")).join(earlier, ["path", "bucket"])
+    padded = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.get(F.col("fields"), i))
+    cells = numbered.select("paper_id", F.lit(0).alias("table_seq"), F.lit("body").alias("part"), (F.col("earlier") + F.col("place")).cast("int").alias("r"), F.posexplode(padded).alias("c", "text"))
     return cells, rejects

@@ -183,6 +183,38 @@ def test_csv_files_of_their_own_width(spark, tmp_path):
     assert {r["paper_id"] for r in papers.read_csv_tables(spark, str(tmp_path), whole_files=True)[0].collect()} == {"two", "one"}
 
 
+def test_csv_files_are_read_in_splits(spark, tmp_path):
+    """Files cut anywhere give the records that they give whole, also where a split begins within quotes."""
+    rng = random.Random(4)
+    field = lambda: rng.choice(["", "x", '""', '"a, b"', '"l\n\n1"', '"q""\r\n""q"', "y" * 30, '"' + "z\n" * 40 + '"'])
+    for name in range(6):
+        records = [",".join(field() for _ in range(rng.choice([3, 3, 3, 2, 4]))) for _ in range(300)]
+        (tmp_path / f"{name}.csv").write_bytes(rng.choice(["\n", "\r\n", "\n\n"]).join(["1,2,3", *records]).encode() + (b',"open' if name == 5 else b'\na,b"c"\n' if name == 4 else b""))
+
+    def read(**how):
+        cells, bad = papers.read_csv_tables(spark, str(tmp_path), **how)
+        return sorted(map(str, cells.collect())), sorted(map(str, bad.collect()))
+
+    whole = [read(), read(columns=3), read(whole_files=True)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    most = papers.RECORDS
+    try:
+        papers.RECORDS = 7
+        assert len({(r["path"], r["block"]) for r in papers.csv_lines(spark, str(tmp_path)).select("path", "block").distinct().collect()}) > 60
+        assert [read(), read(columns=3), read(whole_files=True)] == whole
+    finally:
+        papers.RECORDS = most
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    # the same by Python's own reader
+    import csv
+
+    for name in range(4):
+        with open(tmp_path / f"{name}.csv", newline="") as f:
+            fitting = [r for r in csv.reader(f) if r and len(r) <= 3 and "".join(r).strip() + "," * (len(r) - 1)]
+        own = [r for r in papers.read_csv_tables(spark, str(tmp_path))[0].where(f"paper_id = {name}").orderBy("r", "c").collect()]
+        assert [(r["r"], r["c"], r["text"] or "") for r in own] == [(i, k, (row + [""] * 3)[k]) for i, row in enumerate(fitting) for k in range(3)]
+
+
 def test_sql_over_tables_of_any_headers(spark):
     """Tables with other headers, repeated ones and none answer one question together."""
     markup = ["<table><thead><tr><td>Gene</td><td>n</td></tr></thead><tr><td>HBB</td><td>3</td></tr><tr><td>TP53</td></tr></table>", "<table><thead><tr><td>n</td><td>n</td><td></td></tr></thead><tr><td>1</td><td>2</td><td>z</td></tr></table>"]
