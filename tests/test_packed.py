@@ -88,7 +88,7 @@ def test_packs_are_read_in_small_row_groups(spark, tmp_path):
     rows = spark.range(400).selectExpr("id AS paper_id", "concat_ws(' ', transform(sequence(1, 4000), i -> substr(md5(concat(id, i)), 1, 8))) AS body").repartition(1)
     ps.pack_files(rows, str(tmp_path / "p"))
     meta = [pq.ParquetFile(p).metadata for p in (tmp_path / "p").glob("*.parquet")]
-    assert max(m.row_group(i).total_byte_size for m in meta for i in range(m.num_row_groups)) < 16 << 20
+    assert max(m.row_group(i).total_byte_size for m in meta for i in range(m.num_row_groups)) < 8 << 20
 
 
 def test_papers_are_parsed_once(spark, tmp_path):
